@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scoreloom.llm.common import table
+from scoreloom.llm import line_dedup
+from scoreloom.llm.fingerprints import fingerprint_documents
 from scoreloom.llm.license_scan import scan_licenses
 
 
@@ -14,9 +16,22 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.selectExpr("doc_id", "n_lines", "n_removed", "coalesce(text, '') as text")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan}
+    return {
+        "op1_license_scan": op1_license_scan,
+        "op8_line_dedup": op8_line_dedup,
+        "op9_fingerprints": op9_fingerprints,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": line_dedup.ORACLE_SQL}
