@@ -10,12 +10,17 @@ from scoreloom.llm.common import table
 from scoreloom.llm import line_dedup
 from scoreloom.llm.fingerprints import fingerprint_documents
 from scoreloom.llm.license_scan import scan_licenses
+from scoreloom.llm.secret_scan import scan_secrets
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.selectExpr("doc_id", "n_lines", "n_removed", "coalesce(text, '') as text")
@@ -28,6 +33,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op6_secret_scan": op6_secret_scan,
         "op8_line_dedup": op8_line_dedup,
         "op9_fingerprints": op9_fingerprints,
     }
