@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scoreloom.llm.common import table
-from scoreloom.llm import line_dedup
+from scoreloom.llm import line_dedup, topk
 from scoreloom.llm.fingerprints import fingerprint_documents
 from scoreloom.llm.license_scan import scan_licenses
+from scoreloom.llm.mixing import mix_sources
 from scoreloom.llm.secret_scan import scan_secrets
 
 
@@ -17,6 +18,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search_topk(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -30,14 +36,21 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.selectExpr("doc_id", "source", "mix_block", "mix_slot", "char_length(coalesce(text, '')) as n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op4_exact_topk": op4_exact_topk,
         "op6_secret_scan": op6_secret_scan,
         "op8_line_dedup": op8_line_dedup,
         "op9_fingerprints": op9_fingerprints,
+        "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op4_exact_topk": topk.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
