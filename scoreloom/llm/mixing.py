@@ -38,7 +38,7 @@ from scoreloom.llm.common import fits
 BLOCK_CHARS = 20_000
 RESOLUTION = 1000
 TEMPERATURE = 0.5
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 2_000
 
 
 def shares(weights: dict, resolution: int) -> dict:
