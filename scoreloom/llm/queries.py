@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scoreloom.llm.common import table
-from scoreloom.llm import line_dedup, topk
+from scoreloom.llm import line_dedup, ngram_join, topk
 from scoreloom.llm.fingerprints import fingerprint_documents
 from scoreloom.llm.license_scan import scan_licenses
 from scoreloom.llm.mixing import mix_sources
 from scoreloom.llm.secret_scan import scan_secrets
+from scoreloom.llm.toxicity import score_toxicity
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,14 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search_topk(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_ngrams(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -44,7 +53,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op3_toxicity": op3_toxicity,
         "op4_exact_topk": op4_exact_topk,
+        "op5_ngram_join": op5_ngram_join,
         "op6_secret_scan": op6_secret_scan,
         "op8_line_dedup": op8_line_dedup,
         "op9_fingerprints": op9_fingerprints,
@@ -53,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": topk.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op4_exact_topk": topk.ORACLE_SQL, "op5_ngram_join": ngram_join.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
