@@ -11,6 +11,7 @@ from scoreloom.llm import line_dedup, ngram_join, topk
 from scoreloom.llm.fingerprints import fingerprint_documents
 from scoreloom.llm.license_scan import scan_licenses
 from scoreloom.llm.mixing import mix_sources
+from scoreloom.llm.packing import pack_documents
 from scoreloom.llm.secret_scan import scan_secrets
 from scoreloom.llm.toxicity import score_toxicity
 
@@ -36,6 +37,17 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A public tokenizer's file; every machine has it in the same place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.selectExpr("doc_id", "n_lines", "n_removed", "coalesce(text, '') as text")
@@ -57,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_topk": op4_exact_topk,
         "op5_ngram_join": op5_ngram_join,
         "op6_secret_scan": op6_secret_scan,
+        "op7_packing": op7_packing,
         "op8_line_dedup": op8_line_dedup,
         "op9_fingerprints": op9_fingerprints,
         "op10_mixing": op10_mixing,
