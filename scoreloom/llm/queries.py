@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scoreloom.llm.common import table
 from scoreloom.llm import line_dedup, ngram_join, topk
 from scoreloom.llm.fingerprints import fingerprint_documents
+from scoreloom.llm.html_extract import extract_pages
 from scoreloom.llm.license_scan import scan_licenses
 from scoreloom.llm.mixing import mix_sources
 from scoreloom.llm.packing import pack_documents
@@ -25,6 +26,10 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search_topk(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,6 +70,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_html_extract": op2_html_extract,
         "op3_toxicity": op3_toxicity,
         "op4_exact_topk": op4_exact_topk,
         "op5_ngram_join": op5_ngram_join,
