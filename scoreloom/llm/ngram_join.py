@@ -147,7 +147,7 @@ def _settle(tokens: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _heads(fragments: int):
-    """Rows (fragment, tokens, sets): head entries by fragment, and with fragment -1 counts settled in the task."""
+    """Rows (fragment, tokens, sets): head entries by fragment, and under negative numbers counts settled in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = WordHashes(), [], 0
@@ -160,7 +160,7 @@ def _heads(fragments: int):
             cuts = np.searchsorted(part, np.arange(fragments + 1))
             rows = [(i, tokens[a:b].tobytes(), sets[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
             if len(credited):
-                rows.append((-1, credited.tobytes(), counts.astype(np.uint64).tobytes()))
+                rows.append((-1 - int(credited[0] % np.uint64(fragments)), credited.tobytes(), counts.astype(np.uint64).tobytes()))
             types = [pa.int32(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["f", "a", "b"])
 
@@ -182,31 +182,62 @@ def _heads(fragments: int):
 
 def _count_fragment(pdf: pd.DataFrame) -> pd.DataFrame:
     """Sets of one fragment, with their numbers of shared head shingles there."""
-    a = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["a"]])
-    b = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["b"]])
-    _, _, credited, counts = _settle(a, b)
-    return pd.DataFrame({"fa": credited.view(np.int64), "n_shared": counts.astype(np.int64)})
+    a, b = (np.concatenate([np.frombuffer(x, np.uint64) for x in pdf[c]]) for c in ("a", "b"))
+    if pdf["f"].iloc[0] >= 0:
+        _, _, a, b = _settle(a, b)
+    return pd.DataFrame({"fa": a.view(np.int64), "n_shared": b.astype(np.int64)})
 
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b in zip(batch.column(0), batch.column(1)):
-            cols = [pa.array(np.frombuffer(x.as_py(), np.uint64).view(np.int64)) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays(cols, ["fa", "n_shared"])
+def _spots(s: np.ndarray, bits: int) -> list[np.ndarray]:
+    h = s.astype(np.uint64) * MIX
+    return [((h ^ (h >> np.uint64(31))) >> np.uint64(64 - bits)).astype(np.int64), ((h * MIX) >> np.uint64(64 - bits)).astype(np.int64)]
+
+
+def _filter_parts(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.zeros(1 << bits, bool)
+        for batch in batches:
+            for at in _spots(batch.column(0).to_numpy(zero_copy_only=False), bits):
+                field[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(field).tobytes()], pa.binary())], ["b"])
+
+    return run
+
+
+def id_filter(ids: DataFrame, rows: int) -> np.ndarray:
+    """A Bloom filter of ``ids``: 16 bits an id, but never more than 16 MB, beyond which it only lets more through."""
+    bits = min(27, max(10, (16 * rows).bit_length()))
+    parts = ids.repartition(4).mapInArrow(_filter_parts(bits), "b binary").collect()
+    return np.unpackbits(np.bitwise_or.reduce([np.frombuffer(r["b"], np.uint8) for r in parts])).astype(bool)
+
+
+def _likely_sets(packed):
+    """(doc_id, text) to (s, fa, fb, h) of the rows that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, field = WordHashes(), np.unpackbits(np.frombuffer(packed.value, np.uint8)).astype(bool)
+        bits = len(field).bit_length() - 1
+        for batch in batches:
+            one, two = _spots(batch.column(0).to_numpy(zero_copy_only=False), bits)
+            part = batch.filter(pa.array(field[one] & field[two]))
+            rows = []
+            for s, t in zip(part.column(0).to_pylist(), part.column(1)):
+                h = shingles(t.as_py(), hashes)
+                rows.append((s, *digest(h), h.tobytes()))
+            types = [pa.int64()] * 3 + [pa.binary()]
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["s", "fa", "fb", "h"])
+
+    return run
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(s, text, fa, fb) to one row (t, s) for each shingle; rows of another text under the same id are passed by."""
-    hashes = WordHashes()
+    """(s, h) to one row (t, s) for each shingle."""
     for batch in batches:
-        tokens, names = [], []
-        for s, t, fa, fb in zip(*(batch.column(i) for i in range(4))):
-            h = shingles(t.as_py(), hashes)
-            if digest(h) == (fa.as_py(), fb.as_py()):
-                tokens.append(h.view(np.int64))
-                names.append(np.full(len(h), s.as_py(), np.int64))
+        tokens = [np.frombuffer(h.as_py(), np.int64) for h in batch.column(1)]
         if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, names)], ["t", "s"])
+            names = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(t) for t in tokens])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(names)], ["t", "s"])
 
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +331,7 @@ def _long_enough(a: str, b: str) -> str:
 def node_links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) enough to connect every class of ``nodes`` (s, n, c, ts)."""
     postings = cut(nodes.select("s", "n", "c", "ts").mapInArrow(_postings, "t long, s long, n long, c double, rest long"))
-    segments = cut(nodes.select("s", "n", "ts").mapInArrow(_segments, "s long, n long, f int, seg binary"))
+    segments = nodes.select("s", "n", "ts").mapInArrow(_segments, "s long, n long, f int, seg binary")
     links, tested, classes = None, None, None
     for step in range(LEADER_ROUNDS + 1):
         lists = postings.withColumn("k", F.col("s"))
@@ -342,15 +373,14 @@ def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     total = sets.agg(F.sum("n")).first()[0] or 0
     fragments = int(max(1, total * 3 // 10 // FRAGMENT_ENTRIES))
     heads = rows.where("doc_id is not null").select("text").mapInArrow(_heads(fragments), "f int, a binary, b binary")
-    heads = cut(heads)
-    counts = heads.where("f >= 0").groupBy("f").applyInPandas(_count_fragment, "fa long, n_shared long")
-    counts = counts.union(heads.where("f < 0").select("a", "b").mapInArrow(_settled, "fa long, n_shared long"))
+    counts = heads.groupBy("f").applyInPandas(_count_fragment, "fa long, n_shared long")
     counts = counts.groupBy("fa").agg(F.sum("n_shared").alias("n_shared"))
     likely = nodes.join(counts, "fa").where(f"n_shared >= ceil({NUM} * n / {DEN}) div 10 + 1")
     likely = cut(likely.select("s", "n", "fa", "fb"))
-    elements = rows.join(likely.selectExpr("s as doc_id", "fa", "fb"), "doc_id")
-    elements = elements.dropDuplicates(["doc_id", "text"]).select("doc_id", "text", "fa", "fb")  # repeated rows count once
-    elements = elements.mapInArrow(_elements, "t long, s long")
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(id_filter(likely.select("s"), likely.count())).tobytes())
+    found = rows.where("doc_id is not null").mapInArrow(_likely_sets(packed), "s long, fa long, fb long, h binary")
+    found = found.join(likely.select("s", "fa", "fb"), ["s", "fa", "fb"]).dropDuplicates(["s"])  # repeated rows count once
+    elements = found.select("s", "h").mapInArrow(_elements, "t long, s long")
     common = elements.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     grouped = elements.join(common, "t").groupBy("s").agg(F.collect_list(F.struct("df", "t")).alias("e"))
     ordered = grouped.join(likely.select("s", "n"), "s").select("s", "n", "e").mapInArrow(_ordered, "s long, n long, c double, ts binary")
