@@ -16,10 +16,10 @@ for each pair. Before any pair is formed:
    are the postings from which pairs come.
 
 Pairs: a group of thousands of near copies would make all pairs of its members. For classes
-one link to a connected member is enough, so in each posting list all members of another
-class are first compared with one leader, the most typical member; links merge classes. A
-few such rounds leave lists whose members are all in one class, and the remaining pairs of
-different classes are then all compared, so no link between classes is lost.
+one link to a connected member is enough, so each set is first compared with one leader of
+its posting lists that is of another class: the most typical member, in later rounds
+another one. Links merge classes. When such rounds yield little more, all remaining pairs of
+different classes in a list are compared, so no link between classes is lost.
 
 Verification: both sets' segments are joined fragment by fragment, partial overlaps counted
 in each and summed for the pair, and 100 * overlap >= 80 * union decides.
@@ -52,7 +52,9 @@ SEGMENTS = 4
 #: Entries of the head index for each fragment, about, and the most that a task holds back.
 FRAGMENT_ENTRIES = 1_000_000
 HELD = 2_000_000
-LEADER_ROUNDS = 3
+#: Leader rounds end after so many, or when less than this share of a round's comparisons gives links.
+LEADER_ROUNDS = 6
+LEADER_YIELD = 0.02
 REMEMBERED = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -332,35 +334,39 @@ def node_links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) enough to connect every class of ``nodes`` (s, n, c, ts)."""
     postings = cut(nodes.select("s", "n", "c", "ts").mapInArrow(_postings, "t long, s long, n long, c double, rest long"))
     segments = nodes.select("s", "n", "ts").mapInArrow(_segments, "s long, n long, f int, seg binary")
-    links, tested, classes = None, None, None
-    for step in range(LEADER_ROUNDS + 1):
+    links, tested, classes, leading, step = None, None, None, True, 0
+    while True:
         lists = postings.withColumn("k", F.col("s"))
         if classes is not None:
             lists = postings.join(classes.withColumnRenamed("v", "s").withColumnRenamed("c", "k"), "s", "left")
             lists = lists.withColumn("k", F.coalesce("k", "s"))
         key = F.struct("c", "s") if step == 0 else F.struct(F.xxhash64("s", F.lit(step)).cast("double").alias("c"), "s")
         mixed = lists.groupBy("t").agg(
-            F.max(F.struct(key.alias("o"), "s", "n", "k")).alias("l"), F.min("k").alias("k0"), F.max("k").alias("k1")
+            F.max(F.struct(key.alias("o"), "n", "k")).alias("l"), F.min("k").alias("k0"), F.max("k").alias("k1")
         )
-        mixed = mixed.where("k0 <> k1").select("t", "l.s", "l.n", "l.k")
-        if step < LEADER_ROUNDS:
+        mixed = mixed.where("k0 <> k1").select("t", "l.o", "l.n", "l.k")
+        if leading:  # each set with one leader of its lists
             found = lists.alias("x").join(mixed.alias("l"), "t").where(f"x.k <> l.k and {_long_enough('x', 'l')}")
+            found = found.groupBy("x.s").agg(F.max("l.o").alias("o")).select("s", F.col("o.s").alias("l"))
+            pairs = found.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
         else:
             left = lists.join(mixed.select("t"), "t", "left_semi")
             found = left.alias("x").join(left.alias("l"), "t").where(
                 f"x.k < l.k and {_long_enough('x', 'l')} and"
                 f" {NUM + DEN} * least(x.rest, l.rest) >= {NUM} * (x.n + l.n)"
             )
-        pairs = found.select(F.least("x.s", "l.s").alias("a"), F.greatest("x.s", "l.s").alias("b")).distinct()
+            pairs = found.select(F.least("x.s", "l.s").alias("a"), F.greatest("x.s", "l.s").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         new = cut(verified(pairs, segments))
-        tested = pairs if tested is None else tested.union(pairs)
         links = new if links is None else links.union(new)
-        if pairs.isEmpty():
+        if not leading:
             break
-        if step < LEADER_ROUNDS and not new.isEmpty():
+        tested = pairs if tested is None else tested.union(pairs)
+        n_pairs, n_new, step = pairs.count(), new.count(), step + 1
+        leading = step < LEADER_ROUNDS and n_new > LEADER_YIELD * n_pairs
+        if n_new:
             classes = cut(components(links))
     return links
 
