@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
-MAX_LABELLED = 10_000
+MAX_LABELLED = 8_000
 FOLDS = 3
 RIDGE = 1e-5
 CATEGORIES = ("quality", "toxic")
