@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scoreloom.functions.columns import seed64
 from scoreloom.operators.basis import ranks01
@@ -13,6 +14,8 @@ from scoreloom.operators.basis import ranks01
 #: Dose-response strengths, and the basis curve that the duplicate control repeats.
 ALPHAS = (0.0, 0.25, 0.5, 1.0, 2.0)
 DUPLICATE = "Var-96"
+#: Fixed value: the least rank correlation of dose and response.
+TREND = 0.8
 
 
 def noise(version: str, series: str, name: str, n: int) -> np.ndarray:
@@ -40,15 +43,18 @@ def control_scores(points: DataFrame, version: str, alphas=ALPHAS) -> DataFrame:
 
 def acceptance(summary: DataFrame) -> DataFrame:
     """(check, passed) from (control, cdu, ci_low, ci_high): negative controls cover zero, positive ones grow and exceed it."""
-    c, alpha = F.col("control"), F.regexp_replace(F.regexp_extract("control", r"^alpha_(.*)$", 1), "p", ".").cast("double")
+    c, alpha = F.col("control"), F.regexp_replace(F.regexp_extract("control", r"^alpha_(.*)$", 1), "p", ".").try_cast("double")
+    dose = F.col("alpha").isNotNull()
+    among = Window.partitionBy(F.col("alpha").isNotNull())  # a row for each control
     rows = summary.withColumn("alpha", alpha)
+    rows = rows.withColumns({"ra": F.rank().over(among.orderBy("alpha")), "rc": F.rank().over(among.orderBy("cdu"))})
     top = F.max_by("ci_low", "alpha")
     one = rows.agg(
         F.bool_and(F.when(c == "duplicate", (F.col("ci_low") <= 0) & (F.col("ci_high") >= 0))).alias("duplicate_covers_zero"),
         F.bool_and(F.when(c == "noise", (F.col("ci_low") <= 0) & (F.col("ci_high") >= 0))).alias("noise_covers_zero"),
         F.bool_and(F.when(c.isin("duplicate", "noise"), F.col("ci_low") <= 0)).alias("negative_not_positive"),
         (top > 0).alias("largest_positive"),
-        (F.corr(F.when(c.startswith("alpha_"), F.col("alpha")), F.when(c.startswith("alpha_"), F.col("cdu"))) > 0).alias("increase"),
+        (F.corr(F.when(dose, F.col("ra")), F.when(dose, F.col("rc"))) >= TREND).alias("increase"),
         (F.count_if(F.isnan("cdu") | F.col("cdu").isNull()) == 0).alias("all_finite"),
     )
     checks = ("duplicate_covers_zero", "noise_covers_zero", "negative_not_positive", "largest_positive", "increase", "all_finite")

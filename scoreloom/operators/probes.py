@@ -230,7 +230,8 @@ def trees_loso(train: DataFrame, test: DataFrame, folds: list, width: int, setti
         return asked[["source_id", "series_id", "y"]].assign(p=model.predict(np.array(asked["x"].tolist(), float).reshape(len(asked), width)))
 
     schema = f"source_id {kinds['source_id']}, series_id {kinds['series_id']}, y {kinds['y']}, p double"
-    return copies.groupBy("fold").cogroup(test.select(F.col("source_id").alias("fold"), "source_id", "series_id", "y", "x").groupBy("fold")).applyInPandas(run, schema)
+    asked = test.select(F.col("source_id").alias("fold"), *(F.col(c).alias(c) for c in ("source_id", "series_id", "y", "x")))
+    return copies.groupBy("fold").cogroup(asked.groupBy("fold")).applyInPandas(run, schema)
 
 
 def grouped_folds(sources: list, k: int = 5, seed: int = 2024) -> list[list]:

@@ -1 +1,218 @@
-"""Placeholder."""
+"""Queries on learned probes, reconstruction and their sweeps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scoreloom.functions import columns as C
+from scoreloom.operators import basis as B
+from scoreloom.operators import controls, regression, sampling
+from scoreloom.operators import inference as I
+from scoreloom.operators import losses as L
+from scoreloom.operators import probes as P
+from scoreloom.plans import oracle as O
+from scoreloom.plans.catalog import query
+from scoreloom.plans.evaluation import tidy
+from scoreloom.sources import tables as S
+
+#: A small reference for the learned queries; any names of the 31 do.
+REFERENCE = ("Var-8", "Range-16", "Last-1", "AbsDiff-1")
+CAP = 256
+VERSION = "matched-v1"
+
+
+def designed(spark: SparkSession, sf_dir: str, names=REFERENCE, detectors=("qty",)) -> DataFrame:
+    """(source_id, series_id, t, y, basis array, scores array): ranked features and ranked detector scores."""
+    points = S.points(spark, sf_dir)
+    scores = points.select("series_id", "t", F.array(*(C.rank01(d, "series_id") for d in detectors)).alias("scores"))
+    return B.ranked_basis(points, names).join(scores, ["series_id", "t"])
+
+
+def weighted(rows: DataFrame) -> DataFrame:
+    """``rows`` with w = 1 / (n_g m_s) of the rows at hand."""
+    counts = rows.groupBy("source_id", "series_id").agg(F.count(F.lit(1)).alias("m"))
+    groups = counts.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_series"))
+    small = counts.join(groups, "source_id").select("series_id", (1 / (F.col("n_series") * F.col("m"))).alias("w"))
+    return rows.join(small, "series_id")
+
+
+def sources_of(spark: SparkSession, sf_dir: str) -> list:
+    """The sources, sorted: a dimension, a few dozen."""
+    rows = S.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("series_id")).distinct().join(S.series_dim(spark, sf_dir), "series_id")
+    return sorted(r[0] for r in rows.select("source_id").distinct().collect())
+
+
+def condition(rows: DataFrame, name: str) -> DataFrame:
+    x = {"basis": F.col("basis"), "detector": F.col("scores"), "basis_detector": F.concat("basis", "scores")}[name]
+    return rows.withColumn("x", x)
+
+
+def probe_losses(spark: SparkSession, sf_dir: str, kind: str, names=REFERENCE, conditions=("basis", "detector", "basis_detector"), cap: int = CAP) -> DataFrame:
+    """Held-out losses of each condition: trained on the capped sample, tested on every point."""
+    rows = designed(spark, sf_dir, names).persist()
+    train = weighted(sampling.capped_sample(rows, cap, VERSION)).persist()
+    folds, out = sources_of(spark, sf_dir), None
+    for name in conditions:
+        width = {"basis": len(names), "detector": 1, "basis_detector": len(names) + 1}[name]
+        fitted, asked = condition(train, name), condition(rows, name)
+        if kind == "trees":
+            predicted = P.trees_loso(fitted, asked, folds, width)
+        else:
+            predicted = P.predict_loso(asked, folds, P.fit_loso(fitted, folds, width, kind), width, kind)
+        part = P.mean_losses(predicted, f"L_{name}")
+        out = part if out is None else out.join(part, ["source_id", "series_id"])
+    return out
+
+
+@query()
+def linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probe_losses(spark, sf_dir, "linear")
+
+
+@query()
+def spline_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = probe_losses(spark, sf_dir, "spline", conditions=("basis", "basis_detector"))
+    return rows.withColumn("CDU", F.col("L_basis") - F.col("L_basis_detector"))
+
+
+@query()
+def tree_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probe_losses(spark, sf_dir, "trees", conditions=("basis",), cap=128)
+
+
+@query()
+def shared_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basis-only losses by source, one fit for each fold, whatever detectors follow."""
+    return probe_losses(spark, sf_dir, "linear", conditions=("basis",)).groupBy("source_id").agg(F.avg("L_basis").alias("L_basis"))
+
+
+@query()
+def detector_only_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nulls = L.null_losses(L.series_counts(S.unordered_points(spark, sf_dir)))
+    rows = probe_losses(spark, sf_dir, "linear", conditions=("detector",)).join(nulls.select("series_id", "L_null"), "series_id")
+    return rows.withColumn("detector_utility", F.col("L_null") - F.col("L_detector"))
+
+
+@query()
+def family_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro basis loss with each family of the small reference removed."""
+    out = None
+    for family in ("variance", "range"):
+        names = tuple(B.without_family(REFERENCE, family))
+        part = L.macro_loss(probe_losses(spark, sf_dir, "linear", names, ("basis",), 128), "L_basis").withColumn("removed", F.lit(family))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def nested_c_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regularisation that inner folds over sources choose, for the first outer fold."""
+    grid = [0.01, 0.1, 1.0]
+    sources = sources_of(spark, sf_dir)
+    held = sources[0]
+    rows = condition(weighted(sampling.capped_sample(designed(spark, sf_dir), 64, VERSION)), "basis").where(F.col("source_id") != held).persist()
+    inner = P.grouped_folds(sources[1:])
+    fitted, parts = P.fit_loso(rows, inner, len(REFERENCE), c=grid), None
+    for c in grid:
+        losses = P.mean_losses(P.predict_loso(rows, inner, fitted, len(REFERENCE), c=c), "loss")
+        one = losses.select(F.lit(held).alias("fold"), F.lit(c).alias("c"), "source_id", "series_id", "loss")
+        parts = one if parts is None else parts.unionByName(one)
+    return P.select_c(parts)
+
+
+@query()
+def series_cv_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basis losses under folds over series, not sources."""
+    rows = condition(sampling.capped_sample(designed(spark, sf_dir), 128, VERSION), "basis")
+    m = rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("m"))
+    series = sorted(r[0] for r in m.select("series_id").collect())  # a row for each series of the capped sample
+    folds = spark.createDataFrame(sampling.series_folds(series, 5), "series_id long, fold int")
+    rows = rows.drop("source_id").join(folds, "series_id").join(m, "series_id").select(F.col("fold").alias("source_id"), "series_id", "y", "x", (1 / F.col("m")).alias("w")).persist()
+    numbers = list(range(5))
+    return P.mean_losses(P.predict_loso(rows, numbers, P.fit_loso(rows, numbers, len(REFERENCE)), len(REFERENCE)), "L_basis").withColumnRenamed("source_id", "fold")
+
+
+@query()
+def control_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CDU of noise and of the strongest positive control, with bootstrap intervals."""
+    basis = B.ranked_basis(S.points(spark, sf_dir), REFERENCE)
+    scores = controls.control_scores(S.points(spark, sf_dir), "controls-v1").select("series_id", "t", "noise", "alpha_2p0")
+    rows = basis.join(scores, ["series_id", "t"]).persist()
+    train = weighted(sampling.capped_sample(rows, 128, VERSION)).persist()
+    folds, width, out = sources_of(spark, sf_dir), len(REFERENCE), None
+    base = None
+    for name in ("basis", "noise", "alpha_2p0"):
+        x = F.col("basis") if name == "basis" else F.concat("basis", F.array(name))
+        k = width + (name != "basis")
+        fitted, asked = train.withColumn("x", x), rows.withColumn("x", x)
+        losses = P.mean_losses(P.predict_loso(asked, folds, P.fit_loso(fitted, folds, k), k), "loss")
+        if base is None:
+            base = losses.withColumnRenamed("loss", "L_basis")
+            continue
+        cdu = losses.join(base, ["source_id", "series_id"]).groupBy("source_id").agg(F.avg(F.col("L_basis") - F.col("loss")).alias("v"))
+        one = I.cluster_bootstrap(cdu.withColumn("condition", F.lit(name)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_RIDGE = f"""WITH {O.UNITS}, w AS (SELECT u.*, 1 / (n_series * n) AS w FROM units u JOIN counts USING (source_id, series_id) JOIN per_source USING (source_id)),
+s AS (SELECT source_id, sum(w) AS w, sum(w * u) AS wx, sum(w * u_qty) AS wy, sum(w * u * u) AS wxx, sum(w * u * u_qty) AS wxy, count(*) AS k FROM w GROUP BY source_id),
+f AS (SELECT a.source_id, sum(b.w) AS w, sum(b.wx) AS wx, sum(b.wy) AS wy, sum(b.wxx) AS wxx, sum(b.wxy) AS wxy, sum(b.k) AS k FROM s a JOIN s b ON a.source_id <> b.source_id GROUP BY a.source_id),
+m AS (SELECT source_id, ((wxy - wx * wy / w) * k / w) / ((wxx - wx * wx / w) * k / w + 1) AS slope, w, wx, wy FROM f),
+fit AS (SELECT source_id, slope, (wy - slope * wx) / w AS intercept FROM m)"""
+
+
+@query(_RIDGE + f" SELECT source_id, {O.r('slope', 7)} AS slope, {O.r('intercept', 7)} AS intercept FROM fit")
+def ridge_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fitted = regression.simple_ridge(_ridge_rows(spark, sf_dir))
+    return fitted.select("source_id", C.rounded("slope", 7).alias("slope"), C.rounded("intercept", 7).alias("intercept"))
+
+
+def _ridge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = S.unordered_points(spark, sf_dir)
+    return weighted(points.select("source_id", "series_id", C.rank01("x", "series_id").alias("u"), C.rank01("qty", "series_id").alias("s")))
+
+
+@query(_RIDGE + f""", p AS (SELECT u.source_id, u.series_id, u_qty AS s, intercept + slope * u AS p FROM units u JOIN fit USING (source_id))
+SELECT source_id, series_id, count(*) AS n_points, {O.r('1 - sum((s - p) * (s - p)) / (count(*) * var_pop(s))')} AS R2, {O.r('avg((s - p) * (s - p))')} AS MSE FROM p GROUP BY ALL""")
+def reconstruction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2 and MSE of each held-out series."""
+    rows = _ridge_rows(spark, sf_dir).persist()
+    both = rows.join(regression.simple_ridge(rows), "source_id").withColumn("p", F.col("intercept") + F.col("slope") * F.col("u"))
+    return tidy(regression.reconstruction_quality(both, "s", "p", "source_id", "series_id"))
+
+
+@query(_RIDGE + f""", p AS (SELECT u.source_id, u.series_id, u_qty AS s, intercept + slope * u AS p FROM units u JOIN fit USING (source_id)),
+q AS (SELECT source_id, series_id, avg((s - p) * (s - p)) AS MSE FROM p GROUP BY ALL), g AS (SELECT source_id, avg(MSE) AS MSE FROM q GROUP BY source_id)
+SELECT {O.r('avg(MSE)')} AS MSE, count(*) AS n_sources FROM g""")
+def reconstruction_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ridge_rows(spark, sf_dir).persist()
+    both = rows.join(regression.simple_ridge(rows), "source_id").withColumn("p", F.col("intercept") + F.col("slope") * F.col("u"))
+    q = regression.reconstruction_quality(both, "s", "p", "source_id", "series_id")
+    return tidy(q.groupBy("source_id").agg(F.avg("MSE").alias("MSE")).agg(F.avg("MSE").alias("MSE"), F.count(F.lit(1)).alias("n_sources")))
+
+
+@query()
+def ridge_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detector scores predicted from the ranked reference, several targets at once, by held-out source."""
+    rows = weighted(designed(spark, sf_dir, detectors=tuple(S.DETECTORS)).select("source_id", "series_id", F.col("basis").alias("x"), F.col("scores").alias("s")))
+    fitted = regression.ridge_folds(rows, len(REFERENCE), len(S.DETECTORS))
+    dot = lambda j: F.get("intercept", F.lit(j)) + F.aggregate(
+        F.zip_with(F.slice("coef", j * len(REFERENCE) + 1, len(REFERENCE)), F.col("x"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    both, out = rows.join(fitted, "source_id"), None
+    for j, d in enumerate(S.DETECTORS):
+        one = both.select("source_id", "series_id", F.get("s", F.lit(j)).alias("t"), dot(j).alias("p"))
+        part = regression.reconstruction_quality(one, "t", "p", "source_id", "series_id").withColumn("detector", F.lit(d))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""WITH u AS (SELECT i, i / 20.0::DOUBLE AS x FROM range(0, 21) r(i)), v AS (SELECT i, x * 3 AS z FROM u)
+SELECT i, round(CASE WHEN z <= 1 THEN pow(1 - z, 3) / 6 ELSE 0 END, 9) + 0.0 AS first,
+round(CASE WHEN z < 1 THEN pow(z, 3) / 6 WHEN z < 2 THEN (-3 * pow(z - 1, 3) + 3 * pow(z - 1, 2) + 3 * (z - 1) + 1) / 6 ELSE (3 * pow(z - 2, 3) - 6 * pow(z - 2, 2) + 4) / 6 END, 9) + 0.0 AS fourth FROM v""")
+def spline_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of the cubic B-splines on [0, 1] by the probe's own recursion."""
+    x = [i / 20 for i in range(21)]
+    values = P.spline_columns(__import__("numpy").array(x))
+    return spark.createDataFrame([(i, round(float(v[0]), 9) + 0.0, round(float(v[3]), 9) + 0.0) for i, v in enumerate(values)], "i long, first double, fourth double")
