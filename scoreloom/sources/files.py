@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -58,7 +59,7 @@ def read_arrays(spark: SparkSession, path: str, glob: str = "*.np[yz]") -> DataF
     return files.mapInPandas(run, "file string, name string, shape array<long>, values array<double>")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def npy_bytes(values: pd.Series) -> pd.Series:
     """An array as the bytes of an NPY file of float32."""
 
