@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 and read again as the next one's documents. All but the last return the columns of
 ``documents``:
 
-1. toxicity: documents that the classifier chain flags go;
+1. toxicity: documents that the classifier chain takes for toxic go;
 2. line dedup: later occurrences of repeated three-line windows are cut out of the texts;
 3. n-gram join: of documents linked by word shingles the one of the smallest id stays;
 4. mixing: rows come out in the order of the Pfair schedule, file by file;
@@ -38,7 +38,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = score_toxicity(docs, table(spark, sf_dir, "labels"), keep=True)
-    return scored.where("not flagged").select(*docs.columns)
+    return scored.where("toxic = 0").select(*docs.columns)
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

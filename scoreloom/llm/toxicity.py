@@ -216,14 +216,14 @@ def score_toxicity(
     bits: int = BITS,
     keep: bool = False,
 ) -> DataFrame:
-    """A probability ``p_<category>`` for each category and ``flagged``: whether the last one reaches ``threshold``.
+    """A probability ``p_<category>`` for each category, and the last category's name as 0 or 1: whether it reaches ``threshold``.
 
     With ``keep`` the rows keep all columns of ``docs`` (columns of those names are replaced).
     """
     models = train(docs, labels, categories, doc_id, text, max_labelled, bits)
     width = 1 << bits
     weights = docs.sparkSession.sparkContext.broadcast([w.astype(np.float32) for w in models])
-    names = [*(f"p_{c}" for c in categories), "flagged"]
+    names = [*(f"p_{c}" for c in categories), categories[-1]]
     columns = [c for c in docs.columns if c not in names] if keep else [doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +246,8 @@ def score_toxicity(
                 total = SCALE / (sum(counts.values()) + DAMPING)
                 found.append(chain_scores([m * total for m in margins], ws, width))
             cols = [pa.array([p[c] for p in found], pa.float64()) for c in range(len(ws))]
-            flags = pa.array([p[-1] >= threshold for p in found], pa.bool_())
+            flags = pa.array([int(p[-1] >= threshold) for p in found], pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), *cols, flags], [*columns, *names])
 
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*(f"`{c}`" for c in columns)).dtypes), *(f"p_{c} double" for c in categories), "flagged boolean"])
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*(f"`{c}`" for c in columns)).dtypes), *(f"p_{c} double" for c in categories), f"`{categories[-1]}` int"])
     return docs.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
