@@ -330,8 +330,8 @@ def _long_enough(a: str, b: str) -> str:
     return f"{NUM} * greatest({a}.n, {b}.n) <= {DEN} * least({a}.n, {b}.n)"
 
 
-def node_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) enough to connect every class of ``nodes`` (s, n, c, ts)."""
+def node_classes(nodes: DataFrame) -> DataFrame:
+    """(v, c) of the linked ones of ``nodes`` (s, n, c, ts): the smallest s that each reaches."""
     postings = cut(nodes.select("s", "n", "c", "ts").mapInArrow(_postings, "t long, s long, n long, c double, rest long"))
     segments = nodes.select("s", "n", "ts").mapInArrow(_segments, "s long, n long, f int, seg binary")
     links, tested, classes, leading, step = None, None, None, True, 0
@@ -361,14 +361,14 @@ def node_links(nodes: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         new = cut(verified(pairs, segments))
         links = new if links is None else links.union(new)
+        n_new = new.count()
+        if n_new or classes is None:  # else the classes are as they were
+            classes = cut(components(links))
         if not leading:
-            break
+            return classes
         tested = pairs if tested is None else tested.union(pairs)
-        n_pairs, n_new, step = pairs.count(), new.count(), step + 1
+        n_pairs, step = pairs.count(), step + 1
         leading = step < LEADER_ROUNDS and n_new > LEADER_YIELD * n_pairs
-        if n_new:
-            classes = cut(components(links))
-    return links
 
 
 def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -390,8 +390,7 @@ def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     common = elements.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     grouped = elements.join(common, "t").groupBy("s").agg(F.collect_list(F.struct("df", "t")).alias("e"))
     ordered = grouped.join(likely.select("s", "n"), "s").select("s", "n", "e").mapInArrow(_ordered, "s long, n long, c double, ts binary")
-    links = node_links(cut(ordered))
-    classes = components(links)
+    classes = node_classes(cut(ordered))
     named = nodes.join(classes.withColumnRenamed("v", "s"), "s", "left").select("fa", "fb", F.coalesce("c", "s").alias("component_id"))
     return (
         sets.join(named, ["fa", "fb"], "left")
