@@ -18,8 +18,9 @@ otherwise a shuffled join, which adaptive execution splits for a large host.
 Roles of slots: elements whose tag, role, class or id names a menu, header, footer,
 sidebar, notice, advert, form or comments are never the article, in any template. Where a
 page has an article (or main) element, all inside is one slot, whatever other pages hold
-(a host may repeat an article); elsewhere the slots are what the template does not say, and
-a page that is all template is kept.
+(a host may repeat an article), unless slots of more words lie outside it (a teaser beside
+the text); elsewhere, and there, the slots are what the template does not say, and a page
+that is all template is kept.
 
 Blocks are block-level elements in page order; white space inside a block becomes one
 space, empty blocks go, and the blocks are joined by line breaks. References are decoded.
@@ -189,6 +190,11 @@ def token(path: str, word: str = "") -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\t{word}") - 2**63 or 1
 
 
+def word_tokens(block: Block) -> list[int]:
+    """The tokens of a block's words."""
+    return [token(block.path, w) for w in block.words]
+
+
 def page_tokens(blocks: list[Block], tags: list[str]) -> tuple[Counter, dict[int, int]]:
     """Occurrences and first position of each token of a page. Words inside an article element are slots, not tokens."""
     found, first = Counter(), {}
@@ -266,18 +272,17 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEA
 def article_text(source: str, template: frozenset) -> str:
     """The article's blocks without what the template says itself."""
     blocks, _ = read_page(source)
-    inside = any(b.article and not b.role for b in blocks)
-    out: list[str] = []
-    said: list[str] = []
-    for b in blocks:
-        if b.role or (inside and not b.article):
-            continue
-        text = " ".join(b.words)
-        if template and not inside and all(token(b.path, w) in template for w in b.words):
-            said.append(text)  # a block of template words only is no slot
-        else:
-            out.append(text)
-    return "\n".join(out or said)
+    blocks = [b for b in blocks if not b.role]
+    said = [not b.article and all(t in template for t in word_tokens(b)) for b in blocks]  # of template words only: no slot
+    within = sum(len(b.words) for b in blocks if b.article)
+    beside = sum(len(b.words) for b, x in zip(blocks, said) if not b.article and not x)
+    if template and within < beside:  # the article is a teaser beside the text: the template alone decides
+        out = [b for b, x in zip(blocks, said) if not x]
+    elif within:
+        out = [b for b in blocks if b.article]
+    else:
+        out = [b for b, x in zip(blocks, said) if not x] or blocks
+    return "\n".join(" ".join(b.words) for b in out)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

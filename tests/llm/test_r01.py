@@ -1,0 +1,17 @@
+"""Cases of the review's first round."""
+
+from __future__ import annotations
+
+from scoreloom.llm import html_extract
+
+
+def extracted(spark, pages):
+    got = html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    return {r["page_id"]: r["text"] for r in got}
+
+
+def test_html_template_decides_beside_a_teaser(spark):
+    """A text in a div isn't lost to one article element that only announces another page."""
+    story = "<div>Daily news online now</div><div>Story {x} told at some length by hand {x}</div><article><p>Next: {x}</p></article>"
+    pages = [(i, f"https://h.example.com/{i}", "<body>" + story.format(x="s" * (i + 1)) + "</body>") for i in range(12)]
+    assert extracted(spark, pages) == {i: f"Story {'s' * (i + 1)} told at some length by hand {'s' * (i + 1)}\nNext: {'s' * (i + 1)}" for i in range(12)}
