@@ -3,16 +3,23 @@
 Tokens of a page are its tags and the words outside an article element, each told apart by the path of open elements above
 it (its role). Over the pages of one host every token has an occurrence vector: how often
 it stands in each page. Tokens with equal vectors form an equivalence class; a class that
-is large and frequent enough comes from the host's template. A class is valid if its tokens
-stand in one order; valid classes nest by their places, and what lies between the template's
-tokens are slots. Slots that hold the article are extracted, template words are not.
+is large and frequent enough comes from a template of the host. Three passes over the pages
+decide: the first gives the vectors and so the classes; the second checks each class's order
+(on each page its tokens must stand as t1 .. tn again and again; a token outside the longest
+such run on any page leaves its class); the third checks that valid classes nest (on each
+page a class lies in one gap of another, the same on all pages, or outside it, and never
+across; of two that don't, the one of fewer pages and tokens goes). What lies between the
+tokens left are slots. Slots that hold the article are extracted, template words are not.
+
+A class needs no support but its own: equal vectors of ``least_class`` tokens on
+``least_pages`` pages and on a share ``support`` of the host's (which bounds a host's template
+to 1 / support page lengths), so each of a host's layouts has its template; smaller classes
+must stand once on each of a share ``every`` of the pages.
 
 At scale a host may own a third of all pages, so no task sees a host's pages together. An
 occurrence vector is represented by its digest, the sum over the pages of
 hash(page) * count modulo 2^64, which is added up in parts; first positions are averaged.
-Each task sums its pages before the shuffle. Only tokens that occur in ``support`` of a
-host's pages can be in its template, and only these are kept, so a host's template has few
-rows. Templates join back to the pages by host: broadcast where their size is small,
+Each task sums its pages before the shuffle, and the faults that it finds. Classes and templates join back to the pages by host: broadcast where their size is small,
 otherwise a shuffled join, which adaptive execution splits for a large host.
 
 Roles of slots: elements whose tag, role, class or id names a menu, header, footer,
@@ -37,6 +44,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -78,8 +86,9 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-SUPPORT = 0.8
-LEAST_PAGES = 10
+SUPPORT = 0.02
+EVERY = 0.8
+LEAST_PAGES = 4
 LEAST_CLASS = 3
 HELD = 200_000
 
@@ -111,10 +120,10 @@ def boilerplate_level(tag: str, named: dict[str, str]) -> int:
     return 1 if any(NAMES.search(x) for x in names) else 0
 
 
-def read_page(source: str) -> tuple[list[Block], list[str]]:
-    """The blocks of a page in order, and its tag tokens (path of each opened element)."""
+def read_page(source: str) -> tuple[list[Block], list[str | Block]]:
+    """The blocks of a page in order, and these among its tag tokens (path of each opened element)."""
     blocks: list[Block] = []
-    tags: list[str] = []
+    order: list[str | Block] = []
     stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]  # tag, path, level of boilerplate, article
     text: list[str] = []
     at, n = 0, len(source)
@@ -126,6 +135,7 @@ def read_page(source: str) -> tuple[list[Block], list[str]]:
             _, path, role, article = stack[-1]
             blocks.append(Block(path, role > 0, article))
             blocks[-1].words = words
+            order.append(blocks[-1])
 
     while at < n:
         m = TOKEN.search(source, at)
@@ -177,12 +187,12 @@ def read_page(source: str) -> tuple[list[Block], list[str]]:
         below = f"{path}/{tag}" if len(path) < 200 else path
         if named.get("class"):
             below += "." + named["class"].split()[0] if named["class"].split() else ""
-        tags.append(below)
+        order.append(below)
         level, body = boilerplate_level(tag, named), tag in ("article", "main") or named.get("role") == "main"
         role = level if body and role < 2 else max(role, level)  # an article undoes names around it
         stack.append((tag, below, role, article or body))
     flush()
-    return blocks, tags
+    return blocks, order
 
 
 def token(path: str, word: str = "") -> int:
@@ -191,18 +201,24 @@ def token(path: str, word: str = "") -> int:
 
 
 def word_tokens(block: Block) -> list[int]:
-    """The tokens of a block's words."""
-    return [token(block.path, w) for w in block.words]
-
-
-def page_tokens(blocks: list[Block], tags: list[str]) -> tuple[Counter, dict[int, int]]:
-    """Occurrences and first position of each token of a page. Words inside an article element are slots, not tokens."""
-    found, first = Counter(), {}
-    names = [token(t) for t in tags] + [token(b.path, w) for b in blocks if not b.article for w in b.words]
-    for at, t in enumerate(names):
-        found[t] += 1
-        first.setdefault(t, at)
-    return found, first
+    """The tokens of a block's words; the second and later ones of a word are told apart."""
+    seen: Counter = Counter()
+    out = []
+    for w in block.words:
+        seen[w] += 1
+        out.append(token(block.path, w if seen[w] == 1 else f"{w}\t{seen[w]}"))
+    return out
+
+
+def page_tokens(order: list[str | Block]) -> list[int]:
+    """The tokens of a page in order. Words inside an article element are slots, not tokens."""
+    out: list[int] = []
+    for x in order:
+        if isinstance(x, str):
+            out.append(token(x))
+        elif not x.article:
+            out += word_tokens(x)
+    return out
 
 
 def page_hash(page_id: int | None, source: str) -> int:
@@ -230,9 +246,12 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for host, page, source in zip(*(batch.column(i) for i in range(3))):
             host, source = host.as_py(), source.as_py() or ""
-            found, first = page_tokens(*read_page(source))
+            names = page_tokens(read_page(source)[1])
+            found, first = Counter(names), {}
+            for at, name in enumerate(names):
+                first.setdefault(name, at)
             mark = page_hash(page.as_py(), source)
-            total = sum(found.values()) or 1
+            total = len(names) or 1
             for name, n in found.items():
                 s = sums[host, name]
                 s[0] += 1
@@ -247,8 +266,130 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sent()
 
 
-def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEAST_PAGES, least_class: int = LEAST_CLASS) -> DataFrame:
-    """(host, tokens): the words of each host's template, from (host, page_id, html)."""
+def out_of_order(names: list[int], members: dict[int, tuple[int, int]], sizes: list[int]) -> set[int]:
+    """Tokens of a page outside the longest run of their class that keeps its order."""
+    times, expected = Counter(), defaultdict(list)
+    for t in names:
+        if t in members:
+            c, r = members[t]
+            expected[c].append((times[t] * sizes[c] + r, t))
+            times[t] += 1
+    out: set[int] = set()
+    for places in expected.values():
+        if all(a < b for a, b in zip(places, places[1:])):
+            continue
+        ends: list[int] = []  # smallest end of a run of each length, and which place it is
+        which: list[int] = []
+        back = []
+        for k, (x, _) in enumerate(places):
+            n = bisect_left(ends, x)
+            back.append(which[n - 1] if n else -1)
+            ends[n:n + 1], which[n:n + 1] = [x], [k]
+        kept, k = set(), which[-1]
+        while k >= 0:
+            kept.add(k)
+            k = back[k]
+        out.update(t for k, (_, t) in enumerate(places) if k not in kept)
+    return out
+
+
+def nesting(names: list[int], members: dict[int, tuple[int, int]], sizes: list[int]) -> tuple[set, dict]:
+    """Of one page: pairs of classes that cross, and the gap (the token before it) of (outer, inner) pairs; 0 if it is not one."""
+    crossing: set[tuple[int, int]] = set()
+    gaps: dict[tuple[int, int], int] = {}
+    opened: list[list[int]] = []  # class, last token
+    for t in names:
+        if t not in members:
+            continue
+        c, r = members[t]
+        if r == 0:
+            for outer, last in opened:
+                if outer != c:
+                    gaps[outer, c] = last if gaps.get((outer, c), last) == last else 0
+            if sizes[c] > 1:
+                opened.append([c, t])
+            continue
+        at = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == c), None)
+        if at is None:
+            continue
+        above = [x[0] for x in opened[at + 1 :]]
+        crossing.update((min(c, x), max(c, x)) for x in above if x != c)
+        if any(x < c for x in above):
+            del opened[at]
+            continue
+        del opened[at + 1 :]
+        opened[at][1] = t
+        if r == sizes[c] - 1:
+            del opened[at]
+    return crossing, gaps
+
+
+def _classes(found) -> tuple[dict[int, tuple[int, int]], list[int]]:
+    """(class, rank) of each token, and the classes' sizes."""
+    each = found.as_py() or []
+    return {t: (c, r) for c, ts in enumerate(each) for r, t in enumerate(ts)}, [len(ts) for ts in each]
+
+
+def _disorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html, classes) to (host, token) of the tokens that some page has out of order."""
+    for batch in batches:
+        known: dict = {}
+        out: set = set()
+        for host, source, classes in zip(*(batch.column(i) for i in range(3))):
+            host = host.as_py()
+            if host not in known:
+                known[host] = _classes(classes)
+            out.update((host, t) for t in out_of_order(page_tokens(read_page(source.as_py() or "")[1]), *known[host]))
+        pairs = sorted(out, key=repr)
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in pairs], pa.string()), pa.array([t for _, t in pairs], pa.int64())], ["host", "token"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html, classes) to (host, outer, inner, low, high): least and greatest gap; a gap of 0 is a fault of itself."""
+    for batch in batches:
+        known: dict = {}
+        out: dict = {}
+        for host, source, classes in zip(*(batch.column(i) for i in range(3))):
+            host = host.as_py()
+            if host not in known:
+                known[host] = _classes(classes)
+            crossing, gaps = nesting(page_tokens(read_page(source.as_py() or "")[1]), *known[host])
+            for key, gap in [*gaps.items(), *((k, 0) for k in crossing)]:
+                low, high = out.get((host, *key), (gap, gap))
+                out[(host, *key)] = min(low, gap), max(high, gap)
+        keys = list(out)
+        cols = [pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int32()) for i in (1, 2)),
+                *(pa.array([out[k][i] for k in keys], pa.int64()) for i in (0, 1))]
+        yield pa.RecordBatch.from_arrays(cols, ["host", "outer", "inner", "low", "high"])
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, classes, faults) to (host, template): of each faulty pair of valid classes the first one stays."""
+    for batch in batches:
+        texts = []
+        for classes, faults in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            against = defaultdict(list)
+            for x in faults or []:
+                against[x["b"]].append(x["a"])
+            gone: set[int] = set()
+            for c in range(len(classes)):
+                if any(a not in gone for a in against[c]):
+                    gone.add(c)
+            texts.append([t for c, ts in enumerate(classes) if c not in gone for t in ts])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.list_(pa.int64()))], ["host", "template"])
+
+
+def with_classes(pages: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """``pages`` joined with each host's arrays: broadcast where they are few."""
+    n, words = known.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
+    side = F.broadcast(known.drop("words")) if fits(n + words, 64) else known.drop("words")
+    return pages.join(side, "host", "left").select(*pages.columns, column)
+
+
+def templates(
+    pages: DataFrame, support: float = SUPPORT, least_pages: int = LEAST_PAGES, least_class: int = LEAST_CLASS, every: float = EVERY
+) -> DataFrame:
+    """(host, template, words): the tokens of each host's templates and their number, from (host, page_id, html)."""
     summed = pages.select("host", "page_id", "html").mapInArrow(
         _occurrences, "host string, token long, pages long, times long, digest long, place double"
     )
@@ -259,14 +400,28 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEA
     )
     summed = cut(summed.where("pages > 1 or token = 0"))
     hosts = summed.where("token = 0").select("host", F.col("pages").alias("of"))
-    frequent = summed.where("token <> 0").join(hosts, "host").where(f"of >= {least_pages} and pages >= {support} * of")
-    classes = frequent.groupBy("host", "digest", "pages", "times").agg(
+    frequent = summed.where("token <> 0").join(hosts, "host").where(f"pages >= {least_pages} and pages >= {support} * of")
+    valid = f"size >= {least_class} or times = pages and pages >= {every} * of"
+    classes = frequent.groupBy("host", "of", "digest", "pages", "times").agg(
         F.count("*").alias("size"), F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token"))).alias("members")
+    ).where(valid)
+
+    def by_host(found: DataFrame) -> DataFrame:
+        ranked = F.sort_array(F.collect_list(F.struct((-F.col("pages")).alias("p"), (-F.col("size")).alias("s"), "digest", "times", F.col("members.token").alias("ts"))))
+        return cut(found.groupBy("host").agg(ranked.alias("r")).select("host", F.col("r.ts").alias("classes"), F.expr("aggregate(r.ts, 0L, (n, x) -> n + size(x))").alias("words")))
+
+    asked = with_classes(pages.select("host", "html"), by_host(classes), "classes").where("classes is not null")
+    wrong = cut(asked.mapInArrow(_disorder, "host string, token long").distinct().groupBy("host").agg(F.collect_list("token").alias("wrong")))
+    left = classes.join(wrong, "host", "left").withColumn(
+        "members", F.when(F.col("wrong").isNull(), F.col("members")).otherwise(F.expr("filter(members, m -> not array_contains(wrong, m.token))"))
     )
-    # a class is large enough together with the tags that frame it, or stands in every page once
-    valid = classes.where(f"size >= {least_class} or times = pages")
-    members = valid.select("host", F.explode("members").alias("m")).select("host", "m.token")
-    return members.groupBy("host").agg(F.collect_set("token").alias("template"))
+    left = by_host(left.withColumn("size", F.size("members").cast("long")).where("size > 0").where(valid))
+    asked = with_classes(pages.select("host", "html"), left, "classes").where("classes is not null")
+    pairs = asked.mapInArrow(_pairs, "host string, outer int, inner int, low long, high long")
+    pairs = pairs.groupBy("host", "outer", "inner").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high or low = 0 or high = 0")
+    faults = pairs.groupBy("host").agg(F.collect_set(F.struct(F.least("outer", "inner").alias("a"), F.greatest("outer", "inner").alias("b"))).alias("faults"))
+    settled = left.join(faults, "host", "left").select("host", "classes", "faults").mapInArrow(_settled, "host string, template array<long>")
+    return settled.withColumn("words", F.size("template").cast("long"))
 
 
 def article_text(source: str, template: frozenset) -> str:
@@ -306,7 +461,5 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").cast("string").alias("html")
     ).withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))))
     known = cut(templates(rows, **settings))
-    n, words = known.agg(F.count("*"), F.coalesce(F.sum(F.size("template")), F.lit(0))).first()
-    side = F.broadcast(known) if fits(n + words, 64) else known
-    joined = rows.join(side, "host", "left").select("page_id", "url", "host", "html", "template")
+    joined = with_classes(rows.select("page_id", "url", "host", "html"), known, "template")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -15,3 +15,30 @@ def test_html_template_decides_beside_a_teaser(spark):
     story = "<div>Daily news online now</div><div>Story {x} told at some length by hand {x}</div><article><p>Next: {x}</p></article>"
     pages = [(i, f"https://h.example.com/{i}", "<body>" + story.format(x="s" * (i + 1)) + "</body>") for i in range(12)]
     assert extracted(spark, pages) == {i: f"Story {'s' * (i + 1)} told at some length by hand {'s' * (i + 1)}\nNext: {'s' * (i + 1)}" for i in range(12)}
+
+
+def test_html_layouts_and_small_hosts(spark):
+    """Each of a host's layouts has its template, and so has a host of 9 pages."""
+    one = "<div>Daily news online now</div><div>Story {x} told</div><div>Printed in town by us, in town</div>"
+    two = "<section><p>Our big picture page</p><p>Photo {x} taken</p><p>All rights are kept here</p></section>"
+    pages = [(i, f"https://h.example.com/{i}", f"<body>{(one if i % 5 < 3 else two).format(x='s' * (i + 1))}</body>") for i in range(20)]
+    pages += [(i, f"https://small.example.com/{i}", f"<body>{one.format(x='s' * (i + 1))}</body>") for i in range(20, 29)]
+    got = extracted(spark, pages)
+    assert got == {i: f"Story {'s' * (i + 1)} told" if i >= 20 or i % 5 < 3 else f"Photo {'s' * (i + 1)} taken" for i in got}
+
+
+def test_html_class_order_and_nesting():
+    members = {1: (0, 0), 2: (0, 1), 3: (0, 2), 4: (1, 0), 5: (1, 1)}
+    assert html_extract.out_of_order([1, 2, 9, 3, 1, 2, 3], members, [3, 2]) == set()
+    assert html_extract.out_of_order([2, 3, 1], members, [3, 2]) == {1}
+    assert html_extract.nesting([1, 4, 5, 2, 3], members, [3, 2]) == (set(), {(0, 1): 1})
+    assert html_extract.nesting([1, 4, 2, 5, 3], members, [3, 2])[0] == {(0, 1)}
+    assert html_extract.nesting([1, 4, 5, 2, 4, 5, 3], members, [3, 2])[1] == {(0, 1): 0}
+
+
+def test_html_invalid_classes_are_no_template(spark):
+    """Words that stand on the same pages, but in changing order, are text."""
+    words = ["alpha beta gamma", "gamma beta alpha", "beta alpha gamma"]
+    pages = [(i, f"https://h.example.com/{i}", f"<body><div>Daily news online now</div><p>{words[i % 3]}</p></body>") for i in range(12)]
+    got = extracted(spark, pages)
+    assert got == {i: words[i % 3] for i in got}
