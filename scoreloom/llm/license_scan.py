@@ -2,8 +2,8 @@
 
 Fuzzy search goes by the pigeonhole rule. A notice of m bytes that may hold k edits is
 cut into k + 1 pieces, so one piece at least stands unchanged in every match. The pieces
-are searched for exactly; around each hit a window is handed to the ``regex`` library,
-whose bounded-error matching verifies the edits and reports the span.
+are searched for exactly; around each hit a window of its own is handed to the ``regex``
+library, whose bounded-error matching verifies the edits and reports the best span.
 
 Rows are independent, so the operator is one ``mapInArrow`` over the scan: no shuffle,
 memory of one text at a time, and a lost task is simply run again.
@@ -68,26 +68,28 @@ class Notice:
         self.pattern = regex.compile(b"(?b)(?:" + regex.escape(self.text, special_only=True) + b"){e<=%d}" % self.edits)
 
     def windows(self, words: bytes) -> list[tuple[int, int]]:
-        """Merged stretches of ``words`` in which every match must lie."""
-        found, n, slack = [], len(self.text), self.edits
+        """Stretches of ``words``, one for each place where a match may stand; none holds two matches."""
+        found, n, slack = set(), len(self.text), self.edits
         for seed, at in self.seeds:
             p = words.find(seed)
             while p >= 0:
-                found.append((max(0, p - at - slack), p - at + n + slack))
+                found.add((max(0, p - at - slack), min(len(words), p - at + n + slack)))
                 p = words.find(seed, p + 1)
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        return merged
+        return sorted(found)
 
     def matches(self, words: bytes) -> Iterator[tuple[int, int, int]]:
-        """(start, end, edits) of each match, from left to right."""
+        """(start, end, edits) of each match, from left to right; of overlapping ones that of fewest edits."""
+        found = set()
         for a, b in self.windows(words):
-            for m in self.pattern.finditer(words, a, min(b, len(words))):
-                yield m.start(), m.end(), sum(m.fuzzy_counts)
+            m = self.pattern.search(words, a, b)
+            if m:
+                found.add((sum(m.fuzzy_counts), m.start(), m.end()))
+        kept: list[tuple[int, int, int]] = []
+        for e, a, b in sorted(found):
+            k = bisect_right(kept, (a, b, e))
+            if (not k or kept[k - 1][1] <= a) and (k == len(kept) or kept[k][0] >= b):
+                kept.insert(k, (a, b, e))
+        yield from kept
 
 
 def normalised(text: str) -> tuple[bytes, int]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scoreloom.llm import html_extract
+from scoreloom.llm import html_extract, license_scan
 
 
 def extracted(spark, pages):
@@ -42,3 +42,11 @@ def test_html_invalid_classes_are_no_template(spark):
     pages = [(i, f"https://h.example.com/{i}", f"<body><div>Daily news online now</div><p>{words[i % 3]}</p></body>") for i in range(12)]
     got = extracted(spark, pages)
     assert got == {i: words[i % 3] for i in got}
+
+
+def test_license_misspelt_notice_before_an_exact_one():
+    known = [license_scan.Notice(*x) for x in license_scan.NOTICES]
+    two = "gnu general public license versoin 3 or gnu general public license version 2"
+    assert license_scan.scan_text(two, known)[5] == "gpl-2,gpl-3"
+    spans = license_scan.scan_text("relaesed under the mit license released under the mit license", known)[7]
+    assert spans == "mit:0:30,mit:31:61"
