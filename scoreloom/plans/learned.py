@@ -16,9 +16,12 @@ from scoreloom.plans.catalog import query
 from scoreloom.plans.evaluation import tidy
 from scoreloom.sources import tables as S
 
-#: A small reference for the learned queries; any names of the 31 do.
-REFERENCE = ("Var-8", "Range-16", "Last-1", "AbsDiff-1")
-CAP = 256
+#: The reference's whole basis and its cap on a series' training points.
+REFERENCE = tuple(B.NAMES)
+CAP = 2048
+#: The values of C that inner folds choose from, and the numbers of folds over series.
+C_GRID = (0.01, 0.1, 1.0, 10.0)
+SERIES_FOLDS = (5, 10)
 VERSION = "matched-v1"
 
 
@@ -78,7 +81,7 @@ def spline_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tree_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probe_losses(spark, sf_dir, "trees", conditions=("basis",), cap=128)
+    return probe_losses(spark, sf_dir, "trees", conditions=("basis",))
 
 
 @query()
@@ -96,53 +99,63 @@ def detector_only_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def family_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Macro basis loss with each family of the small reference removed."""
+    """Macro basis loss with each family of the basis removed."""
     out = None
-    for family in ("variance", "range"):
+    for family in B.FAMILIES:
         names = tuple(B.without_family(REFERENCE, family))
-        part = L.macro_loss(probe_losses(spark, sf_dir, "linear", names, ("basis",), 128), "L_basis").withColumn("removed", F.lit(family))
+        part = L.macro_loss(probe_losses(spark, sf_dir, "linear", names, ("basis",)), "L_basis").withColumn("removed", F.lit(family))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 @query()
 def nested_c_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The regularisation that inner folds over sources choose, for the first outer fold."""
-    grid = [0.01, 0.1, 1.0]
-    sources = sources_of(spark, sf_dir)
-    held = sources[0]
-    rows = condition(weighted(sampling.capped_sample(designed(spark, sf_dir), 64, VERSION)), "basis").where(F.col("source_id") != held).persist()
-    inner = P.grouped_folds(sources[1:])
-    fitted, parts = P.fit_loso(rows, inner, len(REFERENCE), c=grid), None
-    for c in grid:
-        losses = P.mean_losses(P.predict_loso(rows, inner, fitted, len(REFERENCE), c=c), "loss")
-        one = losses.select(F.lit(held).alias("fold"), F.lit(c).alias("c"), "source_id", "series_id", "loss")
-        parts = one if parts is None else parts.unionByName(one)
-    return P.select_c(parts)
+    """The regularisation that inner folds over sources choose, for each outer fold: fitted on the capped sample, scored on every point."""
+    grid, sources = list(C_GRID), sources_of(spark, sf_dir)
+    designs = condition(designed(spark, sf_dir), "basis").persist()
+    capped, chosen = sampling.capped_sample(designs, CAP, VERSION).persist(), []
+    for held in sources:
+        train, test = (x.where(F.col("source_id") != held) for x in (weighted(capped.where(F.col("source_id") != held)), designs))
+        train = train.persist()
+        inner, parts = P.grouped_folds([s for s in sources if s != held]), None
+        fitted = P.fit_loso(train, inner, len(REFERENCE), c=grid)
+        for c in grid:
+            losses = P.mean_losses(P.predict_loso(test, inner, fitted, len(REFERENCE), c=c), "loss")
+            one = losses.select(F.lit(held).alias("fold"), F.lit(c).alias("c"), "source_id", "series_id", "loss")
+            parts = one if parts is None else parts.unionByName(one)
+        selected = P.select_c(parts)
+        chosen += selected.collect()  # one row for each fold
+        train.unpersist()
+    return spark.createDataFrame(chosen, selected.schema)
 
 
 @query()
 def series_cv_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Basis losses under folds over series, not sources."""
-    rows = condition(sampling.capped_sample(designed(spark, sf_dir), 128, VERSION), "basis")
-    m = rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("m"))
-    series = sorted(r[0] for r in m.select("series_id").collect())  # a row for each series of the capped sample
-    folds = spark.createDataFrame(sampling.series_folds(series, 5), "series_id long, fold int")
-    rows = rows.drop("source_id").join(folds, "series_id").join(m, "series_id").select(F.col("fold").alias("source_id"), "series_id", "y", "x", (1 / F.col("m")).alias("w")).persist()
-    numbers = list(range(5))
-    return P.mean_losses(P.predict_loso(rows, numbers, P.fit_loso(rows, numbers, len(REFERENCE)), len(REFERENCE)), "L_basis").withColumnRenamed("source_id", "fold")
+    """Basis losses under 5 and 10 folds over series, not sources: trained on the capped sample, tested on every point."""
+    rows = condition(designed(spark, sf_dir), "basis").drop("source_id").persist()
+    capped = sampling.capped_sample(rows, CAP, VERSION)
+    m = capped.groupBy("series_id").agg(F.count(F.lit(1)).alias("m"))
+    series, out = sorted(r[0] for r in m.select("series_id").collect()), None  # a row for each series
+    for k in SERIES_FOLDS:
+        folds = spark.createDataFrame(sampling.series_folds(series, k), "series_id long, source_id int")
+        train = capped.join(folds, "series_id").join(m, "series_id").withColumn("w", 1 / F.col("m")).persist()
+        numbers, width = list(range(k)), len(REFERENCE)
+        predicted = P.predict_loso(rows.join(folds, "series_id"), numbers, P.fit_loso(train, numbers, width), width)
+        part = P.mean_losses(predicted, "L_basis").withColumnRenamed("source_id", "fold").withColumn("n_folds", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query()
 def control_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CDU of noise and of the strongest positive control, with bootstrap intervals."""
+    """CDU of noise, the duplicate and every positive control, with bootstrap intervals."""
     basis = B.ranked_basis(S.points(spark, sf_dir), REFERENCE)
-    scores = controls.control_scores(S.points(spark, sf_dir), "controls-v1").select("series_id", "t", "noise", "alpha_2p0")
-    rows = basis.join(scores, ["series_id", "t"]).persist()
-    train = weighted(sampling.capped_sample(rows, 128, VERSION)).persist()
+    scores = controls.control_scores(S.points(spark, sf_dir), "controls-v1").drop("source_id", "y")
+    rows = basis.join(scores, ["series_id", "t"]).withColumn("duplicate", F.get("basis", F.lit(REFERENCE.index(controls.DUPLICATE)))).persist()
+    train = weighted(sampling.capped_sample(rows, CAP, VERSION)).persist()
     folds, width, out = sources_of(spark, sf_dir), len(REFERENCE), None
     base = None
-    for name in ("basis", "noise", "alpha_2p0"):
+    for name in ("basis", "duplicate", *(c for c in scores.columns if c not in ("series_id", "t"))):
         x = F.col("basis") if name == "basis" else F.concat("basis", F.array(name))
         k = width + (name != "basis")
         fitted, asked = train.withColumn("x", x), rows.withColumn("x", x)

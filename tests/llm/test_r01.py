@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from scoreloom.llm import html_extract, license_scan
+import random
+
+from scoreloom.llm import fingerprints, html_extract, license_scan
+from scoreloom.operators import basis, controls
+from scoreloom.plans import learned
 
 
 def extracted(spark, pages):
@@ -50,3 +54,24 @@ def test_license_misspelt_notice_before_an_exact_one():
     assert license_scan.scan_text(two, known)[5] == "gpl-2,gpl-3"
     spans = license_scan.scan_text("relaesed under the mit license released under the mit license", known)[7]
     assert spans == "mit:0:30,mit:31:61"
+
+
+def test_learned_queries_are_the_whole_job():
+    assert learned.REFERENCE == basis.NAMES and len(learned.REFERENCE) == 31 and learned.CAP == 2048
+    assert learned.C_GRID == (0.01, 0.1, 1.0, 10.0) and learned.SERIES_FOLDS == (5, 10)
+    assert controls.DUPLICATE in learned.REFERENCE
+
+
+def test_likeness_sees_texts_without_spaces():
+    rng = random.Random(4)
+    a, b = ("".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(4000)) for _ in range(2))
+    of = fingerprints.Fingerprint.of
+    assert of(a).likeness(of(b)) < 0.25 and of(a).likeness(of(a[:10] + b[10:])) < 0.25
+    assert 0.6 < of(a).likeness(of(a[:3000] + b[3000:])) < 0.9
+
+
+def test_likeness_of_one_window_repeated_many_times():
+    of = fingerprints.Fingerprint.of
+    text = "spam " * 40_000
+    assert of(text).likeness(of(text[:150_000] + "other words " * 4_000)) > 0.6
+    assert of("x" + "a" * 40).likeness(of("x" + "a" * 20 + "b" * 20)) < 0.95
