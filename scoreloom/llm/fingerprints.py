@@ -8,8 +8,9 @@ The vector has two parts:
 
 * ``EQUAL_LANES`` lanes modulo 2^64 from a 512-bit BLAKE2b digest of the whole paragraph;
   they decide equality;
-* ``LIKE_LANES`` lanes modulo 2^16, to which each word position of the paragraph adds +1 or
-  -1 in one lane, chosen by a hash of the 16 bytes that begin there. Read as signed
+* ``LIKE_LANES`` lanes modulo 2^32 (a text has fewer bytes than 2^31, so none overflows), to which each code point of the paragraph adds +1 or
+  -1 in one lane, chosen by a hash of the 16 bytes that begin there (zeros behind the
+  paragraph's end), so every byte counts whatever the script. Read as signed
   numbers they are a linear sketch, whose cosine estimates how much two texts share.
 
 Fingerprints of edited texts come from the update rule: subtract the paragraphs that the
@@ -45,8 +46,10 @@ GAP = b"\n" + bytes(16)
 #: Odd multipliers of the window hash.
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0, 9, 10, 11, 12, 13, 32]] = True
+#: Bytes hashed at a time, which bounds the memory of a long text.
+CHUNK = 1 << 20
+#: Bytes that begin a code point.
+_BEGINS = np.array([(b & 0xC0) != 0x80 for b in range(256)])
 
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
@@ -61,7 +64,7 @@ class Fingerprint:
 
     def __init__(self, equal: np.ndarray | None = None, like: np.ndarray | None = None):
         self.equal = np.zeros(EQUAL_LANES, np.uint64) if equal is None else equal
-        self.like = np.zeros(LIKE_LANES, np.uint16) if like is None else like
+        self.like = np.zeros(LIKE_LANES, np.uint32) if like is None else like
 
     @classmethod
     def of(cls, text: str) -> Fingerprint:
@@ -72,15 +75,23 @@ class Fingerprint:
         digests = b"".join(hashlib.blake2b(p, digest_size=64).digest() for p in parts)
         equal = np.frombuffer(digests, "<u8").reshape(-1, EQUAL_LANES).sum(axis=0, dtype=np.uint64)
         raw = GAP + GAP.join(parts) + GAP
-        space = _SPACE[np.frombuffer(raw, np.uint8)]
-        at = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        codes = np.frombuffer(raw, np.uint8)
+        sizes = np.array([len(p) for p in parts])
+        ends = np.cumsum(sizes + len(GAP))
+        edges = np.zeros(len(raw), np.int8)
+        edges[ends - sizes], edges[ends] = 1, -1
+        inside = np.cumsum(edges, dtype=np.int8).view(bool)  # not the gaps
         words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-        h = (words[at] * MIX[0]) ^ (np.bitwise_xor(words[at + 8], words[at + 8] >> np.uint64(29)) * MIX[1])
-        h ^= h >> np.uint64(32)
-        h *= MIX[2]
-        lane = (h >> np.uint64(55)).astype(np.int64)  # 9 bits: the lane, then the sign
-        counts = np.bincount(lane, minlength=2 * LIKE_LANES)
-        return cls(equal, (counts[0::2] - counts[1::2]).astype(np.uint16))
+        counts = np.zeros(2 * LIKE_LANES, np.int64)
+        for a in range(0, len(raw) - len(GAP), CHUNK):
+            b = min(a + CHUNK, len(raw) - len(GAP))
+            at = np.flatnonzero(_BEGINS[codes[a:b]] & inside[a:b]) + a
+            h = (words[at] * MIX[0]) ^ (np.bitwise_xor(words[at + 8], words[at + 8] >> np.uint64(29)) * MIX[1])
+            h ^= h >> np.uint64(32)
+            h *= MIX[2]
+            lane = (h >> np.uint64(55)).astype(np.int64)  # 9 bits: the lane, then the sign
+            counts += np.bincount(lane, minlength=2 * LIKE_LANES)
+        return cls(equal, (counts[0::2] - counts[1::2]).astype(np.uint32))
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
         return Fingerprint(self.equal + other.equal, self.like + other.like)
@@ -92,12 +103,12 @@ class Fingerprint:
         return np.array_equal(self.equal, other.equal) and np.array_equal(self.like, other.like)
 
     def hex(self) -> str:
-        return self.equal.astype("<u8").tobytes().hex() + self.like.astype("<u2").tobytes().hex()
+        return self.equal.astype("<u8").tobytes().hex() + self.like.astype("<u4").tobytes().hex()
 
     def likeness(self, other: Fingerprint) -> float:
         if self == other:
             return 1.0
-        a, b = (x.like.view(np.int16).astype(np.float64) for x in (self, other))
+        a, b = (x.like.view(np.int32).astype(np.float64) for x in (self, other))
         scale = np.sqrt((a @ a) * (b @ b))
         return float(min(1.0, max(0.0, (a @ b) / scale))) if scale else 0.0
 
