@@ -5,9 +5,11 @@ expressions return strings without places, so the pattern is extracted together
 text before it; the lengths of the gaps and matches, summed, are the places. Only texts
 that hold a kind at all are taken apart.
 
-Multipart credential linking: some strings are secrets only in company. A 40-character
-key-like run is a weak candidate; it is reported (kind ``linked``) when an access
-identifier and an endpoint both lie within ``SCOPE`` code points of it in the same text.
+Multipart credential linking: some strings are secrets only in company. A key-like run (40
+characters, or 20 and more with lower and upper case and digits, padded or not) is a weak
+candidate; it is reported when other parts lie within ``SCOPE`` code points of it in the same
+text: as ``linked`` when these are an access identifier and an endpoint, as the weaker
+``pair`` when it is one of them alone.
 The interval join runs over the located parts of one text in order of place: for each weak
 candidate the nearest part of either other sort before and behind it are looked up, which
 decides the join without forming pairs, so many parts cost no more than their sort. Only
@@ -47,7 +49,11 @@ HINTS = {
     "hex": r"[0-9a-f]{24}",
 }
 #: Parts that mean something only together.
-WEAK = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
+WEAK = (
+    r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
+    # no part of a host or path: not behind a dot, no two slashes first
+    r"|(?<![A-Za-z0-9+/_.-])(?!//)(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])"
+)
 IDENTIFIER = r"(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{12,}|(?i:client_?id|access_?key_?id|user(?:name)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}"
 ENDPOINT = r"(?:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|[a-z0-9.-]+\.amazonaws\.com"
 SCOPE = 400
@@ -112,7 +118,7 @@ def _of_kind(i: int, kind: str):
 
 
 def _linked(parts: DataFrame) -> DataFrame:
-    """Per key (d, h): the weak candidates with an identifier and an endpoint in their scope."""
+    """Per key (d, h): the weak candidates with an identifier and an endpoint in their scope, and those with one of them."""
     rows = parts.select("d", "h", F.explode("parts").alias("x")).select("d", "h", "x.s", "x.e", "x.sort")
     order = Window.partitionBy("d", "h").orderBy("s", "e", "sort")
     before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
@@ -123,8 +129,11 @@ def _linked(parts: DataFrame) -> DataFrame:
         return F.coalesce(F.col("s") - end <= SCOPE, F.lit(False)) | F.coalesce(start - F.col("e") <= SCOPE, F.lit(False))
 
     joined = rows.withColumns({"by_id": near("identifier"), "by_end": near("endpoint")})
-    kept = joined.where("sort = 'weak' and by_id and by_end")
-    return kept.groupBy("d", "h").agg(F.array_sort(F.collect_set(F.struct("s", "e", F.lit(0).alias("n")))).alias("linked"))
+    kept = joined.where("sort = 'weak' and (by_id or by_end)")
+    span, both = F.struct("s", "e", F.lit(0).alias("n")), F.col("by_id") & F.col("by_end")
+    return kept.groupBy("d", "h").agg(
+        F.array_sort(F.collect_set(F.when(both, span))).alias("linked"), F.array_sort(F.collect_set(F.when(~both, span))).alias("pair")
+    )
 
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,7 +147,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.length("t").alias("n"),
         *(places(F.col("t"), pattern, HINTS[kind], least, group).alias(kind) for kind, pattern, least, group in BASE),
     )
-    apart = rows.where(F.col("t").rlike(WEAK) & F.col("t").rlike(ENDPOINT) & F.col("t").rlike(IDENTIFIER)).select(
+    apart = rows.where(F.col("t").rlike(WEAK) & (F.col("t").rlike(ENDPOINT) | F.col("t").rlike(IDENTIFIER))).select(
         F.coalesce("doc_id", F.lit(-(2**63))).alias("d"),
         F.xxhash64("t").alias("h"),
         F.concat(
@@ -164,5 +173,5 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "doc_id",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in names),
         F.sha2(F.array_join(kinds(*names), ","), 256).alias("base_sha256"),
-        F.array_join(kinds(*names, "linked"), ",").alias("spans"),
+        F.array_join(kinds(*names, "linked", "pair"), ",").alias("spans"),
     )
