@@ -5,7 +5,8 @@ and read again as the next one's documents. All but the last return the columns
 ``documents``:
 
 1. toxicity: documents that the classifier chain takes for toxic go;
-2. line dedup: later occurrences of repeated three-line windows are cut out of the texts;
+2. line dedup: later occurrences of repeated three-line windows, and of whole shorter texts, are cut
+   out of the texts;
 3. n-gram join: of documents linked by word shingles the one of the smallest id stays;
 4. mixing: rows come out in the order of the Pfair schedule, file by file;
 5. packing: sequences are filled from neighbours in that order.
@@ -42,7 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = dedup_lines(docs)
+    found = dedup_lines(docs, short=True)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)

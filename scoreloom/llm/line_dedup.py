@@ -13,7 +13,7 @@ hot keys adaptive execution splits. Merging is by document. Everything is a Data
 SQL function.
 
 Defined cases: a null text stays null and has no lines; texts of fewer than three lines are
-left alone; windows of three empty lines count for nothing; rows of equal id and text are
+left alone, as ``ORACLE_SQL`` has it, or with ``short`` are one window each; windows of three empty lines count for nothing; rows of equal id and text are
 one document, so neither copy is touched for the other; null ids come first; every column
 is kept, and ``n_lines`` and ``n_removed`` replace columns of those names.
 """
@@ -54,11 +54,12 @@ FROM kept JOIN documents t USING (doc_id) GROUP BY doc_id
 """
 
 
-def repeated_spans(lines: DataFrame) -> DataFrame:
+def repeated_spans(lines: DataFrame, short: bool = False) -> DataFrame:
     """Disjoint covered intervals (``spans`` of struct<a,b>, ends inclusive) for each (d, h) of ``lines``."""
     windows = lines.where(F.size("lines") >= LINES).select(
         "d",
         "h",
+        F.lit(LINES).alias("k"),
         F.posexplode(
             F.expr(
                 f"transform(sequence(0, size(lines) - {LINES}), i -> if(lines[i] = '' and lines[i+1] = '' and lines[i+2] = '',"
@@ -67,12 +68,17 @@ def repeated_spans(lines: DataFrame) -> DataFrame:
             )
         ).alias("p", "w"),
     )
-    windows = windows.where("w is not null").select("d", "h", "p", "w.a", "w.b")
+    if short:
+        whole = "struct(xxhash64('short', lines) as a, xxhash64('second', lines) as b)"
+        windows = windows.union(
+            lines.where(f"size(lines) < {LINES} and array_join(lines, '') <> ''").selectExpr("d", "h", "size(lines) as k", "0 as p", f"{whole} as w")
+        )
+    windows = windows.where("w is not null").select("d", "h", "p", "k", "w.a", "w.b")
     firsts = windows.groupBy("a", "b").agg(F.min(F.struct("d", "h", "p")).alias("f"), F.count("*").alias("n"))
     firsts = cut(firsts.where("n > 1").select("a", "b", "f"))
     later = windows.join(firsts, ["a", "b"]).where("struct(d, h, p) > f")
     later = later.selectExpr(
-        "d", "h", f"if(f.d = d and f.h = h, greatest(p, f.p + {LINES}), p) as s", f"p + {LINES - 1} as e"
+        "d", "h", "if(f.d = d and f.h = h, greatest(p, f.p + k), p) as s", "p + k - 1 as e"
     )
     by_doc = Window.partitionBy("d", "h").orderBy("s", "e")
     merged = (
@@ -85,8 +91,8 @@ def repeated_spans(lines: DataFrame) -> DataFrame:
     return merged.groupBy("d", "h").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the later occurrences of repeated three-line windows cut out of ``text``."""
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
+    """``docs`` with the later occurrences of repeated three-line windows cut out of ``text``; with ``short``, whole shorter texts too."""
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(
         *(F.col(f"`{c}`") for c in columns),
@@ -96,7 +102,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     lines = keyed.where(F.col(f"`{text}`").isNotNull()).select(
         F.col("__d").alias("d"), F.col("__h").alias("h"), F.split(F.col(f"`{text}`"), "\n", -1).alias("lines")
     )
-    spans = repeated_spans(lines).select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
+    spans = repeated_spans(lines, short).select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
     joined = keyed.join(spans, ["__d", "__h"], "left").withColumn("__lines", F.split(F.col(f"`{text}`"), "\n", -1))
     kept = F.expr(
         "array_join(flatten(zip_with(concat(array(-1), transform(__spans, x -> x.e)),"

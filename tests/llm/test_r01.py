@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-from scoreloom.llm import fingerprints, html_extract, license_scan, secret_scan
+import corpus_pipeline
+from scoreloom.llm import fingerprints, html_extract, license_scan, line_dedup, secret_scan
 from scoreloom.operators import basis, controls
 from scoreloom.plans import learned
 
@@ -86,3 +87,12 @@ def test_secrets_of_a_credentials_file_are_pairs(spark):
     for i, k in enumerate([*keys, keys[2]]):
         assert got[i] == [f"pair:{texts[i].index(k)}:{texts[i].index(k) + len(k)}"]
     assert got[4] == []
+
+
+def test_pipeline_cuts_copies_of_short_texts(spark):
+    docs = [(1, "one line"), (2, "one line"), (3, "two\nlines"), (4, "two\nlines"), (5, ""), (6, ""), (7, "one line\n"), (8, "a\nb\nc"), (9, "a\nb\nc")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeated_lines(spark, df, "").collect()}
+    assert texts == {**dict(docs), 2: "", 4: "", 9: ""}
+    left = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    assert left == {**dict(docs), 9: ""}  # the query keeps to its SQL
