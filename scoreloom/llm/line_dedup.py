@@ -15,7 +15,7 @@ SQL function.
 Defined cases: a null text stays null and has no lines; texts of fewer than three lines are
 left alone, as ``ORACLE_SQL`` has it, or with ``short`` are one window each; windows of three empty lines count for nothing; rows of equal id and text are
 one document, so neither copy is touched for the other; null ids come first; every column
-is kept, and ``n_lines`` and ``n_removed`` replace columns of those names.
+is kept, and ``n_lines`` and ``n_removed`` (with the caller's ``prefix``) replace columns of those names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scoreloom.llm.common import cut
+from scoreloom.llm.common import cut, every, fresh, quoted
 
 LINES = 3
 
@@ -91,29 +91,40 @@ def repeated_spans(lines: DataFrame, short: bool = False) -> DataFrame:
     return merged.groupBy("d", "h").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
-    """``docs`` with the later occurrences of repeated three-line windows cut out of ``text``; with ``short``, whole shorter texts too."""
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", short: bool = False, prefix: str = "") -> DataFrame:
+    """``docs`` with the later occurrences of repeated three-line windows cut out of ``text``; with ``short``, whole shorter texts too.
+
+    ``prefix`` comes before the names n_lines and n_removed, so that a caller can choose names that replace none.
+    """
+    named = (f"{prefix}n_lines", f"{prefix}n_removed")
+    own = fresh(docs, "__")
+    d, h, held, cuts = (F.col(f"{own}{x}") for x in ("d", "h", "lines", "spans"))
+    whole = F.col(quoted(text))
     keyed = docs.select(
-        *(F.col(f"`{c}`") for c in columns),
-        F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(2**63))).alias("__d"),
-        F.xxhash64(F.col(f"`{text}`")).alias("__h"),
-    )
-    lines = keyed.where(F.col(f"`{text}`").isNotNull()).select(
-        F.col("__d").alias("d"), F.col("__h").alias("h"), F.split(F.col(f"`{text}`"), "\n", -1).alias("lines")
+        *every(docs, named),
+        F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(-(2**63))).alias(f"{own}d"),
+        F.xxhash64(whole).alias(f"{own}h"),
     )
-    spans = repeated_spans(lines, short).select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
-    joined = keyed.join(spans, ["__d", "__h"], "left").withColumn("__lines", F.split(F.col(f"`{text}`"), "\n", -1))
-    kept = F.expr(
-        "array_join(flatten(zip_with(concat(array(-1), transform(__spans, x -> x.e)),"
-        " concat(transform(__spans, x -> x.s), array(size(__lines))),"
-        " (e, s) -> slice(__lines, e + 2, s - e - 1))), '\\n')"
+    lines = keyed.where(whole.isNotNull()).select(d.alias("d"), h.alias("h"), F.split(whole, "\n", -1).alias("lines"))
+    spans = repeated_spans(lines, short).select(F.col("d").alias(f"{own}d"), F.col("h").alias(f"{own}h"), F.col("spans").alias(f"{own}spans"))
+    joined = keyed.join(spans, [f"{own}d", f"{own}h"], "left").withColumn(f"{own}lines", F.split(whole, "\n", -1))
+    kept = F.array_join(
+        F.flatten(
+            F.zip_with(
+                F.concat(F.array(F.lit(-1)), F.transform(cuts, lambda x: x["e"])),
+                F.concat(F.transform(cuts, lambda x: x["s"]), F.array(F.size(held))),
+                lambda e, s: F.slice(held, e + 2, s - e - 1),
+            )
+        ),
+        "\n",
     )
+    left_out = {n.lower() for n in named}
     return joined.select(
         *(
-            F.when(F.col("__spans").isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`")
-            for c in columns
+            F.when(cuts.isNull(), F.col(quoted(c))).otherwise(kept).alias(c) if c == text else F.col(quoted(c))
+            for c in docs.columns
+            if c.lower() not in left_out
         ),
-        F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
-        F.coalesce(F.expr("aggregate(__spans, 0L, (n, x) -> n + x.e - x.s + 1)"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(whole.isNull(), 0).otherwise(F.size(held)).cast("long").alias(named[0]),
+        F.coalesce(F.aggregate(cuts, F.lit(0), lambda n, x: n + x["e"] - x["s"] + 1), F.lit(0)).cast("long").alias(named[1]),
     )

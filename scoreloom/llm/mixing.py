@@ -15,14 +15,18 @@ one count for each source.
 Plan: documents are numbered within their source without a window over a whole source. The
 order is that of a hash; its leading bits deal a source into chunks of bounded size, chunk
 totals are pre-aggregated and summed, and only the running sum within a chunk is a window.
-A source that holds a third of the rows is as many chunks as its size asks for.
+A source that holds a third of the rows is as many chunks as its size asks for, and their
+totals are summed up in two levels.
+
+A document belongs to the block where it starts. One longer than a block leaves the blocks that
+it covers empty, so the order deviates from the target by less than one block and the longest text.
 
 Every document is kept: mixing decides the order alone. ``mix_slot`` is that order, and the
 rows come out sorted by it across partitions.
 
 Defined cases: null texts count one character, as do empty ones; a null source is a source
 of its own; repeated rows are each scheduled; ties of the order hash go by id; a source
-without a given weight has the least; columns named mix_block or mix_slot are replaced.
+without a given weight has the least; columns named mix_block or mix_slot (with the caller's ``prefix``) are replaced.
 """
 
 from __future__ import annotations
@@ -33,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scoreloom.llm.common import fits
+from scoreloom.llm.common import cut, every, fresh, quoted, small
 
 BLOCK_CHARS = 20_000
 RESOLUTION = 1000
 TEMPERATURE = 0.5
-CHUNK_ROWS = 2_000
+CHUNK_ROWS = 400
 
 
 def shares(weights: dict, resolution: int) -> dict:
@@ -99,52 +103,57 @@ def mix_sources(
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    prefix: str = "",
 ) -> DataFrame:
     """``docs`` with ``mix_block`` and ``mix_slot``, sorted by slot. Without ``weights`` a source's weight is
-    its number of characters to the power ``temperature``."""
+    its number of characters to the power ``temperature``. ``prefix`` comes before the two names."""
     spark = docs.sparkSession
-    columns = [c for c in docs.columns if c not in ("mix_block", "mix_slot")]
-    size = F.greatest(F.coalesce(F.char_length(F.col(f"`{text}`")), F.lit(1)), F.lit(1)).cast("long")
-    order = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-    light = docs.select(F.col(f"`{source}`").cast("string").alias("s"), size.alias("n"), order.alias("o"))
+    block, slot = f"{prefix}mix_block", f"{prefix}mix_slot"
+    kept = every(docs, (block, slot))
+    own = fresh(docs, "__")  # no column of docs begins so
+    name, size, order, chunk, at, row = (f"{own}{x}" for x in ("source", "size", "order", "chunk", "at", "id"))
+    keyed = docs.select(
+        *kept,
+        F.col(quoted(source)).cast("string").alias(name),
+        F.greatest(F.coalesce(F.char_length(F.col(quoted(text))), F.lit(1)), F.lit(1)).cast("long").alias(size),
+        F.xxhash64(F.col(quoted(doc_id)), F.col(quoted(text))).alias(order),
+        F.col(quoted(doc_id)).alias(row),
+    )
+    light = keyed.select(F.col(name).alias("s"), F.col(size).alias("n"), F.col(order).alias("o"))
     counts = {r["s"]: r for r in light.groupBy("s").agg(F.count("*").alias("rows"), F.sum("n").alias("chars")).collect()}
     if not counts:
-        return docs.select(*columns, F.lit(None).cast("long").alias("mix_block"), F.lit(None).cast("long").alias("mix_slot"))
+        return docs.select(*kept, F.lit(None).cast("long").alias(block), F.lit(None).cast("long").alias(slot))
     bits = max(0, max(r["rows"] for r in counts.values()) // CHUNK_ROWS).bit_length()
-    chunk = F.shiftright("o", 64 - bits) if bits else F.lit(0).cast("long")
-    before = Window.partitionBy("s").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        light.groupBy("s", chunk.alias("c"))
-        .agg(F.sum("n").alias("n"))
-        .select(F.col("s").alias("cs"), F.col("c").alias("cc"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    )
-    if fits(len(counts) << bits, 64):
-        starts = F.broadcast(starts)
+    leading = lambda o, b: F.shiftright(o, 64 - b) if b else F.lit(0).cast("long")
+    # two levels of running sums: chunks within a coarse part of their source, coarse parts within the source
+    chunks = light.groupBy("s", leading("o", bits).alias("c")).agg(F.sum("n").alias("n"))
+    chunks = cut(chunks.withColumn("p", F.shiftright("c", bits - bits // 2)))
+    parts = chunks.groupBy("s", "p").agg(F.sum("n").alias("n"))
+    ahead = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("s").alias("ps"), F.col("p").alias("pp"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    before = Window.partitionBy("s", "p").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    within = chunks.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = within.join(small(parts, len(counts) << (bits // 2), 64), F.col("s").eqNullSafe(F.col("ps")) & (F.col("p") == F.col("pp")))
+    starts = starts.select(F.col("s").alias(f"{own}cs"), F.col("c").alias(f"{own}cc"), (F.col("base") + F.col("start")).alias(f"{own}start"))
+    starts = small(starts, len(counts) << bits, 64)
     least = min(weights.values()) if weights else 1.0
     wanted = {s: (weights.get(s, least) if weights is not None else r["chars"] ** temperature) for s, r in counts.items()}
     plan = phases({s: (r["chars"] - 1) // block_chars + 1 for s, r in counts.items()}, wanted, resolution)
-    slots = spark.createDataFrame(plan, "ps string, first long, behind long, base long, picks array<int>, size long")
-    if fits(len(plan), 64 + 4 * max(resolution, 4 * len(counts))):
-        slots = F.broadcast(slots)
-    within = Window.partitionBy("__s", "__c").orderBy("__o", "__d").rowsBetween(Window.unboundedPreceding, 0)
-    keyed = docs.select(
-        *(F.col(f"`{c}`") for c in columns),
-        F.col(f"`{source}`").cast("string").alias("__s"),
-        size.alias("__n"),
-        order.alias("__o"),
-        F.col(f"`{doc_id}`").alias("__d"),
-    ).withColumn("__c", F.shiftright("__o", 64 - bits) if bits else F.lit(0).cast("long"))
-    numbered = keyed.withColumn("__at", F.sum("__n").over(within) - F.col("__n"))
-    numbered = numbered.join(starts, F.col("__s").eqNullSafe(F.col("cs")) & (F.col("__c") == F.col("cc")))
-    numbered = numbered.withColumn("mix_block", F.expr(f"(start + __at) div {block_chars}"))
-    placed = numbered.join(
-        slots, F.col("__s").eqNullSafe(F.col("ps")) & (F.col("mix_block") >= F.col("first")) & (F.col("mix_block") < F.col("behind"))
-    ).withColumn(
-        "mix_slot",
-        F.expr("base + (mix_block - first) div size(picks) * size + get(picks, cast((mix_block - first) % size(picks) as int))"),
-    )
+    columns = [f"{own}{x}" for x in ("ps", "first", "behind", "base", "picks", "period")]
+    ps, first, behind, base, picks, whole = (F.col(c) for c in columns)
+    kinds = ("string", "long", "long", "long", "array<int>", "long")
+    slots = spark.createDataFrame(plan, ", ".join(f"{c} {k}" for c, k in zip(columns, kinds)))
+    slots = small(slots, len(plan), 64 + 4 * max(resolution, 4 * len(counts)))
+    running = Window.partitionBy(name, chunk).orderBy(order, row).rowsBetween(Window.unboundedPreceding, 0)
+    keyed = keyed.withColumn(chunk, leading(order, bits))
+    numbered = keyed.withColumn(at, F.sum(size).over(running) - F.col(size))
+    numbered = numbered.join(starts, F.col(name).eqNullSafe(F.col(f"{own}cs")) & (F.col(chunk) == F.col(f"{own}cc")))
+    numbered = numbered.withColumn(block, F.floor((F.col(f"{own}start") + F.col(at)) / F.lit(block_chars)).cast("long"))
+    k = F.col(quoted(block)) - first
+    placed = numbered.join(slots, F.col(name).eqNullSafe(ps) & (F.col(quoted(block)) >= first) & (F.col(quoted(block)) < behind))
+    placed = placed.withColumn(slot, base + F.floor(k / F.size(picks)).cast("long") * whole + F.get(picks, (k % F.size(picks)).cast("int")))
     return (
-        placed.repartitionByRange(F.col("mix_slot"), F.col("__o"))
-        .sortWithinPartitions("mix_slot", "__o", "__d")
-        .select(*(F.col(f"`{c}`") for c in columns), "mix_block", "mix_slot")
+        placed.repartitionByRange(F.col(quoted(slot)), F.col(order))
+        .sortWithinPartitions(quoted(slot), order, row)
+        .select(*kept, quoted(block), quoted(slot))
     )

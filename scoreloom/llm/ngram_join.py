@@ -19,13 +19,17 @@ Pairs: a group of thousands of near copies would make all pairs of its members.
 one link to a connected member is enough, so each set is first compared with one leader of
 its posting lists that is of another class: the most typical member, in later rounds
 another one. Links merge classes. When such rounds yield little more, all remaining pairs of
-different classes in a list are compared, so no link between classes is lost.
+different classes in a list are compared, so no link between classes is lost. That step forms
+at most the pairs of one list whose lengths and places allow the similarity, and those of one
+class never; a list is long only where many sets share one of their rarest shingles.
 
 Verification: both sets' segments are joined fragment by fragment, partial overlaps counted
 in each and summed for the pair, and 100 * overlap >= 80 * union decides.
 
 Classes come from alternating large-star and small-star steps over the links, each a
-pre-aggregated minimum and a join; nothing is gathered on the driver but counts.
+pre-aggregated minimum and a join, over classes of the round before; nothing is gathered on the
+driver but counts. Sides of counted size are broadcast in joins where they fit, a round's files
+are deleted when the next one's stand, and few rows go to few tasks.
 
 Defined cases: a null or wordless text has the empty set, which links with nothing; fewer
 words than five are one shingle; rows with a null id get their number of shingles and no
@@ -43,19 +47,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import cut
+from scoreloom.llm.common import cut, fits, forget, quoted, small, tasks_for
 
 WORDS = 5
 NUM, DEN = 4, 5  # similarity 0.8
 #: Segments of a set in verification.
 SEGMENTS = 4
 #: Entries of the head index for each fragment, about, and the most that a task holds back.
-FRAGMENT_ENTRIES = 1_000_000
-HELD = 2_000_000
+FRAGMENT_ENTRIES = 500_000
+HELD = 500_000
 #: Leader rounds end after so many, or when less than this share of a round's comparisons gives links.
 LEADER_ROUNDS = 6
 LEADER_YIELD = 0.02
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 ORACLE_SQL = """
@@ -128,7 +132,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = shingles(t.as_py(), hashes)
             rows.append((len(h), *digest(h)))
         cols = list(zip(*rows)) if rows else [[], [], []]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "n", "fa", "fb"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols), batch.column(2)], ["doc_id", "n", "fa", "fb", "h"])
 
 
 def _settle(tokens: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -258,16 +262,15 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(s, n, c, ts) to a row (t, s, n, c, rest) for each token of the prefix; rest: shared tokens from there on."""
+    """(s, n, c, k, ts) to a row (t, s, n, c, k, rest) for each token of the prefix; rest: shared tokens from there on."""
     for batch in batches:
-        for s, n, c, ts in zip(*(batch.column(i) for i in range(4))):
+        for s, n, c, k, ts in zip(*(batch.column(i) for i in range(5))):
             n, t = n.as_py(), np.frombuffer(ts.as_py(), np.int64)
-            k = n - least(n) + 1 - (n - len(t))  # tokens of no other set come first
-            if k > 0:
-                k = min(k, len(t))
-                cols = [t[:k], np.full(k, s.as_py()), np.full(k, n), np.full(k, c.as_py()), len(t) - np.arange(k)]
-                kinds = [np.int64, np.int64, np.int64, np.float64, np.int64]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(d)) for x, d in zip(cols, kinds)], ["t", "s", "n", "c", "rest"])
+            size = min(n - least(n) + 1 - (n - len(t)), len(t))  # tokens of no other set come first
+            if size > 0:
+                cols = [t[:size], *(np.full(size, x) for x in (s.as_py(), n, c.as_py(), k.as_py())), len(t) - np.arange(size)]
+                kinds = [np.int64, np.int64, np.int64, np.float64, np.int64, np.int64]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(d)) for x, d in zip(cols, kinds)], ["t", "s", "n", "c", "k", "rest"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,37 +296,50 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(got, pa.int64())], ["a", "b", "na", "nb", "o"])
 
 
-def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links: partial overlaps by fragment, summed."""
-    left = pairs.join(segments.selectExpr("s as a", "n as na", "f", "seg as x"), "a")
-    both = left.join(segments.selectExpr("s as b", "n as nb", "f", "seg as y"), ["b", "f"])
+def verified(pairs: DataFrame, rows: int, segments: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links: partial overlaps by fragment, summed. Sides are broadcast where they fit."""
+    ends = pairs.select("b").distinct()
+    held = cut(ends.join(segments, F.col("b") == F.col("s")).selectExpr("b", "n as nb", "f", "seg as y"))
+    n, size = held.agg(F.count("*"), F.coalesce(F.sum(F.length("y")), F.lit(0))).first()
+    right = F.broadcast(held) if fits(64 * n + size, 1) else held
+    left = segments.selectExpr("s as a", "n as na", "f", "seg as x").join(small(pairs.select("a", "b"), rows, 32), "a")
+    both = left.join(right, ["b", "f"])
     partial = both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_overlaps, "a long, b long, na long, nb long, o long")
     summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return summed.where(f"{DEN} * o >= {NUM} * (na + nb - o)").select("a", "b")
+    links = cut(summed.where(f"{DEN} * o >= {NUM} * (na + nb - o)").select("a", "b").coalesce(tasks_for(rows)))
+    forget(held)
+    return links
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(v, c) for each end of a link (a, b): the smallest end that it reaches."""
+def components(links: DataFrame, rows: int) -> DataFrame:
+    """(v, c) for each end of a link (a, b) of at most ``rows``: the smallest end that it reaches."""
 
     def sign(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    def least_of(e: DataFrame) -> DataFrame:
+        return small(e.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), 2 * rows, 32)
+
+    tasks = tasks_for(rows)
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().coalesce(tasks))
     seen = sign(edges)
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").selectExpr("v as u", "m as v").where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        edges = cut(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").selectExpr("v as u", "m as v")).distinct())
+    while seen[0]:
+        back = edges.selectExpr("v as u", "u as v")
+        low = least_of(edges.union(back))
+        large = back.join(low, "u").selectExpr("v as u", "least(u, m) as m").distinct().coalesce(tasks).withColumnRenamed("m", "v")
+        large = cut(large)
+        found = large.join(least_of(large), "u")
+        found = found.selectExpr("u", "m as v").union(found.where("v <> m").selectExpr("v as u", "m as v"))
+        before, edges = edges, cut(found.distinct().coalesce(tasks))
+        forget(before, large)
         now = sign(edges)
         if now == seen:
             break
         seen = now
-    return edges.groupBy("u").agg(F.min("v").alias("c")).select(F.col("u").alias("v"), "c").union(
-        edges.select("v").distinct().select("v", F.col("v").alias("c"))
-    )
+    ends = edges.groupBy("u").agg(F.min("v").alias("c")).selectExpr("u as v", "c")
+    out = cut(ends.union(edges.selectExpr("v", "v as c").distinct()).coalesce(tasks))
+    forget(edges)
+    return out
 
 
 def _long_enough(a: str, b: str) -> str:
@@ -331,15 +347,18 @@ def _long_enough(a: str, b: str) -> str:
 
 
 def node_classes(nodes: DataFrame) -> DataFrame:
-    """(v, c) of the linked ones of ``nodes`` (s, n, c, ts): the smallest s that each reaches."""
-    postings = cut(nodes.select("s", "n", "c", "ts").mapInArrow(_postings, "t long, s long, n long, c double, rest long"))
+    """(s, k) of all ``nodes`` (s, n, c, ts), which are checkpointed: the smallest s that each reaches.
+
+    A class's links lie in one label graph a round: only links between classes are carried on, so no
+    round reads the links of earlier ones.
+    """
+    count, entries = nodes.agg(F.count("*"), F.expr(f"coalesce(sum(n - ({NUM} * n + {DEN - 1}) div {DEN} + 1), 0)")).first()
+    labels = cut(nodes.selectExpr("s", "s as k"))
     segments = nodes.select("s", "n", "ts").mapInArrow(_segments, "s long, n long, f int, seg binary")
-    links, tested, classes, leading, step = None, None, None, True, 0
+    leading, step = True, 0
     while True:
-        lists = postings.withColumn("k", F.col("s"))
-        if classes is not None:
-            lists = postings.join(classes.withColumnRenamed("v", "s").withColumnRenamed("c", "k"), "s", "left")
-            lists = lists.withColumn("k", F.coalesce("k", "s"))
+        named = nodes.join(small(labels, count, 32), "s").select("s", "n", "c", "k", "ts")
+        lists = named.mapInArrow(_postings, "t long, s long, n long, c double, k long, rest long")
         key = F.struct("c", "s") if step == 0 else F.struct(F.xxhash64("s", F.lit(step)).cast("double").alias("c"), "s")
         mixed = lists.groupBy("t").agg(
             F.max(F.struct(key.alias("o"), "n", "k")).alias("l"), F.min("k").alias("k0"), F.max("k").alias("k1")
@@ -347,34 +366,38 @@ def node_classes(nodes: DataFrame) -> DataFrame:
         mixed = mixed.where("k0 <> k1").select("t", "l.o", "l.n", "l.k")
         if leading:  # each set with one leader of its lists
             found = lists.alias("x").join(mixed.alias("l"), "t").where(f"x.k <> l.k and {_long_enough('x', 'l')}")
-            found = found.groupBy("x.s").agg(F.max("l.o").alias("o")).select("s", F.col("o.s").alias("l"))
-            pairs = found.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
-        else:
+            found = found.selectExpr("s as a", "x.k as ka", "struct(l.o, l.k) as o").coalesce(tasks_for(entries))
+            pairs = found.groupBy("a", "ka").agg(F.max("o").alias("o")).selectExpr("a", "o.o.s as b", "ka", "o.k as kb").coalesce(tasks_for(count))
+        else:  # the pairs of a list that are of two classes and whose places in it allow enough overlap
             left = lists.join(mixed.select("t"), "t", "left_semi")
             found = left.alias("x").join(left.alias("l"), "t").where(
                 f"x.k < l.k and {_long_enough('x', 'l')} and"
                 f" {NUM + DEN} * least(x.rest, l.rest) >= {NUM} * (x.n + l.n)"
             )
-            pairs = found.select(F.least("x.s", "l.s").alias("a"), F.greatest("x.s", "l.s").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = found.selectExpr("x.s as a", "l.s as b", "x.k as ka", "l.k as kb").distinct()
         pairs = cut(pairs)
-        new = cut(verified(pairs, segments))
-        links = new if links is None else links.union(new)
-        n_new = new.count()
-        if n_new or classes is None:  # else the classes are as they were
-            classes = cut(components(links))
+        n_pairs = pairs.count()
+        links = verified(pairs, n_pairs, segments)
+        n_links = links.count()
+        if n_links:
+            between = pairs.join(small(links, n_links, 32), ["a", "b"]).selectExpr("ka as a", "kb as b")
+            merged = components(between, n_links)
+            before = labels
+            moved = labels.join(small(merged, 2 * n_links, 32), F.col("k") == F.col("v"), "left")
+            labels = cut(moved.select("s", F.coalesce("c", "k").alias("k")))
+            forget(before, merged)
+        forget(pairs, links)
         if not leading:
-            return classes
-        tested = pairs if tested is None else tested.union(pairs)
-        n_pairs, step = pairs.count(), step + 1
-        leading = step < LEADER_ROUNDS and n_new > LEADER_YIELD * n_pairs
+            return labels
+        step += 1
+        leading = step < LEADER_ROUNDS and n_links > LEADER_YIELD * n_pairs
 
 
-def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    sets = cut(rows.mapInArrow(_sets, "doc_id long, n long, fa long, fb long"))
+def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, h (a hash of the text), n_shingles, component_id and the class (g1, g2) of every row."""
+    rows = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).cast("string").alias("text"))
+    hashed = rows.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    sets = cut(hashed.mapInArrow(_sets, "doc_id long, n long, fa long, fb long, h long"))
     nodes = sets.where("n > 0 and doc_id is not null").groupBy("fa", "fb").agg(F.min("doc_id").alias("s"), F.first("n").alias("n"))
     total = sets.agg(F.sum("n")).first()[0] or 0
     fragments = int(max(1, total * 3 // 10 // FRAGMENT_ENTRIES))
@@ -382,21 +405,57 @@ def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     counts = heads.groupBy("f").applyInPandas(_count_fragment, "fa long, n_shared long")
     counts = counts.groupBy("fa").agg(F.sum("n_shared").alias("n_shared"))
     likely = nodes.join(counts, "fa").where(f"n_shared >= ceil({NUM} * n / {DEN}) div 10 + 1")
-    likely = cut(likely.select("s", "n", "fa", "fb"))
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(id_filter(likely.select("s"), likely.count())).tobytes())
+    likely = cut(likely.select(F.monotonically_increasing_id().alias("v"), "s", "n", "fa", "fb"))  # v: a set's own number
+    n_likely = likely.count()
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(id_filter(likely.select("s"), n_likely)).tobytes())
     found = rows.where("doc_id is not null").mapInArrow(_likely_sets(packed), "s long, fa long, fb long, h binary")
-    found = found.join(likely.select("s", "fa", "fb"), ["s", "fa", "fb"]).dropDuplicates(["s"])  # repeated rows count once
-    elements = found.select("s", "h").mapInArrow(_elements, "t long, s long")
+    found = found.join(small(likely.select("v", "s", "fa", "fb"), n_likely, 64), ["s", "fa", "fb"]).dropDuplicates(["v"])  # repeated rows count once
+    elements = found.select("v", "h").mapInArrow(_elements, "t long, s long")
     common = elements.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     grouped = elements.join(common, "t").groupBy("s").agg(F.collect_list(F.struct("df", "t")).alias("e"))
-    ordered = grouped.join(likely.select("s", "n"), "s").select("s", "n", "e").mapInArrow(_ordered, "s long, n long, c double, ts binary")
-    classes = node_classes(cut(ordered))
-    named = nodes.join(classes.withColumnRenamed("v", "s"), "s", "left").select("fa", "fb", F.coalesce("c", "s").alias("component_id"))
-    return (
-        sets.join(named, ["fa", "fb"], "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
-        )
+    ordered = grouped.join(small(likely.selectExpr("v as s", "n"), n_likely, 32), "s").select("s", "n", "e")
+    tasks = max(tasks_for(n_likely, 5000), tasks_for(total, 2_000_000))
+    classed = cut(ordered.mapInArrow(_ordered, "s long, n long, c double, ts binary").coalesce(tasks))
+    labels = node_classes(classed)
+    firsts = likely.join(small(labels, n_likely, 32), F.col("v") == labels["s"]).select(likely["s"], "fa", "fb", "k")
+    lowest = firsts.groupBy("k").agg(F.min("s").alias("component_id"))
+    named = firsts.join(small(lowest, n_likely, 32), "k").select("fa", "fb", "k", "component_id")
+    named = nodes.join(small(named, n_likely, 64), ["fa", "fb"], "left").select("fa", "fb", "k", F.coalesce("component_id", "s").alias("component_id"))
+    return sets.join(named, ["fa", "fb"], "left").select(
+        "doc_id",
+        "h",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
+        F.coalesce("k", "fa").alias("g1"),
+        F.when(F.col("k").isNull(), F.col("fb")).otherwise(0).alias("g2"),
+    )
+
+
+def join_ngrams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    return linked_rows(docs, doc_id, text).select("doc_id", "n_shingles", "component_id")
+
+
+def first_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that are linked to another row of smaller (id, hash of the text); of equal rows one stays.
+
+    Rows with a null id or without words are in no class and stay, each of them.
+    """
+    rows = linked_rows(docs, doc_id, text).where("n_shingles > 0 and doc_id is not null")
+    keyed = rows.groupBy("doc_id", "h", "g1", "g2").agg(F.count("*").alias("m"))
+    firsts = keyed.groupBy("g1", "g2").agg(F.min(F.struct("doc_id", "h")).alias("o"), F.sum("m").alias("rows")).where("rows > 1")
+    marked = keyed.join(firsts, ["g1", "g2"]).select(
+        F.col("doc_id").alias("__d"), F.col("h").alias("__h"), (F.struct("doc_id", "h") == F.col("o")).alias("__first"), F.col("m").alias("__m")
     )
+    marked = cut(marked)
+    n, repeated = marked.agg(F.count("*"), F.count_if(F.col("__first") & (F.col("__m") > 1))).first()
+    key = (F.col(quoted(doc_id)).cast("long") == marked["__d"]) & (F.xxhash64(F.col(quoted(text)).cast("string")) == marked["__h"])
+
+    def without(gone: DataFrame, rows: int) -> DataFrame:
+        return docs.join(small(gone, rows, 48), key, "left_anti")
+
+    if not repeated:
+        return without(marked.where("not __first"), n)
+    again = marked.where("__first and __m > 1")
+    once = docs.join(small(again, repeated, 48), key, "left_semi").dropDuplicates([doc_id, text])
+    return without(marked.where("not __first or __m > 1"), n).unionByName(once)

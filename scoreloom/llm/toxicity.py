@@ -10,14 +10,18 @@ Features of a word are the word itself and its prefixes of ``PREFIXES`` letters,
 carry over to inflected forms; a text's features are their shares among all its words,
 slightly damped for very short texts, so length does not move the score.
 
-Training takes at most ``max_labelled`` labelled rows, those of the smallest hashed ids;
-only their sparse counts come to the driver. Scoring is one pass over all texts without a
-shuffle, and broadcasts the weights, whose size is fixed by ``bits``.
+Training takes at most ``max_labelled`` labelled rows, those of the smallest hashed ids, as
+long as their texts hold ``max_chars`` characters together. Their sparse counts stay on the
+executors, in a checkpoint: each model of a category (one of all rows, one without each fold) is
+fitted by one task, which holds at most the bounded sample, and only weights reach the driver.
+Scoring is one pass over all texts without a shuffle, and broadcasts the weights, whose size is
+fixed by ``bits``.
 
 Defined cases: a null text counts as empty and is scored by the intercepts; rows whose
 label is null are left out of training; repeated labelled rows each count; with no labelled
 row, or one class only, a category's probability is its (smoothed) share of positives;
-null ids are kept; further columns are not read.
+null ids are kept; an id that repeats in the documents is labelled each time, and left out of training where its
+rows alone exceed the bounds; further columns are not read.
 """
 
 from __future__ import annotations
@@ -31,12 +35,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from scoreloom.llm.common import cut, fits, quoted
 
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
+#: Bounds of the labelled sample.
 MAX_LABELLED = 8_000
+MAX_CHARS = 64_000_000
 FOLDS = 3
 RIDGE = 1e-5
+STEPS = 60
+#: Features of fewer labelled rows are left out.
+LEAST_ROWS = 3
+#: Bounds of a chunk of sparse rows.
+CHUNK_ENTRIES = 500_000
+CHUNK_ROWS = 1000
 CATEGORIES = ("quality", "toxic")
 #: Shares are scaled so that one word in a hundred counts one.
 SCALE = 100.0
@@ -73,13 +88,24 @@ def sparse_text(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndar
 class Rows:
     """Sparse rows with the features that occur in at least ``least`` of them."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], bits: int = BITS, least: int = 3):
-        self.n, self.width = len(rows), 1 << bits
-        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(i) for i, _ in rows]) if rows else np.zeros(0, np.int32)
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], bits: int = BITS, least: int = 1):
         ids = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, np.int32)
         values = np.concatenate([v for _, v in rows]) if rows else np.zeros(0, np.float32)
-        keep = np.bincount(ids, minlength=self.width)[ids] >= least
-        self.row, self.ids, self.values = self.row[keep], ids[keep], values[keep].astype(np.float64)
+        kept = np.where(np.bincount(ids, minlength=1 << bits)[ids] >= least, ids, -1)
+        self._fill(np.array([len(i) for i, _ in rows], int), kept, values, 1 << bits)
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, ids: np.ndarray, values: np.ndarray, width: int) -> Rows:
+        """Rows of ``sizes`` entries each; ids below zero are left out."""
+        out = object.__new__(cls)
+        out._fill(sizes, ids, values, width)
+        return out
+
+    def _fill(self, sizes, ids, values, width) -> None:
+        self.n, self.width = len(sizes), width
+        keep = ids >= 0
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[keep]
+        self.ids, self.values = ids[keep], values[keep].astype(np.float32)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.values * w[self.ids], minlength=self.n)
@@ -105,66 +131,64 @@ def logit(p):
     return np.log(p / (1 - p))
 
 
-def fit_logistic(x: Rows, more: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 60) -> np.ndarray:
-    """Weights (hashed features, then the columns of ``more``, then the intercept) by limited-memory BFGS."""
-    n, d, m = x.n, x.width, more.shape[1]
-    w = np.zeros(d + m + 1)
-    w[-1] = logit((y.sum() + 0.5) / (n + 1)) if n else 0.0
-    if n == 0 or y.min() == y.max():
-        return w
-
-    def value(w):
-        z = x.times(w[:d]) + more @ w[d : d + m] + w[-1]
-        r = (sigmoid(z) - y) / n
-        loss = np.mean(np.logaddexp(0, z) - y * z) + 0.5 * ridge * (w[:-1] @ w[:-1])
-        g = np.concatenate([x.back(r), more.T @ r, [r.sum()]])
-        g[:-1] += ridge * w[:-1]
-        return loss, g
-
-    pairs: list = []
-    loss, g = value(w)
-    for _ in range(steps):
+class Descent:
+    """Limited-memory BFGS of one model, one trial point ``at`` at a time, from a mean loss without the ridge."""
+
+    def __init__(self, w: np.ndarray, ridge: float = RIDGE, steps: int = STEPS):
+        self.w = self.at = w
+        self.ridge, self.left, self.done = ridge, steps, False
+        self.loss: float | None = None
+        self.pairs: list = []
+
+    def tell(self, loss: float, g: np.ndarray) -> None:
+        """Loss and gradient at the trial point; sets the next one."""
+        g = g.copy()
+        loss += 0.5 * self.ridge * float(self.at[:-1] @ self.at[:-1])
+        g[:-1] += self.ridge * self.at[:-1]
+        if self.loss is not None:
+            if loss > self.loss - 1e-4 * self.step * self.slope and self.step >= 1e-6:  # too long a step
+                self.step *= 0.5
+                self.at = self.w - self.step * self.q
+                return
+            s, t = self.at - self.w, g - self.g
+            if s @ t > 1e-14:
+                self.pairs = [*self.pairs[-7:], (s, t, 1 / (s @ t))]
+            self.left -= 1
+            self.done = self.loss - loss < 1e-7 * max(1.0, abs(self.loss)) or self.left <= 0
+        self.w, self.loss, self.g = self.at, loss, g
         q, alphas = g.copy(), []
-        for s, t, rho in reversed(pairs):
+        for s, t, rho in reversed(self.pairs):
             alphas.append(rho * (s @ q))
             q -= alphas[-1] * t
-        q *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(1e-12, np.linalg.norm(g))
-        for (s, t, rho), a in zip(pairs, reversed(alphas)):
+        q *= (self.pairs[-1][0] @ self.pairs[-1][1]) / (self.pairs[-1][1] @ self.pairs[-1][1]) if self.pairs else 1 / max(1e-12, np.linalg.norm(g))
+        for (s, t, rho), a in zip(self.pairs, reversed(alphas)):
             q += (a - rho * (t @ q)) * s
-        step, slope = 1.0, g @ q
-        while True:
-            new = w - step * q
-            new_loss, new_g = value(new)
-            if new_loss <= loss - 1e-4 * step * slope or step < 1e-6:
-                break
-            step *= 0.5
-        s, t = new - w, new_g - g
-        if s @ t > 1e-14:
-            pairs = [*pairs[-7:], (s, t, 1 / (s @ t))]
-        done = loss - new_loss < 1e-7 * max(1.0, abs(loss))
-        w, loss, g = new, new_loss, new_g
-        if done:
-            break
+        self.q, self.step, self.slope = q, 1.0, g @ q
+        self.at = self.w - q
+
+
+def loss_parts(x: Rows, more: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The loss summed over the rows, then its gradient: hashed features, columns of ``more``, intercept."""
+    d, m = x.width, more.shape[1]
+    z = x.times(w[:d]) + more @ w[d : d + m] + w[-1]
+    r = sigmoid(z) - y
+    return np.concatenate([[(np.logaddexp(0, z) - y * z).sum()], x.back(r), more.T @ r, [r.sum()]])
+
+
+def start(width: int, n: float, positive: float) -> np.ndarray:
+    w = np.zeros(width + 1)
+    w[-1] = logit((positive + 0.5) / (n + 1)) if n else 0.0
     return w
 
 
-def fit_chain(rows: list, labels: np.ndarray, keys: np.ndarray, bits: int = BITS, folds: int = FOLDS) -> list[np.ndarray]:
-    """One weight vector for each category; ``keys`` decide the folds."""
-    x = Rows(rows, bits)
-    fold, earlier, models = keys % max(2, folds), np.zeros((x.n, 0)), []
-    for c in range(labels.shape[1]):
-        y = labels[:, c].astype(float)
-        models.append(fit_logistic(x, earlier, y))
-        if c + 1 == labels.shape[1]:
-            break
-        out = np.zeros(x.n)
-        for f in range(max(2, folds)):
-            held = fold == f
-            w = fit_logistic(x.part(~held), earlier[~held], y[~held])
-            d, m = x.width, earlier.shape[1]
-            out[held] = x.part(held).times(w[:d]) + earlier[held] @ w[d : d + m] + w[-1]
-        earlier = np.column_stack([earlier, logit(sigmoid(out))])
-    return models
+def fit_logistic(x: Rows, more: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
+    """Weights of rows at hand (hashed features, then the columns of ``more``, then the intercept)."""
+    fit = Descent(start(x.width + more.shape[1], x.n, y.sum()), ridge, steps)
+    if x.n and y.min() != y.max():
+        while not fit.done:
+            parts = loss_parts(x, more, y, fit.at) / x.n
+            fit.tell(parts[0], parts[1:])
+    return fit.w
 
 
 def chain_scores(margins: list[float], models: list[np.ndarray], width: int) -> list[float]:
@@ -176,33 +200,122 @@ def chain_scores(margins: list[float], models: list[np.ndarray], width: int) ->
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, categories, doc_id: str, text: str, max_labelled: int, bits: int):
-    """Chain models from at most ``max_labelled`` labelled rows."""
-    known = labels.where(" and ".join(f"`{c}` is not null" for c in categories)).select(
-        F.col("doc_id").cast("long").alias("k"), *(F.col(f"`{c}`").cast("int").alias(f"y{i}") for i, c in enumerate(categories))
+CHUNKS = "n int, fold binary, y binary, size binary, ids binary, val binary"
+
+
+def _chunks(categories: int, folds: int, bits: int):
+    """(k, text, labels...) to runs of sparse rows, of a bounded number of entries each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def sent() -> pa.RecordBatch:
+            fold, y = (np.array([h[i] for h in held], np.int8).tobytes() for i in (0, 1))
+            size = np.array([len(h[2]) for h in held], np.int32).tobytes()
+            ids, val = (np.concatenate([h[i] for h in held]).tobytes() for i in (2, 3))
+            cols = [pa.array([len(held)], pa.int32()), *(pa.array([c], pa.binary()) for c in (fold, y, size, ids, val))]
+            return pa.RecordBatch.from_arrays(cols, ["n", "fold", "y", "size", "ids", "val"])
+
+        entries = 0
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, val = sparse_text(batch.column(1)[r].as_py(), bits)
+                fold = zlib.crc32(str(batch.column(0)[r].as_py()).encode()) % folds
+                held.append((fold, [batch.column(2 + c)[r].as_py() != 0 for c in range(categories)], ids, val))
+                entries += len(ids)
+                if entries >= CHUNK_ENTRIES or len(held) >= CHUNK_ROWS:
+                    yield sent()
+                    held, entries = [], 0
+        if held:
+            yield sent()
+
+    return run
+
+
+def _models(category: int, categories: int, bits: int, earlier: list):
+    """Fits the model of a task: chunks with ``without``, the fold that the model must not see (-1: none), to its weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, without, held = [], None, np.zeros(1 << bits, np.int64)
+        kinds = (np.int8, np.int8, np.int32, np.int32, np.float32)
+        for batch in batches:
+            for parts in zip(*(batch.column(i) for i in range(7))):
+                without = parts[0].as_py()
+                fold, y, size, ids, val = (np.frombuffer(p.as_py(), k) for p, k in zip(parts[2:], kinds))
+                held += np.bincount(ids, minlength=1 << bits)
+                chunks.append([fold, y.reshape(parts[1].as_py(), categories).astype(float), size, ids, val])
+        if not chunks:
+            return
+        known = np.flatnonzero(held >= LEAST_ROWS)  # all models hold the same features
+        place = np.full(1 << bits, -1, np.int32)
+        place[known] = np.arange(len(known), dtype=np.int32)
+        width, seen = len(known), []
+        for at, (fold, y, size, ids, val) in enumerate(chunks):
+            x, more = Rows.of(size, place[ids], val, width), np.zeros((len(size), 0))
+            for models in earlier:  # one for each fold, which has not seen that fold's rows
+                z = np.zeros(x.n)
+                for f, w in enumerate(models):
+                    mine = fold == f
+                    if mine.any():
+                        z[mine] = x.part(mine).times(w[:width]) + more[mine] @ w[width:-1] + w[-1]
+                more = np.column_stack([more, logit(sigmoid(z))])
+            mine = fold != without
+            seen.append((x.part(mine), more[mine], y[mine, category]))
+            chunks[at] = None
+        n, positive = sum(x.n for x, _, _ in seen), sum(float(y.sum()) for _, _, y in seen)
+        fit = Descent(start(width + category, n, positive))
+        while not fit.done and 0 < positive < n:
+            parts = sum(loss_parts(x, more, y, fit.at) for x, more, y in seen)
+            fit.tell(parts[0] / n, parts[1:] / n)
+        cols = [pa.array([without], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (known.astype(np.int32), fit.w))]
+        yield pa.RecordBatch.from_arrays(cols, ["without", "known", "w"])
+
+    return run
+
+
+def fit_chain(chunks: DataFrame, categories: int, bits: int = BITS, folds: int = FOLDS) -> list[np.ndarray]:
+    """One dense weight vector for each category, from the chunks of all labelled rows."""
+    earlier: list = []
+    out = []
+    for c in range(categories):
+        wanted = [-1, *(range(folds) if c + 1 < categories else ())]
+        copies = chunks.withColumn("without", F.explode(F.array(*(F.lit(f) for f in wanted)))).select("without", *chunks.columns)
+        tasks = copies.repartitionById(len(wanted), F.col("without") + 1)
+        got = {r["without"]: r for r in tasks.mapInArrow(_models(c, categories, bits, earlier), "without int, known binary, w binary").collect()}
+        dense = np.zeros((1 << bits) + c + 1)
+        if not got:  # no labelled row
+            dense[-1] = start(0, 0, 0)[-1]
+        else:
+            w = {f: np.frombuffer(r["w"], float) for f, r in got.items()}
+            known = np.frombuffer(got[-1]["known"], np.int32)
+            dense[known], dense[1 << bits :] = w[-1][: len(known)], w[-1][len(known) :]
+            earlier = [*earlier, [w[f] for f in wanted[1:]]]
+        out.append(dense)
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, categories, doc_id: str, text: str, max_labelled: int, max_chars: int, bits: int, folds: int = FOLDS):
+    """Chain models from a sample of the labelled rows that is bounded in rows and in characters."""
+    known = labels.where(" and ".join(f"{quoted(c)} is not null" for c in categories)).select(
+        F.col("doc_id").cast("long").alias("k"), *(F.col(quoted(c)).cast("int").alias(f"y{i}") for i, c in enumerate(categories))
     )
+    known = known.withColumn("o", F.shiftrightunsigned(F.xxhash64("k"), 4))
     total = known.count()
     if total > max_labelled:  # 60-bit hash below a bound, then exactly the smallest
         bound = int(2**60 * min(1.0, 1.2 * max_labelled / total + 0.001))
-        known = known.withColumn("o", F.shiftrightunsigned(F.xxhash64("k"), 4)).where(F.col("o") < bound)
-        known = known.orderBy("o", "k", *(f"y{i}" for i in range(len(categories)))).limit(max_labelled).drop("o")
-    sample = docs.select(F.col(f"`{doc_id}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).join(known, "k")
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [sparse_text(t.as_py(), bits) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary()), *(batch.column(2 + i) for i in range(len(categories)))],
-                ["k", "i", "v", *(f"y{i}" for i in range(len(categories)))],
-            )
-
-    kinds = ", ".join(f"y{i} int" for i in range(len(categories)))
-    got = sample.mapInArrow(counted, f"k long, i binary, v binary, {kinds}").toArrow().to_pydict()
-    order = sorted(range(len(got["k"])), key=lambda r: (got["k"][r], got["i"][r]))
-    rows = [(np.frombuffer(got["i"][r], np.int32), np.frombuffer(got["v"][r], np.float32)) for r in order]
-    y = np.array([[got[f"y{i}"][r] for i in range(len(categories))] for r in order]).reshape(len(order), len(categories))
-    keys = np.array([zlib.crc32(str(got["k"][r]).encode()) for r in order], np.int64)
-    return fit_chain(rows, y, keys, bits)
+        known = known.where(F.col("o") < bound).orderBy("o", "k", *(f"y{i}" for i in range(len(categories)))).limit(max_labelled)
+    keep = F.broadcast if fits(min(total, max_labelled), 64) else lambda x: x
+    texts = docs.select(F.col(quoted(doc_id)).cast("long").alias("k"), F.col(quoted(text)).cast("string").alias("t"))
+    sizes = texts.join(keep(known.select("k", "o")), "k").groupBy("o", "k").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("t"), F.lit(0))).alias("chars"))
+    chosen, rows, chars = [], 0, 0
+    for r in sizes.orderBy("o", "k").toLocalIterator():  # at most max_labelled ids; an id may repeat in the documents
+        if rows + r["n"] <= max_labelled and chars + r["chars"] <= max_chars:
+            chosen.append((r["k"],))
+            rows, chars = rows + r["n"], chars + r["chars"]
+    ids = docs.sparkSession.createDataFrame(chosen, "k long")
+    found = texts.join(keep(known.drop("o").join(ids, "k")), "k")
+    chunks = cut(found.mapInArrow(_chunks(len(categories), folds, bits), CHUNKS))
+    return fit_chain(chunks, len(categories), bits, folds)
 
 
 def score_toxicity(
@@ -213,18 +326,22 @@ def score_toxicity(
     text: str = "text",
     threshold: float = 0.5,
     max_labelled: int = MAX_LABELLED,
+    max_chars: int = MAX_CHARS,
     bits: int = BITS,
     keep: bool = False,
+    prefix: str = "",
 ) -> DataFrame:
     """A probability ``p_<category>`` for each category, and the last category's name as 0 or 1: whether it reaches ``threshold``.
 
-    With ``keep`` the rows keep all columns of ``docs`` (columns of those names are replaced).
+    With ``keep`` the rows keep all columns of ``docs`` (columns of those names, in any case, are replaced);
+    ``prefix`` comes before the names, so that a caller can choose names that replace none.
     """
-    models = train(docs, labels, categories, doc_id, text, max_labelled, bits)
+    models = train(docs, labels, categories, doc_id, text, max_labelled, max_chars, bits)
     width = 1 << bits
     weights = docs.sparkSession.sparkContext.broadcast([w.astype(np.float32) for w in models])
-    names = [*(f"p_{c}" for c in categories), categories[-1]]
-    columns = [c for c in docs.columns if c not in names] if keep else [doc_id]
+    names = [*(f"{prefix}p_{c}" for c in categories), f"{prefix}{categories[-1]}"]
+    taken = {n.lower() for n in names}
+    columns = [c for c in docs.columns if c.lower() not in taken] if keep else [doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ws = weights.value
@@ -247,7 +364,10 @@ def score_toxicity(
                 found.append(chain_scores([m * total for m in margins], ws, width))
             cols = [pa.array([p[c] for p in found], pa.float64()) for c in range(len(ws))]
             flags = pa.array([int(p[-1] >= threshold) for p in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), *cols, flags], [*columns, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), *cols, flags], plain)
 
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*(f"`{c}`" for c in columns)).dtypes), *(f"p_{c} double" for c in categories), f"`{categories[-1]}` int"])
-    return docs.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    # columns of any name go through under plain ones
+    plain = [f"c{i}" for i in range(len(columns) + len(names))]
+    asked = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)), F.col(quoted(text)).cast("string").alias("t"))
+    kinds = [*(f.dataType for f in asked.schema.fields[:-1]), *(T.DoubleType() for _ in categories), T.IntegerType()]
+    return asked.mapInArrow(run, T.StructType([T.StructField(c, k) for c, k in zip(plain, kinds)])).toDF(*columns, *names)

@@ -14,14 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from scoreloom.llm import fingerprints, mixing, ngram_join, packing, topk, toxicity
 from scoreloom.llm.queries import tokenizer_path
-from tests.llm.test_scans import NASTY
-
-SCHEMA = "doc_id long, text string, h string, n long"
-
-
-@pytest.fixture()
-def nasty(spark):
-    return spark.createDataFrame(NASTY, SCHEMA)
+from tests.llm.test_scans import CLASHING, NASTY, nasty  # noqa: F401
 
 
 def words(rng, n):
@@ -62,7 +55,8 @@ def test_toxicity_cases(spark, nasty):
     _, labels = labelled(spark, 20)
     empty = labels.limit(0)
     got = toxicity.score_toxicity(nasty, empty, keep=True)
-    assert got.count() == len(NASTY) and got.columns == [*nasty.columns, "p_quality", "p_toxic", "toxic"]
+    left = [c for c in nasty.columns if c.lower() not in ("p_quality", "p_toxic", "toxic")]
+    assert got.count() == len(NASTY) and got.columns == [*left, "p_quality", "p_toxic", "toxic"]
     assert {round(r["p_toxic"], 6) for r in got.collect()} == {0.5}
     assert toxicity.score_toxicity(nasty.limit(0), labels).count() == 0
 
@@ -151,6 +145,24 @@ def test_join_of_a_chain_of_versions(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {d: c for d, (_, c) in brute_join(docs).items()}
 
 
+def test_join_of_repeated_ids_loses_no_link(spark):
+    """Rows of one id have a set each: (5, B) is linked to 7 although (5, A) is another text."""
+    rng = random.Random(8)
+    a, b = words(rng, 60), words(rng, 60)
+    docs = [(5, a), (5, b), (7, b + " more"), (8, a + " more"), (9, words(rng, 60))]
+    got = ngram_join.join_ngrams(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(5, 5), (5, 5), (7, 5), (8, 5), (9, 9)]
+
+
+def test_first_of_each_class(spark):
+    rng = random.Random(8)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    docs = [(5, a), (5, b), (7, b + " more"), (8, a + " more"), (9, c), (9, c), (9, a + " x"), (None, a), (None, a), (3, ""), (3, ""), (4, None)]
+    got = ngram_join.first_of_each_class(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = [(5, a), (5, b), (9, c), (None, a), (None, a), (3, ""), (3, ""), (4, None)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_join_cases(nasty):
     got = ngram_join.join_ngrams(nasty)
     assert got.count() == len(NASTY)
@@ -307,6 +319,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in plain.select("doc_id").collect()}
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, nasty):  # noqa: F811
+    docs, sf = nasty.select("*", F.lit(7).alias("toxic "), F.lit("s").alias("source"), F.lit(2).alias("n_chars")), "/root/testdata/sf0.001"
+    want = docs.drop("text", "n_chars", "doc_id").distinct().count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == [*nasty.columns, "toxic ", "source", "n_chars"], name
+        assert docs.select("Toxic", "`a.b`", "n_lines", "mix_slot", "p_toxic").distinct().collect() == [(9, 9, 9, 9, 9)], name
+    assert docs.drop("text", "n_chars", "doc_id").distinct().count() == want and docs.count() == len(NASTY) - 1
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == 6
+
+
 def test_pipeline_of_an_empty_table(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
