@@ -41,18 +41,20 @@ def family_of(name: str) -> str:
     return name.split("-")[0]
 
 
+def columns_of(families, names: tuple[str, ...] = NAMES) -> tuple[int, ...]:
+    """Places of the curves of some families; an empty choice, or one that leaves nothing out, is an error."""
+    chosen = tuple(i for i, n in enumerate(names) if family_of(n) in set(families))
+    if not 0 < len(chosen) < len(names):
+        raise ValueError(f"families {sorted(families)} name nothing or everything")
+    return chosen
+
+
 def without_family(names: tuple[str, ...], family: str) -> list[str]:
-    kept = [n for n in names if family_of(n) != FAMILIES[family]]
-    if not kept or len(kept) == len(names):
-        raise ValueError(f"family {family} names nothing or everything")
-    return kept
+    return [names[i] for i in columns_of({family_of(n) for n in names} - {FAMILIES[family]}, names)]
 
 
 def of_strength(names: tuple[str, ...], strength: str) -> list[str]:
-    kept = [n for n in names if family_of(n) in STRENGTHS[strength]]
-    if not kept or len(kept) == len(names):
-        raise ValueError(f"strength {strength} names nothing or everything")
-    return kept
+    return [names[i] for i in columns_of(STRENGTHS[strength], names)]
 
 
 def series_window(series: str = "series_id", order: str = "t") -> WindowSpec:

@@ -22,6 +22,13 @@ def noise(version: str, series: str, name: str, n: int) -> np.ndarray:
     return np.random.default_rng(seed64(version, series, name)).standard_normal(n)
 
 
+def control_curves(series: str, y: np.ndarray, version: str, alphas=ALPHAS) -> list[tuple[str, np.ndarray]]:
+    """The ranked control scores of one series by name: noise, and noise plus alpha times the label."""
+    z = noise(version, series, "complementary_base", len(y))
+    doses = [(f"alpha_{str(a).replace('.', 'p')}", ranks01(z + a * y)) for a in alphas]
+    return [("noise", ranks01(noise(version, series, "independent_noise", len(y)))), *doses]
+
+
 def control_scores(points: DataFrame, version: str, alphas=ALPHAS) -> DataFrame:
     """(source_id, series_id, t, y, noise, alpha_<a>...): ranked noise, and ranked noise plus alpha times the label."""
     kinds = dict(points.dtypes)
@@ -29,33 +36,46 @@ def control_scores(points: DataFrame, version: str, alphas=ALPHAS) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        s, y, n = str(pdf["series_id"].iloc[0]), pdf["y"].to_numpy(float), len(pdf)
-        z = noise(version, s, "complementary_base", n)
-        out = pdf[["source_id", "series_id", "t", "y"]].copy()
-        out["noise"] = ranks01(noise(version, s, "independent_noise", n))
-        for name, a in zip(names[1:], alphas):
-            out[name] = ranks01(z + a * y)
-        return out
+        found = control_curves(str(pdf["series_id"].iloc[0]), pdf["y"].to_numpy(float), version, alphas)
+        return pdf[["source_id", "series_id", "t", "y"]].assign(**dict(found))
 
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in ("source_id", "series_id", "t", "y")), *(f"{c} double" for c in names)])
     return points.select("source_id", "series_id", "t", "y").groupBy("series_id").applyInPandas(run, schema)
 
 
-def acceptance(summary: DataFrame) -> DataFrame:
-    """(check, passed) from (control, cdu, ci_low, ci_high): negative controls cover zero, positive ones grow and exceed it."""
-    c, alpha = F.col("control"), F.regexp_replace(F.regexp_extract("control", r"^alpha_(.*)$", 1), "p", ".").try_cast("double")
+def acceptance(series: DataFrame, summary: DataFrame, audit: DataFrame, expected: list[str], resumed: DataFrame) -> DataFrame:
+    """(check, passed): the gate over a run of controls.
+
+    ``series``: (control, series_id, L_basis, CDU); ``summary``: (control, cdu, ci_low, ci_high); ``audit``: (source_id, passed) of
+    each fold; ``expected``: the controls that the run must hold; ``resumed``: the rows of ``series`` of a second run.
+    Complete and sound: every control is there, no fold saw its test source, and a run that starts again gives the same rows.
+    Meaning: negative controls cover zero and are not above it, dose and response rise together, the largest dose is above zero.
+    Data: one baseline for all controls, finite losses, each series once in each control.
+    """
+    alpha = F.regexp_replace(F.regexp_extract("control", r"^alpha_(.*)$", 1), "p", ".").try_cast("double")
     dose = F.col("alpha").isNotNull()
-    among = Window.partitionBy(F.col("alpha").isNotNull())  # a row for each control
+    among = Window.partitionBy(dose)  # a row for each control
     rows = summary.withColumn("alpha", alpha)
     rows = rows.withColumns({"ra": F.rank().over(among.orderBy("alpha")), "rc": F.rank().over(among.orderBy("cdu"))})
-    top = F.max_by("ci_low", "alpha")
-    one = rows.agg(
-        F.bool_and(F.when(c == "duplicate", (F.col("ci_low") <= 0) & (F.col("ci_high") >= 0))).alias("duplicate_covers_zero"),
-        F.bool_and(F.when(c == "noise", (F.col("ci_low") <= 0) & (F.col("ci_high") >= 0))).alias("noise_covers_zero"),
-        F.bool_and(F.when(c.isin("duplicate", "noise"), F.col("ci_low") <= 0)).alias("negative_not_positive"),
-        (top > 0).alias("largest_positive"),
+    covers = lambda c: F.bool_or(F.when(F.col("control") == c, (F.col("ci_low") <= 0) & (F.col("ci_high") >= 0)))
+    by_summary = rows.agg(
+        (F.size(F.array_intersect(F.collect_set("control"), F.lit(expected))) == len(expected)).alias("controls_complete"),
+        covers("duplicate").alias("duplicate_covers_zero"),
+        covers("noise").alias("noise_covers_zero"),
+        F.bool_and(F.when(F.col("control").isin("duplicate", "noise"), F.col("ci_low") <= 0)).alias("negative_not_positive"),
+        (F.max_by("ci_low", "alpha") > 0).alias("largest_positive"),
         (F.corr(F.when(dose, F.col("ra")), F.when(dose, F.col("rc"))) >= TREND).alias("increase"),
-        (F.count_if(F.isnan("cdu") | F.col("cdu").isNull()) == 0).alias("all_finite"),
     )
-    checks = ("duplicate_covers_zero", "noise_covers_zero", "negative_not_positive", "largest_positive", "increase", "all_finite")
-    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("check"), F.col(k).alias("passed")) for k in checks))).alias("r")).select("r.*")
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    by_control = series.groupBy("control").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("series_id").alias("k"))
+    n = series.select("series_id").distinct().agg(F.count(F.lit(1)).alias("whole"))
+    covered = by_control.crossJoin(n).agg(F.bool_and((F.col("n") == F.col("k")) & (F.col("n") == F.col("whole"))).alias("series_once"))  # one row on the right
+    spread = series.groupBy("series_id").agg((F.min("L_basis").eqNullSafe(F.max("L_basis"))).alias("same"))
+    same = spread.agg(F.bool_and("same").alias("one_baseline"))
+    finite = series.agg((F.count_if(bad("L_basis") | bad("CDU")) == 0).alias("all_finite"))
+    folds = audit.agg(F.bool_and("passed").alias("folds_pass"))
+    columns = ["control", "series_id", "L_basis", "CDU"]
+    again = series.select(columns).exceptAll(resumed.select(columns)).agg((F.count(F.lit(1)) == 0).alias("resumed_equal"))
+    one = by_summary.crossJoin(covered).crossJoin(same).crossJoin(finite).crossJoin(folds).crossJoin(again)  # one row each
+    checks = [F.struct(F.lit(k).alias("check"), F.coalesce(k, F.lit(False)).alias("passed")) for k in one.columns]
+    return one.select(F.explode(F.array(*checks)).alias("r")).select("r.*")

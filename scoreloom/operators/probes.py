@@ -1,21 +1,26 @@
 """Learned probes with one source held out: L2 logistic (linear or cubic spline) and boosted histogram trees.
 
-Linear and spline probes of all folds are fitted together. Each Newton step is one pass over
-the training rows: a batch adds up, for every fold, the gradient and Hessian of the rows that
-the fold trains on; the partial sums are added by fold in a second small stage, and only one
-small system for each fold reaches the driver. Rows are never copied for each fold.
+Points are packed into blocks, a row for each series (or part of one) with its matrix as bytes, so
+a pass moves no rows one by one. Linear and spline probes of all folds, conditions and values of C
+are fitted together: a pass adds up gradients by probe and fold; the partial sums are added in a
+second small stage, and only small systems reach the driver. Rows are never copied for each fold.
 
 The intercept is penalised like any other coefficient, as the evaluated protocol has it.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scoreloom.functions.columns import EPS
 
@@ -50,69 +55,288 @@ def sigmoid(z):
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def fit_loso(rows: DataFrame, folds: list, width: int, kind: str = "linear", c: float | list[float] = C, steps: int = 12) -> dict:
-    """Coefficients for each (fold, c), from rows (source_id, w, y, x array).
+class Probe(NamedTuple):
+    """A probe of some columns of the blocks' matrix; a column may stand twice."""
 
-    ``w`` is 1 / (n_g m_s); a fold's weights are scaled to sum to its number of rows, which
-    only needs totals for each source. ``folds`` are the held-out sources, or lists of them.
+    name: str
+    columns: tuple
+    kind: str = "linear"
+    c: float = C
+
+
+class Fold(NamedTuple):
+    """Groups that the fit must not see, and those that it is scored on."""
+
+    held: frozenset
+    scored: frozenset
+
+
+def held_out(groups: list) -> list[Fold]:
+    """One fold for each group, or list of groups, left out."""
+    sets = [frozenset(g) if isinstance(g, (list, tuple, set, frozenset)) else frozenset([g]) for g in groups]
+    return [Fold(x, x) for x in sets]
+
+
+def block(g, series_id, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict:
+    """Points of one series: ``x`` (a row each), labels, training weights (0: not in the training sample)."""
+    return {
+        "g": g, "series_id": series_id, "n": len(y), "u": 1.0,
+        "x": np.ascontiguousarray(x, float).tobytes(), "y": np.asarray(y, float).tobytes(), "w": np.asarray(w, float).tobytes(),
+    }
+
+
+def block_schema(g: str, series: str) -> str:
+    return f"g {g}, series_id {series}, n long, u double, x binary, y binary, w binary"
+
+
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """Blocks from rows (source_id, series_id, y, x array, w); each task packs its runs of a series."""
+    kinds = dict(rows.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for (g, series), part in pdf.groupby(["source_id", "series_id"], sort=False):
+                x = np.array(part["x"].tolist(), float).reshape(len(part), -1)
+                out.append(block(g, series, x, part["y"].to_numpy(float), part["w"].to_numpy(float)))
+            if out:
+                yield pd.DataFrame(out)
+
+    return rows.select("source_id", "series_id", "y", "x", "w").mapInPandas(run, block_schema(kinds["source_id"], kinds["series_id"]))
+
+
+def _designs(x: np.ndarray, probes: list[Probe]) -> Iterator[np.ndarray]:
+    """Each probe's design matrix; equal ones are made once."""
+    known: dict = {}
+    for p in probes:
+        key = (p.columns, p.kind)
+        if key not in known:
+            known[key] = design(x[:, list(p.columns)], p.kind)
+        yield known[key]
+
+
+def _opened(batches: Iterator[pa.RecordBatch], width: int):
+    """(g, series_id, x, y, w) of each block."""
+    for batch in batches:
+        for g, series, n, u, *parts in zip(*(batch.column(i) for i in range(7))):
+            x, y, w = (np.frombuffer(p.as_py(), float) for p in parts)
+            yield g.as_py(), series.as_py(), x.reshape(n.as_py(), width), y, w * u.as_py()
+
+
+def _joint_pass(width: int, probes: list[Probe], sent):
+    """(probe, g) with the summed loss, gradient and Hessian of a group's rows at the joint coefficients."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beta, live = sent.value
+        wanted, sums = [probes[i] for i in live], {}
+        for g, _, x, y, w in _opened(batches, width):
+            used = w > 0
+            if not used.any():
+                continue
+            y, w = y[used], w[used]
+            for i, z in zip(live, _designs(x[used], wanted)):
+                m = z @ beta[i]
+                q = sigmoid(m)
+                hessian = z.T @ (z * (w * q * (1 - q))[:, None])
+                part = np.concatenate([[w @ (np.logaddexp(0, m) - y * m)], z.T @ (w * (q - y)), hessian.ravel()])
+                sums[i, g] = sums.get((i, g), 0.0) + part
+        yield from _sent(sums)
+
+    return run
+
+
+def _fold_pass(width: int, probes: list[Probe], sent):
+    """(probe, -) with the summed losses and gradients of a probe's open folds, then the Hessians that are asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trials, folds = sent.value  # probe: (fold numbers, coefficients, those whose Hessian is asked for)
+        live = sorted(trials)
+        wanted, sums, sees = [probes[i] for i in live], {}, {}
+        for g, _, x, y, w in _opened(batches, width):
+            used = w > 0
+            if not used.any():
+                continue
+            if g not in sees:
+                sees[g] = {i: np.array([g not in folds[k].held for k in trials[i][0]]) for i in live}
+            y, w = y[used], w[used]
+            for i, z in zip(live, _designs(x[used], wanted)):
+                ks, b, exact = trials[i]
+                got = sums.setdefault((i, None), np.zeros(len(ks) * (1 + z.shape[1]) + len(exact) * z.shape[1] ** 2))
+                losses, gradients = got[: len(ks)], got[len(ks) : len(ks) * (1 + z.shape[1])].reshape(len(ks), -1)
+                mine = np.flatnonzero(sees[g][i])
+                for a in range(0, len(mine), max(1, 1_000_000 // len(y))):  # bounds the margins held at a time
+                    part = mine[a : a + max(1, 1_000_000 // len(y))]
+                    m = z @ b[part].T
+                    losses[part] += w @ (np.logaddexp(0, m) - y[:, None] * m)
+                    gradients[part] += ((sigmoid(m) - y[:, None]) * w[:, None]).T @ z
+                for e, k in enumerate(exact):
+                    if sees[g][i][k]:
+                        q = sigmoid(z @ b[k])
+                        at = len(ks) * (1 + z.shape[1]) + e * z.shape[1] ** 2
+                        got[at : at + z.shape[1] ** 2] += (z.T @ (z * (w * q * (1 - q))[:, None])).ravel()
+        yield from _sent(sums)
+
+    return run
+
+
+def _sent(sums: dict) -> Iterator[pa.RecordBatch]:
+    if sums:
+        cols = [pa.array([k[0] for k in sums], pa.int32()), pa.array([str(k[1]) for k in sums]), pa.array([v.tobytes() for v in sums.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["i", "g", "v"])
+
+
+def _summed(parts: DataFrame) -> dict:
+    """Vectors by (probe, group), added up in a second small stage."""
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = sum(np.frombuffer(x, float) for x in pdf["v"])
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "g": pdf["g"].iloc[:1], "v": [v.tobytes()]})
+
+    rows = parts.groupBy("i", "g").applyInPandas(added, "i int, g string, v binary").collect()  # one for each probe and group
+    return {(r["i"], r["g"]): np.frombuffer(r["v"], float) for r in rows}
+
+
+def fit(blocks: DataFrame, width: int, probes: list[Probe], folds: list[Fold], steps: int = 40) -> list[np.ndarray]:
+    """Coefficients of each probe, a row for each fold.
+
+    First a joint fit of all groups by Newton steps, whose Hessians are kept by group: a fold's Hessian is the
+    total less its held groups'. From the joint solution every fold goes on by steps with that Hessian and
+    exact gradients; a fold that closes in slowly gets an exact Hessian. A pass serves all probes and folds,
+    and rows are never copied.
     """
-    spark = rows.sparkSession
-    held = [set(f) if isinstance(f, (list, tuple, set)) else {f} for f in folds]
-    sizes = rows.groupBy("source_id").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).collect()  # one row for each source
-    scale = [sum(r["n"] for r in sizes if r["source_id"] not in h) / sum(r["w"] for r in sizes if r["source_id"] not in h) for h in held]
-    cs = list(c) if isinstance(c, (list, tuple)) else [c]
-    p = (width * (len(KNOTS) + 1) if kind == "spline" else width) + 1
-    beta = np.zeros((len(held), len(cs), p))
-    loss = np.full((len(held), len(cs)), np.inf)
-    change = np.zeros_like(beta)
-    active = np.ones((len(held), len(cs)), bool)
+    spark = blocks.sparkSession
+    blocks = blocks.select("g", "series_id", "n", "u", "x", "y", "w")
+    sizes = {r["g"]: r for r in blocks_sizes(blocks)}
+    scale = lambda held: sum(r["m"] for g, r in sizes.items() if g not in held) / (sum(r["s"] for g, r in sizes.items() if g not in held) or 1.0)
+    p = [len(x.columns) * (len(KNOTS) + 1 if x.kind == "spline" else 1) + 1 for x in probes]
+    joint, hessians, loss = [np.zeros(k) for k in p], [{} for _ in probes], [np.inf] * len(probes)
+    change, live, whole = [np.zeros(k) for k in p], list(range(len(probes))), scale(())
     for _ in range(steps):
-        sent = spark.sparkContext.broadcast((beta, active))
-
-        def passes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            b, live = sent.value
-            sums: dict = {}
-            for pdf in frames:
-                z = design(np.array(pdf["x"].tolist(), float).reshape(len(pdf), width), kind)
-                y, w, g = pdf["y"].to_numpy(float), pdf["w"].to_numpy(float), pdf["source_id"].to_numpy()
-                for k, h in enumerate(held):
-                    train = ~np.isin(g, list(h))
-                    if not train.any() or not live[k].any():
-                        continue
-                    zt, yt, wt = z[train], y[train], w[train] * scale[k]
-                    for j in np.flatnonzero(live[k]):
-                        m = zt @ b[k, j]
-                        q = sigmoid(m)
-                        part = np.concatenate(
-                            [[wt @ (np.logaddexp(0, m) - yt * m)], zt.T @ (wt * (q - yt)), (zt.T @ (zt * (wt * q * (1 - q))[:, None])).ravel()]
-                        )
-                        sums[k, j] = sums.get((k, j), 0.0) + part
-            for (k, j), v in sums.items():
-                yield pd.DataFrame({"k": [k], "j": [int(j)], "v": [v]})
-
-        def added(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"k": pdf["k"].iloc[:1], "j": pdf["j"].iloc[:1], "v": [np.sum(pdf["v"].tolist(), axis=0)]})
-
-        parts = rows.select("source_id", "w", "y", "x").mapInPandas(passes, "k int, j int, v array<double>")
-        for r in parts.groupBy("k", "j").applyInPandas(added, "k int, j int, v array<double>").collect():
-            k, j, v = r["k"], r["j"], np.array(r["v"])
-            value = v[0] + beta[k, j] @ beta[k, j] / (2 * cs[j])
-            if value > loss[k, j] + 1e-9 * abs(value):  # too long a step: go half back
-                change[k, j] *= 0.5
-                beta[k, j] -= change[k, j]
-                continue
-            gradient = v[1 : p + 1] + beta[k, j] / cs[j]
-            step = np.linalg.solve(v[p + 1 :].reshape(p, p) + np.eye(p) / cs[j], gradient)
-            done = np.abs(gradient).max() < 1e-8 * max(1.0, abs(value))
-            loss[k, j], change[k, j] = value, -step
-            if done:
-                active[k, j] = False
-            else:
-                beta[k, j] = beta[k, j] - step
+        sent = spark.sparkContext.broadcast((joint, live))
+        got = _summed(blocks.mapInArrow(_joint_pass(width, probes, sent), "i int, g string, v binary"))
         sent.unpersist()
-        if not active.any():
+        for i in list(live):
+            mine = {g: v for (k, g), v in got.items() if k == i}
+            v = whole * sum(mine.values()) if mine else np.zeros(1 + p[i] + p[i] ** 2)
+            value = v[0] + joint[i] @ joint[i] / (2 * probes[i].c)
+            if value > loss[i] + 1e-9 * abs(value):  # too long a step: go half back
+                change[i] = 0.5 * change[i]
+                joint[i] = joint[i] - change[i]
+                continue
+            gradient = v[1 : p[i] + 1] + joint[i] / probes[i].c
+            hessians[i] = {g: x[p[i] + 1 :].reshape(p[i], p[i]) for g, x in mine.items()}
+            loss[i] = value
+            if np.abs(gradient).max(initial=0) < 1e-5 * max(1.0, abs(value)):
+                live.remove(i)
+                continue
+            change[i] = -np.linalg.solve(v[p[i] + 1 :].reshape(p[i], p[i]) + np.eye(p[i]) / probes[i].c, gradient)
+            joint[i] = joint[i] + change[i]
+        if not live:
             break
-    return {(i, cc): beta[i, j] for i in range(len(held)) for j, cc in enumerate(cs)}
+    held = [{str(g) for g in f.held} for f in folds]
+    scales = [scale(f.held) for f in folds]
+    beta = [np.tile(b, (len(folds), 1)) for b in joint]
+    solve: dict = {}
+    for i, by_group in enumerate(hessians):
+        total = sum(by_group.values()) if by_group else np.zeros((p[i], p[i]))
+        for k, h in enumerate(held):
+            left = total - sum((by_group[g] for g in h if g in by_group), np.zeros((p[i], p[i])))
+            solve[i, k] = np.linalg.inv(scales[k] * left + np.eye(p[i]) / probes[i].c)
+    open_folds = {i: list(range(len(folds))) for i in range(len(probes))}
+    known = {i: np.full(len(folds), np.inf) for i in open_folds}
+    size = {i: np.full(len(folds), np.inf) for i in open_folds}
+    moved = [np.zeros_like(b) for b in beta]
+    exact: dict = {i: [] for i in open_folds}
+    for _ in range(steps):
+        trials = {i: (ks, beta[i][ks], [ks.index(k) for k in exact[i]]) for i, ks in open_folds.items() if ks}
+        if not trials:
+            break
+        sent = spark.sparkContext.broadcast((trials, folds))
+        got = _summed(blocks.mapInArrow(_fold_pass(width, probes, sent), "i int, g string, v binary"))
+        sent.unpersist()
+        for i, (ks, _, asked) in trials.items():
+            v = got.get((i, "None"), np.zeros(len(ks) * (1 + p[i]) + len(asked) * p[i] ** 2))
+            for e, at in enumerate(asked):
+                start = len(ks) * (1 + p[i]) + e * p[i] ** 2
+                solve[i, ks[at]] = np.linalg.inv(scales[ks[at]] * v[start : start + p[i] ** 2].reshape(p[i], p[i]) + np.eye(p[i]) / probes[i].c)
+            exact[i], left = [], []
+            for at, k in enumerate(ks):
+                b, c = beta[i][k], probes[i].c
+                value = scales[k] * v[at] + b @ b / (2 * c)
+                gradient = scales[k] * v[len(ks) + at * p[i] : len(ks) + (at + 1) * p[i]] + b / c
+                if value > known[i][k] + 1e-9 * abs(value):
+                    moved[i][k] *= 0.5
+                    beta[i][k] = b - moved[i][k]
+                    left.append(k)
+                    continue
+                g = np.abs(gradient).max(initial=0)
+                if g >= 1e-8 * max(1.0, abs(value)):
+                    left.append(k)
+                    if g > 0.5 * size[i][k]:
+                        exact[i].append(k)
+                    moved[i][k] = -solve[i, k] @ gradient
+                    beta[i][k] = b + moved[i][k]
+                known[i][k], size[i][k] = value, g
+            open_folds[i] = left
+    return beta
+
+
+def blocks_sizes(blocks: DataFrame) -> list:
+    """Of each group the number and weight of its training rows: a row for each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = [np.frombuffer(x.as_py(), float) for x in batch.column(2)]
+            cols = [batch.column(0), pa.array([int((x > 0).sum()) for x in w], pa.int64()), pa.array([x.sum() * u.as_py() for x, u in zip(w, batch.column(1))], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, ["g", "m", "s"])
+
+    kind = dict(blocks.dtypes)["g"]
+    return blocks.select("g", "u", "w").mapInArrow(run, f"g {kind}, m long, s double").groupBy("g").agg(F.sum("m").alias("m"), F.sum("s").alias("s")).collect()
+
+
+def _scored(blocks: DataFrame, width: int, probes: list[Probe], folds: list[Fold], sent, predicted) -> DataFrame:
+    """(g, series_id, fold, L_<probe>...): mean held-out losses in bits over all points of a series."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict = {}
+        for g, series, x, y, _ in _opened(batches, width):
+            if g not in of:
+                of[g] = [k for k, f in enumerate(folds) if g in f.scored]
+            for k in of[g]:
+                losses = []
+                for q in predicted(sent.value, x, k):
+                    q = np.clip(q, EPS, 1 - EPS)
+                    losses.append(-float(np.where(y > 0, np.log2(q), np.log2(1 - q)).sum()))
+                yield pd.DataFrame({"g": [g], "series_id": [series], "fold": [k], "n": [len(y)], **{f"l{i}": [v] for i, v in enumerate(losses)}})
+
+    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in run(batches):
+            yield pa.RecordBatch.from_pandas(frame.astype({"fold": "int32"}), schema=schema, preserve_index=False)
+
+    kinds = dict(blocks.dtypes)
+    blocks = blocks.select("g", "series_id", "n", "u", "x", "y", "w")
+    text = ", ".join([f"g {kinds['g']}", f"series_id {kinds['series_id']}", "fold int", "n long", *(f"l{i} double" for i in range(len(probes)))])
+    schema = to_arrow_schema(T._parse_datatype_string(text))
+    sums = blocks.mapInArrow(batched, text).groupBy("g", "series_id", "fold").agg(F.sum("n").alias("n"), *(F.sum(f"l{i}").alias(f"l{i}") for i in range(len(probes))))
+    return sums.select("g", "series_id", "fold", *((F.col(f"l{i}") / F.col("n")).alias(f"L_{p.name}") for i, p in enumerate(probes)))
+
+
+def fold_losses(blocks: DataFrame, width: int, probes: list[Probe], folds: list[Fold]) -> DataFrame:
+    """(g, series_id, fold, L_<probe>...): fitted without a fold's held groups, scored on every point of its scored ones."""
+    sent = blocks.sparkSession.sparkContext.broadcast(fit(blocks, width, probes, folds))
+
+    def predicted(beta, x, k):
+        return (sigmoid(z @ beta[i][k]) for i, z in enumerate(_designs(x, probes)))
+
+    return _scored(blocks, width, probes, folds, sent, predicted)
+
+
+def fit_loso(rows: DataFrame, folds: list, width: int, kind: str = "linear", c: float | list[float] = C) -> dict:
+    """Coefficients for each (fold, c), from rows (source_id, series_id, w, y, x array); ``folds`` are held-out sources, or lists of them."""
+    cs = list(c) if isinstance(c, (list, tuple)) else [c]
+    probes = [Probe(str(x), tuple(range(width)), kind, x) for x in cs]
+    beta = fit(blocks_of(rows), width, probes, held_out(folds))
+    return {(k, x): beta[j][k] for k in range(len(folds)) for j, x in enumerate(cs)}
 
 
 def predict_loso(rows: DataFrame, folds: list, coefficients: dict, width: int, kind: str = "linear", c: float = C) -> DataFrame:
@@ -146,11 +370,12 @@ class Trees:
         self.model: list = []
         self.start = 0.0
 
-    def _binned(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x * self.bins).astype(np.int64), 0, self.bins - 1)
+    def binned(self, x: np.ndarray) -> np.ndarray:
+        """Bin numbers, a row for each feature."""
+        return np.ascontiguousarray(np.clip((x * self.bins).astype(np.int64), 0, self.bins - 1).T.astype(np.uint8))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Trees:
-        b, share = self._binned(x), np.clip((w @ y) / w.sum(), EPS, 1 - EPS)
+    def fit(self, b: np.ndarray, y: np.ndarray, w: np.ndarray) -> Trees:
+        share = np.clip((w @ y) / w.sum(), EPS, 1 - EPS)
         self.start = float(np.log(share / (1 - share)))
         score = np.full(len(y), self.start)
         for _ in range(self.trees):
@@ -162,13 +387,14 @@ class Trees:
 
     def _split(self, b, g, h, rows):
         best = (1e-12, -1, -1)
-        total_g, total_h = g[rows].sum(), h[rows].sum()
+        g, h = g[rows], h[rows]
+        total_g, total_h = g.sum(), h.sum()
         base = total_g**2 / (total_h + self.l2)
-        for f in range(b.shape[1]):
-            at = b[rows, f]
+        for f in range(len(b)):
+            at = b[f, rows]
             n = np.cumsum(np.bincount(at, minlength=self.bins))[:-1]
-            lg = np.cumsum(np.bincount(at, g[rows], self.bins))[:-1]
-            lh = np.cumsum(np.bincount(at, h[rows], self.bins))[:-1]
+            lg = np.cumsum(np.bincount(at, g, self.bins))[:-1]
+            lh = np.cumsum(np.bincount(at, h, self.bins))[:-1]
             gain = lg**2 / (lh + self.l2) + (total_g - lg) ** 2 / (total_h - lh + self.l2) - base
             gain[(n < self.least) | (len(rows) - n < self.least)] = 0
             j = int(np.argmax(gain))
@@ -186,7 +412,7 @@ class Trees:
                 break
             _, f, j = options.pop(node)
             rows = leaf_rows.pop(node)
-            left = b[rows, f] <= j
+            left = b[f, rows] <= j
             kids = (len(nodes), len(nodes) + 1)
             nodes[node] = (f, j, *kids)
             for kid, part in zip(kids, (rows[left], rows[~left])):
@@ -200,38 +426,60 @@ class Trees:
             leaf_of[rows] = node
         return nodes, leaf_of, values
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        b, score = self._binned(x), np.full(len(x), self.start)
+    def predict(self, b: np.ndarray) -> np.ndarray:
+        score = np.full(b.shape[1], self.start)
         for nodes, values in self.model:
-            at = np.zeros(len(x), int)
+            at = np.zeros(b.shape[1], int)
             for _ in range(self.depth):
                 for i in np.unique(at):
                     if nodes[i] is not None:
                         f, j, left, right = nodes[i]
                         rows = at == i
-                        at[rows] = np.where(b[rows, f] <= j, left, right)
+                        at[rows] = np.where(b[f, rows] <= j, left, right)
             score += values[at]
         return sigmoid(score)
 
 
-def trees_loso(train: DataFrame, test: DataFrame, folds: list, width: int, settings: dict | None = None) -> DataFrame:
-    """Tree probabilities for held-out sources. ``train`` is the capped sample, so each fold's rows fit one task."""
-    spark = train.sparkSession
-    names = F.broadcast(spark.createDataFrame([(f,) for f in folds], f"fold {dict(train.dtypes)['source_id']}"))  # one row for each source
-    kinds = dict(test.dtypes)
-    copies = train.join(names, F.col("source_id") != F.col("fold")).select("fold", "w", "y", "x")
+def tree_losses(blocks: DataFrame, width: int, probes: list[Probe], folds: list[Fold], settings: dict | None = None) -> DataFrame:
+    """As ``fold_losses``, for boosted trees.
 
-    def run(key, fitted: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(fitted):
-            return pd.DataFrame({"source_id": [], "series_id": [], "y": [], "p": []})
-        x = np.array(fitted["x"].tolist(), float).reshape(len(fitted), width)
-        w = fitted["w"].to_numpy(float)
-        model = Trees(**(settings or TREES)).fit(x, fitted["y"].to_numpy(float), w * len(w) / w.sum())
-        return asked[["source_id", "series_id", "y"]].assign(p=model.predict(np.array(asked["x"].tolist(), float).reshape(len(asked), width)))
-
-    schema = f"source_id {kinds['source_id']}, series_id {kinds['series_id']}, y {kinds['y']}, p double"
-    asked = test.select(F.col("source_id").alias("fold"), *(F.col(c).alias(c) for c in ("source_id", "series_id", "y", "x")))
-    return copies.groupBy("fold").cogroup(asked.groupBy("fold")).applyInPandas(run, schema)
+    A fold's training sample goes to one task as bins of a byte each (the sample is capped by series), and
+    only its trees, some kilobytes, come back; prediction reads the points where they are.
+    """
+    spark, settings = blocks.sparkSession, settings or TREES
+    names = F.broadcast(spark.createDataFrame([(k, g) for k, f in enumerate(folds) for g in f.held], f"fold int, held {dict(blocks.dtypes)['g']}"))
+    numbers = F.broadcast(spark.createDataFrame([(k,) for k in range(len(folds))], "fold int"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, _, x, y, w in _opened(batches, width):
+            used = w > 0
+            if used.any():
+                cols = [pa.array([g], kind), *(pa.array([v.tobytes()], pa.binary()) for v in (Trees(**settings).binned(x[used]), y[used], w[used]))]
+                yield pa.RecordBatch.from_arrays(cols, ["g", "x", "y", "w"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, w = (np.concatenate([np.frombuffer(v, float) for v in pdf[c]]) for c in ("y", "w"))
+        b = np.concatenate([np.frombuffer(v, np.uint8).reshape(width, -1) for v in pdf["x"]], axis=1)
+        models = []
+        for p in probes:
+            model = Trees(**settings).fit(np.ascontiguousarray(b[list(p.columns)]), y, w * len(w) / w.sum())
+            models.append((model.start, model.model))
+        return pd.DataFrame({"fold": pdf["fold"].iloc[:1], "model": [pickle.dumps(models)]})
+
+    kind = to_arrow_schema(blocks.select("g").schema).field("g").type
+    sample = blocks.select("g", "series_id", "n", "u", "x", "y", "w").mapInArrow(cut, f"g {dict(blocks.dtypes)['g']}, x binary, y binary, w binary")
+    copies = sample.crossJoin(numbers).join(names.withColumnRenamed("fold", "k"), (F.col("g") == F.col("held")) & (F.col("fold") == F.col("k")), "left_anti")
+    fitted = {r["fold"]: pickle.loads(r["model"]) for r in copies.groupBy("fold").applyInPandas(run, "fold int, model binary").collect()}  # one for each fold
+    sent = spark.sparkContext.broadcast(fitted)
+
+    def predicted(models, x, k):
+        b = Trees(**settings).binned(x)
+        for (start, trees), p in zip(models[k], probes):
+            model = Trees(**settings)
+            model.start, model.model = start, trees
+            yield model.predict(b[list(p.columns)])
+
+    return _scored(blocks, width, probes, folds, sent, predicted)
 
 
 def grouped_folds(sources: list, k: int = 5, seed: int = 2024) -> list[list]:

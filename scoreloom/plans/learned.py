@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions import columns as C
+from scoreloom.functions.storage import cut, shared_folder
 from scoreloom.operators import basis as B
 from scoreloom.operators import controls, regression, sampling
 from scoreloom.operators import inference as I
@@ -40,34 +46,92 @@ def weighted(rows: DataFrame) -> DataFrame:
     return rows.join(small, "series_id")
 
 
+#: Columns of the blocks: the reference, then the ranked detectors, then what a query asks for.
+BASIS = tuple(range(len(REFERENCE)))
+DETECTORS = {d: len(REFERENCE) + i for i, d in enumerate(S.DETECTORS)}
+EXTRA = len(REFERENCE) + len(DETECTORS)
+#: The controls by name, with the basis curve that the duplicate repeats.
+CONTROLS = ("noise", *(f"alpha_{str(a).replace('.', 'p')}" for a in controls.ALPHAS))
+
+
+def _minmax(v):
+    return (v - v.min()) / (v.max() - v.min()) if v.max() > v.min() else np.full(len(v), 0.5)
+
+
+def _zscore_cdf(v):
+    z = (v - v.mean()) / v.std() if v.max() > v.min() else np.zeros(len(v))
+    return np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in z])
+
+
+def series_blocks(spark: SparkSession, sf_dir: str, extra: tuple = (), version: str = VERSION, cap: int = CAP, by_series: bool = False) -> DataFrame:
+    """A block for each series, checkpointed: its ranked reference, ranked detectors and ``extra`` columns, all of its points.
+
+    Training weights are 1 / (n_g m_s) on the seeded sample of at most ``cap`` points, or 1 / m_s with ``by_series``.
+    """
+    points = S.points(spark, sf_dir)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        n, s, y = len(pdf), str(pdf["series_id"].iloc[0]), pdf["y"].to_numpy(float)
+        raw = B.basis_matrix(pdf["x"].to_numpy())
+        columns = [B.ranks01(raw[:, j]) for j in range(raw.shape[1])] + [B.ranks01(pdf[d].to_numpy(float)) for d in S.DETECTORS]
+        if "minmax" in extra:
+            columns += [_minmax(pdf[d].to_numpy(float)) for d in S.DETECTORS]
+        if "zscore_cdf" in extra:
+            columns += [_zscore_cdf(pdf[d].to_numpy(float)) for d in S.DETECTORS]
+        if "legacy" in extra:
+            columns += [_minmax(raw[:, j]) for j in range(raw.shape[1])]
+        if "controls" in extra:
+            columns += [v for _, v in controls.control_curves(s, y, "controls-v1")]
+        w = np.zeros(n)
+        picked = sampling.sample_indices(s, n, cap, version)
+        w[picked] = 1 / len(picked)
+        return pd.DataFrame([P.block(pdf["source_id"].iloc[0], pdf["series_id"].iloc[0], np.column_stack(columns), y, w)])
+
+    kinds = dict(points.dtypes)
+    blocks = points.groupBy("series_id").applyInPandas(run, P.block_schema(kinds["source_id"], kinds["series_id"]))
+    if not by_series:
+        counts = S.series_dim(spark, sf_dir).join(points.select("series_id").distinct(), "series_id", "left_semi").groupBy("source_id").agg(F.count(F.lit(1)).alias("k"))
+        blocks = blocks.join(counts, F.col("g") == F.col("source_id")).withColumn("u", 1 / F.col("k")).drop("k", "source_id")
+    return cut(blocks)
+
+
+def width_of(extra: tuple = ()) -> int:
+    sizes = {"minmax": len(DETECTORS), "zscore_cdf": len(DETECTORS), "legacy": len(REFERENCE), "controls": len(CONTROLS)}
+    return EXTRA + sum(sizes[x] for x in extra)
+
+
 def sources_of(spark: SparkSession, sf_dir: str) -> list:
     """The sources, sorted: a dimension, a few dozen."""
     rows = S.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("series_id")).distinct().join(S.series_dim(spark, sf_dir), "series_id")
     return sorted(r[0] for r in rows.select("source_id").distinct().collect())
 
 
-def condition(rows: DataFrame, name: str) -> DataFrame:
-    x = {"basis": F.col("basis"), "detector": F.col("scores"), "basis_detector": F.concat("basis", "scores")}[name]
-    return rows.withColumn("x", x)
-
-
-def probe_losses(spark: SparkSession, sf_dir: str, kind: str, names=REFERENCE, conditions=("basis", "detector", "basis_detector"), cap: int = CAP) -> DataFrame:
-    """Held-out losses of each condition: trained on the capped sample, tested on every point."""
-    rows = designed(spark, sf_dir, names).persist()
-    train = weighted(sampling.capped_sample(rows, cap, VERSION)).persist()
-    folds, out = sources_of(spark, sf_dir), None
-    for name in conditions:
-        width = {"basis": len(names), "detector": 1, "basis_detector": len(names) + 1}[name]
-        fitted, asked = condition(train, name), condition(rows, name)
-        if kind == "trees":
-            predicted = P.trees_loso(fitted, asked, folds, width)
-        else:
-            predicted = P.predict_loso(asked, folds, P.fit_loso(fitted, folds, width, kind), width, kind)
-        part = P.mean_losses(predicted, f"L_{name}")
-        out = part if out is None else out.join(part, ["source_id", "series_id"])
+def matrix(kind: str, detectors=DETECTORS, basis=BASIS, name: str = "") -> list[P.Probe]:
+    """The conditions of one probe: the basis, and each detector alone and beside the basis."""
+    out = [P.Probe(f"{name}basis", basis, kind)]
+    for d, at in detectors.items():
+        out += [P.Probe(f"{name}{d}_alone", (at,), kind), P.Probe(f"{name}{d}_joint", (*basis, at), kind)]
     return out
 
 
+def long_losses(found: DataFrame, names) -> DataFrame:
+    """(source_id, series_id, detector, L_basis, L_detector, L_basis_detector, CDU) from a column for each condition."""
+    each = [
+        F.struct(F.lit(d).alias("detector"), F.col("L_basis").alias("L_basis"), F.col(f"L_{d}_alone").alias("L_detector"), F.col(f"L_{d}_joint").alias("L_basis_detector"))
+        for d in names
+    ]
+    rows = found.select(F.col("g").alias("source_id"), "series_id", F.explode(F.array(*each)).alias("r")).select("source_id", "series_id", "r.*")
+    return rows.withColumn("CDU", F.col("L_basis") - F.col("L_basis_detector"))
+
+
+def probe_losses(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Held-out losses of every condition: trained on the capped sample, tested on every point."""
+    blocks, probes, folds = series_blocks(spark, sf_dir), matrix(kind), P.held_out(sources_of(spark, sf_dir))
+    scored = P.tree_losses if kind == "trees" else P.fold_losses
+    return long_losses(scored(blocks, width_of(), probes, folds), DETECTORS)
+
+
 @query()
 def linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe_losses(spark, sf_dir, "linear")
@@ -75,98 +139,170 @@ def linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def spline_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = probe_losses(spark, sf_dir, "spline", conditions=("basis", "basis_detector"))
-    return rows.withColumn("CDU", F.col("L_basis") - F.col("L_basis_detector"))
+    return probe_losses(spark, sf_dir, "spline")
 
 
 @query()
 def tree_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probe_losses(spark, sf_dir, "trees", conditions=("basis",))
+    return probe_losses(spark, sf_dir, "trees")
 
 
 @query()
 def shared_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Basis-only losses by source, one fit for each fold, whatever detectors follow."""
-    return probe_losses(spark, sf_dir, "linear", conditions=("basis",)).groupBy("source_id").agg(F.avg("L_basis").alias("L_basis"))
+    found = P.fold_losses(series_blocks(spark, sf_dir), width_of(), [P.Probe("basis", BASIS)], P.held_out(sources_of(spark, sf_dir)))
+    return found.groupBy(F.col("g").alias("source_id")).agg(F.avg("L_basis").alias("L_basis"))
 
 
 @query()
 def detector_only_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nulls = L.null_losses(L.series_counts(S.unordered_points(spark, sf_dir)))
-    rows = probe_losses(spark, sf_dir, "linear", conditions=("detector",)).join(nulls.select("series_id", "L_null"), "series_id")
-    return rows.withColumn("detector_utility", F.col("L_null") - F.col("L_detector"))
+    probes = [P.Probe(d, (at,)) for d, at in DETECTORS.items()]
+    found = P.fold_losses(series_blocks(spark, sf_dir), width_of(), probes, P.held_out(sources_of(spark, sf_dir)))
+    nulls = L.null_losses(L.series_counts(S.unordered_points(spark, sf_dir))).select("series_id", "L_null")
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("detector"), F.col(f"L_{d}").alias("L_detector")) for d in DETECTORS)))
+    rows = found.select(F.col("g").alias("source_id"), "series_id", each.alias("r")).select("source_id", "series_id", "r.*")
+    return rows.join(nulls, "series_id").withColumn("detector_utility", F.col("L_null") - F.col("L_detector"))
+
+
+def sweep(spark: SparkSession, sf_dir: str, bases: dict) -> DataFrame:
+    """(setting, detector, L_basis, L_basis_detector, CDU): macro values of each reference in ``bases``, each with its own baseline."""
+    probes = []
+    for name, columns in bases.items():
+        probes.append(P.Probe(f"{name}_basis", columns))
+        probes += [P.Probe(f"{name}_{d}", (*columns, at)) for d, at in DETECTORS.items()]
+    found = P.fold_losses(series_blocks(spark, sf_dir), width_of(), probes, P.held_out(sources_of(spark, sf_dir)))
+    return macro_cdu(found, {(name, d): (f"L_{name}_basis", f"L_{name}_{d}") for name in bases for d in DETECTORS})
+
+
+def macro_cdu(found: DataFrame, pairs: dict) -> DataFrame:
+    """(setting, detector, L_basis, L_basis_detector, CDU): points, then series, then sources averaged."""
+    each = [
+        F.struct(F.lit(s).alias("setting"), F.lit(d).alias("detector"), F.col(base).alias("L_basis"), F.col(joint).alias("L_basis_detector"))
+        for (s, d), (base, joint) in pairs.items()
+    ]
+    rows = found.select("g", F.explode(F.array(*each)).alias("r")).select("g", "r.*")
+    by_source = rows.groupBy("setting", "detector", "g").agg(F.avg("L_basis").alias("L_basis"), F.avg("L_basis_detector").alias("L_basis_detector"))
+    macro = by_source.groupBy("setting", "detector").agg(F.avg("L_basis").alias("L_basis"), F.avg("L_basis_detector").alias("L_basis_detector"))
+    return macro.withColumn("CDU", F.col("L_basis") - F.col("L_basis_detector"))
 
 
 @query()
 def family_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Macro basis loss with each family of the basis removed."""
+    """Macro losses and CDU with each family of the basis removed, and with none removed (the symmetric-rank run)."""
+    every = set(B.FAMILIES.values())
+    return sweep(spark, sf_dir, {"none": BASIS} | {f: B.columns_of(every - {B.FAMILIES[f]}) for f in B.FAMILIES})
+
+
+@query()
+def strength_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro losses and CDU against the cumulative references, each with its own baseline, and the whole one."""
+    return sweep(spark, sf_dir, {s: B.columns_of(f) for s, f in B.STRENGTHS.items()} | {"all": BASIS})
+
+
+@query()
+def normalisation_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro losses and CDU of detectors under other normalisations, against the one baseline of ranked curves."""
+    extra, probes, pairs = ("minmax", "zscore_cdf"), [P.Probe("basis", BASIS)], {}
+    for k, name in enumerate(("rank", *extra)):
+        for i, d in enumerate(DETECTORS):
+            probes.append(P.Probe(f"{name}_{d}", (*BASIS, len(BASIS) + k * len(DETECTORS) + i)))
+            pairs[name, d] = ("L_basis", f"L_{name}_{d}")
+    found = P.fold_losses(series_blocks(spark, sf_dir, extra), width_of(extra), probes, P.held_out(sources_of(spark, sf_dir)))
+    return macro_cdu(found, pairs)
+
+
+@query()
+def seed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro losses and CDU for the original training sample and four more seeds."""
     out = None
-    for family in B.FAMILIES:
-        names = tuple(B.without_family(REFERENCE, family))
-        part = L.macro_loss(probe_losses(spark, sf_dir, "linear", names, ("basis",)), "L_basis").withColumn("removed", F.lit(family))
-        out = part if out is None else out.unionByName(part)
+    for k in range(5):
+        blocks = series_blocks(spark, sf_dir, version=sampling.replicate_version(VERSION, k))
+        probes = [P.Probe("basis", BASIS), *(P.Probe(d, (*BASIS, at)) for d, at in DETECTORS.items())]
+        found = P.fold_losses(blocks, width_of(), probes, P.held_out(sources_of(spark, sf_dir)))
+        one = macro_cdu(found, {(f"replicate={k}", d): ("L_basis", f"L_{d}") for d in DETECTORS})
+        out = one if out is None else out.unionByName(one)
     return out
 
 
 @query()
 def nested_c_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The regularisation that inner folds over sources choose, for each outer fold: fitted on the capped sample, scored on every point."""
-    grid, sources = list(C_GRID), sources_of(spark, sf_dir)
-    designs = condition(designed(spark, sf_dir), "basis").persist()
-    capped, chosen = sampling.capped_sample(designs, CAP, VERSION).persist(), []
-    for held in sources:
-        train, test = (x.where(F.col("source_id") != held) for x in (weighted(capped.where(F.col("source_id") != held)), designs))
-        train = train.persist()
-        inner, parts = P.grouped_folds([s for s in sources if s != held]), None
-        fitted = P.fit_loso(train, inner, len(REFERENCE), c=grid)
-        for c in grid:
-            losses = P.mean_losses(P.predict_loso(test, inner, fitted, len(REFERENCE), c=c), "loss")
-            one = losses.select(F.lit(held).alias("fold"), F.lit(c).alias("c"), "source_id", "series_id", "loss")
-            parts = one if parts is None else parts.unionByName(one)
-        selected = P.select_c(parts)
-        chosen += selected.collect()  # one row for each fold
-        train.unpersist()
-    return spark.createDataFrame(chosen, selected.schema)
+    sources = sources_of(spark, sf_dir)
+    folds = [(outer, P.Fold(frozenset([outer, *inner]), frozenset(inner))) for outer in sources for inner in P.grouped_folds([s for s in sources if s != outer])]
+    probes = [P.Probe(f"c{i}", BASIS, c=c) for i, c in enumerate(C_GRID)]
+    found = P.fold_losses(series_blocks(spark, sf_dir), width_of(), probes, [f for _, f in folds])
+    outer = F.get(F.lit([o for o, _ in folds]), F.col("fold"))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(f"L_c{i}").alias("loss")) for i, c in enumerate(C_GRID))))
+    rows = found.select(outer.alias("fold"), F.col("g").alias("source_id"), "series_id", each.alias("r"))
+    return P.select_c(rows.select("fold", "r.c", "source_id", "series_id", "r.loss"))
+
+
+def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(folds, fold, interface, series_id, L_prior, L_basis): folds over series, for ranked and for min-max curves."""
+    blocks, out = series_blocks(spark, sf_dir, ("legacy",), by_series=True), None
+    series = sorted(r[0] for r in blocks.select("series_id").collect())  # the fold table's permutation is of the whole list
+    probes = [P.Probe("symmetric_rank", BASIS), P.Probe("legacy", tuple(range(EXTRA, EXTRA + len(REFERENCE)))), P.Probe("prior", ())]
+    for k in SERIES_FOLDS:
+        table = spark.createDataFrame(sampling.series_folds(series, k), "series_id long, k int")
+        dealt = blocks.drop("g").join(table, "series_id").withColumnRenamed("k", "g")
+        found = P.fold_losses(dealt, width_of(("legacy",)), probes, P.held_out(list(range(k))))
+        each = F.explode(F.array(*(F.struct(F.lit(i).alias("interface"), F.col(f"L_{i}").alias("L_basis")) for i in ("symmetric_rank", "legacy"))))
+        one = found.select(F.lit(k).alias("folds"), "fold", "series_id", F.col("L_prior"), each.alias("r")).select("folds", "fold", "r.interface", "series_id", "L_prior", "r.L_basis")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query()
 def series_cv_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Basis losses under 5 and 10 folds over series, not sources: trained on the capped sample, tested on every point."""
-    rows = condition(designed(spark, sf_dir), "basis").drop("source_id").persist()
-    capped = sampling.capped_sample(rows, CAP, VERSION)
-    m = capped.groupBy("series_id").agg(F.count(F.lit(1)).alias("m"))
-    series, out = sorted(r[0] for r in m.select("series_id").collect()), None  # a row for each series
-    for k in SERIES_FOLDS:
-        folds = spark.createDataFrame(sampling.series_folds(series, k), "series_id long, source_id int")
-        train = capped.join(folds, "series_id").join(m, "series_id").withColumn("w", 1 / F.col("m")).persist()
-        numbers, width = list(range(k)), len(REFERENCE)
-        predicted = P.predict_loso(rows.join(folds, "series_id"), numbers, P.fit_loso(train, numbers, width), width)
-        part = P.mean_losses(predicted, "L_basis").withColumnRenamed("source_id", "fold").withColumn("n_folds", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Basis utility under 5 and 10 folds over series, both interfaces: trained on the capped sample, tested on every point."""
+    return bridge(spark, sf_dir).withColumn("basis_utility", F.col("L_prior") - F.col("L_basis"))
+
+
+@query()
+def series_cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean basis utility of each number of folds and interface, with an interval from resampled series."""
+    rows = series_cv_bridge(spark, sf_dir)
+    values = rows.select(F.concat_ws("/", F.col("folds").cast("string"), "interface").alias("condition"), F.col("series_id").alias("source_id"), F.col("basis_utility").alias("v"))
+    counts = values.groupBy("condition").agg(F.count_if(F.col("v") > 0).alias("positive_series"))
+    return I.cluster_bootstrap(values).withColumnRenamed("n_sources", "n_series").join(counts, "condition")
+
+
+def control_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(control, source_id, series_id, L_basis, CDU) of noise, the duplicate and every positive control."""
+    columns = {"duplicate": REFERENCE.index(controls.DUPLICATE)} | {c: EXTRA + i for i, c in enumerate(CONTROLS)}
+    probes = [P.Probe("basis", BASIS), *(P.Probe(c, (*BASIS, at)) for c, at in columns.items())]
+    found = P.fold_losses(series_blocks(spark, sf_dir, ("controls",)), width_of(("controls",)), probes, P.held_out(sources_of(spark, sf_dir)))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("control"), (F.col("L_basis") - F.col(f"L_{c}")).alias("CDU")) for c in columns)))
+    return found.select(F.col("g").alias("source_id"), "series_id", "L_basis", each.alias("r")).select("r.control", "source_id", "series_id", "L_basis", "r.CDU")
+
+
+def control_summary(rows: DataFrame) -> DataFrame:
+    by_source = rows.groupBy(F.col("control").alias("condition"), "source_id").agg(F.avg("CDU").alias("v"))
+    return I.cluster_bootstrap(by_source)
 
 
 @query()
 def control_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CDU of noise, the duplicate and every positive control, with bootstrap intervals."""
-    basis = B.ranked_basis(S.points(spark, sf_dir), REFERENCE)
-    scores = controls.control_scores(S.points(spark, sf_dir), "controls-v1").drop("source_id", "y")
-    rows = basis.join(scores, ["series_id", "t"]).withColumn("duplicate", F.get("basis", F.lit(REFERENCE.index(controls.DUPLICATE)))).persist()
-    train = weighted(sampling.capped_sample(rows, CAP, VERSION)).persist()
-    folds, width, out = sources_of(spark, sf_dir), len(REFERENCE), None
-    base = None
-    for name in ("basis", "duplicate", *(c for c in scores.columns if c not in ("series_id", "t"))):
-        x = F.col("basis") if name == "basis" else F.concat("basis", F.array(name))
-        k = width + (name != "basis")
-        fitted, asked = train.withColumn("x", x), rows.withColumn("x", x)
-        losses = P.mean_losses(P.predict_loso(asked, folds, P.fit_loso(fitted, folds, k), k), "loss")
-        if base is None:
-            base = losses.withColumnRenamed("loss", "L_basis")
-            continue
-        cdu = losses.join(base, ["source_id", "series_id"]).groupBy("source_id").agg(F.avg(F.col("L_basis") - F.col("loss")).alias("v"))
-        one = I.cluster_bootstrap(cdu.withColumn("condition", F.lit(name)))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return control_summary(control_losses(spark, sf_dir))
+
+
+@query()
+def control_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The acceptance gate on a run of all controls."""
+    rows = cut(control_losses(spark, sf_dir))
+    summary = control_summary(rows).select(F.col("condition").alias("control"), F.col("mean").alias("cdu"), "ci_low", "ci_high")
+    sources = sources_of(spark, sf_dir)
+    audit = spark.createDataFrame([(s, s not in [o for o in sources if o not in f.held]) for s, f in zip(sources, P.held_out(sources))], "source_id long, passed boolean")
+    again = rows.sparkSession.read.schema(rows.schema).parquet(_written(rows))
+    return controls.acceptance(rows, summary, audit, ["duplicate", *CONTROLS], again)
+
+
+def _written(rows: DataFrame) -> str:
+    """``rows`` written to the shared folder, as a run that is resumed reads them."""
+    path = f"{shared_folder(rows.sparkSession)}/resumed-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return path
 
 
 _RIDGE = f"""WITH {O.UNITS}, w AS (SELECT u.*, 1 / (n_series * n) AS w FROM units u JOIN counts USING (source_id, series_id) JOIN per_source USING (source_id)),
@@ -191,7 +327,7 @@ def _ridge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source_id, series_id, count(*) AS n_points, {O.r('1 - sum((s - p) * (s - p)) / (count(*) * var_pop(s))')} AS R2, {O.r('avg((s - p) * (s - p))')} AS MSE FROM p GROUP BY ALL""")
 def reconstruction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2 and MSE of each held-out series."""
-    rows = _ridge_rows(spark, sf_dir).persist()
+    rows = _ridge_rows(spark, sf_dir)
     both = rows.join(regression.simple_ridge(rows), "source_id").withColumn("p", F.col("intercept") + F.col("slope") * F.col("u"))
     return tidy(regression.reconstruction_quality(both, "s", "p", "source_id", "series_id"))
 
@@ -200,7 +336,7 @@ def reconstruction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 q AS (SELECT source_id, series_id, avg((s - p) * (s - p)) AS MSE FROM p GROUP BY ALL), g AS (SELECT source_id, avg(MSE) AS MSE FROM q GROUP BY source_id)
 SELECT {O.r('avg(MSE)')} AS MSE, count(*) AS n_sources FROM g""")
 def reconstruction_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ridge_rows(spark, sf_dir).persist()
+    rows = _ridge_rows(spark, sf_dir)
     both = rows.join(regression.simple_ridge(rows), "source_id").withColumn("p", F.col("intercept") + F.col("slope") * F.col("u"))
     q = regression.reconstruction_quality(both, "s", "p", "source_id", "series_id")
     return tidy(q.groupBy("source_id").agg(F.avg("MSE").alias("MSE")).agg(F.avg("MSE").alias("MSE"), F.count(F.lit(1)).alias("n_sources")))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scoreloom.functions import columns as C
-from scoreloom.operators import controls
 from scoreloom.operators.losses import series_counts
 from scoreloom.plans import oracle as O
 from scoreloom.plans.catalog import query
@@ -335,12 +334,3 @@ def reproducibility_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.table(spark, sf_dir, "embeddings").select("label", (one == two).alias("same"))
     counted = rows.groupBy("label").agg(F.count(F.lit(1)).alias("screened"), F.count_if("same").alias("passed"))
     return counted.withColumn("status", F.when(F.col("passed") == F.col("screened"), "PASS").otherwise("FAIL"))
-
-
-_SUMMARY = [("duplicate", 0.0, -0.001, 0.001), ("noise", 0.0, -0.002, 0.001)] + [(f"alpha_{str(a).replace('.', 'p')}", a / 10, a / 20 - 0.001, a / 5) for a in controls.ALPHAS]
-
-
-@query("SELECT * FROM (VALUES ('duplicate_covers_zero', true), ('noise_covers_zero', true), ('negative_not_positive', true), ('largest_positive', true), ('increase', true), ('all_finite', true)) v(\"check\", passed)")
-def control_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The acceptance gate on a stated summary."""
-    return controls.acceptance(spark.createDataFrame(_SUMMARY, "control string, cdu double, ci_low double, ci_high double"))

@@ -114,7 +114,10 @@ def test_probes_gain_on_a_signal(spark):
     _, df = _probe_rows(spark)
     nulls = 1.0
     linear = probes.mean_losses(probes.predict_loso(df, [0, 1, 2, 3], probes.fit_loso(df, [0, 1, 2, 3], 2), 2), "l").agg(F.avg("l")).first()[0]
-    trees = probes.mean_losses(probes.trees_loso(df, df, [0, 1, 2, 3], 2, probes.TREES | {"least": 10}), "l").agg(F.avg("l")).first()[0]
+    blocks, folds = probes.blocks_of(df), probes.held_out([0, 1, 2, 3])
+    trees = probes.tree_losses(blocks, 2, [probes.Probe("l", (0, 1))], folds, probes.TREES | {"least": 10}).agg(F.avg("L_l")).first()[0]
+    direct = probes.fold_losses(blocks, 2, [probes.Probe("l", (0, 1))], folds).agg(F.avg("L_l")).first()[0]
+    assert direct == pytest.approx(linear, abs=1e-7)
     assert linear < nulls - 0.1 and trees < nulls - 0.1
 
 
