@@ -47,6 +47,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -57,8 +58,10 @@ from scoreloom.llm.common import cut, fits
 
 #: Elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe textarea title svg math object select head".split())
-BOILERPLATE = frozenset("nav header footer aside form button dialog menu figcaption label fieldset".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+BOILERPLATE = frozenset(
+    "nav header footer aside form button dialog menu label fieldset svg object select template noscript annotation annotation-xml".split()
+)
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figure figcaption"
     " footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td"
@@ -69,22 +72,22 @@ CLOSES = {
     "option": frozenset(["option"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
 }
 BARRIERS = frozenset("article body div html main section table ul ol dl blockquote nav header footer aside form td th".split())
-#: Names in class, id or role that mark what is not the article.
+#: Names in class, id or role that mark what is not the article; the second kind only as a whole name.
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|adverts|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs"
-    r"|header|masthead|footer|sidebar|aside|widget|related|recommended|share|sharing|social|cookie|cookies|consent|gdpr|notice|popup|modal"
-    r"|newsletter|subscribe|signup|login|search|form|comment|comments|reply|replies|disqus|complementary|contentinfo|tags|pagination|pager|copyright|legal|disclaimer)"
-    r"(?:$|[\s_-])",
+    r"|masthead|sidebar|widget|related|recommended|share|sharing|social|cookie|cookies|consent|gdpr|popup|modal"
+    r"|newsletter|subscribe|signup|login|comment|comments|reply|replies|disqus|complementary|contentinfo|pagination|pager)"
+    r"(?:$|[\s_-])"
+    r"|(?:^|\s)(?:(?:site|page|main|global|top)[_-])?(?:header|footer|aside|search|form|notice|copyright)(?:$|\s)",
     re.I,
 )
 #: Of these, names that an article element inside does not undo.
 FIRM = re.compile(r"(?:^|[\s_-])(?:comment|comments|reply|replies|respond|disqus)(?:$|[\s_-])", re.I)
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
-ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: A tag from its name on. A quote counts only behind an equals sign; nothing is read twice.
+TAG = re.compile(r"([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+ATTRIBUTE = re.compile(r"([^\s=/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+#: Bound of what is remembered of a tag's attributes.
+SHORT = 400
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 SUPPORT = 0.02
 EVERY = 0.8
@@ -98,12 +101,15 @@ class Block:
 
     __slots__ = ("path", "words", "role", "article")
 
-    def __init__(self, path: str, role: bool, article: bool):
+    def __init__(self, path: int, role: bool, article: bool):
         self.path, self.words, self.role, self.article = path, [], role, article
 
 
 def attributes(rest: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)}
+    out: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(rest):
+        out.setdefault(name.lower(), "".join(values))
+    return out
 
 
 def boilerplate_level(tag: str, named: dict[str, str]) -> int:
@@ -120,82 +126,151 @@ def boilerplate_level(tag: str, named: dict[str, str]) -> int:
     return 1 if any(NAMES.search(x) for x in names) else 0
 
 
-def read_page(source: str) -> tuple[list[Block], list[str | Block]]:
-    """The blocks of a page in order, and these among its tag tokens (path of each opened element)."""
+def _about(tag: str, rest: str) -> tuple[int, str, bool]:
+    """The boilerplate level, first class and whether it is a body, of a tag with the attributes ``rest``.
+
+    A header's own level is that of its names: 2 unless it is the article's heading, which the caller knows.
+    """
+    named = attributes(rest) if rest and not rest.isspace() else {}
+    classes = named.get("class", "").split()
+    level = boilerplate_level(tag, named)
+    if tag == "header" and level == 2 and not any(NAMES.search(named.get(k, "")) for k in ("class", "id", "role")):
+        level = -1
+    return level, classes[0] if classes else "", tag in ("article", "main") or named.get("role") == "main"
+
+
+_about_short = lru_cache(8192)(_about)
+
+
+@lru_cache(65536)
+def _below(path: int, tag: str, name: str) -> int:
+    """The path of an element inside ``path``: a digest, so that depth costs nothing."""
+    return xxhash.xxh3_64_intdigest(f"{path}/{tag}.{name}")
+
+
+class _Elements:
+    """The open elements, with the places of each name and of barriers, so that no tag searches the whole stack."""
+
+    def __init__(self):
+        self.stack: list[tuple] = [("", 0, 0, False)]  # tag, path, level of boilerplate, article
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.barriers: list[int] = []
+
+    def push(self, tag: str, path: int, role: int, article: bool) -> None:
+        self.places[tag].append(len(self.stack))
+        if tag in BARRIERS:
+            self.barriers.append(len(self.stack))
+        self.stack.append((tag, path, role, article))
+
+    def nearest(self, tags, through: bool = False) -> int:
+        """The place of the innermost of ``tags``, 0 if none is open or (but for ``through``) a barrier lies inside it."""
+        at = max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        return at if through or not self.barriers or self.barriers[-1] <= at else 0
+
+    def close(self, at: int) -> bool:
+        """Closes the element at ``at`` and all inside; whether one of those inside is a block."""
+        blocks = False
+        while len(self.stack) > at:
+            tag = self.stack.pop()[0]
+            blocks |= tag in BLOCKS and len(self.stack) > at
+            self.places[tag].pop()
+            if tag in BARRIERS:
+                self.barriers.pop()
+        return blocks
+
+
+def read_page(source: str) -> tuple[list[Block], list[int | Block]]:
+    """The blocks of a page in order, and these among its tag tokens (path of each opened element). Linear in the page.
+
+    Text inside boilerplate elements becomes blocks of its own, also where the element stands inline in a block.
+    """
     blocks: list[Block] = []
-    order: list[str | Block] = []
-    stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]  # tag, path, level of boilerplate, article
-    text: list[str] = []
-    at, n = 0, len(source)
+    order: list[int | Block] = []
+    open_ = _Elements()
+    runs: list[tuple] = []  # path, whether boilerplate, article, text
+    at, n, head = 0, len(source), False
 
     def flush() -> None:
-        words = entities.unescape("".join(text)).split()
-        text.clear()
-        if words:
-            _, path, role, article = stack[-1]
-            blocks.append(Block(path, role > 0, article))
-            blocks[-1].words = words
-            order.append(blocks[-1])
+        for said in (False, True):
+            mine = [r for r in runs if r[1] == said]
+            words = entities.unescape("".join(r[3] for r in mine)).split()
+            if words:
+                first = next(r for r in mine if not r[3].isspace())
+                blocks.append(Block(first[0], said, first[2]))
+                blocks[-1].words = words
+                order.append(blocks[-1])
+        runs.clear()
+
+    def add(text: str) -> None:
+        if text:
+            _, path, role, article = open_.stack[-1]
+            runs.append((path, role > 0, article, text))
 
     while at < n:
-        m = TOKEN.search(source, at)
-        if m is None:
-            text.append(source[at:])
+        lt = source.find("<", at)
+        if lt < 0 or lt + 1 >= n:
+            add(source[at:])
             break
-        text.append(source[at : m.start()])
-        at = m.end()
-        if m["cdata"] is not None:
-            text.append(m["cdata"].replace("&", "&amp;"))
+        add(source[at:lt])
+        sign = source[lt + 1]
+        if sign in "!?":
+            if source.startswith("<!--", lt):
+                end, size = source.find("-->", lt + 2), 3
+            elif source.startswith("<![CDATA[", lt):
+                end, size = source.find("]]>", lt + 9), 3
+                add(source[lt + 9 : end if end >= 0 else n].replace("&", "&amp;"))
+            else:
+                end, size = source.find(">", lt + 1), 1
+            at = end + size if end >= 0 else n
             continue
-        if m["tag"] is None:
+        closing = sign == "/"
+        start = lt + 1 + closing
+        if start >= n or not (source[start].isascii() and source[start].isalpha()):
+            if closing and start < n:  # </ and no name: up to the next > it is nothing
+                end = source.find(">", start)
+                at = end + 1 if end >= 0 else n
+            else:
+                add("<")
+                at = lt + 1
             continue
-        tag, rest = m["tag"].lower(), m["rest"]
+        m = TAG.match(source, start)
+        if m is None:  # cut off by the page's end
+            break
+        tag, rest, at = m[1].lower(), m[2], m.end()
         if tag in BLOCKS:
             flush()
-        if m["close"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if tag not in BLOCKS and any(x[0] in BLOCKS for x in stack[i + 1 :]):
-                        flush()
-                    del stack[i:]
-                    break
-                if stack[i][0] in BARRIERS and tag not in BARRIERS:
-                    break  # a stray end tag doesn't close what lies outside
+        if closing:
+            place = open_.nearest([tag], tag in BARRIERS)
+            if place and open_.close(place) and tag not in BLOCKS:
+                flush()
             continue
-        if tag in RAW and not rest.rstrip().endswith("/"):
-            if tag == "head":
-                end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(source, at)
-                if end and end[0].lower().startswith("<body"):
-                    at = end.start()
-                else:
-                    at = end.end() if end else at
-                continue
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+        if tag in RAW:
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I).search(source, at)
             at = end.end() if end else n
             continue
-        if tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in CLOSES[tag]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BARRIERS:
-                    break
-        _, path, role, article = stack[-1]
-        if tag in VOID or rest.rstrip().endswith("/"):
+        if tag == "head":
+            end = None if head else re.compile(r"</head\s*>|<body[\s>]", re.I).search(source, at)
+            head = True
+            if end:
+                at = end.start() if end[0].lower().startswith("<body") else end.end()
+            continue
+        if tag in CLOSES and (place := open_.nearest(CLOSES[tag])):
+            open_.close(place)
+        if tag in VOID or tag in ("svg", "math") and rest.endswith("/"):
             continue
-        named = attributes(rest) if rest and not rest.isspace() else {}
-        below = f"{path}/{tag}" if len(path) < 200 else path
-        if named.get("class"):
-            below += "." + named["class"].split()[0] if named["class"].split() else ""
+        _, path, role, article = open_.stack[-1]
+        level, name, body = _about_short(tag, rest) if len(rest) <= SHORT else _about(tag, rest)
+        if level < 0:
+            level = 0 if article else 2  # the article's own heading, or the page's
+        below = _below(path, tag, name if len(name) <= SHORT else xxhash.xxh3_64_hexdigest(name))
         order.append(below)
-        level, body = boilerplate_level(tag, named), tag in ("article", "main") or named.get("role") == "main"
         role = level if body and role < 2 else max(role, level)  # an article undoes names around it
-        stack.append((tag, below, role, article or body))
+        open_.push(tag, below, role, article or body)
     flush()
     return blocks, order
 
 
-def token(path: str, word: str = "") -> int:
+def token(path: int, word: str = "") -> int:
     """A token's 64-bit name; 0 stands for the page itself."""
     return xxhash.xxh3_64_intdigest(f"{path}\t{word}") - 2**63 or 1
 
@@ -210,11 +285,11 @@ def word_tokens(block: Block) -> list[int]:
     return out
 
 
-def page_tokens(order: list[str | Block]) -> list[int]:
+def page_tokens(order: list[int | Block]) -> list[int]:
     """The tokens of a page in order. Words inside an article element are slots, not tokens."""
     out: list[int] = []
     for x in order:
-        if isinstance(x, str):
+        if isinstance(x, int):
             out.append(token(x))
         elif not x.article:
             out += word_tokens(x)

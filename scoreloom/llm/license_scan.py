@@ -103,9 +103,11 @@ def base_places(words: bytes, phrases=BASE_PHRASES) -> list[tuple[int, str]]:
     padded, found = b" " + words + b" ", []
     for label, phrase in phrases:
         wanted = b" " + phrase.encode() + b" "
-        p = padded.find(wanted)
+        p, counted, number = padded.find(wanted), 0, 0
         while p >= 0:
-            found.append((padded.count(b" ", 0, p), label))
+            number += padded.count(b" ", counted, p)  # each stretch is counted once
+            counted = p
+            found.append((number, label))
             p = padded.find(wanted, p + 1)
     return sorted(found)
 
@@ -115,11 +117,12 @@ def fuzzy_places(words: bytes, notices: list[Notice]) -> list[tuple[int, int, in
     found = sorted(
         (e, a, b, i) for i, n in enumerate(notices) for a, b, e in n.matches(words)
     )
-    kept: list[tuple[int, int, int, str, float]] = []
+    kept: list[tuple[int, int, int, str, float]] = []  # disjoint, by start
     for e, a, b, i in found:
-        if all(b <= x[0] or a >= x[1] for x in kept):
-            kept.append((a, b, e, notices[i].label, 1 - e / len(notices[i].text)))
-    return sorted(kept)
+        k = bisect_right(kept, a, key=lambda x: x[0])
+        if (not k or kept[k - 1][1] <= a) and (k == len(kept) or kept[k][0] >= b):
+            kept.insert(k, (a, b, e, notices[i].label, 1 - e / len(notices[i].text)))
+    return kept
 
 
 def spans_in_text(text: str, places) -> list[str]:

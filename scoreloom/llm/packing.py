@@ -8,10 +8,13 @@ Grouping genetic algorithm: an individual is a set of bins. Crossover takes whol
 well-filled bins of one parent into the other, removes the bins that hold the same pieces,
 and puts the displaced pieces back by best fit (the fullest bin that still takes a piece,
 found in a table of free room, longest pieces first). Mutation dissolves some of the
-least-filled bins likewise. Pieces of one length are interchangeable for packing, so an
+least-filled bins likewise. In both, bins first exchange one of their pieces for a longer loose one.
+Evolution starts from best fit decreasing and ends at the bound of the lengths' sum: a block
+where best fit meets the bound is packed as well as can be, and needs no crossover. Pieces of one length are interchangeable for packing, so an
 individual's bins are multisets of lengths and a crossover is cheap.
 
-Islands: pieces are dealt by place into blocks of about ``block_pieces``; each block is worked on by
+Islands: pieces are dealt by place into blocks of about ``block_pieces`` (more where these are
+so short that they fill less than four bins); each block is worked on by
 ``islands`` populations with their own seeds, one task each. After each of ``epochs`` every
 island's best individual migrates to the next island of the block, as a row of a few
 kilobytes. The winners' full bins stand; the pieces of bins that are filled below
@@ -30,7 +33,8 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections import Counter
+from bisect import bisect_right, insort
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,21 +44,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scoreloom.llm.common import cut
+from scoreloom.llm.common import cut, quoted
 
 BIN = 2048
 END = 0
 BLOCK_PIECES = 3000
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 4
-POPULATION = 4
+GENERATIONS = 30
+POPULATION = 8
 SETTLED = 0.995
 REMEMBERED = 250_000
 SPECIAL = "<|"
-#: The vocabulary's own split of texts, a probe of it, and white space that keeps a text whole.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PROBE = "It's a  probe:\n 123 don't -- \u00e9\U0001f600\u4e16 (x_y)\t$$$ THTION ouan\u00e8re."
+#: White space that keeps a text whole.
 ODD_SPACE = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 
 
@@ -66,9 +68,7 @@ class Encoder:
 
     The tokenizer's first step never joins what stands on two sides of a line break or of a
     single space, if neither neighbour is white space; a space goes with the word behind it.
-    Such words are encoded once and remembered. Other texts go to the tokenizer whole. New
-    words are encoded by an equal, faster encoder made from the tokenizer's own vocabulary
-    (merges rank as ids do), if it agrees with the tokenizer on ``PROBE``.
+    Such words are encoded once, by the tokenizer, and remembered. Other texts go to it whole.
     """
 
     def __init__(self, path: str):
@@ -78,65 +78,38 @@ class Encoder:
         self.first: dict[str, bytes] = {}  # at the start of a line
         self.inner: dict[str, bytes] = {}  # behind a space
         self.line = self.whole(["\n"])[0]
-        self.word = self._fast() or (lambda w: self.whole([w])[0])
-
-    def _fast(self):
-        import tiktoken
-
-        letters = byte_letters()
-        vocabulary = {t: i for t, i in self.tokenizer.get_vocab().items() if all(c in letters for c in t) and t not in ("<|endoftext|>",)}
-        ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
-        if len(ranks) != len(vocabulary) or len([1 for x in ranks if len(x) == 1]) != 256:
-            return None
-        fast = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        if fast.encode_ordinary(PROBE) != self.tokenizer.encode(PROBE, add_special_tokens=False).ids:
-            return None
-        return lambda w: array("I", fast.encode_ordinary(w)).tobytes()
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def forget(self) -> None:
         self.first, self.inner = {}, {}
 
-    def _learn(self, known: dict[str, bytes], words: list[str], space: str) -> None:
-        new = set(words).difference(known)
+    def _learn(self, known: dict[str, bytes], words: set[str], space: str) -> None:
+        new = words.difference(known)
         if new:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
-                new = set(words)
-            for w in new:
-                known[w] = self.word(space + w)
+                new = words
+            new = sorted(new)
+            known.update(zip(new, self.whole([space + w for w in new])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.text(t) for t in texts]
+        lines = [[x.split(" ") for x in t.split("\n")] if splits(t) else None for t in texts]
+        self._learn(self.first, {x[0] for part in lines if part for x in part}, "")
+        self._learn(self.inner, {w for part in lines if part for x in part for w in x[1:]}, " ")
+        return [self._joined(part) if part else self.whole([t])[0] for t, part in zip(texts, lines)]
 
-    def text(self, text: str) -> bytes:
-        if not splits(text):
-            return self.whole([text])[0]
+    def _joined(self, lines: list[list[str]]) -> bytes:
         out: list[bytes] = []
-        for k, line in enumerate(text.split("\n")):
-            head, *rest = line.split(" ")
+        for k, (head, *rest) in enumerate(lines):
             if k:
                 out.append(self.line)
-            if head not in self.first:
-                self._learn(self.first, [head], "")
             out.append(self.first[head])
-            try:
-                out += [*map(self.inner.__getitem__, rest)]
-            except KeyError:
-                self._learn(self.inner, rest, " ")
-                out += [*map(self.inner.__getitem__, rest)]
+            out += map(self.inner.__getitem__, rest)
         return b"".join(out)
 
 
-def byte_letters() -> dict[str, int]:
-    """Byte-level vocabularies write each byte as one letter: printable Latin-1 as itself, the others from U+0100 on."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
-    other = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(other)}
-
-
 def splits(text: str) -> bool:
     """Whether ``text`` may be encoded word by word: its only white space is single spaces and single breaks inside."""
     return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and SPECIAL not in text and not any(x in text for x in ODD_SPACE)
@@ -180,7 +153,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, doc_id: str, text: str, si
         known.forget()
 
     rows = docs.select(
-        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), place.cast("double").alias("w")
+        F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).cast("string").alias("text"), place.cast("double").alias("w")
     )
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, w double")
 
@@ -228,6 +201,24 @@ def fitness(bins: list, size: int) -> tuple[int, float]:
     return -len(bins), sum((sum(b) / size) ** 2 for b in bins)
 
 
+def exchange(bins: list, loose: list[int], size: int) -> tuple[list, list[int]]:
+    """Each bin that isn't full takes a longer loose length for one of its own, where that leaves least room."""
+    loose, out = sorted(loose), []
+    for b in bins:
+        free = size - sum(b)
+        if free and loose:
+            gains = [(loose[at] - own, own, loose[at]) for own in b if (at := bisect_right(loose, own + free) - 1) >= 0]
+            gain, own, new = max(gains, default=(0, 0, 0))
+            if gain > 0:
+                del loose[bisect_right(loose, new) - 1]
+                insort(loose, own)
+                rest = list(b)
+                rest.remove(own)
+                b = tuple(sorted((*rest, new), reverse=True))
+        out.append(b)
+    return out, loose
+
+
 def crossover(one: list, other: list, size: int, rng: np.random.Generator) -> list:
     """Whole well-filled bins of ``one`` go into ``other``; what they displace is put back by best fit."""
     good = sorted(one, key=sum, reverse=True)
@@ -247,15 +238,19 @@ def crossover(one: list, other: list, size: int, rng: np.random.Generator) -> li
                 left.append(x)
         loose += left
         need = +need
+    kept, loose = exchange(kept, loose, size)
     return best_fit(sorted(loose, reverse=True), size, taken + kept)
 
 
 def mutate(bins: list, size: int, rng: np.random.Generator) -> list:
+    """The least-filled bins, and some others, are dissolved; what they held goes back by exchanges and best fit."""
     order = sorted(bins, key=sum)
     n = min(len(order), 2 + int(rng.integers(0, max(1, len(order) // 10))))
-    loose = [x for b in order[:n] for x in b]
+    more = set(rng.choice(len(order), min(len(order), n // 2 + 1), replace=False).tolist()) | set(range(n))
+    loose = [x for i in more for x in order[i]]
+    kept, loose = exchange([b for i, b in enumerate(order) if i not in more], loose, size)
     rng.shuffle(loose)
-    return best_fit(sorted(loose, reverse=True) if rng.random() < 0.5 else loose, size, order[n:])
+    return best_fit(sorted(loose, reverse=True) if rng.random() < 0.5 else loose, size, kept)
 
 
 def evolve(lengths: list[int], size: int, seed: int, guests: list, generations: int, population: int) -> list:
@@ -325,21 +320,23 @@ def evolve_blocks(blocks: DataFrame, size: int, islands: int, epochs: int, gener
 
 
 def _bins(size: int, settled: float, last: bool):
-    """Each winner's bins: rows (block, bin, length, k, offset, done), k numbering equal lengths in the block."""
+    """Each winner's bins with their pieces: (block, best, lengths, us) to rows (u, block, bin, length, offset, done)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, best in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows, seen = [], Counter()
+            for block, best, lengths, us in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                waiting = defaultdict(list)  # pieces of one length are as good as each other
+                for n, u in zip(np.frombuffer(lengths, "<u2").tolist(), np.frombuffer(us, "<i8").tolist()):
+                    waiting[n].append(u)
+                rows = []
                 for i, b in enumerate(unpack_bits(best)):
                     done, at = last or sum(b) >= settled * size, 0
                     for n in b:
-                        rows.append((block, i, n, seen[n], at, done))
-                        seen[n] += 1
+                        rows.append((waiting[n].pop(), block, i, n, at, done))
                         at += n
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
                 cols = list(zip(*rows)) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["block", "bin", "length", "k", "offset", "done"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["u", "block", "bin", "length", "offset", "done"])
 
     return run
 
@@ -363,8 +360,8 @@ def pack_documents(
     ``place``, a number from 0 to below 1, is a document's place in an order that sequences
     should follow: a block takes neighbours in it. Without it documents are dealt by a hash.
     """
-    if place is None:
-        hashed = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+    if place is None:  # the row's number keeps repeated rows apart
+        hashed = F.xxhash64(F.col(quoted(doc_id)), F.col(quoted(text)), F.monotonically_increasing_id())
         place = F.shiftrightunsigned(hashed, 12).cast("double") / 2.0**52
     if size > 65535:
         raise ValueError("lengths are held in 16 bits")
@@ -375,18 +372,17 @@ def pack_documents(
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     out, rest, level = full.select(*columns), pieces.where(F.col("length") < size).select("u", "w", "length"), 0
     places = None
-    n = rest.count()
+    n, tokens = rest.agg(F.count("*"), F.sum("length")).first()
     while n:
-        blocks = max(1, round(n / block_pieces))
+        blocks = max(1, min(round(n / block_pieces), tokens // (4 * size)))  # a block fills some bins, be its pieces ever so short
         last = blocks == 1
         dealt = rest.withColumn("block", F.least(F.floor(F.col("w") * blocks), F.lit(blocks - 1)).cast("long"))
-        work = dealt.groupBy("block").agg(F.array_sort(F.collect_list("length")).alias("l"))
-        work = work.mapInArrow(_lengths, "block long, lengths binary")
-        best = evolve_blocks(work, size, islands, epochs, generations, population)
-        bins = cut(best.mapInArrow(_bins(size, settled, last), "block long, bin long, length long, k long, offset long, done boolean"))
-        equal = Window.partitionBy("block", "length").orderBy("u")
-        numbered = dealt.withColumn("k", F.row_number().over(equal).cast("long") - 1)
-        placed = cut(numbered.join(bins, ["block", "length", "k"]).select("u", "w", "length", "block", "bin", "offset", "done"))
+        work = dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("length", "u"))).alias("l"))
+        work = cut(work.select("block", "l.length", "l.u").mapInArrow(_lengths, "block long, lengths binary, us binary"))
+        best = evolve_blocks(work.select("block", "lengths"), size, islands, epochs, generations, population)
+        won = best.join(work, "block").select("block", "best", "lengths", "us")
+        placed = cut(won.mapInArrow(_bins(size, settled, last), "u long, block long, bin long, length long, offset long, done boolean"))
+        placed = cut(placed.join(rest.select("u", "w"), "u")) if not last else placed
         done = placed.where("done").select(
             "u", ((F.col("block") * (1 << 32) + F.col("bin")) * 64 + level).alias("b"), "offset"
         )
@@ -394,7 +390,7 @@ def pack_documents(
         if last:
             break
         rest, level = placed.where("not done").select("u", "w", "length"), level + 1
-        before, n = n, rest.count()
+        before, (n, tokens) = n, rest.agg(F.count("*"), F.sum("length")).first()
         if n > 0.9 * before:  # little settles at this size: take what there is
             settled = 0.0
     if places is not None:
@@ -405,5 +401,5 @@ def pack_documents(
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data = [np.array(x, "<u2").tobytes() for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["block", "lengths"])
+        lengths, us = ([np.array(x, k).tobytes() for x in batch.column(i).to_pylist()] for i, k in ((1, "<u2"), (2, "<i8")))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.binary()), pa.array(us, pa.binary())], ["block", "lengths", "us"])

@@ -13,7 +13,8 @@ holds one shard and one group, both bounded. This is the stated query set agains
 rows, in blocks. The results of all shards meet as k rows for each query and shard.
 
 Components become floor(1024 x) as integers; sums stay exact in doubles below 2^53, and
-larger vectors are scored with Python's integers (then held to 64 bits).
+larger vectors are scored with Python's integers, which also decide the order; only the score that
+is returned is then held to 64 bits.
 
 Defined cases: a vector that is null, or has a null or non-finite component, and a row with
 a null id, takes part neither as query nor as candidate; vectors of different length are
@@ -24,6 +25,7 @@ are no candidates of it; repeated other rows each are; ties go to the smaller id
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -31,10 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scoreloom.llm.common import cut
+
 SHARD_ROWS = 20_000
 GROUP_ROWS = 20_000
 LEAF = 128
-SCHEMA = "query_id long, vec_id long, score long"
+#: From here on doubles are whole numbers, and 1024 times one may not be a double.
+LARGE = 2.0**43
+#: Bytes that hold any score of finite doubles, for those beyond 62 bits.
+BIG = 280
+SCHEMA = "query_id long, vec_id long, score long, big binary"
 
 ORACLE_SQL = """
 WITH v AS (
@@ -115,8 +123,15 @@ class Tree:
 
 
 def _matrix(values: pd.Series) -> np.ndarray:
-    """Rows of floor(1024 x)."""
-    return np.floor(1024 * np.array(values.tolist(), dtype=np.float64).reshape(len(values), -1))
+    """Rows of floor(1024 x); as Python's integers where doubles don't hold them exactly."""
+    raw = np.array(values.tolist(), dtype=np.float64).reshape(len(values), -1)
+    if abs(raw).max(initial=0) < LARGE:
+        return np.floor(1024 * raw)
+    return _whole(np.array([[1024 * int(x) if abs(x) >= LARGE else math.floor(1024 * x) for x in row] for row in raw.tolist()], dtype=object), raw.shape)
+
+
+def _whole(m: np.ndarray, shape: tuple) -> np.ndarray:
+    return np.array([int(x) for x in m.ravel()], dtype=object).reshape(shape)
 
 
 def _shard_search(k: int):
@@ -125,15 +140,17 @@ def _shard_search(k: int):
         if len(candidates) and len(queries):
             points, asked = _matrix(candidates["v"]), _matrix(queries["v"])
             ids = candidates["vec_id"].to_numpy(np.int64)
-            bound = (abs(points).max(initial=0) * abs(asked).max(initial=0)) * max(1, points.shape[1])
+            bound = (int(abs(points).max(initial=0)) * int(abs(asked).max(initial=0))) * max(1, points.shape[1])
             if bound >= 2**53:  # no longer exact in doubles
-                points, asked = (np.array([[int(y) for y in x] for x in m], dtype=object).reshape(m.shape) for m in (points, asked))
+                points, asked = _whole(points, points.shape), _whole(asked, asked.shape)
             tree = Tree(points)
             for qid, q, least in zip(queries["vec_id"], asked, queries["least"]):
                 least = None if least is None or pd.isna(least) else int(least)
                 for score, i in tree.search(q, k, ids, int(qid), least):
-                    out.append((int(qid), i, min(max(score, -(2**63)), 2**63 - 1)))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+                    big = (score + 2 ** (8 * BIG - 1)).to_bytes(BIG, "big") if abs(score) >= 2**62 else None
+                    out.append((int(qid), i, min(max(score, -(2**63)), 2**63 - 1), big))
+        found = pd.DataFrame(out, columns=["query_id", "vec_id", "score", "big"])
+        return found.astype({c: "int64" for c in ("query_id", "vec_id", "score")})
 
     return run
 
@@ -172,10 +189,10 @@ def search_topk(
         keys = ["g", "shard", "dim"]
         return base.groupBy(*keys).cogroup(part.groupBy(*keys)).applyInPandas(_shard_search(k), SCHEMA)
 
-    at_home = searched(asked.withColumn("shard", F.col("home")).withColumn("least", F.lit(None).cast("long")))
+    at_home = cut(searched(asked.withColumn("shard", F.col("home")).withColumn("least", F.lit(None).cast("long"))))  # searched once, for the bounds and for the result
     found = at_home
     if shards > 1:
-        bounds = at_home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+        bounds = at_home.groupBy("query_id").agg(F.when((F.count("*") >= k) & (F.count("big") == 0), F.min("score")).alias("least"))
         rest = (
             asked.join(bounds, asked["vec_id"] == bounds["query_id"], "left")
             .drop("query_id")
@@ -183,7 +200,7 @@ def search_topk(
             .where("shard <> home")
         )
         found = at_home.unionByName(searched(rest))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("big"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     )

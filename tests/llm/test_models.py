@@ -94,6 +94,14 @@ def test_topk_of_equal_vectors_goes_by_id(spark):
     assert topk.search_topk(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_of_huge_components(spark):
+    """Components whose 1024-fold is no double, and scores beyond 64 bits, are ordered exactly."""
+    rows = [(100, [1e306, 2.0]), (1, [1e306, 0.0]), (2, [1e306, 1.0]), (3, [-1e306, 0.0]), (4, [0.0, 1.0]), (5, [1e300, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search_topk(df, df.where("vec_id = 100"), shard_rows=2).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [2, 1, 5, 4, 3] and got[0]["score"] == 2**63 - 1 and got[3]["score"] == 2048 * 1024
+
+
 # N-gram join
 
 
@@ -229,6 +237,44 @@ def test_crossover_and_mutation_keep_every_piece():
     assert sorted(x for b in child for x in b) == sorted(lengths) and max(map(sum, child)) <= 1000
 
 
+def hard_lengths(kind, seed, size=2048, n=60):
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        if kind == "triplets":  # n bins of three pieces each are filled to the brim
+            a, b = (int(x) for x in rng.integers(400, 900, 2))
+            out += [a, b, size - a - b]
+        else:
+            out += rng.integers(300, 1100, 5).tolist()
+    return out
+
+
+@pytest.mark.parametrize("kind", ["triplets", "uniform"])
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_evolution_beats_best_fit_where_it_misses_the_bound(kind, seed, monkeypatch):
+    calls, cross = [], packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: calls.append(1) or cross(*a))
+    lengths = hard_lengths(kind, seed)
+    bound, plain = -(-sum(lengths) // 2048), len(packing.best_fit(sorted(lengths, reverse=True), 2048))
+    best = packing.evolve(lengths, 2048, 1, [], packing.GENERATIONS, packing.POPULATION)
+    assert sorted(x for b in best for x in b) == sorted(lengths) and max(map(sum, best)) <= 2048
+    assert bound <= len(best) < plain and len(calls) > 0
+
+
+def test_packing_is_no_worse_than_best_fit_of_all(spark):
+    """Blocks, islands and levels together need no more bins than best fit decreasing over all pieces at once."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, words(rng, rng.randrange(60, 260))) for i in range(160)], "doc_id long, text string")
+    got, bins = check_packing(spark, docs, block_pieces=50)
+    assert len(bins) <= len(packing.best_fit(sorted((r["length"] for r in got), reverse=True), packing.BIN))
+
+
+def test_packing_spreads_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "the same text")] * 400, "doc_id long, text string")
+    got = packing.pack_documents(docs, tokenizer_path(), block_pieces=50).collect()
+    n = got[0]["length"]
+    assert len(got) == 400 and len({r["sequence_id"] for r in got}) == -(-400 // (packing.BIN // n))
+
+
 # Fingerprints
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+import time
+
+import pytest
 
 import corpus_pipeline
 from scoreloom.llm import fingerprints, html_extract, license_scan, line_dedup, secret_scan
@@ -41,6 +44,39 @@ def test_html_class_order_and_nesting():
     assert html_extract.nesting([1, 4, 5, 2, 4, 5, 3], members, [3, 2])[1] == {(0, 1): 0}
 
 
+def test_html_inline_boilerplate_and_markup():
+    """Boilerplate inline in a block goes alone; headings, captions and formulas stay; broken markup is no text."""
+    cases = {
+        "Hello <button>Subscribe</button> <span class='advert'>Buy now</span> world": "Hello world",
+        "<p>Hello <span class='share'>S</p>after": "Hello\nafter",
+        "<article><header><h1>T</h1></header><figure><figcaption>cap</figcaption></figure><p>x <math><mi>y</mi></math></article>": "T\ncap\nx y",
+        "<p it's>text</p>": "text", "<script src=a.js/>code()</script>ok": "ok", "a < b <3": "a < b <3",
+        "<div class='section-header'>Keep</div><div class=site-header>no</div><p class=legal>L</p>": "Keep\nL",
+        "<a href=x/>link</a> <br/>n": "link\nn", "x <b": "x", "<svg/>k<svg><text>no</text></svg>": "k",
+    }
+    assert {x: html_extract.article_text(x, frozenset()) for x in cases} == cases
+
+
+def test_html_deep_places_are_told_apart():
+    page = "<div>" * 300 + "<p class='one'>a</p><p class='two'>b</p>"
+    blocks, _ = html_extract.read_page(page)
+    assert len({b.path for b in blocks}) == 2
+
+
+@pytest.mark.parametrize("page", ["<" + "a" * 200_000, "<p x" * 50_000, "<p a='" * 50_000, "<x><div>" + "<b>" * 30_000 + "</x>" * 30_000, "<head>" * 20_000])
+def test_html_time_is_linear(page):
+    began = time.perf_counter()
+    html_extract.read_page(page)
+    assert time.perf_counter() - began < 10
+
+
+def test_license_time_is_linear():
+    known = [license_scan.Notice(*x) for x in license_scan.NOTICES]
+    began = time.perf_counter()
+    got = license_scan.scan_text("under the mit license. released under the mit licensX or " * 2000, known)
+    assert got[1] == 2000 and got[7].count("mit:") >= 2000 and time.perf_counter() - began < 30
+
+
 def test_html_invalid_classes_are_no_template(spark):
     """Words that stand on the same pages, but in changing order, are text."""
     words = ["alpha beta gamma", "gamma beta alpha", "beta alpha gamma"]
