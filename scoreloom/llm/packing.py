@@ -31,6 +31,8 @@ not read.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from array import array
 from bisect import bisect_right, insort
@@ -53,10 +55,17 @@ ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 30
 POPULATION = 8
+#: Bins of an individual that evolve in an epoch.
+EVOLVED = 80
 SETTLED = 0.995
 REMEMBERED = 250_000
+#: Words handed to the tokenizer, and texts held in words, at a time.
+WORDS = 1000
+TEXTS = 100
 SPECIAL = "<|"
-#: White space that keeps a text whole.
+#: The vocabulary's own split of texts, a probe of it, and white space that keeps a text whole.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PROBE = "It's a  probe:\n 123 don't -- \u00e9\U0001f600\u4e16 (x_y)\t$$$ THTION ouan\u00e8re."
 ODD_SPACE = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 
 
@@ -68,16 +77,37 @@ class Encoder:
 
     The tokenizer's first step never joins what stands on two sides of a line break or of a
     single space, if neither neighbour is white space; a space goes with the word behind it.
-    Such words are encoded once, by the tokenizer, and remembered. Other texts go to it whole.
+    Such words are encoded once and remembered. Other texts go to the tokenizer whole. Words
+    are encoded by an equal, faster encoder made from the tokenizer's own vocabulary, if its
+    merge list says that the two are equal (``merges_rank_as_ids``), else by the tokenizer.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel part; threads would each keep memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.first: dict[str, bytes] = {}  # at the start of a line
         self.inner: dict[str, bytes] = {}  # behind a space
         self.line = self.whole(["\n"])[0]
+        self.words = self._fast(path) or self.whole
+
+    def _fast(self, path: str):
+        """An encoder that merges the adjacent pair whose token has the smallest id, if that is the tokenizer's own rule."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        letters = byte_letters()
+        special = {t["content"] for t in described.get("added_tokens", ())}
+        vocabulary = {t: i for t, i in described["model"]["vocab"].items() if t not in special}
+        if described["model"].get("type") != "BPE" or not merges_rank_as_ids(vocabulary, described["model"]["merges"], letters):
+            return None
+        ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
+        fast = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        if fast.encode_ordinary(PROBE) != self.tokenizer.encode(PROBE, add_special_tokens=False).ids:  # the split of texts
+            return None
+        return lambda words: [array("I", fast.encode_ordinary(w)).tobytes() for w in words]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -92,7 +122,9 @@ class Encoder:
                 known.clear()
                 new = words
             new = sorted(new)
-            known.update(zip(new, self.whole([space + w for w in new])))
+            for at in range(0, len(new), WORDS):  # the tokenizer's own results are far larger than the ids
+                part = new[at : at + WORDS]
+                known.update(zip(part, self.words([space + w for w in part])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         lines = [[x.split(" ") for x in t.split("\n")] if splits(t) else None for t in texts]
@@ -110,6 +142,26 @@ class Encoder:
         return b"".join(out)
 
 
+def byte_letters() -> dict[str, int]:
+    """Byte-level vocabularies write each byte as one letter: printable Latin-1 as itself, the others from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    other = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
+def merges_rank_as_ids(vocabulary: dict[str, int], merges: list, letters: dict[str, int]) -> bool:
+    """Whether every token is a byte or the outcome of exactly one merge, and the merges stand in the order of their tokens' ids."""
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+    ids = [vocabulary.get("".join(p), -1) for p in pairs]
+    single = [i for t, i in vocabulary.items() if len(t) == 1]
+    return (
+        all(len(p) == 2 and p[0] in vocabulary and p[1] in vocabulary for p in pairs)
+        and all(a < b for a, b in zip([max(single, default=-1), *ids], ids))
+        and len(single) == 256 == len([t for t in vocabulary if t in letters])
+        and len(vocabulary) == len(pairs) + 256
+    )
+
+
 def splits(text: str) -> bool:
     """Whether ``text`` may be encoded word by word: its only white space is single spaces and single breaks inside."""
     return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and SPECIAL not in text and not any(x in text for x in ODD_SPACE)
@@ -141,8 +193,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, doc_id: str, text: str, si
         known, end = encoder(tokenizer), np.array([END], "<u4").tobytes()
         known.forget()  # a worker that stays idle after its task holds no words
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, rows = batch.slice(at, 500), []
+            for at in range(0, batch.num_rows, TEXTS):
+                part, rows = batch.slice(at, TEXTS), []
                 ids = known.encode([t or "" for t in part.column(1).to_pylist()])
                 for d, w, x in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), ids):
                     rows += [(d, i, *p, w) for i, p in enumerate(pieces_of(x + end, size))]
@@ -254,15 +306,29 @@ def mutate(bins: list, size: int, rng: np.random.Generator) -> list:
 
 
 def evolve(lengths: list[int], size: int, seed: int, guests: list, generations: int, population: int) -> list:
-    """The best individual of one island after some generations."""
+    """The best individual of one island after some generations, from best fit decreasing and the guests.
+
+    Where the best one needs more bins than the bound, its ``EVOLVED`` least-filled and otherwise random bins
+    evolve; the rest of its bins stand for this epoch.
+    """
     rng = np.random.default_rng(seed)
-    bound = -(-sum(lengths) // size)
-    people = [best_fit(sorted(lengths, reverse=True), size), *guests]
+    best = max([best_fit(sorted(lengths, reverse=True), size), *guests], key=lambda b: fitness(b, size))
+    if len(best) <= -(-sum(lengths) // size):
+        return best
+    order = sorted(best, key=sum)
+    later = np.sort(rng.choice(len(order), min(len(order), EVOLVED), replace=False)).tolist()
+    chosen = [*range(min(len(order), EVOLVED // 2)), *later]
+    chosen = list(dict.fromkeys(chosen))[:EVOLVED]
+    fixed = [b for i, b in enumerate(order) if i not in set(chosen)]
+    first = [order[i] for i in chosen]
+    loose = [x for b in first for x in b]
+    bound = -(-sum(loose) // size)
+    people = [first]
     while len(people) < population and min(map(len, people)) > bound:
-        mixed = np.array(lengths)
+        mixed = np.array(loose)
         rng.shuffle(mixed)
-        cut_at = len(mixed) // 2
-        people.append(best_fit([*sorted(mixed[:cut_at].tolist(), reverse=True), *mixed[cut_at:].tolist()], size))
+        half = len(mixed) // 2
+        people.append(best_fit([*sorted(mixed[:half].tolist(), reverse=True), *mixed[half:].tolist()], size))
     for _ in range(generations):
         people.sort(key=lambda b: fitness(b, size), reverse=True)
         if len(people[0]) <= bound:
@@ -270,7 +336,7 @@ def evolve(lengths: list[int], size: int, seed: int, guests: list, generations:
         a, b = people[0], people[int(rng.integers(1, len(people)))] if len(people) > 1 else people[0]
         child = mutate(crossover(a, b, size, rng), size, rng)
         people = [*people[: population - 1], child]
-    return max(people, key=lambda b: fitness(b, size))
+    return fixed + max(people, key=lambda b: fitness(b, size))
 
 
 def pack_bits(bins: list) -> bytes:

@@ -229,6 +229,18 @@ def test_word_memory_gives_the_tokenizers_ids(text):
     assert e.encode([text, "warm it's\nup", text])[0] == e.whole([text])[0]
 
 
+def test_the_merge_list_decides_on_the_fast_encoder():
+    letters = packing.byte_letters()
+    bytes_ = {c: i for i, c in enumerate(letters)}
+    good = bytes_ | {"ab": 256, "abc": 257}
+    assert packing.merges_rank_as_ids(good, ["a b", "ab c"], letters)
+    assert not packing.merges_rank_as_ids(good, ["ab c", "a b"], letters)  # another order
+    assert not packing.merges_rank_as_ids(good, ["a b"], letters)  # a token without merge
+    assert not packing.merges_rank_as_ids(good | {"bc": 258}, ["a b", "ab c", "b d"], letters)
+    e = packing.Encoder(tokenizer_path())
+    assert e.words != e.whole and e.words([" lorem", "ipsum", "don't"]) == e.whole([" lorem", "ipsum", "don't"])
+
+
 def test_crossover_and_mutation_keep_every_piece():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 900, 200).tolist()
