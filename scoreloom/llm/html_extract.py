@@ -179,10 +179,11 @@ class _Elements:
         return blocks
 
 
-def read_page(source: str) -> tuple[list[Block], list[int | Block]]:
+def read_page(source: str, whole: bool = True) -> tuple[list[Block], list[int | Block]]:
     """The blocks of a page in order, and these among its tag tokens (path of each opened element). Linear in the page.
 
     Text inside boilerplate elements becomes blocks of its own, also where the element stands inline in a block.
+    Without ``whole`` the text of articles, which holds no tokens, is passed over.
     """
     blocks: list[Block] = []
     order: list[int | Block] = []
@@ -191,6 +192,8 @@ def read_page(source: str) -> tuple[list[Block], list[int | Block]]:
     at, n, head = 0, len(source), False
 
     def flush() -> None:
+        if not runs:
+            return
         for said in (False, True):
             mine = [r for r in runs if r[1] == said]
             words = entities.unescape("".join(r[3] for r in mine)).split()
@@ -204,7 +207,8 @@ def read_page(source: str) -> tuple[list[Block], list[int | Block]]:
     def add(text: str) -> None:
         if text:
             _, path, role, article = open_.stack[-1]
-            runs.append((path, role > 0, article, text))
+            if whole or not article:
+                runs.append((path, role > 0, article, text))
 
     while at < n:
         lt = source.find("<", at)
@@ -321,7 +325,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for host, page, source in zip(*(batch.column(i) for i in range(3))):
             host, source = host.as_py(), source.as_py() or ""
-            names = page_tokens(read_page(source)[1])
+            names = page_tokens(read_page(source, False)[1])
             found, first = Counter(names), {}
             for at, name in enumerate(names):
                 first.setdefault(name, at)
@@ -414,7 +418,7 @@ def _disorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host = host.as_py()
             if host not in known:
                 known[host] = _classes(classes)
-            out.update((host, t) for t in out_of_order(page_tokens(read_page(source.as_py() or "")[1]), *known[host]))
+            out.update((host, t) for t in out_of_order(page_tokens(read_page(source.as_py() or "", False)[1]), *known[host]))
         pairs = sorted(out, key=repr)
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in pairs], pa.string()), pa.array([t for _, t in pairs], pa.int64())], ["host", "token"])
 
@@ -428,7 +432,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host = host.as_py()
             if host not in known:
                 known[host] = _classes(classes)
-            crossing, gaps = nesting(page_tokens(read_page(source.as_py() or "")[1]), *known[host])
+            crossing, gaps = nesting(page_tokens(read_page(source.as_py() or "", False)[1]), *known[host])
             for key, gap in [*gaps.items(), *((k, 0) for k in crossing)]:
                 low, high = out.get((host, *key), (gap, gap))
                 out[(host, *key)] = min(low, gap), max(high, gap)
