@@ -41,7 +41,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -186,12 +185,51 @@ def _heads(fragments: int):
     return run
 
 
-def _count_fragment(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sets of one fragment, with their numbers of shared head shingles there."""
-    a, b = (np.concatenate([np.frombuffer(x, np.uint64) for x in pdf[c]]) for c in ("a", "b"))
-    if pdf["f"].iloc[0] >= 0:
-        _, _, a, b = _settle(a, b)
-    return pd.DataFrame({"fa": a.view(np.int64), "n_shared": b.astype(np.int64)})
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sets and the sums of their counts."""
+    sets, at = np.unique(np.concatenate([s for s, _ in held]), return_inverse=True)
+    counts = np.zeros(len(sets), np.uint64)
+    np.add.at(counts, at, np.concatenate([c for _, c in held]))
+    return sets, counts
+
+
+def _count_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of fragment to (fa, n_shared): the sets' numbers of shared head shingles, summed over the task's
+    fragments. A fragment is settled when its last row is read; sums of more than ``HELD`` sets are sent on in between."""
+    fragment, open_rows, held, size = None, [], [], 0
+
+    def settled() -> tuple[np.ndarray, np.ndarray]:
+        return _settle(*(np.concatenate(x) for x in zip(*open_rows)))[2:]
+
+    def batch_of(sets: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), pa.array(counts.astype(np.int64))], ["fa", "n_shared"])
+
+    for batch in batches:
+        for f, a, b in zip(*(batch.column(i) for i in range(3))):
+            row = tuple(np.frombuffer(x.as_buffer(), np.uint64).copy() for x in (a, b))
+            f, done = f.as_py(), []
+            if f != fragment and open_rows:
+                done.append(settled())
+                open_rows = []
+            fragment = f
+            if f < 0:  # settled in the task that sent it
+                done.append(row)
+            else:
+                open_rows.append(row)
+            for sets, counts in done:
+                held.append((sets, counts.astype(np.uint64)))
+                size += len(sets)
+            if size > 2 * HELD:
+                held = [_summed(held)]
+                size = len(held[0][0])
+                if size > HELD:
+                    yield batch_of(*held[0])
+                    held, size = [], 0
+    if open_rows:
+        sets, counts = settled()
+        held.append((sets, counts.astype(np.uint64)))
+    if held:
+        yield batch_of(*_summed(held))
 
 
 def _spots(s: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -402,7 +440,7 @@ def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     total = sets.agg(F.sum("n")).first()[0] or 0
     fragments = int(max(1, total * 3 // 10 // FRAGMENT_ENTRIES))
     heads = rows.where("doc_id is not null").select("text").mapInArrow(_heads(fragments), "f int, a binary, b binary")
-    counts = heads.groupBy("f").applyInPandas(_count_fragment, "fa long, n_shared long")
+    counts = heads.repartition("f").sortWithinPartitions("f").mapInArrow(_count_fragments, "fa long, n_shared long")
     counts = counts.groupBy("fa").agg(F.sum("n_shared").alias("n_shared"))
     likely = nodes.join(counts, "fa").where(f"n_shared >= ceil({NUM} * n / {DEN}) div 10 + 1")
     likely = cut(likely.select(F.monotonically_increasing_id().alias("v"), "s", "n", "fa", "fb"))  # v: a set's own number

@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,3 +395,30 @@ def test_pipeline_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf)
         assert out.count() == 0
+
+
+def test_join_head_counts_are_summed_over_fragments(monkeypatch):
+    rng = np.random.default_rng(1)
+    rows, expected = [(-2, np.array([3, 7], np.uint64), np.array([5, 9], np.uint64))], {3: 5, 7: 9}
+    for f in range(6):
+        tokens, sets = rng.integers(0, 50, 200).astype(np.uint64), rng.integers(0, 30, 200).astype(np.uint64)
+        rows += [(f, tokens[at], sets[at]) for at in np.array_split(np.arange(200), 3)]
+        holders = {}
+        for t, s in zip(tokens.tolist(), sets.tolist()):
+            holders.setdefault(t, set()).add(s)
+        for of in holders.values():
+            for s in of - {0} if len(of) > 1 or 0 in of else ():
+                expected[s] = expected.get(s, 0) + 1
+    packed = [(f, a.tobytes(), b.tobytes()) for f, a, b in rows]
+    kinds = [pa.int32(), pa.binary(), pa.binary()]
+    for held in (ngram_join.HELD, 10):
+        monkeypatch.setattr(ngram_join, "HELD", held)
+        for size in (1, 4, 100):
+            parts = [packed[i : i + size] for i in range(0, len(packed), size)]
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*p), kinds)], ["f", "a", "b"]) for p in parts]
+            got = {}
+            for out in ngram_join._count_fragments(iter(batches)):
+                for s, n in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+                    got[s] = got.get(s, 0) + n
+            assert got == expected
+    assert not list(ngram_join._count_fragments(iter([])))
