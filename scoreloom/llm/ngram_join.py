@@ -55,6 +55,8 @@ SEGMENTS = 4
 #: Entries of the head index for each fragment, about, and the most that a task holds back.
 FRAGMENT_ENTRIES = 500_000
 HELD = 500_000
+#: Rows of an Arrow batch of single shingles.
+BATCH = 65_536
 #: Leader rounds end after so many, or when less than this share of a round's comparisons gives links.
 LEADER_ROUNDS = 6
 LEADER_YIELD = 0.02
@@ -151,6 +153,34 @@ def _settle(tokens: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tokens[at], np.where(shared, np.uint64(0), sets[at]), credited, counts
 
 
+def _ranges(keys: np.ndarray, values: np.ndarray, n: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(range, keys, values) for each of ``n`` equal ranges of sorted 64-bit keys that has some."""
+    part = (keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+    at = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1)))
+    for a, b in zip(at, np.append(at[1:], len(keys))):
+        yield int(part[a]), keys[a:b].tobytes(), values[a:b].astype(np.uint64).tobytes()
+
+
+def _packed(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["f", "a", "b"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """The rows (f, a, b), which come in order of f, as (f, their pairs of arrays)."""
+    now, rows = None, []
+    for batch in batches:
+        for f, a, b in zip(*(batch.column(i) for i in range(3))):
+            f = f.as_py()
+            if f != now and rows:
+                yield now, rows
+                rows = []
+            now = f
+            rows.append(tuple(np.frombuffer(x.as_buffer(), np.uint64).copy() for x in (a, b)))
+    if rows:
+        yield now, rows
+
+
 def _heads(fragments: int):
     """Rows (fragment, tokens, sets): head entries by fragment, and under negative numbers counts settled in the task."""
 
@@ -161,13 +191,10 @@ def _heads(fragments: int):
             tokens = np.concatenate([t for t, _ in held])
             sets = np.repeat(np.array([s for _, s in held], np.uint64), [len(t) for t, _ in held])
             tokens, sets, credited, counts = _settle(tokens, sets)
-            part = (tokens >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)  # ranges of the global order
-            cuts = np.searchsorted(part, np.arange(fragments + 1))
-            rows = [(i, tokens[a:b].tobytes(), sets[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            rows = [*_ranges(tokens, sets, fragments)]  # of the global order
             if len(credited):
                 rows.append((-1 - int(credited[0] % np.uint64(fragments)), credited.tobytes(), counts.astype(np.uint64).tobytes()))
-            types = [pa.int32(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["f", "a", "b"])
+            return _packed(rows)
 
         for batch in batches:
             for t in batch.column(0):
@@ -193,29 +220,14 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return sets, counts
 
 
-def _count_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of fragment to (fa, n_shared): the sets' numbers of shared head shingles, summed over the task's
-    fragments. A fragment is settled when its last row is read; sums of more than ``HELD`` sets are sent on in between."""
-    fragment, open_rows, held, size = None, [], [], 0
-
-    def settled() -> tuple[np.ndarray, np.ndarray]:
-        return _settle(*(np.concatenate(x) for x in zip(*open_rows)))[2:]
+def _count_fragments(ranges: int):
+    """Rows in order of fragment to rows (f, sets, counts) by range of the sets: their numbers of shared head shingles, summed
+    over the task's fragments. Sums of more than ``HELD`` sets are sent on in between."""
 
-    def batch_of(sets: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), pa.array(counts.astype(np.int64))], ["fa", "n_shared"])
-
-    for batch in batches:
-        for f, a, b in zip(*(batch.column(i) for i in range(3))):
-            row = tuple(np.frombuffer(x.as_buffer(), np.uint64).copy() for x in (a, b))
-            f, done = f.as_py(), []
-            if f != fragment and open_rows:
-                done.append(settled())
-                open_rows = []
-            fragment = f
-            if f < 0:  # settled in the task that sent it
-                done.append(row)
-            else:
-                open_rows.append(row)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for f, rows in _runs(batches):
+            done = rows if f < 0 else [_settle(*(np.concatenate(x) for x in zip(*rows)))[2:]]  # f < 0: settled in the task that sent it
             for sets, counts in done:
                 held.append((sets, counts.astype(np.uint64)))
                 size += len(sets)
@@ -223,13 +235,19 @@ def _count_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 held = [_summed(held)]
                 size = len(held[0][0])
                 if size > HELD:
-                    yield batch_of(*held[0])
+                    yield _packed([*_ranges(*held[0], ranges)])
                     held, size = [], 0
-    if open_rows:
-        sets, counts = settled()
-        held.append((sets, counts.astype(np.uint64)))
-    if held:
-        yield batch_of(*_summed(held))
+        if size:
+            yield _packed([*_ranges(*_summed(held), ranges)])
+
+    return run
+
+
+def _count_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of range to one row (fa, n_shared) for each set."""
+    for _, rows in _runs(batches):
+        sets, counts = _summed(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), pa.array(counts.astype(np.int64))], ["fa", "n_shared"])
 
 
 def _spots(s: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -264,24 +282,38 @@ def _likely_sets(packed):
         for batch in batches:
             one, two = _spots(batch.column(0).to_numpy(zero_copy_only=False), bits)
             part = batch.filter(pa.array(field[one] & field[two]))
-            rows = []
-            for s, t in zip(part.column(0).to_pylist(), part.column(1)):
+            rows, size = [], 0
+            for i, (s, t) in enumerate(zip(part.column(0).to_pylist(), part.column(1)), 1):
                 h = shingles(t.as_py(), hashes)
                 rows.append((s, *digest(h), h.tobytes()))
-            types = [pa.int64()] * 3 + [pa.binary()]
-            cols = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["s", "fa", "fb", "h"])
+                size += len(h)
+                if size >= 8 * BATCH or i == len(part):
+                    types = [pa.int64()] * 3 + [pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["s", "fa", "fb", "h"])
+                    rows, size = [], 0
 
     return run
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(s, h) to one row (t, s) for each shingle."""
+    held, size = [], 0
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        tokens, names = np.concatenate([t for t, _ in held]), np.repeat([s for _, s in held], [len(t) for t, _ in held])
+        for at in range(0, len(tokens), BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + BATCH]) for x in (tokens, names)], ["t", "s"])
+
     for batch in batches:
-        tokens = [np.frombuffer(h.as_py(), np.int64) for h in batch.column(1)]
-        if tokens:
-            names = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(t) for t in tokens])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(names)], ["t", "s"])
+        for s, h in zip(batch.column(0).to_pylist(), batch.column(1)):
+            t = np.frombuffer(h.as_buffer(), np.int64)
+            held.append((t.copy(), s))
+            size += len(t)
+            if size >= BATCH:
+                yield from sent()
+                held, size = [], 0
+    if held:
+        yield from sent()
 
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,8 +472,8 @@ def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     total = sets.agg(F.sum("n")).first()[0] or 0
     fragments = int(max(1, total * 3 // 10 // FRAGMENT_ENTRIES))
     heads = rows.where("doc_id is not null").select("text").mapInArrow(_heads(fragments), "f int, a binary, b binary")
-    counts = heads.repartition("f").sortWithinPartitions("f").mapInArrow(_count_fragments, "fa long, n_shared long")
-    counts = counts.groupBy("fa").agg(F.sum("n_shared").alias("n_shared"))
+    counts = heads.repartition("f").sortWithinPartitions("f").mapInArrow(_count_fragments(fragments), "f int, a binary, b binary")
+    counts = counts.repartition("f").sortWithinPartitions("f").mapInArrow(_count_sets, "fa long, n_shared long")
     likely = nodes.join(counts, "fa").where(f"n_shared >= ceil({NUM} * n / {DEN}) div 10 + 1")
     likely = cut(likely.select(F.monotonically_increasing_id().alias("v"), "s", "n", "fa", "fb"))  # v: a set's own number
     n_likely = likely.count()

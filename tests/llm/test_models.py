@@ -416,9 +416,18 @@ def test_join_head_counts_are_summed_over_fragments(monkeypatch):
         for size in (1, 4, 100):
             parts = [packed[i : i + size] for i in range(0, len(packed), size)]
             batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*p), kinds)], ["f", "a", "b"]) for p in parts]
-            got = {}
-            for out in ngram_join._count_fragments(iter(batches)):
-                for s, n in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
-                    got[s] = got.get(s, 0) + n
-            assert got == expected
-    assert not list(ngram_join._count_fragments(iter([])))
+            for ranges in (1, 3):
+                sent = [r for out in ngram_join._count_fragments(ranges)(iter(batches)) for r in zip(*out.to_pydict().values())]
+                sent = [pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(r, kinds)], ["f", "a", "b"]) for r in sorted(sent)]
+                got = [r for out in ngram_join._count_sets(iter(sent)) for r in zip(*out.to_pydict().values())]
+                assert len(got) == len(expected) and dict(got) == expected
+    assert not list(ngram_join._count_fragments(1)(iter([]))) and not list(ngram_join._count_sets(iter([])))
+
+
+def test_join_elements_come_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(ngram_join, "BATCH", 4)
+    held = {1: list(range(11)), 2: [5], 3: []}
+    given = pa.RecordBatch.from_arrays([pa.array(held), pa.array([np.array(t, np.int64).tobytes() for t in held.values()], pa.binary())], ["s", "h"])
+    out = list(ngram_join._elements(iter([given, given.slice(0, 0)])))
+    assert max(len(b) for b in out) <= 4
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(t, s) for s, ts in held.items() for t in ts]
