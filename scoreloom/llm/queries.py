@@ -15,6 +15,7 @@ from scoreloom.llm.mixing import mix_sources
 from scoreloom.llm.packing import pack_documents
 from scoreloom.llm.secret_scan import scan_secrets
 from scoreloom.llm.toxicity import score_toxicity
+from scoreloom.llm.whitening import whiten_vectors
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.selectExpr("doc_id", "source", "mix_block", "mix_slot", "char_length(coalesce(text, '')) as n_chars")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_fingerprints": op9_fingerprints,
         "op10_mixing": op10_mixing,
+        "op13_whitening": op13_whitening,
     }
 
 
