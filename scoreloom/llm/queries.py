@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scoreloom.llm.common import table
-from scoreloom.llm import line_dedup, ngram_join, topk
+from scoreloom.llm import line_dedup, ngram_join, periodic_runs, topk
 from scoreloom.llm.fingerprints import fingerprint_documents
 from scoreloom.llm.html_extract import extract_pages
 from scoreloom.llm.license_scan import scan_licenses
@@ -68,6 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.selectExpr("doc_id", "source", "mix_block", "mix_slot", "char_length(coalesce(text, '')) as n_chars")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.detect_runs(table(spark, sf_dir, "documents"), rewrite=periodic_runs.planted)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -84,9 +88,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_fingerprints": op9_fingerprints,
         "op10_mixing": op10_mixing,
+        "op12_periodic_runs": op12_periodic_runs,
         "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": topk.ORACLE_SQL, "op5_ngram_join": ngram_join.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
+    return {
+        "op4_exact_topk": topk.ORACLE_SQL,
+        "op5_ngram_join": ngram_join.ORACLE_SQL,
+        "op8_line_dedup": line_dedup.ORACLE_SQL,
+        "op12_periodic_runs": periodic_runs.ORACLE_SQL,
+    }

@@ -95,7 +95,8 @@ def test_whitening_cases(spark):
 def test_whitening_of_wide_deviations(spark):
     """Exact to 64 bits, null beyond."""
     rng = random.Random(2)
-    rows = [(i, [float(np.float32(rng.uniform(-1, 1) * 10.0 ** rng.choice([3, 6, 9]))) for _ in range(3)]) for i in range(40)]
+    rows = [(i, [float(np.float32(rng.uniform(-1, 1) * 1000)) for _ in range(3)]) for i in range(40)]
+    rows += [(50, [2.0**30, 0.0, 1.0]), (51, [-(2.0**30), 1.0, 0.0])]
     ids, n, dev, *_ = plain(rows)
     got = {r["vec_id"]: r["deviation"] for r in whitening.whiten_vectors(spark.createDataFrame(rows, FIELDS)).collect()}
     assert got == {i: s if s < 2**63 else None for i, s in zip(ids, dev)} and None in got.values() and any(got.values())
