@@ -395,7 +395,8 @@ def components(links: DataFrame, rows: int) -> DataFrame:
     seen = sign(edges)
     while seen[0]:
         back = edges.selectExpr("v as u", "u as v")
-        low = least_of(edges.union(back))
+        # renamed, since Spark leaves a checkpoint's constraints as they were in its renewed copies, and a union can't read those
+        low = least_of(back.union(back.selectExpr("v as x", "u as y")))
         large = back.join(low, "u").selectExpr("v as u", "least(u, m) as m").distinct().coalesce(tasks).withColumnRenamed("m", "v")
         large = cut(large)
         found = large.join(least_of(large), "u")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scoreloom.llm.common import table
-from scoreloom.llm import line_dedup, ngram_join, periodic_runs, topk
+from scoreloom.llm import line_dedup, minhash, ngram_join, periodic_runs, topk
 from scoreloom.llm.fingerprints import fingerprint_documents
 from scoreloom.llm.html_extract import extract_pages
 from scoreloom.llm.license_scan import scan_licenses
@@ -68,6 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.selectExpr("doc_id", "source", "mix_block", "mix_slot", "char_length(coalesce(text, '')) as n_chars")
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.dedup_minhash(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.detect_runs(table(spark, sf_dir, "documents"), rewrite=periodic_runs.planted)
 
@@ -88,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_fingerprints": op9_fingerprints,
         "op10_mixing": op10_mixing,
+        "op11_minhash_dedup": op11_minhash_dedup,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_whitening": op13_whitening,
     }
@@ -98,5 +103,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_topk": topk.ORACLE_SQL,
         "op5_ngram_join": ngram_join.ORACLE_SQL,
         "op8_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_minhash_dedup": minhash.ORACLE_SQL,
         "op12_periodic_runs": periodic_runs.ORACLE_SQL,
     }
