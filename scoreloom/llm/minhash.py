@@ -1,27 +1,32 @@
 """MinHash near-duplicates with b-bit signatures: classes of documents whose shingle sets are alike.
 
-A document's set holds the hashes of its distinct five-word shingles. ``HASHES`` multiplicative
-hash functions order the shingles, and the minimum under each is what two sets share with a
-probability equal to their Jaccard similarity.
+A document's set holds the hashes of its distinct five-word shingles. Multiplicative hash functions
+order the shingles, and the minimum under each is what two sets share with a probability equal to
+their Jaccard similarity.
 
 1. *Equal sets* become one node, by a pre-aggregated group of their 128-bit digests.
-2. *Bands.* The minima are cut into ``BANDS`` bands of ``ROWS``; nodes with an equal band meet in a
+2. *Bands.* The first minima make ``BANDS`` bands of ``ROWS``; nodes with an equal band meet in a
    bucket. Two sets of similarity 0.85 share no band with a probability of 6e-11.
-3. *b-bit signatures.* Of each minimum only ``BITS`` low bits are kept, packed as bit planes into four
-   longs. Two signatures are compared by exclusive or and bit counts; of matches by chance there
+3. *b-bit signatures.* Candidates get ``HASHES`` minima, of which only ``BITS`` low bits are kept, packed
+   as bit planes into longs. Two signatures are compared by exclusive or and bit counts; of matches by chance there
    are 2^-BITS, so the estimate is (matches / HASHES - 2^-BITS) / (1 - 2^-BITS). A candidate goes on
    if its matches are not so few that a link would have them with a probability below 1e-9.
-4. *Full sets* decide: partial overlaps of the candidates' whole sets are summed, and
-   100 * intersection >= 85 * union is a link. The estimate only spares that work.
+4. *Own shingles.* The shingles that no other candidate holds are counted once for each candidate. A pair
+   shares none of them, which bounds its similarity: most edited copies of one text, each with
+   edits of its own, can be no links of each other, however alike they look.
+5. *Full sets* decide: 100 * intersection >= 85 * union of the candidates' whole sets is a link. All before
+   only spares that work.
 
 Pairs: a group of thousands of near copies would make all pairs of its members. For classes one
-link to a connected member is enough, so each node is first compared with one leader of its
-buckets that is of another class and looks most alike: the member with the fullest buckets, in later
-rounds another one. Links merge classes. When such rounds yield little more, all remaining pairs
-of different classes in a bucket are compared. A bucket where a node would meet more than
-``CROWD`` nodes of other classes (a passage that very many texts share) is split first, by a further
-band that its members share; so on, until none is crowded. Alike sets share two bands but with a
-probability of 2e-9, and four but with one of 4e-7. Nothing is capped or left out.
+link to a connected member is enough, so each node is first compared with the leader of one of its
+buckets, if that is of another class and may link: of its fullest bucket, then of its emptiest, in
+later rounds of another one. Links merge classes. When such rounds yield little more, all pairs of
+different classes in a bucket are compared by their signatures: first those as alike as half of
+all links look, which merges most of what is left, then all others that may link. A bucket where
+a node would meet more than ``CROWD`` nodes of other classes (a passage that very many texts share)
+is split first, by a further band that its members share, where that at least halves its pairs; so on.
+Alike sets share two bands but with a probability of 2e-9, and four but with one of 4e-7. Nothing is
+capped or left out.
 
 Defined cases: a null or wordless text has the empty set, which links with nothing; fewer words
 than five are one shingle; rows with a null id get their number of shingles and no class; rows that
@@ -43,18 +48,20 @@ from scoreloom.llm.common import cut, fits, forget, quoted, small, tasks_for
 from scoreloom.llm.ngram_join import LEADER_ROUNDS, LEADER_YIELD, MIX, WordHashes, components, digest, id_filter, shingles
 
 NUM, DEN = 17, 20  # similarity 0.85
-BANDS, ROWS, BITS = 32, 4, 2
-HASHES = BANDS * ROWS
+BANDS, ROWS = 32, 4
+#: Hash functions of a signature, and the bits that it keeps of each minimum.
+HASHES, BITS = 1024, 2
 #: The probability with which the signature may turn away a link.
 LOSS = 1e-9
 #: Other classes' nodes that a node may meet in a bucket, on average, before the bucket is split.
 CROWD = 200
-#: Shingles that are hashed at a time.
-CHUNK = 512
+#: Values that are hashed at a time.
+CHUNK = 65_536
 #: Sets of so few elements are like no other set: n / (n + 1) < 0.85.
 ALONE = -(-NUM // (DEN - NUM)) - 1
-SIGNED = "doc_id long, n long, fa long, fb long, b0 long, b1 long, b2 long, b3 long, bands array<long>"
-BITS_OF = ("b0", "b1", "b2", "b3")
+#: Longs of a bit plane, and the signature's columns: plane by plane.
+PLANE = HASHES // 64
+BITS_OF = tuple(f"b{i}" for i in range(BITS * PLANE))
 
 ORACLE_SQL = (
     "SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM ("
@@ -75,11 +82,11 @@ def _constants() -> tuple[np.ndarray, np.ndarray]:
 ADD, TIMES = _constants()
 
 
-def minima(h: np.ndarray) -> np.ndarray:
-    """The least value of a set's elements under each hash function."""
-    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), CHUNK):
-        np.minimum(out, ((h[at : at + CHUNK, None] ^ ADD) * TIMES).min(axis=0), out=out)
+def minima(h: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """The least value of a set's elements under each of the first ``hashes`` functions."""
+    out, step = np.full(hashes, np.iinfo(np.uint64).max, np.uint64), CHUNK // hashes
+    for at in range(0, len(h), step):
+        np.minimum(out, ((h[at : at + step, None] ^ ADD[:hashes]) * TIMES[:hashes]).min(axis=0), out=out)
     return out
 
 
@@ -97,19 +104,19 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def signature(least: np.ndarray) -> np.ndarray:
-    """The low bits of the mixed minima as bit planes, two longs a plane."""
+    """The low bits of the mixed minima as bit planes."""
     low = _mixed(least)
     planes = [np.packbits(((low >> np.uint64(b)) & np.uint64(1)).astype(np.uint8)) for b in range(BITS)]
     return np.concatenate(planes).view(np.int64)
 
 
-def least_matches(similarity: float = NUM / DEN) -> int:
-    """The most matches below which a link falls with a probability of ``LOSS`` at most."""
+def least_matches(loss: float = LOSS, similarity: float = NUM / DEN) -> int:
+    """The most matches below which a link falls with a probability of ``loss`` at most."""
     p = 2.0**-BITS + (1 - 2.0**-BITS) * similarity
     total, m = 0.0, 0
     while m < HASHES:
         total += comb(HASHES, m) * p**m * (1 - p) ** (HASHES - m)
-        if total > LOSS:
+        if total > loss:
             return m
         m += 1
     return m
@@ -117,7 +124,8 @@ def least_matches(similarity: float = NUM / DEN) -> int:
 
 def matches(a: str, b: str) -> str:
     """SQL: the number of hash functions whose low bits agree."""
-    differ = (f"bit_count(({a}.b{i} ^ {b}.b{i}) | ({a}.b{i + 2} ^ {b}.b{i + 2}))" for i in range(2))
+    planes = lambda i: " | ".join(f"({a}.b{j} ^ {b}.b{j})" for j in range(i, BITS * PLANE, PLANE))
+    differ = (f"bit_count({planes(i)})" for i in range(PLANE))
     return f"({HASHES} - {' - '.join(differ)})"
 
 
@@ -126,93 +134,128 @@ def estimate(a: str, b: str) -> str:
     return f"(({matches(a, b)} / {HASHES} - {2.0**-BITS}D) / {1 - 2.0**-BITS}D)"
 
 
-def _may_link(a: str, b: str) -> str:
-    sizes = f"{NUM} * greatest({a}.n, {b}.n) <= {DEN} * least({a}.n, {b}.n)"
-    return f"{sizes} and {matches(a, b)} >= {least_matches()}"
+def _may_link(a: str, b: str, least: int) -> str:
+    most = f"least({a}.m, {b}.m)"  # m: shingles that another candidate holds too
+    return f"{DEN} * {most} >= {NUM} * ({a}.n + {b}.n - {most}) and {matches(a, b)} >= {least}"
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to ``SIGNED``; sets that are like no other have no bands."""
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, n, fa, fb, bands); sets that are like no other have no bands."""
     hashes = WordHashes()
     for batch in batches:
-        rows, signs, keys, ends = [], [], [], [0]
+        rows, keys, ends = [], [], [0]
         for t in batch.column(1):
             h = shingles(t.as_py(), hashes)
             rows.append((len(h), *digest(h)))
             if len(h) > ALONE:
-                least = minima(h)
-                signs.append(signature(least))
-                keys.append(band_keys(least))
-            else:
-                signs.append(np.zeros(len(BITS_OF), np.int64))
+                keys.append(band_keys(minima(h, BANDS * ROWS)))
             ends.append(len(keys) * BANDS)
         columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 3)]
-        columns += [pa.array(c) for c in np.array(signs, np.int64).reshape(-1, len(BITS_OF)).T]
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-        names = ["doc_id", "n", "fa", "fb", *BITS_OF, "bands"]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns, bands], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns, bands], ["doc_id", "n", "fa", "fb", "bands"])
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s, ts) to (v, b0, ...): the signature of a whole set."""
+    for batch in batches:
+        signs = [signature(minima(np.frombuffer(ts.as_buffer(), np.uint64))) for ts in batch.column(1)]
+        columns = [pa.array(c) for c in np.array(signs, np.int64).reshape(-1, len(BITS_OF)).T]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["v", *BITS_OF])
 
 
 def confirmed(pairs: DataFrame, rows: int, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links by their whole sets: overlaps by segment, summed. Sides are broadcast where they fit."""
-    segments = sets.mapInArrow(ngram_join._segments, "s long, n long, f int, seg binary")
+    """The pairs (a, b) that are links by their whole ``sets`` (s, n, ts). Sides are broadcast where they fit."""
     ends = small(pairs.select("b").distinct(), rows, 16)
-    held = cut(segments.join(ends, F.col("b") == F.col("s")).selectExpr("b", "n as nb", "f", "seg as y"))
+    held = cut(sets.join(ends, F.col("b") == F.col("s")).selectExpr("b", "n as nb", "ts as y"))
     n, size = held.agg(F.count("*"), F.coalesce(F.sum(F.length("y")), F.lit(0))).first()
     right = F.broadcast(held) if fits(64 * n + size, 1) else held
-    left = segments.selectExpr("s as a", "n as na", "f", "seg as x").join(small(pairs.select("a", "b"), rows, 32), "a")
-    both = left.join(right, ["b", "f"]).select("a", "b", "na", "nb", "x", "y")
-    partial = both.mapInArrow(ngram_join._overlaps, "a long, b long, na long, nb long, o long")
-    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    links = cut(summed.where(f"{DEN} * o >= {NUM} * (na + nb - o)").select("a", "b").coalesce(tasks_for(rows)))
+    left = sets.selectExpr("s as a", "n as na", "ts as x").join(small(pairs.select("a", "b"), rows, 32), "a")
+    both = left.join(right, "b").select("a", "b", "na", "nb", "x", "y")
+    overlaps = both.mapInArrow(ngram_join._overlaps, "a long, b long, na long, nb long, o long")
+    links = cut(overlaps.where(f"{DEN} * o >= {NUM} * (na + nb - o)").select("a", "b"))
     forget(held)
     return links
 
 
-def led_pairs(lists: DataFrame, step: int, count: int) -> DataFrame:
-    """Each node with that leader of its buckets, of another class, which looks most alike."""
-    key = "struct(c, v)" if step == 0 else f"struct(double(xxhash64(v, {step})) as c, v)"
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """(v, own): the number of a set's shingles that no other of the ``sets`` (s, n, ts) holds, where there are some."""
+    elements = sets.select("s", "ts").mapInArrow(ngram_join._elements, "t long, s long")
+    alone = elements.groupBy("t").agg(F.count("*").alias("df"), F.max("s").alias("v")).where("df = 1")
+    return alone.groupBy("v").agg(F.count("*").alias("own"))
+
+
+def led_pairs(postings: DataFrame, named: DataFrame, step: int, count: int) -> DataFrame:
+    """Each node with the leader of one of its buckets, if that is of another class and may link.
+
+    A node goes to its fullest bucket first, then to its emptiest, then to others; its leader is the node there
+    whose buckets are fullest, in later rounds another one.
+    """
+    order = {0: "df", 1: "-df"}.get(step, f"xxhash64(t, {step})")
+    chosen = postings.groupBy("v").agg(F.expr(f"max(struct({order} as o, t))").getField("t").alias("t"))
+    lists = chosen.join(named, "v")
+    key = "struct(c, v)" if step < 2 else f"struct(double(xxhash64(v, {step})) as c, v)"
     led = lists.groupBy("t").agg(
-        F.expr(f"max(struct({key} as o, n, k, {', '.join(BITS_OF)}))").alias("l"), F.min("k").alias("k0"), F.max("k").alias("k1")
+        F.expr(f"max(struct({key} as o, n, m, k, {', '.join(BITS_OF)}))").alias("l"), F.min("k").alias("k0"), F.max("k").alias("k1")
     )
     led = led.where("k0 <> k1").select("t", "l.*")
-    found = lists.alias("x").join(led.alias("l"), "t").where(f"x.k <> l.k and {_may_link('x', 'l')}")
-    found = found.selectExpr("x.v as a", "x.k as ka", f"struct({estimate('x', 'l')} as e, l.o.v as b, l.k as kb) as o")
-    return found.groupBy("a", "ka").agg(F.max("o").alias("o")).selectExpr("a", "o.b as b", "ka", "o.kb as kb").coalesce(tasks_for(count))
+    found = lists.alias("x").join(led.alias("l"), "t").where(f"x.k <> l.k and {_may_link('x', 'l', least_matches())}")
+    return found.selectExpr("x.v as a", "l.o.v as b", "x.k as ka", "l.k as kb").coalesce(tasks_for(count))
+
 
+def _cross(lists: DataFrame, *bucket: str) -> DataFrame:
+    """(*bucket, members, cross): a bucket's nodes, and twice its pairs of different classes, where there are some."""
+    sizes = lists.groupBy(*bucket, "k").agg(F.count("*").alias("one")).groupBy(*bucket)
+    sizes = sizes.agg(F.sum("one").alias("members"), F.expr("sum(one) * sum(one) - sum(one * one)").alias("cross"))
+    return sizes.where("cross > 0")
 
-def remaining_pairs(lists: DataFrame, bands: DataFrame) -> DataFrame:
-    """All pairs of nodes of different classes that a bucket holds and that may link; crowded buckets by a further band."""
-    out, before = None, []
+
+def remaining_pairs(lists: DataFrame, named: DataFrame, bands: DataFrame, least: int) -> DataFrame:
+    """All pairs of nodes of different classes in a bucket of ``lists`` (t, v, i, k) that may link; crowded buckets by a further band."""
+    out, before, level = None, [], 0
+    wide = named.join(bands, "v")
+    # a pair is compared in one bucket alone: that of the first bands that it shares
+    first = "size(filter(zip_with(slice(x.bands, 1, x.i), slice(l.bands, 1, x.i), (p, q) -> p = q), z -> z))"
     while True:
-        sizes = lists.groupBy("t", "k").agg(F.count("*").alias("m")).groupBy("t").agg(F.sum("m").alias("m"), F.expr("sum(m * m)").alias("q"))
-        sizes = sizes.where("q < m * m").select("t", (F.expr("m * m - q") > F.lit(CROWD) * F.col("m")).alias("crowded"))
+        sizes = _cross(lists, "t").select("t", "cross", (F.col("cross") > F.lit(CROWD) * F.col("members")).alias("crowded"))
         marked = cut(lists.join(sizes, "t"))
-        calm = marked.where("not crowded")
-        pairs = calm.alias("x").join(calm.alias("l"), "t").where(f"x.k < l.k and {_may_link('x', 'l')}")
-        pairs = cut(pairs.selectExpr("x.v as a", "l.v as b", "x.k as ka", "l.k as kb").distinct())
+        before.append(marked)
+        calm, crowd = marked.where("not crowded").drop("cross", "crowded"), marked.where("crowded").drop("crowded")
+        wider = None
+        if crowd.limit(1).count():
+            # with each band behind the bucket's last one: of the bands that two nodes share, the first lead to the next
+            wider = crowd.join(bands, "v").select(*crowd.columns, F.posexplode("bands").alias("j", "y")).where("j > i")
+            wider = wider.withColumn("u", F.xxhash64("t", "y"))
+            halved = _cross(wider, "t", "u").groupBy("t").agg(F.sum("cross").alias("after"))
+            gains = cut(crowd.select("t", "cross").distinct().join(halved, "t", "left").select("t", F.expr("2 * coalesce(after, 0) < cross").alias("gain")))
+            calm = calm.unionByName(crowd.join(gains.where("not gain"), "t").drop("cross", "gain"))
+            wider = wider.join(gains.where("gain"), "t", "left_semi").withColumns({"t": F.col("u"), "i": F.col("j")}).select(*lists.columns)
+            before.append(gains)
+        known = calm.drop("k").join(wide, "v")
+        pairs = known.alias("x").join(known.alias("l"), "t").where(f"x.k < l.k and {_may_link('x', 'l', least)} and {first} = {level}")
+        pairs = cut(pairs.selectExpr("x.v as a", "l.v as b", "x.k as ka", "l.k as kb"))
         out = pairs if out is None else out.unionByName(pairs)
-        crowd = marked.where("crowded")
-        more = crowd.count()
-        before += [marked, pairs]
-        if not more:
-            pairs = cut(out.distinct())
+        before.append(pairs)
+        if wider is None:
+            pairs = cut(out.distinct())  # buckets whose keys are alike by chance
             forget(*before)
             return pairs
-        # with each band behind the bucket's last one: of the bands that two nodes share, the first lead to the next
-        wider = crowd.join(bands, "v").select(*crowd.columns, F.posexplode("bands").alias("j", "y")).where("j > i")
-        lists = wider.withColumns({"t": F.xxhash64("t", "y"), "i": F.col("j")}).drop("j", "y", "crowded")
+        lists, level = cut(wider), level + 1
+        before.append(lists)
 
 
 def node_classes(nodes: DataFrame, count: int, postings: DataFrame, sets: DataFrame, bands: DataFrame) -> DataFrame:
-    """(s, k) of all ``nodes`` (v, n, b0..b3, c): the smallest v that each reaches."""
+    """(s, k) of all ``nodes`` (v, n, m, c, b0..b3): the smallest v that each reaches."""
     labels = cut(nodes.selectExpr("v as s", "v as k"))
-    leading, step = True, 0
-    while True:
-        named = nodes.select("v", "n", "c", *BITS_OF).join(small(labels, count, 32), F.col("v") == F.col("s")).drop("s")
-        lists = postings.join(small(named, count, 80), "v")
-        pairs = cut(led_pairs(lists, step, count)) if leading else remaining_pairs(lists, bands)
+    steps = [("led", k) for k in range(LEADER_ROUNDS)] + [("all", least_matches(0.5)), ("all", least_matches())]
+    while steps:
+        kind, at = steps.pop(0)
+        named = small(nodes.select("v", "n", "m", "c", *BITS_OF).join(small(labels, count, 32), F.col("v") == F.col("s")).drop("s"), count, 64 + 8 * len(BITS_OF))
+        if kind == "led":
+            pairs = cut(led_pairs(postings, named, at, count))
+        else:
+            lists = postings.drop("df").join(small(labels.select(F.col("s").alias("v"), "k"), count, 32), "v")
+            pairs = remaining_pairs(lists, named, bands, at)
         n_pairs = pairs.count()
         links = confirmed(pairs, n_pairs, sets)
         n_links = links.count()
@@ -223,37 +266,43 @@ def node_classes(nodes: DataFrame, count: int, postings: DataFrame, sets: DataFr
             labels = cut(moved.select("s", F.coalesce("c", "k").alias("k")))
             forget(before, merged)
         forget(pairs, links)
-        if not leading:
-            return labels
-        step += 1
-        leading = step < LEADER_ROUNDS and n_links > LEADER_YIELD * n_pairs
+        if kind == "led" and at and n_links <= LEADER_YIELD * count:
+            steps = [x for x in steps if x[0] == "all"]
+    return labels
 
 
 def dedup_minhash(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     rows = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).cast("string").alias("text"))
-    signed = cut(rows.mapInArrow(_signed, SIGNED))
-    firsts = [F.first(c).alias(c) for c in ("n", *BITS_OF, "bands")]
-    grouped = signed.where("n > 0 and doc_id is not null").groupBy("fa", "fb").agg(F.min("doc_id").alias("s"), F.count("*").alias("m"), *firsts)
+    known = cut(rows.mapInArrow(_banded, "doc_id long, n long, fa long, fb long, bands array<long>"))
+    firsts = [F.first(c).alias(c) for c in ("n", "bands")]
+    grouped = known.where("n > 0 and doc_id is not null").groupBy("fa", "fb").agg(F.min("doc_id").alias("s"), F.count("*").alias("m"), *firsts)
     nodes = cut(grouped.select(F.monotonically_increasing_id().alias("v"), "*"))  # v: a set's own number
     lists = nodes.select("v", F.posexplode("bands").alias("i", "t"))
     shared = lists.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     postings = cut(lists.join(shared, "t"))
     met = postings.groupBy("v").agg(F.sum("df").cast("double").alias("c"))
-    likely = cut(nodes.join(met, "v").select("v", "s", "fa", "fb", "n", "c", *BITS_OF, "bands"))
+    likely = cut(nodes.join(met, "v").select("v", "s", "fa", "fb", "n", "c", "bands"))
     count = likely.count()
     packed = docs.sparkSession.sparkContext.broadcast(np.packbits(id_filter(likely.select("s"), count)).tobytes())
     found = rows.where("doc_id is not null").mapInArrow(ngram_join._likely_sets(packed), "s long, fa long, fb long, h binary")
     found = found.join(small(likely.select("v", "n", "s", "fa", "fb"), count, 64), ["s", "fa", "fb"])
-    sets = cut(found.dropDuplicates(["v"]).selectExpr("v as s", "n", "h as ts"))  # repeated rows count once
-    labels = node_classes(likely, count, postings.select("t", "v", "i"), sets, likely.select("v", "bands"))
-    named = likely.join(small(labels, count, 32), F.col("v") == labels["s"]).select(likely["s"], "fa", "fb", "k")
+    whole = sets = cut(found.dropDuplicates(["v"]).selectExpr("v as s", "n", "h as ts"))  # repeated rows count once
+    own = likely.join(small(shared_sizes(sets), count, 16), "v", "left").withColumn("m", F.expr("n - coalesce(own, 0)")).drop("own")
+    own = cut(own.where(f"{DEN} * m >= {NUM} * n"))
+    left = own.count()
+    sets = sets.join(small(own.select(F.col("v").alias("s")), left, 8), "s", "left_semi")
+    signs = sets.select("s", "ts").mapInArrow(_signed, f"v long, {', '.join(f'{b} long' for b in BITS_OF)}")
+    able = cut(own.join(signs, "v"))
+    kept = cut(postings.join(small(able.select("v"), left, 8), "v", "left_semi"))
+    labels = node_classes(able, left, kept, sets, able.select("v", "bands"))
+    named = able.join(small(labels, left, 32), F.col("v") == labels["s"]).select(able["s"], "fa", "fb", "k")
     lowest = named.groupBy("k").agg(F.min("s").alias("component_id"), F.count("*").alias("members"))
-    moved = named.join(small(lowest, count, 32), "k").where("members > 1").select("fa", "fb", "component_id")
+    moved = named.join(small(lowest, left, 32), "k").where("members > 1").select("fa", "fb", "component_id")
     copies = nodes.where("m > 1").select("fa", "fb", "s")
-    changed = cut(copies.join(small(moved, count, 48), ["fa", "fb"], "full").select("fa", "fb", F.coalesce("component_id", "s").alias("c")))
-    forget(sets, postings, likely, nodes)
-    known = signed.select("doc_id", "n", "fa", "fb").join(small(changed, changed.count(), 64), ["fa", "fb"], "left")
+    changed = cut(copies.join(moved, ["fa", "fb"], "full").select("fa", "fb", F.coalesce("component_id", "s").alias("c")))
+    forget(whole, postings, kept, likely, own, able, nodes)
+    known = known.select("doc_id", "n", "fa", "fb").join(small(changed, changed.count(), 64), ["fa", "fb"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     known = known.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return known.withColumn("kept", F.col("doc_id") == F.col("component_id"))
