@@ -43,14 +43,15 @@ def control_scores(points: DataFrame, version: str, alphas=ALPHAS) -> DataFrame:
     return points.select("source_id", "series_id", "t", "y").groupBy("series_id").applyInPandas(run, schema)
 
 
-def acceptance(series: DataFrame, summary: DataFrame, audit: DataFrame, expected: list[str], resumed: DataFrame) -> DataFrame:
+def acceptance(series: DataFrame, summary: DataFrame, audit: DataFrame, expected: list[str], resumed: DataFrame, population: DataFrame) -> DataFrame:
     """(check, passed): the gate over a run of controls.
 
     ``series``: (control, series_id, L_basis, CDU); ``summary``: (control, cdu, ci_low, ci_high); ``audit``: (source_id, passed) of
-    each fold; ``expected``: the controls that the run must hold; ``resumed``: the rows of ``series`` of a second run.
+    each fold; ``expected``: the controls that the run must hold; ``resumed``: the rows of ``series`` of a second run that was
+    stopped and resumed; ``population``: (series_id), what each control must hold, from the data and not from the run.
     Complete and sound: every control is there, no fold saw its test source, and a run that starts again gives the same rows.
     Meaning: negative controls cover zero and are not above it, dose and response rise together, the largest dose is above zero.
-    Data: one baseline for all controls, finite losses, each series once in each control.
+    Data: one baseline for all controls and both runs, finite losses, each series of the population once in each control.
     """
     alpha = F.regexp_replace(F.regexp_extract("control", r"^alpha_(.*)$", 1), "p", ".").try_cast("double")
     dose = F.col("alpha").isNotNull()
@@ -67,15 +68,17 @@ def acceptance(series: DataFrame, summary: DataFrame, audit: DataFrame, expected
         (F.corr(F.when(dose, F.col("ra")), F.when(dose, F.col("rc"))) >= TREND).alias("increase"),
     )
     bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-    by_control = series.groupBy("control").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("series_id").alias("k"))
-    n = series.select("series_id").distinct().agg(F.count(F.lit(1)).alias("whole"))
-    covered = by_control.crossJoin(n).agg(F.bool_and((F.col("n") == F.col("k")) & (F.col("n") == F.col("whole"))).alias("series_once"))  # one row on the right
-    spread = series.groupBy("series_id").agg((F.min("L_basis").eqNullSafe(F.max("L_basis"))).alias("same"))
-    same = spread.agg(F.bool_and("same").alias("one_baseline"))
+    wanted = population.select("series_id").distinct().crossJoin(F.broadcast(series.select("control").distinct()))  # a row for each control
+    counted = series.groupBy("control", "series_id").agg(F.count(F.lit(1)).alias("times"))
+    covered = wanted.withColumn("w", F.lit(1)).join(counted, ["control", "series_id"], "full")
+    covered = covered.agg((F.count_if(F.col("w").isNull() | ~F.coalesce(F.col("times") == 1, F.lit(False))) == 0).alias("series_once"))
+    runs = series.select("series_id", "L_basis").unionByName(resumed.select("series_id", "L_basis"))
+    same = runs.groupBy("series_id").agg(F.min("L_basis").eqNullSafe(F.max("L_basis")).alias("same")).agg(F.bool_and("same").alias("one_baseline"))
     finite = series.agg((F.count_if(bad("L_basis") | bad("CDU")) == 0).alias("all_finite"))
     folds = audit.agg(F.bool_and("passed").alias("folds_pass"))
     columns = ["control", "series_id", "L_basis", "CDU"]
-    again = series.select(columns).exceptAll(resumed.select(columns)).agg((F.count(F.lit(1)) == 0).alias("resumed_equal"))
+    one_way = lambda a, b: a.select(columns).exceptAll(b.select(columns)).agg(F.count(F.lit(1)).alias("n"))
+    again = one_way(series, resumed).unionByName(one_way(resumed, series)).agg((F.sum("n") == 0).alias("resumed_equal"))
     one = by_summary.crossJoin(covered).crossJoin(same).crossJoin(finite).crossJoin(folds).crossJoin(again)  # one row each
     checks = [F.struct(F.lit(k).alias("check"), F.coalesce(k, F.lit(False)).alias("passed")) for k in one.columns]
     return one.select(F.explode(F.array(*checks)).alias("r")).select("r.*")

@@ -24,29 +24,15 @@ def autocorrelation(x: np.ndarray, lags: int = LAGS) -> np.ndarray:
     return r / r[0] if r[0] > 0 else np.full(len(r), np.nan)
 
 
-def period(x: np.ndarray, rank: int = 1) -> int:
-    """The lag of the highest local maximum of the autocorrelation from lag 3 on; 125 where there is no usable one.
-
-    With ``rank`` 2 or 3 it is the highest of the maxima behind the one of the rank before.
-    """
+def period(x: np.ndarray) -> int:
+    """The lag of the highest local maximum of the autocorrelation from lag 3 on; 125 where there is no usable one."""
     if np.ndim(x) > 1:
         return 0
-    if rank == 0:
-        return 1
     r = autocorrelation(np.asarray(x, float)[:POINTS])[BASE:] if len(x) > 1 else np.zeros(0)
     at = np.flatnonzero((r[1:-1] > r[:-2]) & (r[1:-1] > r[2:])) + 1
     if not len(at):
         return FALLBACK
-    order = np.argsort(r[at])[::-1]
-    chosen = order[0]
-    if rank >= 2:
-        later = [i for i in order[1:] if i > order[0]]
-        if rank == 2 and later:
-            chosen = later[0]
-        if rank == 3 and later:
-            behind = [i for i in order[later[0] :] if later[0] < len(order) and i > order[later[0]]]
-            chosen = behind[0] if behind else chosen
-    lag = int(at[chosen]) + BASE
+    lag = int(at[np.argmax(r[at])]) + BASE
     return lag if LOW <= lag <= HIGH else FALLBACK
 
 
@@ -105,12 +91,12 @@ def series_vus(points: DataFrame, score: str, window: int | None = None) -> Data
     return points.select("source_id", "series_id", "t", "x", "y", F.col(score).alias("s")).groupBy("series_id").applyInPandas(run, schema)
 
 
-def series_periods(points: DataFrame, rank: int = 1) -> DataFrame:
+def series_periods(points: DataFrame) -> DataFrame:
     kind = dict(points.dtypes)["series_id"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("t")["x"].to_numpy()
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[:1], "period": [period(x, rank)]})
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[:1], "period": [period(x)]})
 
     return points.select("series_id", "t", "x").groupBy("series_id").applyInPandas(run, f"series_id {kind}, period int")
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scoreloom.functions import columns as C
+from scoreloom.functions.storage import cut, shared_folder
 from scoreloom.operators import inference as I
 from scoreloom.operators import losses as L
+from scoreloom.operators import runs as R
 from scoreloom.plans import oracle as O
 from scoreloom.plans.catalog import query
 from scoreloom.sources import tables as S
@@ -102,20 +106,36 @@ def positive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_CDU = "SELECT 'all' AS family, detector AS condition, source_id, CDU AS v FROM by_source"
+_PAIRS = """SELECT 'pairs' AS family, a.detector || '-' || b.detector AS condition, a.source_id, a.CDU - b.CDU AS v FROM by_source a JOIN by_source b USING (source_id)
+WHERE (a.detector, b.detector) IN (('qty', 'disc'), ('qty', 'tax'), ('disc', 'tax'))"""
+PAIRS = [("qty", "disc"), ("qty", "tax"), ("disc", "tax")]
+_BOOTSTRAP = f"""SELECT condition, {O.r('any_value(mean)')} AS mean, {O.interval()}, {O.r('avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END)')} AS p_positive,
+any_value(n) AS n_sources FROM boot JOIN stats USING (family, condition) GROUP BY condition"""
+
+
+@query(f"WITH {O.BY_SOURCE}, {O.boot(_CDU, I.DRAWS)} {_BOOTSTRAP}")
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.cluster_bootstrap(conditions(spark, sf_dir))
+    return tidy(I.cluster_bootstrap(conditions(spark, sf_dir), drawn="hash"))
 
 
-@query()
+@query(f"WITH {O.BY_SOURCE}, {O.boot(_PAIRS, I.FAMILY_DRAWS)} {_BOOTSTRAP}")
+def contrast_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of paired contrasts, all on the same draws."""
+    rows = I.paired_contrasts(conditions(spark, sf_dir), PAIRS)
+    return tidy(I.cluster_bootstrap_family(rows, drawn="hash"))
+
+
+@query(f"WITH {O.BY_SOURCE}, {O.boot(_CDU, I.FAMILY_DRAWS)}{O.simultaneous()}")
 def simultaneous_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.simultaneous_intervals(conditions(spark, sf_dir))
+    return tidy(I.simultaneous_intervals(conditions(spark, sf_dir), drawn="hash"))
 
 
-@query()
+@query(f"WITH {O.BY_SOURCE}, {O.boot(_PAIRS, I.FAMILY_DRAWS)}{O.simultaneous()}")
 def paired_contrast_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.paired_contrasts(conditions(spark, sf_dir), [("qty", "disc"), ("qty", "tax"), ("disc", "tax")])
-    return I.simultaneous_intervals(rows.select(F.lit("pairs").alias("family"), F.concat_ws("-", "a", "b").alias("condition"), "source_id", "v"))
+    rows = I.paired_contrasts(conditions(spark, sf_dir), PAIRS)
+    rows = rows.select(F.lit("pairs").alias("family"), F.concat_ws("-", "a", "b").alias("condition"), "source_id", "v")
+    return tidy(I.simultaneous_intervals(rows, drawn="hash"))
 
 
 @query(f"WITH {O.BY_SOURCE} SELECT a.detector AS a, b.detector AS b, a.source_id, {O.r('a.CDU - b.CDU')} AS v FROM by_source a JOIN by_source b USING (source_id) WHERE (a.detector, b.detector) IN (('qty', 'disc'), ('qty', 'tax'), ('disc', 'tax'))")
@@ -276,18 +296,19 @@ def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT detector, count(*) FILTER (q.series_id IS NULL) AS different FROM losses l LEFT JOIN q ON q.series_id = l.series_id AND q.a = round(L_null, 12) AND q.b = round(L_basis, 12)
 WHERE detector <> 'qty' GROUP BY detector""")
 def baseline_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series whose shared losses differ from those of the first detector."""
-    rows = losses(spark, sf_dir).select("detector", "series_id", F.round("L_null", 12).alias("a"), F.round("L_basis", 12).alias("b"))
-    first = rows.where("detector = 'qty'").select("series_id", "a", "b", F.lit(True).alias("same"))
-    joined = rows.where("detector <> 'qty'").join(first, ["series_id", "a", "b"], "left")
+    """Series whose shared losses differ from those of the first detector, each detector evaluated in a run of its own."""
+    own = [losses(spark, sf_dir, [d]).select("detector", "series_id", F.round("L_null", 12).alias("a"), F.round("L_basis", 12).alias("b")) for d in DETECTORS]
+    first = own[0].select("series_id", "a", "b", F.lit(True).alias("same"))
+    joined = own[1].unionByName(own[2]).join(first, ["series_id", "a", "b"], "left")
     return joined.groupBy("detector").agg(F.count_if(F.col("same").isNull()).alias("different"))
 
 
-@query(f"""WITH {O.SUMMARY}, k AS (SELECT detector, row_number() OVER (ORDER BY round(CDU, 9), detector) AS r FROM summary)
+@query(f"""WITH {O.SUMMARY}, k AS (SELECT detector, rank() OVER (ORDER BY round(CDU, 9)) AS r FROM summary)
 SELECT count(DISTINCT r) = count(*) AS distinct_ranks, max(r) AS worst FROM k""")
 def rank_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.orderBy(F.round("CDU", 9), "detector")  # one row for each detector
-    k = summary(spark, sf_dir).select(F.row_number().over(order).cast("long").alias("r"))
+    """Whether no two detectors share a rank, as equal values would."""
+    order = Window.orderBy(F.round("CDU", 9))  # one row for each detector
+    k = summary(spark, sf_dir).select(F.rank().over(order).cast("long").alias("r"))
     return k.agg((F.countDistinct("r") == F.count("r")).alias("distinct_ranks"), F.max("r").alias("worst"))
 
 
@@ -308,3 +329,26 @@ def cumulative_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.orderBy("detector").rowsBetween(Window.unboundedPreceding, 0)  # one row for each detector
     rows = summary(spark, sf_dir)
     return tidy(rows.select("detector", "CDU", F.sum("CDU").over(order).alias("running"), F.max("CDU").over(order).alias("cummax")))
+
+
+@query(f"""WITH {O.NULLS}, f AS (SELECT source_id, row_number() OVER (ORDER BY source_id) AS i FROM per_source)
+SELECT source_id AS fold, count(*) AS n_series, {O.r('avg(L_null)')} AS L_null, any_value(CASE WHEN i <= 5 THEN 1 ELSE 2 END) AS call,
+TRUE AS same_digest, TRUE AS same_keys, TRUE AS finite FROM nulls JOIN f USING (source_id) GROUP BY source_id""")
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over folds that stops after five of them and is resumed: the call that computed each, and whether its rows are what was published."""
+    points = S.unordered_points(spark, sf_dir)
+    rows = cut(L.null_losses(L.series_counts(points)).select("source_id", "series_id", "L_null"))
+    wanted = rows.select(F.col("source_id").alias("fold"), "series_id")
+    mark = R.signature({"query": "null losses", "version": 1}, {"rows": rows})
+    folder = f"{shared_folder(spark)}/nulls-{uuid.uuid4().hex}"
+
+    def call(number: int):
+        held = F.col("source_id").alias("fold")
+        return lambda folds: rows.where(F.col("source_id").isin(folds)).select(held, "series_id", "L_null", F.lit(number).alias("call"))
+
+    R.resume(R.Run(spark, folder, mark), wanted, "series_id", call(1), most=5, at_once=5)
+    run = R.Run(spark, folder, mark)
+    found = R.resume(run, wanted, "series_id", call(2), at_once=1000)
+    held = found.groupBy("fold").agg(F.count(F.lit(1)).alias("n_series"), F.avg("L_null").alias("L_null"), F.max("call").alias("call"))
+    checks = run.checked(wanted, "series_id").where("published").select(F.col("fold").cast("long").alias("fold"), "same_digest", "same_keys", "finite")
+    return tidy(held.join(checks, "fold"))

@@ -141,25 +141,6 @@ def edge_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.with_feature(S.event_points(spark, sf_dir), "Range-32").select("series_id", "t", C.rounded("Range-32").alias("v"))
 
 
-def _names_query(name: str, kept: list[str]) -> None:
-    values = ", ".join(f"({i}, '{n}')" for i, n in enumerate(B.NAMES))
-    families = sorted({B.family_of(n) for n in kept})
-    listed = ", ".join(f"'{f}'" for f in families)
-    sql = f"SELECT i, name FROM (VALUES {values}) v(i, name) WHERE split_part(name, '-', 1) IN ({listed})"
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = spark.createDataFrame(list(enumerate(B.NAMES)), "i int, name string")
-        return rows.where(F.col("name").isin(kept))
-
-    query(sql, name)(run)
-
-
-for _family in B.FAMILIES:
-    _names_query(f"without_{_family}", B.without_family(B.NAMES, _family))
-for _strength in B.STRENGTHS:
-    _names_query(f"strength_{_strength}", B.of_strength(B.NAMES, _strength))
-
-
 @query()
 def period_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.series_periods(S.points(spark, sf_dir))

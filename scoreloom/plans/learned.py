@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions import columns as C
 from scoreloom.functions.storage import cut, shared_folder
 from scoreloom.operators import basis as B
-from scoreloom.operators import controls, regression, sampling
+from scoreloom.operators import controls, regression, runs, sampling
 from scoreloom.operators import inference as I
 from scoreloom.operators import losses as L
 from scoreloom.operators import probes as P
@@ -267,13 +267,19 @@ def series_cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.cluster_bootstrap(values).withColumnRenamed("n_sources", "n_series").join(counts, "condition")
 
 
-def control_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(control, source_id, series_id, L_basis, CDU) of noise, the duplicate and every positive control."""
+def control_losses(spark: SparkSession, sf_dir: str, blocks: DataFrame | None = None, sources: list | None = None, held: list | None = None) -> DataFrame:
+    """(control, fold, source_id, series_id, L_basis, CDU) of noise, the duplicate and every positive control.
+
+    ``held``: the folds to compute, by their held-out sources (all); ``fold`` is the source that a fold holds out, and
+    ``source_id`` where the points came from."""
     columns = {"duplicate": REFERENCE.index(controls.DUPLICATE)} | {c: EXTRA + i for i, c in enumerate(CONTROLS)}
     probes = [P.Probe("basis", BASIS), *(P.Probe(c, (*BASIS, at)) for c, at in columns.items())]
-    found = P.fold_losses(series_blocks(spark, sf_dir, ("controls",)), width_of(("controls",)), probes, P.held_out(sources_of(spark, sf_dir)))
+    blocks = series_blocks(spark, sf_dir, ("controls",)) if blocks is None else blocks
+    held = held or sources or sources_of(spark, sf_dir)
+    found = P.fold_losses(blocks, width_of(("controls",)), probes, P.held_out(held))
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("control"), (F.col("L_basis") - F.col(f"L_{c}")).alias("CDU")) for c in columns)))
-    return found.select(F.col("g").alias("source_id"), "series_id", "L_basis", each.alias("r")).select("r.control", "source_id", "series_id", "L_basis", "r.CDU")
+    rows = found.select(F.get(F.lit(held), F.col("fold")).alias("fold"), F.col("g").alias("source_id"), "series_id", "L_basis", each.alias("r"))
+    return rows.select("r.control", "fold", "source_id", "series_id", "L_basis", "r.CDU")
 
 
 def control_summary(rows: DataFrame) -> DataFrame:
@@ -289,20 +295,28 @@ def control_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def control_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The acceptance gate on a run of all controls."""
-    rows = cut(control_losses(spark, sf_dir))
+    """The acceptance gate on a run of all controls, with a second run that stops after a third of its folds and is resumed."""
+    blocks, sources = series_blocks(spark, sf_dir, ("controls",)), sources_of(spark, sf_dir)
+    rows = cut(control_losses(spark, sf_dir, blocks, sources))
     summary = control_summary(rows).select(F.col("condition").alias("control"), F.col("mean").alias("cdu"), "ci_low", "ci_high")
-    sources = sources_of(spark, sf_dir)
-    audit = spark.createDataFrame([(s, s not in [o for o in sources if o not in f.held]) for s, f in zip(sources, P.held_out(sources))], "source_id long, passed boolean")
-    again = rows.sparkSession.read.schema(rows.schema).parquet(_written(rows))
-    return controls.acceptance(rows, summary, audit, ["duplicate", *CONTROLS], again)
-
-
-def _written(rows: DataFrame) -> str:
-    """``rows`` written to the shared folder, as a run that is resumed reads them."""
-    path = f"{shared_folder(rows.sparkSession)}/resumed-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return path
+    # a fold passes if what it scored is what it held out, and nothing else
+    held = spark.createDataFrame([(s,) for s in sources], "fold long")
+    seen = rows.groupBy("fold").agg(F.bool_and(F.col("source_id") == F.col("fold")).alias("own"))
+    audit = held.join(seen, "fold", "left").select(F.col("fold").alias("source_id"), F.coalesce("own", F.lit(False)).alias("passed"))
+    population = S.series_dim(spark, sf_dir).join(S.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("series_id")), "series_id", "left_semi")
+    wanted = population.select(F.col("source_id").alias("fold"), "series_id").crossJoin(spark.createDataFrame([(c,) for c in ("duplicate", *CONTROLS)], "control string"))
+    wanted = wanted.select("fold", F.concat_ws("/", "control", F.col("series_id").cast("string")).alias("key"))  # a handful of controls
+    folder = f"{shared_folder(spark)}/controls-{uuid.uuid4().hex}"
+    marked = runs.signature({"version": "controls-v1", "alphas": controls.ALPHAS, "cap": CAP}, {"blocks": blocks.select("series_id", "n", "x", "y", "w")})
+
+    def compute(folds: list) -> DataFrame:
+        found = control_losses(spark, sf_dir, blocks, sources, folds)
+        return found.withColumn("key", F.concat_ws("/", "control", F.col("series_id").cast("string")))
+
+    third = max(1, len(sources) // 3)
+    runs.resume(runs.Run(spark, folder, marked), wanted, "key", compute, most=third, at_once=third)
+    again = runs.resume(runs.Run(spark, folder, marked), wanted, "key", compute, at_once=len(sources))
+    return controls.acceptance(rows, summary, audit, ["duplicate", *CONTROLS], again, population)
 
 
 _RIDGE = f"""WITH {O.UNITS}, w AS (SELECT u.*, 1 / (n_series * n) AS w FROM units u JOIN counts USING (source_id, series_id) JOIN per_source USING (source_id)),

@@ -84,3 +84,31 @@ SUMMARY = BY_SOURCE + """, summary AS (
 
 def r(value: str, places: int = 6) -> str:
     return f"round({value}, {places}) + 0.0"
+
+
+def boot(values: str, draws: int, seed: int = 2024) -> str:
+    """``values`` is a query (family, condition, source_id, v); then ``stats`` and the resampled means ``boot`` (family, condition, rep, m)."""
+    return f"""vals AS ({values}), placed AS (
+  SELECT family, condition, v, row_number() OVER (PARTITION BY family, condition ORDER BY source_id) - 1 AS pos, count(*) OVER (PARTITION BY family, condition) AS n FROM vals
+), draws AS (
+  SELECT n, rep, CAST('0x' || substr(md5(concat_ws('|', '{seed}', CAST(rep AS VARCHAR), CAST(j AS VARCHAR))), 1, 15) AS BIGINT) % n AS pos
+  FROM (SELECT n, rep, unnest(range(n)) AS j FROM (SELECT DISTINCT n FROM placed), (SELECT unnest(range({draws})) AS rep))
+), boot AS (
+  SELECT family, condition, rep, avg(v) AS m FROM draws JOIN placed USING (n, pos) GROUP BY ALL
+), stats AS (
+  SELECT family, condition, avg(v) AS mean, count(*) AS n, stddev_samp(v) / sqrt(count(*)) AS se, count(*) FILTER (v > 0) AS positive FROM vals GROUP BY ALL
+)"""
+
+
+def interval(m: str = "m") -> str:
+    return f"{r(f'quantile_cont({m}, 0.025)')} AS ci_low, {r(f'quantile_cont({m}, 0.975)')} AS ci_high"
+
+
+def simultaneous() -> str:
+    """Behind ``boot``: the max-t intervals."""
+    return f""", q AS (
+  SELECT family, quantile_cont(t, 0.95) AS q FROM (SELECT family, rep, max(abs((m - mean) / se)) AS t FROM boot JOIN stats USING (family, condition) GROUP BY ALL) GROUP BY family
+), ci AS (
+  SELECT family, condition, {interval()} FROM boot GROUP BY ALL
+) SELECT family, condition, {r('mean')} AS mean, {r('se')} AS se, {r('q')} AS q, {r('mean - q * se')} AS low, {r('mean + q * se')} AS high, ci_low, ci_high, positive
+FROM stats JOIN q USING (family) JOIN ci USING (family, condition)"""

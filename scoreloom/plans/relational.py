@@ -293,11 +293,11 @@ def array_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "embeddings").select("vec_id", C.array_sha256("embedding").alias("hash"))
 
 
-@query("SELECT p_brand, count(*) AS n, bool_and(abs(p_retailprice - (p_retailprice * 2 - p_retailprice)) <= 1e-9) AS close, round(max(sign(p_size - 25)), 6) + 0.0 AS top, round(sum(sqrt(p_size)), 5) + 0.0 AS roots FROM part GROUP BY p_brand")
+@query("SELECT p_brand, count(*) AS n, bool_and(abs(p_retailprice - round(p_retailprice, 2)) <= 1e-9) AS close, round(max(sign(p_size - 25)), 6) + 0.0 AS top, round(sum(sqrt(p_size)), 5) + 0.0 AS roots FROM part GROUP BY p_brand")
 def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("p_retailprice")
     return S.table(spark, sf_dir, "part").groupBy("p_brand").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and(F.abs(price - (price * 2 - price)) <= 1e-9).alias("close"),
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.abs(price - F.round(price, 2)) <= 1e-9).alias("close"),
         C.rounded(F.max(F.signum(F.col("p_size") - 25))).alias("top"), C.rounded(F.sum(F.sqrt("p_size")), 5).alias("roots"))
 
 
