@@ -9,8 +9,8 @@ is less than one block away from its target share.
 Weights are fractions a / D with the fixed denominator ``resolution``, so the schedule
 repeats every D slots: one period is scheduled on the driver, and the slot of any block
 follows by arithmetic. When a source has no block left, a new phase begins with the weights
-of the others scaled up; there are at most as many phases as sources, and the driver holds
-one count for each source.
+of the others scaled up; there are at most as many phases as sources. The driver holds one
+count for each source and a row for each source and phase in which it has a block.
 
 Plan: documents are numbered within their source without a window over a whole source. The
 order is that of a hash; its leading bits deal a source into chunks of bounded size, chunk
@@ -32,6 +32,7 @@ without a given weight has the least; columns named mix_block or mix_slot (with
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,41 +56,62 @@ def shares(weights: dict, resolution: int) -> dict:
     return got
 
 
-def period(numerators: dict) -> list:
-    """Earliest deadline first over one period: the source of each slot."""
+def earliest_deadlines(numerators: dict) -> Iterator:
+    """Earliest deadline first over one period, slot by slot: the source of each.
+
+    A source's next block waits for its release, floor(k / w), and then stands among the ready ones by its
+    deadline, ceil((k + 1) / w); only one block of each source is held.
+    """
     size = sum(numerators.values())
     names = sorted(numerators, key=lambda s: (s is None, s or ""))
-    jobs = sorted((k * size // numerators[s], -(-(k + 1) * size // numerators[s]), i) for i, s in enumerate(names) for k in range(numerators[s]))
-    ready, at, out = [], 0, []
+    due = lambda i, k: -(-(k + 1) * size // numerators[names[i]])
+    ready, waiting = [(due(i, 0), i, 0) for i in range(len(names))], []
+    heapq.heapify(ready)
     for slot in range(size):
-        while at < len(jobs) and jobs[at][0] <= slot:
-            heapq.heappush(ready, jobs[at][1:])
-            at += 1
-        due, i = heapq.heappop(ready)
-        assert due > slot
-        out.append(names[i])
-    return out
+        while waiting and waiting[0][0] <= slot:
+            _, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (due(i, k), i, k))
+        end, i, k = heapq.heappop(ready)
+        assert end > slot
+        yield names[i]
+        if k + 1 < numerators[names[i]]:
+            heapq.heappush(waiting, ((k + 1) * size // numerators[names[i]], i, k + 1))
+
+
+def period(numerators: dict) -> list:
+    """The source of each slot of one period."""
+    return list(earliest_deadlines(numerators))
 
 
 def phases(blocks: dict, weights: dict, resolution: int) -> list[tuple]:
     """Rows (source, first, behind, base, picks, size): block k in [first, behind) of ``source`` stands in slot
-    base + (k - first) div len(picks) * size + picks[(k - first) % len(picks)]."""
+    base + (k - first) div len(picks) * size + picks[(k - first) % len(picks)].
+
+    A phase that ends within its first period is followed no further than its end, and a source has a row for
+    each phase in which it has a block: there are no more rows than blocks.
+    """
     left, done, base, rows = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
     while left:
-        order = period(shares({s: weights[s] for s in left}, max(resolution, 4 * len(left))))
-        picks: dict = {s: [] for s in left}
-        for slot, s in enumerate(order):
-            picks[s].append(slot)
-        size = len(order)
-        end = min((n - 1) // len(picks[s]) * size + picks[s][(n - 1) % len(picks[s])] for s, n in left.items())
-        for s, n in list(left.items()):
+        numerators = shares({s: weights[s] for s in left}, max(resolution, 4 * len(left)))
+        picks: dict = {}
+        for slot, s in enumerate(earliest_deadlines(numerators)):
+            own = picks.setdefault(s, [])
+            own.append(slot)
+            if len(own) == left[s]:  # the first to run out, in the first period
+                end = slot
+                break
+        else:
+            end = min((n - 1) // len(picks[s]) * slot + (n - 1) // len(picks[s]) + picks[s][(n - 1) % len(picks[s])] for s, n in left.items())
+        size = sum(numerators.values())
+        for s, own in picks.items():
             whole, rest = divmod(end + 1, size)
-            taken = whole * len(picks[s]) + sum(p < rest for p in picks[s])
-            rows.append((s, done[s], done[s] + taken, base, picks[s], size))
-            done[s] += taken
-            left[s] = n - taken
-            if not left[s]:
-                del left[s]
+            taken = whole * len(own) + sum(p < rest for p in own)
+            if taken:
+                rows.append((s, done[s], done[s] + taken, base, own, size))
+                done[s] += taken
+                left[s] -= taken
+                if not left[s]:
+                    del left[s]
         base += end + 1
     return rows
 
