@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 from collections.abc import Callable
 
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.functions.columns import array_sha256
+
 #: Fixed values of the period estimate.
 FALLBACK, BASE, LAGS, POINTS, LOW, HIGH = 125, 3, 400, 20_000, 6, 300
 
@@ -24,10 +27,12 @@ def autocorrelation(x: np.ndarray, lags: int = LAGS) -> np.ndarray:
     return r / r[0] if r[0] > 0 else np.full(len(r), np.nan)
 
 
-def period(x: np.ndarray) -> int:
-    """The lag of the highest local maximum of the autocorrelation from lag 3 on; 125 where there is no usable one."""
+def period(x: np.ndarray, rank: int = 1) -> int:
+    """The lag of the highest local maximum of the autocorrelation from lag 3 on; 125 where there is no usable one, 1 for rank 0."""
     if np.ndim(x) > 1:
         return 0
+    if rank == 0:
+        return 1
     r = autocorrelation(np.asarray(x, float)[:POINTS])[BASE:] if len(x) > 1 else np.zeros(0)
     at = np.flatnonzero((r[1:-1] > r[:-2]) & (r[1:-1] > r[2:])) + 1
     if not len(at):
@@ -133,15 +138,18 @@ def register(name: str, scorer: Scorer) -> None:
 
 
 def sweep(points: DataFrame, detector: str, config: dict | None = None, train: str = "train_cut", seed: int = 2024) -> DataFrame:
-    """Score every series; a manifest row for each with the scores, their hash, and PASS or FAIL."""
+    """Score every series; a manifest row for each with the scores, their hash and length, the share of finite ones, the settings, and PASS or FAIL."""
     kinds, scorer, config = dict(points.dtypes), SCORERS[detector], config or {}
+    shown = json.dumps(config, sort_keys=True)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, began = pdf.sort_values("t"), time.perf_counter()
-        row = {"series_id": pdf["series_id"].iloc[0], "detector": detector, "seed": seed, "label_length": len(pdf)}
+        row = {"series_id": pdf["series_id"].iloc[0], "detector": detector, "seed": seed, "label_length": len(pdf), "score_length": 0, "finite_ratio": 0.0}
+        row |= {"config": shown, "config_hash": hashlib.sha256(shown.encode()).hexdigest()}
         try:
             x = pdf["x"].to_numpy(float)
-            s = np.asarray(scorer(x[: int(pdf["cut"].iloc[0])], x, config, seed), float)
+            s = np.asarray(scorer(x[: int(pdf["cut"].iloc[0])], x, config, seed), float).ravel()
+            row |= {"score_length": len(s), "finite_ratio": float(np.isfinite(s).mean()) if len(s) else 0.0}
             if len(s) != len(x) or not np.isfinite(s).all():
                 raise ValueError("scores of another length, or not finite")
             row |= {"status": "PASS", "error": "", "scores": s, "score_hash": hashlib.sha256(s.astype("<f8").tobytes()).hexdigest()}
@@ -150,7 +158,39 @@ def sweep(points: DataFrame, detector: str, config: dict | None = None, train: s
         return pd.DataFrame([row | {"runtime_sec": time.perf_counter() - began}])
 
     schema = (
-        f"series_id {kinds['series_id']}, detector string, seed int, label_length int, status string, error string,"
-        " scores array<double>, score_hash string, runtime_sec double"
+        f"series_id {kinds['series_id']}, detector string, seed int, label_length int, score_length int, finite_ratio double, config string,"
+        " config_hash string, status string, error string, scores array<double>, score_hash string, runtime_sec double"
     )
     return points.select("series_id", "t", "x", F.col(train).alias("cut")).groupBy("series_id").applyInPandas(run, schema)
+
+
+def resumed_sweep(
+    points: DataFrame, detector: str, manifest: DataFrame, retry_failed: bool = False, config: dict | None = None, train: str = "train_cut", seed: int = 2024
+) -> DataFrame:
+    """The whole manifest after another call: series that ``manifest`` has as PASS keep their row, as do failed ones unless they are retried."""
+    kept = manifest.where(F.col("detector") == detector)
+    kept = kept.where("status = 'PASS'") if retry_failed else kept
+    left = points.join(kept.select("series_id"), "series_id", "left_anti")
+    return kept.unionByName(sweep(left, detector, config, train, seed))
+
+
+def linked(scores: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(series_id, n_points, score_hash, linked): whether a stored score array (series_id, scores) has the hash of its manifest row."""
+    found = scores.select("series_id", F.size("scores").cast("long").alias("n_points"), array_sha256("scores").alias("now"))
+    both = found.join(manifest.select("series_id", "score_hash"), "series_id", "full")
+    return both.select("series_id", F.coalesce("n_points", F.lit(0)).alias("n_points"), "score_hash", F.coalesce(F.col("now") == F.col("score_hash"), F.lit(False)).alias("linked"))
+
+
+def rerun(points: DataFrame, detector: str, config: dict | None = None, train: str = "train_cut", seed: int = 2024) -> DataFrame:
+    """(series_id, detector, run1, run2, same, status): a scorer run twice, the second time on points in another order and by halves of the series.
+
+    A scorer that draws without its seed, keeps state between series or depends on the order of its input shows."""
+
+    def hashes(of: DataFrame, i: int) -> DataFrame:
+        return sweep(of, detector, config, train, seed).select("series_id", F.col("score_hash").alias(f"run{i}"), F.col("status").alias(f"s{i}"))
+
+    turned, half = points.repartition(3).sortWithinPartitions(F.desc("t")), F.pmod(F.xxhash64("series_id"), F.lit(2))
+    one, two = hashes(points.repartition(7, "t"), 1), hashes(turned.where(half == 0), 2).unionByName(hashes(turned.where(half == 1), 2))
+    both = one.join(two, "series_id", "full")
+    same = F.coalesce((F.col("run1") == F.col("run2")) & (F.col("s1") == "PASS") & (F.col("s2") == "PASS"), F.lit(False))
+    return both.select("series_id", F.lit(detector).alias("detector"), "run1", "run2", same.alias("same"), F.when(same, "PASS").otherwise("FAIL").alias("status"))

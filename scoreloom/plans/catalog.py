@@ -27,7 +27,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _load() -> None:
-    from scoreloom.plans import evaluation, features, learned, relational  # noqa: F401  each registers its queries
+    from scoreloom.plans import evaluation, features, learned, provenance, relational  # noqa: F401  each registers its queries
 
 
 def queries() -> dict[str, Query]:

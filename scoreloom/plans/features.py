@@ -141,7 +141,11 @@ def edge_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.with_feature(S.event_points(spark, sf_dir), "Range-32").select("series_id", "t", C.rounded("Range-32").alias("v"))
 
 
-@query()
+@query(f"""WITH {O.POINTS}, d AS (SELECT series_id, t, x - avg(x) OVER w AS d, count(*) OVER w AS n FROM points WHERE t < 20000 WINDOW w AS (PARTITION BY series_id)),
+r AS (SELECT a.series_id, g.lag, sum(a.d * b.d) AS r FROM d a CROSS JOIN (SELECT unnest(range(3, 401)) AS lag) g JOIN d b ON b.series_id = a.series_id AND b.t = a.t + g.lag GROUP BY ALL),
+m AS (SELECT series_id, lag, r, lag(r) OVER o AS before, lead(r) OVER o AS behind FROM r WINDOW o AS (PARTITION BY series_id ORDER BY lag)),
+best AS (SELECT series_id, arg_max(lag, r) AS lag FROM m WHERE r > before AND r > behind GROUP BY series_id)
+SELECT series_id, CAST(CASE WHEN lag BETWEEN 6 AND 300 THEN lag ELSE 125 END AS INTEGER) AS period FROM (SELECT DISTINCT series_id FROM points) LEFT JOIN best USING (series_id)""")
 def period_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.series_periods(S.points(spark, sf_dir))
 
@@ -153,9 +157,14 @@ def volume_under_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def detector_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest row for each series of one scorer."""
-    points = S.points(spark, sf_dir).withColumn("train_cut", F.lit(100))
-    return metrics.sweep(points, "robust_z").select("series_id", "detector", "label_length", "status", "error", "score_hash")
+    """A manifest row for each series and scorer; the last scorer's sweep goes on from a manifest that holds its even series."""
+    points, out = S.points(spark, sf_dir).withColumn("train_cut", F.lit(100)), None
+    for d in ("robust_z", "local_variance", "next_point"):
+        one = metrics.sweep(points, d)
+        if d == "next_point":
+            one = metrics.resumed_sweep(points, d, metrics.sweep(points.where("series_id % 2 = 0"), d))
+        out = one if out is None else out.unionByName(one)
+    return out.select("series_id", "detector", "label_length", "score_length", "finite_ratio", "config_hash", "status", "error", "score_hash")
 
 
 @query()

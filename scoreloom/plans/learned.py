@@ -371,11 +371,18 @@ def ridge_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("""WITH u AS (SELECT i, i / 20.0::DOUBLE AS x FROM range(0, 21) r(i)), v AS (SELECT i, x * 3 AS z FROM u)
-SELECT i, round(CASE WHEN z <= 1 THEN pow(1 - z, 3) / 6 ELSE 0 END, 9) + 0.0 AS first,
-round(CASE WHEN z < 1 THEN pow(z, 3) / 6 WHEN z < 2 THEN (-3 * pow(z - 1, 3) + 3 * pow(z - 1, 2) + 3 * (z - 1) + 1) / 6 ELSE (3 * pow(z - 2, 3) - 6 * pow(z - 2, 2) + 4) / 6 END, 9) + 0.0 AS fourth FROM v""")
+@query(f"""WITH {O.POINTS}, u AS (SELECT series_id, 3 * {O.rank01('x')} AS z FROM points)
+SELECT series_id, {O.r('avg(CASE WHEN z <= 1 THEN pow(1 - z, 3) / 6 ELSE 0 END)')} AS first,
+{O.r('avg(CASE WHEN z < 1 THEN pow(z, 3) / 6 WHEN z < 2 THEN (-3 * pow(z - 1, 3) + 3 * pow(z - 1, 2) + 3 * (z - 1) + 1) / 6 ELSE (3 * pow(z - 2, 3) - 6 * pow(z - 2, 2) + 4) / 6 END)')} AS fourth
+FROM u GROUP BY series_id""")
 def spline_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two of the cubic B-splines on [0, 1] by the probe's own recursion."""
-    x = [i / 20 for i in range(21)]
-    values = P.spline_columns(__import__("numpy").array(x))
-    return spark.createDataFrame([(i, round(float(v[0]), 9) + 0.0, round(float(v[3]), 9) + 0.0) for i, v in enumerate(values)], "i long, first double, fourth double")
+    """Means of two of the cubic B-splines of each series' ranked curve, by the probe's own recursion."""
+    rows = S.unordered_points(spark, sf_dir).select("series_id", C.rank01("x", "series_id").alias("u"))
+
+    def run(frames):
+        for f in frames:
+            v = P.spline_columns(f["u"].to_numpy(float))
+            yield pd.DataFrame({"series_id": f["series_id"], "first": v[:, 0], "fourth": v[:, 3]})
+
+    columns = rows.mapInPandas(run, f"series_id {dict(rows.dtypes)['series_id']}, first double, fourth double")
+    return tidy(columns.groupBy("series_id").agg(F.avg("first").alias("first"), F.avg("fourth").alias("fourth")))

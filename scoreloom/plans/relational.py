@@ -265,10 +265,11 @@ def string_json_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_replace(F.lit("0p25"), "p", ".").cast("double").alias("alpha"), F.format_string("%.3f", "value").alias("text"))
 
 
-@query()
+@query(f"""WITH {NAMES_SQL}, h AS (SELECT series_id, sha256('v1|' || file) AS h FROM names)
+SELECT series_id, CAST(CAST('0x' || substr(h, 15, 2) || substr(h, 13, 2) || substr(h, 11, 2) || substr(h, 9, 2) || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS UBIGINT) AS VARCHAR) AS seed FROM h""")
 def seed_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64-bit seeds of series names, in the JVM."""
-    return S.series_names(spark, sf_dir).select("series_id", C.seed64_column(F.concat(F.lit("v1|"), F.col("file"))).alias("seed"))
+    """64-bit seeds of series names, as decimal text, in the JVM."""
+    return S.series_names(spark, sf_dir).select("series_id", C.seed64_column(F.concat(F.lit("v1|"), F.col("file"))).cast("string").alias("seed"))
 
 
 @query("""SELECT vec_id, round(list_sum(embedding), 4) + 0.0 AS total, list_position(embedding, list_max(embedding)) - 1 AS argmax, len(list_filter(embedding, lambda v: v > 0)) AS positive,
@@ -323,14 +324,3 @@ def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL")
 def condition_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""WITH h AS (SELECT label, vec_id, md5(CAST(vec_id AS VARCHAR)) AS a, md5(CAST(vec_id + CASE WHEN vec_id % 50 = 7 THEN 1 ELSE 0 END AS VARCHAR)) AS b FROM embeddings)
-SELECT label, count(*) AS screened, count(*) FILTER (a = b) AS passed, CASE WHEN count(*) FILTER (a = b) = count(*) THEN 'PASS' ELSE 'FAIL' END AS status FROM h GROUP BY label""")
-def reproducibility_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes of two runs compared by group."""
-    one = F.md5(F.col("vec_id").cast("string"))
-    two = F.md5((F.col("vec_id") + F.when(F.col("vec_id") % 50 == 7, 1).otherwise(0)).cast("string"))
-    rows = S.table(spark, sf_dir, "embeddings").select("label", (one == two).alias("same"))
-    counted = rows.groupBy("label").agg(F.count(F.lit(1)).alias("screened"), F.count_if("same").alias("passed"))
-    return counted.withColumn("status", F.when(F.col("passed") == F.col("screened"), "PASS").otherwise("FAIL"))

@@ -102,3 +102,25 @@ def latex(df: DataFrame, places: int = 4, most: int = 1000) -> str:
     """A small result as the rows of a TeX table."""
     head, rows = _cells(df, places, most)
     return "\n".join(" & ".join(x.replace("_", "-") for x in r) + r" \\" for r in [head, *rows])
+
+
+def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(file, bytes, sha256) of every file below ``path``, hashed where it is read; files of up to 2 GB, and not those of no bytes, which Spark leaves out."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def compared(found: DataFrame, audit: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, bytes, sha256, status) of digests against an audit: SAME, CHANGED, MISSING (in the audit alone) or UNKNOWN (not in the audit)."""
+    known = audit.select(*keys, F.col("sha256").alias("__want"))
+    status = (
+        F.when(F.col("sha256").isNull(), "MISSING").when(F.col("__want").isNull(), "UNKNOWN").when(F.col("sha256") == F.col("__want"), "SAME").otherwise("CHANGED")
+    )
+    return found.join(known, list(keys), "full").select(*keys, "bytes", "sha256", status.alias("status"))
+
+
+def union_of(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
+    return out
