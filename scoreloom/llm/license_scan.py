@@ -3,7 +3,9 @@
 Fuzzy search goes by the pigeonhole rule. A notice of m bytes that may hold k edits is
 cut into k + 1 pieces, so one piece at least stands unchanged in every match. The pieces
 are searched for exactly; around each hit a window of its own is handed to the ``regex``
-library, whose bounded-error matching verifies the edits and reports the best span.
+library, whose bounded-error matching verifies the edits and reports the best span. Edits may fall
+anywhere but on the words that tell a licence from its neighbours: those have to stand exactly at the
+place found (whole words, in order), and no word that makes another licence of it in or beside it.
 
 Rows are independent, so the operator is one ``mapInArrow`` over the scan: no shuffle,
 memory of one text at a time, and a lost task is simply run again.
@@ -29,15 +31,16 @@ BASE_PHRASES = (
     ("cc-by-nc", "cc by nc"),
 )
 
-#: Notices searched for with edits, normalised to lower-case words.
+#: Notices searched for with edits, normalised to lower-case words; the words that have to stand exactly; and
+#: words that make another licence of it, at the place or next to it.
 NOTICES = (
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("gpl-3", "gnu general public license version 3"),
-    ("gpl-2", "gnu general public license version 2"),
-    ("mpl-2", "mozilla public license version 2 0"),
+    ("mit", "released under the mit license", ("mit",)),
+    ("mit", "licensed under the mit license", ("mit",)),
+    ("apache-2", "licensed under the apache license version 2 0", ("apache", "2")),
+    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc", "by", "nc"), ("sa", "nd")),
+    ("gpl-3", "gnu general public license version 3", ("general", "3"), ("lesser", "library", "affero")),
+    ("gpl-2", "gnu general public license version 2", ("general", "2"), ("lesser", "library", "affero")),
+    ("mpl-2", "mozilla public license version 2 0", ("mozilla", "2")),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
@@ -57,10 +60,11 @@ SCHEMA = (
 
 
 class Notice:
-    """A notice with its exact seeds and its bounded-error pattern."""
+    """A notice with its exact seeds, its bounded-error pattern, and the words that have to or must not stand there."""
 
-    def __init__(self, label: str, text: str, bytes_per_edit: int = BYTES_PER_EDIT):
+    def __init__(self, label: str, text: str, telling: tuple = (), barred: tuple = (), bytes_per_edit: int = BYTES_PER_EDIT):
         self.label, self.text = label, text.encode()
+        self.telling, self.barred = tuple(w.encode() for w in telling), frozenset(w.encode() for w in barred)
         self.edits = max(1, len(self.text) // bytes_per_edit)
         n, parts = len(self.text), self.edits + 1
         cuts = [n * i // parts for i in range(parts + 1)]
@@ -77,12 +81,25 @@ class Notice:
                 p = words.find(seed, p + 1)
         return sorted(found)
 
+    def tells(self, words: bytes, a: int, b: int) -> bool:
+        """Whether the whole words at [a, b) hold the telling ones in order, and neither they nor their neighbours a barred one."""
+        if not self.telling and not self.barred:
+            return True
+        start, end = words.rfind(b" ", 0, a) + 1, words.find(b" ", b)
+        end = len(words) if end < 0 else end
+        here = words[start:end].split()
+        at = iter(here)
+        if not all(w in at for w in self.telling):  # each is looked for behind the one before
+            return False
+        before, after = words[max(0, start - 40) : start].split()[-1:], words[end : end + 40].split()[:1]
+        return not self.barred & {*here, *before, *after}
+
     def matches(self, words: bytes) -> Iterator[tuple[int, int, int]]:
         """(start, end, edits) of each match, from left to right; of overlapping ones that of fewest edits."""
         found = set()
         for a, b in self.windows(words):
             m = self.pattern.search(words, a, b)
-            if m:
+            if m and self.tells(words, m.start(), m.end()):
                 found.add((sum(m.fuzzy_counts), m.start(), m.end()))
         kept: list[tuple[int, int, int]] = []
         for e, a, b in sorted(found):
