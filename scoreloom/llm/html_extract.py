@@ -81,6 +81,18 @@ NAMES = re.compile(
     r"|(?:^|\s)(?:(?:site|page|main|global|top)[_-])?(?:header|footer|aside|search|form|notice|copyright)(?:$|\s)",
     re.I,
 )
+#: Inside an article only a whole name of these counts, or one with a part that says what it is (share-links, post-ads):
+#: an article may be about share prices, related work or navigation.
+_INSIDE = (
+    r"(?:ad|ads|adv|advert|advertisement|adverts|banner|sponsor|sponsored|promo|promotion|nav|navbar|menu|breadcrumb|breadcrumbs|masthead|sidebar|widget"
+    r"|related|recommended|share|sharing|social|cookie|cookies|consent|gdpr|popup|modal|newsletter|subscribe|signup|login|complementary|contentinfo|pagination|pager)"
+)
+INSIDE = re.compile(
+    rf"(?:^|\s)(?:(?:post|entry|article|page|site|inline)[_-])?{_INSIDE}"
+    r"(?:[_-](?:links?|buttons?|icons?|bar|box|slot|unit|posts?|articles?|stories|banner|container|wrapper|widget|form|block|notice|tools))?(?:$|\s)"
+    r"|(?:^|\s)(?:(?:site|page|main|global|top)[_-])?(?:header|footer|aside|search|form|notice|copyright)(?:$|\s)",
+    re.I,
+)
 #: Of these, names that an article element inside does not undo.
 FIRM = re.compile(r"(?:^|[\s_-])(?:comment|comments|reply|replies|respond|disqus)(?:$|[\s_-])", re.I)
 #: A tag from its name on. A quote counts only behind an equals sign; nothing is read twice.
@@ -126,8 +138,8 @@ def boilerplate_level(tag: str, named: dict[str, str]) -> int:
     return 1 if any(NAMES.search(x) for x in names) else 0
 
 
-def _about(tag: str, rest: str) -> tuple[int, str, bool]:
-    """The boilerplate level, first class and whether it is a body, of a tag with the attributes ``rest``.
+def _about(tag: str, rest: str) -> tuple[int, int, str, bool]:
+    """The boilerplate level outside and inside an article, the first class and whether it is a body, of a tag with the attributes ``rest``.
 
     A header's own level is that of its names: 2 unless it is the article's heading, which the caller knows.
     """
@@ -136,7 +148,8 @@ def _about(tag: str, rest: str) -> tuple[int, str, bool]:
     level = boilerplate_level(tag, named)
     if tag == "header" and level == 2 and not any(NAMES.search(named.get(k, "")) for k in ("class", "id", "role")):
         level = -1
-    return level, classes[0] if classes else "", tag in ("article", "main") or named.get("role") == "main"
+    inside = int(any(INSIDE.search(named.get(k, "")) for k in ("class", "id", "role"))) if level == 1 else level
+    return level, inside, classes[0] if classes else "", tag in ("article", "main") or named.get("role") == "main"
 
 
 _about_short = lru_cache(8192)(_about)
@@ -263,7 +276,8 @@ def read_page(source: str, whole: bool = True) -> tuple[list[Block], list[int |
         if tag in VOID or tag in ("svg", "math") and rest.endswith("/"):
             continue
         _, path, role, article = open_.stack[-1]
-        level, name, body = _about_short(tag, rest) if len(rest) <= SHORT else _about(tag, rest)
+        level, inside, name, body = _about_short(tag, rest) if len(rest) <= SHORT else _about(tag, rest)
+        level = inside if article else level
         if level < 0:
             level = 0 if article else 2  # the article's own heading, or the page's
         below = _below(path, tag, name if len(name) <= SHORT else xxhash.xxh3_64_hexdigest(name))
