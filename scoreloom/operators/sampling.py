@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scoreloom.functions.columns import SEED, seed64
+from scoreloom.functions.storage import cut
 
 
 def sample_indices(series: str, length: int, cap: int, version: str) -> np.ndarray:
@@ -56,6 +57,42 @@ def series_folds(series: list, k: int, seed: int = SEED) -> list[tuple]:
     return [(ranked[i], f) for f, part in enumerate(np.array_split(order, k)) for i in part]
 
 
+def numbered(rows: DataFrame, order: str, each: int = 100_000) -> DataFrame:
+    """``rows`` with ``rank`` (from 0) in the order of a column without repeats: ranges are numbered apart, and only their sizes meet."""
+    n = rows.count()
+    parts = max(1, -(-n // each))
+    ranged = rows.repartitionByRange(parts, order) if parts > 1 else rows.coalesce(1)
+    ranged = cut(ranged.withColumn("__part", F.spark_partition_id()))
+    sizes, starts, at = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}, [], 0  # a row for each range
+    for part in sorted(sizes):
+        starts.append((part, at))
+        at += sizes[part]
+    known = F.broadcast(rows.sparkSession.createDataFrame(starts, "__part int, __start long"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    return ranged.withColumn("rank", place.cast("long")).join(known, "__part").withColumn("rank", F.col("rank") + F.col("__start")).drop("__part", "__start")
+
+
+def fold_table(series: DataFrame, k: int, seed: int = SEED, column: str = "series_id", each: int = 100_000) -> DataFrame:
+    """(series_id, k): ``series_folds`` of the distinct series, as a table: no list of series comes to the driver.
+
+    A task takes a range of the permutation and says which rank stands there; ranks join the numbered series.
+    """
+    ranked = numbered(series.select(column).distinct(), column, each)
+    n = ranked.count()
+
+    def dealt(frames):
+        for frame in frames:
+            for first in frame["id"]:
+                order = np.random.RandomState(seed).permutation(n)[first * each : (first + 1) * each]
+                place = np.arange(len(order)) + first * each
+                big, size = n % k, n // k  # the first folds have one more
+                fold = np.where(place < big * (size + 1), place // (size + 1), (place - big) // max(size, 1))
+                yield pd.DataFrame({"rank": order.astype(np.int64), "k": fold.astype(np.int32)})
+
+    slices = series.sparkSession.range(max(1, -(-n // each)))
+    return ranked.join(slices.mapInPandas(dealt, "rank long, k int"), "rank").select(column, "k")
+
+
 def keep_one(rows: DataFrame, keys: list[str], order: str, last: bool = False) -> DataFrame:
     """The first (or last) row of each key by ``order``."""
     by = Window.partitionBy(*keys).orderBy(F.desc(order) if last else F.asc(order))

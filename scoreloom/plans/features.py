@@ -208,9 +208,8 @@ def seed_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def series_fold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shuffled five folds over series; the list is as long as the number of series."""
-    series = [r[0] for r in S.series_dim(spark, sf_dir).select("series_id").distinct().collect()]
-    return spark.createDataFrame(sampling.series_folds(series, 5), "series_id long, fold int")
+    """Shuffled five folds over series."""
+    return sampling.fold_table(S.series_dim(spark, sf_dir), 5).withColumnRenamed("k", "fold")
 
 
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")

@@ -240,10 +240,9 @@ def nested_c_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(folds, fold, interface, series_id, L_prior, L_basis): folds over series, for ranked and for min-max curves."""
     blocks, out = series_blocks(spark, sf_dir, ("legacy",), by_series=True), None
-    series = sorted(r[0] for r in blocks.select("series_id").collect())  # the fold table's permutation is of the whole list
     probes = [P.Probe("symmetric_rank", BASIS), P.Probe("legacy", tuple(range(EXTRA, EXTRA + len(REFERENCE)))), P.Probe("prior", ())]
     for k in SERIES_FOLDS:
-        table = spark.createDataFrame(sampling.series_folds(series, k), "series_id long, k int")
+        table = sampling.fold_table(blocks.select("series_id"), k)
         dealt = blocks.drop("g").join(table, "series_id").withColumnRenamed("k", "g")
         found = P.fold_losses(dealt, width_of(("legacy",)), probes, P.held_out(list(range(k))))
         each = F.explode(F.array(*(F.struct(F.lit(i).alias("interface"), F.col(f"L_{i}").alias("L_basis")) for i in ("symmetric_rank", "legacy"))))
