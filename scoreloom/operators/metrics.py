@@ -41,41 +41,53 @@ def period(x: np.ndarray, rank: int = 1) -> int:
     return lag if LOW <= lag <= HIGH else FALLBACK
 
 
-def soft_labels(y: np.ndarray, window: int) -> np.ndarray:
-    """Labels with a buffer of ``window`` that falls off as sqrt(1 - distance / window) beside each anomaly."""
-    out, n = np.asarray(y, float).copy(), len(y)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], np.asarray(y, int), [0]])))
-    for s, e in zip(edges[::2], edges[1::2] - 1):
-        half = window // 2
-        right = np.arange(e + 1, min(e + half, n - 1) + 1)
-        out[right] = np.maximum(out[right], np.sqrt(1 - (right - e) / window)) if window else out[right]
-        left = np.arange(max(s - half, 0), s)
-        out[left] = np.maximum(out[left], np.sqrt(1 - (s - left) / window)) if window else out[left]
-    return np.minimum(out, 1)
+def anomaly_distance(y: np.ndarray) -> np.ndarray:
+    """Each point's distance to the nearest anomaly: 0 inside one, len(y) where there is none."""
+    n = len(y)
+    at = np.where(np.asarray(y) > 0, np.arange(n), -n)
+    before = np.arange(n) - np.maximum.accumulate(at)
+    at = np.where(np.asarray(y) > 0, np.arange(n), 2 * n)
+    behind = np.minimum.accumulate(at[::-1])[::-1] - np.arange(n)
+    return np.minimum(np.minimum(before, behind), n)
 
 
 def vus_pr(y: np.ndarray, score: np.ndarray, window: int, thresholds: int = 250) -> float:
-    """Volume under the precision-recall surface over buffers 0..window; 0 for constant scores or labels."""
+    """Volume under the precision-recall surface over buffers 0..window; 0 for constant scores or labels.
+
+    A buffer of width w gives a point at distance d <= w / 2 from an anomaly the label sqrt(1 - d / w). Along one order of the
+    scores the points of each distance are counted up to each threshold, and all widths' sums of labels are one product
+    of their weights and these counts; a span's highest score within a buffer grows by a point on either side.
+    """
     y, score = np.asarray(y, int), np.asarray(score, float)
     if np.ptp(score) == 0 or not 0 < y.sum() < len(y):
         return 0.0
+    n, half = len(y), window // 2
     order = np.argsort(-score, kind="stable")
-    ranks = np.unique(np.linspace(0, len(score) - 1, thresholds).astype(int))
-    cuts = np.searchsorted(-score[order], -score[order[ranks]], side="right")  # points predicted at each threshold
+    ranks = np.unique(np.linspace(0, n - 1, thresholds).astype(int))
+    levels = score[order[ranks]]
+    cuts = np.searchsorted(-score[order], -levels, side="right")  # points predicted at each threshold
+    d = anomaly_distance(y)[order]
+    counts = np.zeros((half + 1, len(cuts) + 1))  # points of each distance, by the first threshold that predicts them
+    near = d <= half
+    np.add.at(counts, (d[near], np.searchsorted(cuts, np.flatnonzero(near), side="right")), 1)
+    upto = np.cumsum(counts[:, :-1], axis=1)
+    widths, distance = np.arange(window + 1)[:, None], np.arange(half + 1)[None, :]
+    weights = np.where(distance <= widths // 2, np.sqrt(np.clip(1 - distance / np.maximum(widths, 1), 0, 1)), 0.0)
+    weights[:, 0] = 1
+    hit = weights @ upto
+    positives = (y.sum() + weights @ counts.sum(axis=1)) / 2
     edges = np.flatnonzero(np.diff(np.concatenate([[0], y, [0]])))
-    spans = list(zip(edges[::2], edges[1::2]))
-    areas = []
-    for w in range(window + 1):
-        soft = soft_labels(y, w)
-        hit = np.cumsum(soft[order])[cuts - 1]
-        positives = (y.sum() + soft.sum()) / 2
-        best = np.array([score[max(0, a - w // 2) : b + w // 2].max() for a, b in spans])
-        existence = (best[None, :] >= score[order[ranks]][:, None]).mean(axis=1)
-        recall = np.minimum(hit / positives, 1) * existence
-        precision = hit / cuts
-        recall, precision = np.concatenate([[0], recall]), np.concatenate([[1], precision])
-        areas.append(float(np.sum(np.diff(recall) * precision[1:])))
-    return float(np.mean(areas))
+    starts, ends = edges[::2], edges[1::2]
+    best = np.maximum.reduceat(np.append(score, -np.inf), np.column_stack([starts, ends]).ravel())[::2]
+    existence = np.empty((half + 1, len(cuts)))
+    for h in range(half + 1):
+        if h:
+            best = np.maximum(best, np.maximum(score[np.maximum(starts - h, 0)], score[np.minimum(ends + h, n) - 1]))
+        existence[h] = 1 - np.searchsorted(np.sort(best), levels, side="left") / len(best)
+    recall = np.minimum(hit / positives[:, None], 1) * existence[np.arange(window + 1) // 2]
+    precision = hit / cuts
+    steps = np.diff(np.column_stack([np.zeros(window + 1), recall]), axis=1)
+    return float((steps * precision).sum(axis=1).mean())
 
 
 def series_vus(points: DataFrame, score: str, window: int | None = None) -> DataFrame:

@@ -152,7 +152,8 @@ def period_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def volume_under_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.series_vus(S.points(spark, sf_dir), "qty", window=20)
+    """At each series' estimated period."""
+    return metrics.series_vus(S.points(spark, sf_dir), "qty")
 
 
 @query()
