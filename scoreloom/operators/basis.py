@@ -113,9 +113,10 @@ def with_feature(points: DataFrame, name: str, x: str = "x", filled: bool = True
 
 
 def edge_filled(rows: DataFrame, name: str) -> DataFrame:
-    order = series_window()
-    back = F.last(name, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(name, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # running values from either end: a frame that reaches to the last row would read the rest of a series anew for each point
+    sofar = (Window.unboundedPreceding, 0)
+    back = F.last(name, ignorenulls=True).over(series_window().rowsBetween(*sofar))
+    ahead = F.last(name, ignorenulls=True).over(Window.partitionBy("series_id").orderBy(F.desc("t")).rowsBetween(*sofar))
     return rows.withColumn(name, F.coalesce(back, ahead, F.lit(0.0)))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from scoreloom.functions import columns as C
 from scoreloom.operators import basis as B
-from scoreloom.operators import controls, metrics, sampling
+from scoreloom.operators import controls, longseries, metrics, sampling
 from scoreloom.plans import oracle as O
 from scoreloom.plans.catalog import query
 from scoreloom.plans.evaluation import tidy
@@ -175,15 +175,26 @@ def control_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("series_id", "y").agg(F.avg("noise").alias("noise"), *(F.avg(c).alias(c) for c in rows.columns if c.startswith("alpha_")))
 
 
-@query(f"""WITH {O.POINTS}, raw AS (SELECT series_id, t, CASE WHEN count(*) OVER f = 96 THEN max(x) OVER f - min(x) OVER f END AS v FROM points WINDOW f AS ({ORDER} ROWS BETWEEN 48 PRECEDING AND 47 FOLLOWING)),
+_DUPLICATE = f"""WITH {O.POINTS}, raw AS (SELECT series_id, t, CASE WHEN count(*) OVER f = 96 THEN max(x) OVER f - min(x) OVER f END AS v FROM points WINDOW f AS ({ORDER} ROWS BETWEEN 48 PRECEDING AND 47 FOLLOWING)),
 filled AS (SELECT series_id, t, coalesce(last_value(v IGNORE NULLS) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(v IGNORE NULLS) OVER (b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS v FROM raw WINDOW b AS ({ORDER}))
-SELECT series_id, t, {O.r(O.rank01('v'))} AS score FROM filled""")
+SELECT series_id, t, {O.r(O.rank01('v'))} AS score FROM filled"""
+
+
+@query(_DUPLICATE)
 def duplicate_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A control that repeats one ranked basis curve as a score."""
     rows = B.with_feature(S.points(spark, sf_dir), "Range-96").withColumnRenamed("Range-96", "v")
     return rows.select("series_id", "t", C.rounded(C.rank01("v", "series_id")).alias("score"))
 
 
+@query(_DUPLICATE)
+def chunked_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same curve by chunks with a halo, and ranks from counts of values: no series stands in one task."""
+    rows = longseries.ranked_long(S.points(spark, sf_dir), ("Range-96",), (), 512)
+    return rows.select("series_id", "t", C.rounded(F.get("basis", F.lit(0))).alias("score"))
+
+
+
 @query(f"""WITH {O.POINTS}, h AS (SELECT series_id, t, md5(concat_ws('|', 'v1', CAST(series_id AS VARCHAR), CAST(t AS VARCHAR))) AS h FROM points)
 SELECT series_id, t FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY h, t) AS k FROM h) WHERE k <= 128""")
 def hash_capped_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
