@@ -119,6 +119,21 @@ def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(I.cluster_bootstrap(conditions(spark, sf_dir), drawn="hash"))
 
 
+_METRICS = """SELECT 'all' AS family, detector || '/' || metric AS condition, source_id, v FROM (
+SELECT detector, source_id, CDU, basis_utility, detector_utility FROM by_source) UNPIVOT (v FOR metric IN (CDU, basis_utility, detector_utility))"""
+
+
+@query(f"""WITH {O.BY_SOURCE}, {O.boot(_METRICS, I.DRAWS)}, b AS ({_BOOTSTRAP}) SELECT b.*, positive, n_series
+FROM b JOIN stats USING (condition) JOIN (SELECT detector, CAST(sum(n_series) AS BIGINT) AS n_series FROM by_source GROUP BY detector) n ON starts_with(condition, detector || '/')""")
+def interval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of each detector's CDU and utilities: mean, interval, P(mean > 0), positive sources, and what it covers."""
+    rows = cut(by_source(spark, sf_dir).select("detector", "source_id", "n_series", "CDU", "basis_utility", "detector_utility"))
+    long = rows.unpivot(["detector", "source_id", "n_series"], ["CDU", "basis_utility", "detector_utility"], "metric", "v")
+    long = long.withColumn("condition", F.concat_ws("/", "detector", "metric"))
+    counts = long.groupBy("condition").agg(F.count_if(F.col("v") > 0).alias("positive"), F.sum("n_series").alias("n_series"))
+    return tidy(I.cluster_bootstrap(long, drawn="hash").join(counts, "condition"))
+
+
 @query(f"WITH {O.BY_SOURCE}, {O.boot(_PAIRS, I.FAMILY_DRAWS)} {_BOOTSTRAP}")
 def contrast_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of paired contrasts, all on the same draws."""
