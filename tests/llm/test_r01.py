@@ -9,8 +9,6 @@ import pytest
 
 import corpus_pipeline
 from scoreloom.llm import fingerprints, html_extract, license_scan, line_dedup, secret_scan
-from scoreloom.operators import basis, controls
-from scoreloom.plans import learned
 
 
 def extracted(spark, pages):
@@ -93,12 +91,6 @@ def test_license_misspelt_notice_before_an_exact_one():
     assert spans == "mit:0:30,mit:31:61"
 
 
-def test_learned_queries_are_the_whole_job():
-    assert learned.REFERENCE == basis.NAMES and len(learned.REFERENCE) == 31 and learned.CAP == 2048
-    assert learned.C_GRID == (0.01, 0.1, 1.0, 10.0) and learned.SERIES_FOLDS == (5, 10)
-    assert controls.DUPLICATE in learned.REFERENCE
-
-
 def test_likeness_sees_texts_without_spaces():
     rng = random.Random(4)
     a, b = ("".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(4000)) for _ in range(2))
