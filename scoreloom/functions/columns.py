@@ -32,11 +32,16 @@ def log_loss_bits(positive: Column, total: Column, p: Column) -> Column:
     return -(positive * F.log2(q) + (total - positive) * F.log2(1 - q))
 
 
+def exact_sum(value: Column, places: int = 24) -> Column:
+    """The sum of ``value`` at a fixed number of places: the same in any order of the rows."""
+    return F.sum(value.cast(f"decimal(38,{places})"))
+
+
 def average_rank(value: str, *keys: str) -> Column:
-    """1-based rank with ties averaged, within ``keys``."""
-    within = Window.partitionBy(*keys)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return F.rank().over(within.orderBy(value)) + (ties - 1) / F.lit(2.0)
+    """1-based rank with ties averaged, within ``keys``; first and last place of a tie share one window, so one sort."""
+    order = Window.partitionBy(*keys).orderBy(value)
+    first, last = F.rank().over(order), F.count(F.lit(1)).over(order)
+    return first + (last - first) / F.lit(2.0)
 
 
 def rank01(value: str, *keys: str) -> Column:

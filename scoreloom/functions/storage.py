@@ -24,3 +24,8 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str, each: int = 100_000) -> DataFrame:
+    """``df`` dealt by ``keys`` into partitions of about ``each`` rows, however many rows there are; adaptive execution doesn't merge them."""
+    return df.repartition(max(1, -(-df.count() // each)), *keys)
