@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scoreloom.functions.columns import clipped, log_loss_bits, rank01
+from scoreloom.functions.columns import clipped, exact_sum, log_loss_bits, rank01
+from scoreloom.functions.storage import spread
 
 LOSSES = ("L_null", "L_basis", "L_detector", "L_basis_detector")
 UTILITIES = ("basis_utility", "detector_utility", "CDU")
@@ -46,8 +47,9 @@ def source_means(rows: DataFrame, value: Column, *keys: str) -> DataFrame:
 
 def loso_prior(counts: DataFrame) -> DataFrame:
     """(source_id, prior): the weighted share of positives of all other sources, by subtraction."""
-    means = source_means(counts, F.col("pos") / F.col("n"))
-    whole = means.agg(F.sum("m").alias("s"), F.count(F.lit(1)).alias("g"))
+    shares = counts.groupBy("source_id").agg(exact_sum(F.col("pos") / F.col("n")).cast("double").alias("s"), F.count(F.lit(1)).alias("k"))
+    means = shares.select("source_id", (F.col("s") / F.col("k")).alias("m"))
+    whole = means.agg(exact_sum(F.col("m")).cast("double").alias("s"), F.count(F.lit(1)).alias("g"))
     return means.crossJoin(F.broadcast(whole)).select("source_id", ((F.col("s") - F.col("m")) / (F.col("g") - 1)).alias("prior"))
 
 
@@ -67,22 +69,22 @@ def binned_losses(binned: DataFrame, counts: DataFrame, *keys: str) -> DataFrame
 
     ``binned``: (*keys, source_id, series_id, bin, n, pos); ``keys`` tell probes apart, which are
     all fitted together. Weights of a point are 1 / (n_g T_s). A bin that no training series
-    has gets the prior.
+    has gets the prior. Sums are exact, so a probe's losses don't depend on what is fitted beside it.
     """
     sized = counts.select("source_id", "series_id", F.col("n").alias("T"))
     per_source = counts.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_series")).join(loso_prior(counts), "source_id")
     rows = binned.join(sized.join(per_source, "source_id"), ["source_id", "series_id"])
     weight = 1 / (F.col("n_series") * F.col("T"))
     parts = rows.groupBy(*keys, "bin", "source_id").agg(
-        F.sum(F.col("pos") * weight).alias("a"), F.sum(F.col("n") * weight).alias("b"), F.max("prior").alias("prior")
+        exact_sum(F.col("pos") * weight).alias("a"), exact_sum(F.col("n") * weight).alias("b"), F.max("prior").alias("prior")
     )
     others = Window.partitionBy(*keys, "bin")  # one row for each source
     p = F.when(F.count(F.lit(1)).over(others) == 1, F.col("prior")).otherwise(
-        (F.sum("a").over(others) - F.col("a")) / (F.sum("b").over(others) - F.col("b"))
+        (F.sum("a").over(others) - F.col("a")).cast("double") / (F.sum("b").over(others) - F.col("b")).cast("double")
     )
     scored = rows.drop("prior").join(parts.select(*keys, "bin", "source_id", p.alias("p")), [*keys, "bin", "source_id"])
     return scored.groupBy(*keys, "source_id", "series_id").agg(
-        (F.sum(log_loss_bits(F.col("pos"), F.col("n"), F.col("p"))) / F.max("T")).alias("loss")
+        (exact_sum(log_loss_bits(F.col("pos"), F.col("n"), F.col("p")), 20).cast("double") / F.max("T")).alias("loss")
     )
 
 
@@ -90,9 +92,10 @@ def four_losses(points: DataFrame, detectors: list[str], basis: str = "x", bins:
     """One row for each detector and series: L_null, L_basis, L_detector, L_basis_detector and utilities.
 
     The basis-only part is computed once and shared by all detectors; all probes are fitted
-    in one plan over (series, probe, bin) counts.
+    in one plan over (series, probe, bin) counts. Tasks rank bounded numbers of points.
     """
-    units = points.select(
+    needed = points.select("source_id", "series_id", "y", basis, *detectors)
+    units = spread(needed, "series_id").select(
         "source_id",
         "series_id",
         "y",
