@@ -77,16 +77,41 @@ def held_out(groups: list) -> list[Fold]:
     return [Fold(x, x) for x in sets]
 
 
-def block(g, series_id, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict:
-    """Points of one series: ``x`` (a row each), labels, training weights (0: not in the training sample)."""
+def block(g, series_id, x: np.ndarray, y: np.ndarray, w: np.ndarray, ranks: int = 0) -> dict:
+    """Points of one series: ``x`` (a row each), labels, training weights (0: not in the training sample).
+
+    The first ``ranks`` columns are ``basis.ranks01`` of all the series' points, multiples of 1 / 2n, and stand as whole numbers.
+    """
+    n = len(y)
+    halves = np.rint(x[:, :ranks] * (2 * n)).astype(_whole(n))
     return {
-        "g": g, "series_id": series_id, "n": len(y), "u": 1.0,
-        "x": np.ascontiguousarray(x, float).tobytes(), "y": np.asarray(y, float).tobytes(), "w": np.asarray(w, float).tobytes(),
+        "g": g, "series_id": series_id, "n": n, "u": 1.0, "r": ranks,
+        "x": halves.tobytes() + np.ascontiguousarray(x[:, ranks:], float).tobytes(), "y": np.asarray(y, float).tobytes(), "w": np.asarray(w, float).tobytes(),
     }
 
 
+def _whole(n: int):
+    """The type that holds up to 2n."""
+    return np.uint16 if n < 1 << 15 else np.uint32 if n < 1 << 31 else np.uint64
+
+
+def unpacked(x: bytes, n: int, width: int, ranks: int) -> np.ndarray:
+    """The matrix of a block, to the last bit as it was."""
+    if not ranks:
+        return np.frombuffer(x, float).reshape(n, width)
+    out = np.empty((n, width))
+    halves = np.frombuffer(x, _whole(n), n * ranks)
+    out[:, :ranks] = halves.reshape(n, ranks) / 2.0 / n
+    out[:, ranks:] = np.frombuffer(x, float, offset=halves.nbytes).reshape(n, width - ranks)
+    return out
+
+
+#: The columns of blocks, in the order that passes read them.
+FIELDS = ("g", "series_id", "n", "u", "r", "x", "y", "w")
+
+
 def block_schema(g: str, series: str) -> str:
-    return f"g {g}, series_id {series}, n long, u double, x binary, y binary, w binary"
+    return f"g {g}, series_id {series}, n long, u double, r int, x binary, y binary, w binary"
 
 
 def blocks_of(rows: DataFrame) -> DataFrame:
@@ -118,9 +143,9 @@ def _designs(x: np.ndarray, probes: list[Probe]) -> Iterator[np.ndarray]:
 def _opened(batches: Iterator[pa.RecordBatch], width: int):
     """(g, series_id, x, y, w) of each block."""
     for batch in batches:
-        for g, series, n, u, *parts in zip(*(batch.column(i) for i in range(7))):
-            x, y, w = (np.frombuffer(p.as_py(), float) for p in parts)
-            yield g.as_py(), series.as_py(), x.reshape(n.as_py(), width), y, w * u.as_py()
+        for row in zip(*(batch.column(i) for i in range(len(FIELDS)))):
+            g, series, n, u, ranks, x, y, w = (v.as_py() for v in row)
+            yield g, series, unpacked(x, n, width, ranks), np.frombuffer(y, float), np.frombuffer(w, float) * u
 
 
 def _joint_pass(width: int, probes: list[Probe], sent):
@@ -205,7 +230,7 @@ def fit(blocks: DataFrame, width: int, probes: list[Probe], folds: list[Fold], s
     and rows are never copied.
     """
     spark = blocks.sparkSession
-    blocks = blocks.select("g", "series_id", "n", "u", "x", "y", "w")
+    blocks = blocks.select(*FIELDS)
     sizes = {r["g"]: r for r in blocks_sizes(blocks)}
     scale = lambda held: sum(r["m"] for g, r in sizes.items() if g not in held) / (sum(r["s"] for g, r in sizes.items() if g not in held) or 1.0)
     p = [len(x.columns) * (len(KNOTS) + 1 if x.kind == "spline" else 1) + 1 for x in probes]
@@ -314,7 +339,7 @@ def _scored(blocks: DataFrame, width: int, probes: list[Probe], folds: list[Fold
             yield pa.RecordBatch.from_pandas(frame.astype({"fold": "int32"}), schema=schema, preserve_index=False)
 
     kinds = dict(blocks.dtypes)
-    blocks = blocks.select("g", "series_id", "n", "u", "x", "y", "w")
+    blocks = blocks.select(*FIELDS)
     text = ", ".join([f"g {kinds['g']}", f"series_id {kinds['series_id']}", "fold int", "n long", *(f"l{i} double" for i in range(len(probes)))])
     schema = to_arrow_schema(T._parse_datatype_string(text))
     sums = blocks.mapInArrow(batched, text).groupBy("g", "series_id", "fold").agg(F.sum("n").alias("n"), *(F.sum(f"l{i}").alias(f"l{i}") for i in range(len(probes))))
@@ -467,7 +492,7 @@ def tree_losses(blocks: DataFrame, width: int, probes: list[Probe], folds: list[
         return pd.DataFrame({"fold": pdf["fold"].iloc[:1], "model": [pickle.dumps(models)]})
 
     kind = to_arrow_schema(blocks.select("g").schema).field("g").type
-    sample = blocks.select("g", "series_id", "n", "u", "x", "y", "w").mapInArrow(cut, f"g {dict(blocks.dtypes)['g']}, x binary, y binary, w binary")
+    sample = blocks.select(*FIELDS).mapInArrow(cut, f"g {dict(blocks.dtypes)['g']}, x binary, y binary, w binary")
     copies = sample.crossJoin(numbers).join(names.withColumnRenamed("fold", "k"), (F.col("g") == F.col("held")) & (F.col("fold") == F.col("k")), "left_anti")
     fitted = {r["fold"]: pickle.loads(r["model"]) for r in copies.groupBy("fold").applyInPandas(run, "fold int, model binary").collect()}  # one for each fold
     sent = spark.sparkContext.broadcast(fitted)

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.operators.probes import FIELDS, unpacked
+
 
 def simple_ridge(points: DataFrame, feature: str = "u", target: str = "s", alpha: float = 1.0) -> DataFrame:
     """(source_id, slope, intercept) for one feature: closed form on weighted moments.
@@ -39,7 +41,6 @@ def ridge_folds(rows: DataFrame, features: int, targets: int, alpha: float = 1.0
 
     ``rows``: (source_id, w, x array, s array).
     """
-    p = features + targets + 1
 
     def grams(frames):
         sums: dict = {}
@@ -54,7 +55,12 @@ def ridge_folds(rows: DataFrame, features: int, targets: int, alpha: float = 1.0
             yield pd.DataFrame({"source_id": list(sums), "k": [k for _, k in sums.values()], "g": [m.ravel() for m, _ in sums.values()]})
 
     kind = dict(rows.dtypes)["source_id"]
-    parts = rows.select("source_id", "w", "x", "s").mapInPandas(grams, f"source_id {kind}, k long, g array<double>")
+    return _solved(rows.select("source_id", "w", "x", "s").mapInPandas(grams, f"source_id {kind}, k long, g array<double>"), features, targets, alpha)
+
+
+def _solved(parts: DataFrame, features: int, targets: int, alpha: float) -> DataFrame:
+    """The folds' solutions from partial sums (source_id, k, g): a Gram matrix of intercept, features and targets."""
+    p, kind = features + targets + 1, dict(parts.dtypes)["source_id"]
     flat = parts.select("source_id", "k", F.posexplode("g").alias("i", "v"))
     summed = flat.groupBy("source_id", "i").agg(F.sum("v").alias("v"), F.sum("k").alias("k"))
 
@@ -76,6 +82,47 @@ def ridge_folds(rows: DataFrame, features: int, targets: int, alpha: float = 1.0
     return rest.groupBy("source_id").applyInPandas(solve, f"source_id {kind}, coef array<double>, intercept array<double>")
 
 
+def block_reconstruction(blocks: DataFrame, width: int, features: tuple, targets: dict, alpha: float = 1.0) -> DataFrame:
+    """(source_id, series_id, n_points, R2, MSE, detector) of ``targets`` (name: column) from ``features``, by held-out source.
+
+    ``blocks``: one for each series, as the probes' have them; all points count, by 1 / m_s and the blocks' u. Both passes read
+    the packed blocks where they are: no point is shuffled. R2 is null for a constant target.
+    """
+    kind, at = dict(blocks.dtypes)["g"], list(targets.values())
+    blocks = blocks.select(*FIELDS[:6])
+
+    def opened(frames):
+        for pdf in frames:
+            for row in pdf.itertuples(index=False):
+                x = unpacked(row.x, row.n, width, row.r)
+                yield row, x[:, list(features)], x[:, at]
+
+    def grams(frames):
+        sums: dict = {}
+        for row, x, s in opened(frames):
+            z = np.column_stack([np.ones(row.n), x, s])
+            m, k = sums.get(row.g, (0.0, 0))
+            sums[row.g] = (m + z.T @ z * (row.u / row.n), k + row.n)
+        if sums:
+            yield pd.DataFrame({"source_id": list(sums), "k": [k for _, k in sums.values()], "g": [m.ravel() for m, _ in sums.values()]})
+
+    parts = blocks.mapInPandas(grams, f"source_id {kind}, k long, g array<double>")
+    models = {r["source_id"]: r for r in _solved(parts, len(features), len(at), alpha).collect()}  # a row for each source
+    sent = blocks.sparkSession.sparkContext.broadcast({g: (np.array(r["coef"]).reshape(len(at), -1), np.array(r["intercept"])) for g, r in models.items()})
+
+    def scored(frames):
+        for row, x, s in opened(frames):
+            coef, bias = sent.value[row.g]
+            errors = ((s - (x @ coef.T + bias)) ** 2).mean(axis=0)
+            yield pd.DataFrame({
+                "source_id": row.g, "series_id": row.series_id, "n_points": row.n, "MSE": errors, "detector": list(targets),
+                "R2": pd.array([1 - e / v.var() if v.max() > v.min() else None for e, v in zip(errors, s.T)], "Float64"),
+            })
+
+    names = f"source_id {kind}, series_id {dict(blocks.dtypes)['series_id']}, n_points long, R2 double, MSE double, detector string"
+    return blocks.mapInPandas(scored, names)
+
+
 def reconstruction_quality(rows: DataFrame, target: str = "s", predicted: str = "p", *keys: str) -> DataFrame:
     """(*keys, n_points, R2, MSE): R2 is null for a constant target."""
     error = F.col(target) - F.col(predicted)

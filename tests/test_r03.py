@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.functions import columns as C
 from scoreloom.functions.storage import spread
+from scoreloom.operators import basis as B
 from scoreloom.operators import losses as L
+from scoreloom.operators import probes as P
+from scoreloom.operators import regression
 
 
 def test_ranks_sort_once_a_column_and_tasks_hold_bounded_rows(spark):
@@ -28,3 +32,27 @@ def test_shared_losses_are_the_same_in_any_order(spark):
         rows = L.four_losses(df.repartition(parts, F.rand(parts)), detectors)
         found.append({r[0]: (r[1], r[2]) for r in rows.select("series_id", "L_null", "L_basis").collect()})
     assert found[0] == found[1] == found[2]
+
+
+def test_blocks_hold_ranks_as_whole_numbers(spark):
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 600, 33_000):
+        x = np.column_stack([B.ranks01(rng.integers(0, max(2, n // 3), n)) for _ in range(4)] + [rng.normal(size=n)])
+        packed = P.block(1, 1, x, np.zeros(n), np.ones(n), 4)
+        assert len(packed["x"]) == n * (4 * (2 if n < 32768 else 4) + 8)
+        assert np.array_equal(P.unpacked(packed["x"], n, 5, 4), x)
+
+
+def test_reconstruction_of_blocks_equals_that_of_rows(spark):
+    rng = np.random.default_rng(3)
+    series = [(g, 10 * g + i, B.ranks01(rng.normal(size=n)), B.ranks01(rng.normal(size=n))) for g in range(4) for i, n in enumerate((30, 50))]
+    series[0] = (*series[0][:3], np.full(30, 0.5))  # a constant target
+    blocks = spark.createDataFrame([P.block(g, s, np.column_stack([u, v]), np.zeros(len(u)), np.ones(len(u)), 2) | {"u": 0.5} for g, s, u, v in series], P.block_schema("long", "long"))
+    rows = spark.createDataFrame([(g, s, 0.5 / len(u), float(a), float(b)) for g, s, u, v in series for a, b in zip(u, v)], "source_id long, series_id long, w double, u double, s double")
+    found = {r["series_id"]: r for r in regression.block_reconstruction(blocks, 2, (0,), {"d": 1}).collect()}
+    both = rows.join(regression.simple_ridge(rows), "source_id").withColumn("p", F.col("intercept") + F.col("slope") * F.col("u"))
+    for r in regression.reconstruction_quality(both, "s", "p", "series_id").collect():
+        got = found[r["series_id"]]
+        assert got["n_points"] == r["n_points"] and got["MSE"] == pytest.approx(r["MSE"])
+        assert got["R2"] is None if r["R2"] is None else got["R2"] == pytest.approx(r["R2"])
+    assert found[0]["R2"] is None
