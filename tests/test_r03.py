@@ -56,3 +56,43 @@ def test_reconstruction_of_blocks_equals_that_of_rows(spark):
         assert got["n_points"] == r["n_points"] and got["MSE"] == pytest.approx(r["MSE"])
         assert got["R2"] is None if r["R2"] is None else got["R2"] == pytest.approx(r["R2"])
     assert found[0]["R2"] is None
+
+
+def test_trees_count_three_features_at_once_and_one_child():
+    rng = np.random.default_rng(2)
+    x = rng.random((31_000, 5))
+    y, w = (rng.random(len(x)) < 0.6 * x[:, 0]).astype(float), rng.random(len(x))
+    model = P.Trees(trees=2)
+    b = model.binned(x)
+    coded, rows = model._coded(b), np.flatnonzero(y > 0)
+    assert len(coded[2]) == 2
+    found = model._histogram(coded, w, w * w, rows)
+    for f in range(5):
+        assert np.array_equal(found[0, f], np.bincount(b[f, rows], minlength=31))
+        assert np.allclose(found[1, f], np.bincount(b[f, rows], w[rows], 31)) and np.allclose(found[2, f], np.bincount(b[f, rows], (w * w)[rows], 31))
+    one = P.Trees(trees=2, bins=31)
+    one._coded = lambda b: (b, [range(f, f + 1) for f in range(len(b))], [v.astype(np.uint16) for v in b])
+    assert np.allclose(model.fit(b, y, w).predict(b), one.fit(b, y, w).predict(b), atol=1e-12)
+
+
+def test_folds_start_from_the_groups_sums(spark, monkeypatch):
+    """No pass at the joint solution, a start on some series, and still each fold's own minimum."""
+    rng = np.random.default_rng(8)
+    made = []
+    for s in range(64):
+        x = np.column_stack([B.ranks01(rng.normal(size=120)) for _ in range(2)])
+        made.append(P.block(s % 4, s, x, (rng.random(120) < x[:, 0]).astype(float), np.full(120, 1 / 120), 2))
+    blocks = spark.createDataFrame(made, P.block_schema("long", "long")).repartition(2)
+    trials, fold_pass = [], P._fold_pass
+    monkeypatch.setattr(P, "_fold_pass", lambda width, probes, sent: trials.append(sent.value[0][0][1].copy()) or fold_pass(width, probes, sent))
+    probe, folds = P.Probe("p", (0, 1)), P.held_out([0, 1, 2, 3])
+    plain = P.fit(blocks, 2, [probe], folds)[0]
+    assert not np.allclose(trials[0][0], trials[0][1], rtol=0, atol=1e-9)
+    monkeypatch.setattr(P, "ENOUGH", 10)
+    assert np.allclose(P.fit(blocks, 2, [probe], folds)[0], plain, atol=1e-6)
+    for k, beta in enumerate(plain):
+        rows = [m for m in made if m["g"] != k]
+        z = np.concatenate([P.design(P.unpacked(m["x"], 120, 2, 2), "linear") for m in rows])
+        y = np.concatenate([np.frombuffer(m["y"]) for m in rows])
+        gradient = z.T @ (P.sigmoid(z @ beta) - y) + beta / probe.c
+        assert np.abs(gradient).max() < 1e-4
