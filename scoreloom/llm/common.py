@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,3 +92,16 @@ def forget(*frames: DataFrame) -> None:
 def fits(rows: int, bytes_per_row: int, limit: int = 8 << 20) -> bool:
     """Whether a side of ``rows`` known rows may be broadcast."""
     return rows * bytes_per_row <= limit
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over Arrow batches, after which the worker, which outlives its task, gives freed memory back to the machine."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if give_back:
+            give_back(0)
+
+    return wrapped

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import cut, fits, forget, quoted, small, tasks_for
+from scoreloom.llm.common import cut, fits, forget, quoted, small, tasks_for, trimmed
 
 WORDS = 5
 NUM, DEN = 4, 5  # similarity 0.8
@@ -374,7 +374,7 @@ def verified(pairs: DataFrame, rows: int, segments: DataFrame) -> DataFrame:
     right = F.broadcast(held) if fits(64 * n + size, 1) else held
     left = segments.selectExpr("s as a", "n as na", "f", "seg as x").join(small(pairs.select("a", "b"), rows, 32), "a")
     both = left.join(right, ["b", "f"])
-    partial = both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_overlaps, "a long, b long, na long, nb long, o long")
+    partial = both.select("a", "b", "na", "nb", "x", "y").mapInArrow(trimmed(_overlaps), "a long, b long, na long, nb long, o long")
     summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     links = cut(summed.where(f"{DEN} * o >= {NUM} * (na + nb - o)").select("a", "b").coalesce(tasks_for(rows)))
     forget(held)
@@ -425,11 +425,11 @@ def node_classes(nodes: DataFrame) -> DataFrame:
     """
     count, entries = nodes.agg(F.count("*"), F.expr(f"coalesce(sum(n - ({NUM} * n + {DEN - 1}) div {DEN} + 1), 0)")).first()
     labels = cut(nodes.selectExpr("s", "s as k"))
-    segments = nodes.select("s", "n", "ts").mapInArrow(_segments, "s long, n long, f int, seg binary")
+    segments = nodes.select("s", "n", "ts").mapInArrow(trimmed(_segments), "s long, n long, f int, seg binary")
     leading, step = True, 0
     while True:
         named = nodes.join(small(labels, count, 32), "s").select("s", "n", "c", "k", "ts")
-        lists = named.mapInArrow(_postings, "t long, s long, n long, c double, k long, rest long")
+        lists = named.mapInArrow(trimmed(_postings), "t long, s long, n long, c double, k long, rest long")
         key = F.struct("c", "s") if step == 0 else F.struct(F.xxhash64("s", F.lit(step)).cast("double").alias("c"), "s")
         mixed = lists.groupBy("t").agg(
             F.max(F.struct(key.alias("o"), "n", "k")).alias("l"), F.min("k").alias("k0"), F.max("k").alias("k1")
@@ -468,25 +468,25 @@ def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """doc_id, h (a hash of the text), n_shingles, component_id and the class (g1, g2) of every row."""
     rows = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).cast("string").alias("text"))
     hashed = rows.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    sets = cut(hashed.mapInArrow(_sets, "doc_id long, n long, fa long, fb long, h long"))
+    sets = cut(hashed.mapInArrow(trimmed(_sets), "doc_id long, n long, fa long, fb long, h long"))
     nodes = sets.where("n > 0 and doc_id is not null").groupBy("fa", "fb").agg(F.min("doc_id").alias("s"), F.first("n").alias("n"))
     total = sets.agg(F.sum("n")).first()[0] or 0
     fragments = int(max(1, total * 3 // 10 // FRAGMENT_ENTRIES))
-    heads = rows.where("doc_id is not null").select("text").mapInArrow(_heads(fragments), "f int, a binary, b binary")
-    counts = heads.repartition("f").sortWithinPartitions("f").mapInArrow(_count_fragments(fragments), "f int, a binary, b binary")
-    counts = counts.repartition("f").sortWithinPartitions("f").mapInArrow(_count_sets, "fa long, n_shared long")
+    heads = rows.where("doc_id is not null").select("text").mapInArrow(trimmed(_heads(fragments)), "f int, a binary, b binary")
+    counts = heads.repartition("f").sortWithinPartitions("f").mapInArrow(trimmed(_count_fragments(fragments)), "f int, a binary, b binary")
+    counts = counts.repartition("f").sortWithinPartitions("f").mapInArrow(trimmed(_count_sets), "fa long, n_shared long")
     likely = nodes.join(counts, "fa").where(f"n_shared >= ceil({NUM} * n / {DEN}) div 10 + 1")
     likely = cut(likely.select(F.monotonically_increasing_id().alias("v"), "s", "n", "fa", "fb"))  # v: a set's own number
     n_likely = likely.count()
     packed = docs.sparkSession.sparkContext.broadcast(np.packbits(id_filter(likely.select("s"), n_likely)).tobytes())
-    found = rows.where("doc_id is not null").mapInArrow(_likely_sets(packed), "s long, fa long, fb long, h binary")
+    found = rows.where("doc_id is not null").mapInArrow(trimmed(_likely_sets(packed)), "s long, fa long, fb long, h binary")
     found = found.join(small(likely.select("v", "s", "fa", "fb"), n_likely, 64), ["s", "fa", "fb"]).dropDuplicates(["v"])  # repeated rows count once
-    elements = found.select("v", "h").mapInArrow(_elements, "t long, s long")
+    elements = found.select("v", "h").mapInArrow(trimmed(_elements), "t long, s long")
     common = elements.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     grouped = elements.join(common, "t").groupBy("s").agg(F.collect_list(F.struct("df", "t")).alias("e"))
     ordered = grouped.join(small(likely.selectExpr("v as s", "n"), n_likely, 32), "s").select("s", "n", "e")
     tasks = max(tasks_for(n_likely, 5000), tasks_for(total, 2_000_000))
-    classed = cut(ordered.mapInArrow(_ordered, "s long, n long, c double, ts binary").coalesce(tasks))
+    classed = cut(ordered.mapInArrow(trimmed(_ordered), "s long, n long, c double, ts binary").coalesce(tasks))
     labels = node_classes(classed)
     firsts = likely.join(small(labels, n_likely, 32), F.col("v") == labels["s"]).select(likely["s"], "fa", "fb", "k")
     lowest = firsts.groupBy("k").agg(F.min("s").alias("component_id"))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.common import cut, fits, quoted
+from scoreloom.llm.common import cut, fits, quoted, trimmed
 
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
@@ -281,7 +281,7 @@ def fit_chain(chunks: DataFrame, categories: int, bits: int = BITS, folds: int =
         wanted = [-1, *(range(folds) if c + 1 < categories else ())]
         copies = chunks.withColumn("without", F.explode(F.array(*(F.lit(f) for f in wanted)))).select("without", *chunks.columns)
         tasks = copies.repartitionById(len(wanted), F.col("without") + 1)
-        got = {r["without"]: r for r in tasks.mapInArrow(_models(c, categories, bits, earlier), "without int, known binary, w binary").collect()}
+        got = {r["without"]: r for r in tasks.mapInArrow(trimmed(_models(c, categories, bits, earlier)), "without int, known binary, w binary").collect()}
         dense = np.zeros((1 << bits) + c + 1)
         if not got:  # no labelled row
             dense[-1] = start(0, 0, 0)[-1]
@@ -314,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, categories, doc_id: str, text: str
             rows, chars = rows + r["n"], chars + r["chars"]
     ids = docs.sparkSession.createDataFrame(chosen, "k long")
     found = texts.join(keep(known.drop("o").join(ids, "k")), "k")
-    chunks = cut(found.mapInArrow(_chunks(len(categories), folds, bits), CHUNKS))
+    chunks = cut(found.mapInArrow(trimmed(_chunks(len(categories), folds, bits)), CHUNKS))
     return fit_chain(chunks, len(categories), bits, folds)
 
 
@@ -370,4 +370,4 @@ def score_toxicity(
     plain = [f"c{i}" for i in range(len(columns) + len(names))]
     asked = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)), F.col(quoted(text)).cast("string").alias("t"))
     kinds = [*(f.dataType for f in asked.schema.fields[:-1]), *(T.DoubleType() for _ in categories), T.IntegerType()]
-    return asked.mapInArrow(run, T.StructType([T.StructField(c, k) for c, k in zip(plain, kinds)])).toDF(*columns, *names)
+    return asked.mapInArrow(trimmed(run), T.StructType([T.StructField(c, k) for c, k in zip(plain, kinds)])).toDF(*columns, *names)
