@@ -26,6 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def pieces(df: DataFrame, each: int = 100_000) -> int:
+    """The number of partitions that hold about ``each`` rows of ``df``."""
+    return max(1, -(-df.count() // each))
+
+
 def spread(df: DataFrame, *keys: str, each: int = 100_000) -> DataFrame:
     """``df`` dealt by ``keys`` into partitions of about ``each`` rows, however many rows there are; adaptive execution doesn't merge them."""
-    return df.repartition(max(1, -(-df.count() // each)), *keys)
+    return df.repartition(pieces(df, each), *keys)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scoreloom.functions.columns import clipped, exact_sum, log_loss_bits, rank01
-from scoreloom.functions.storage import spread
+from scoreloom.functions.storage import pieces
 
 LOSSES = ("L_null", "L_basis", "L_detector", "L_basis_detector")
 UTILITIES = ("basis_utility", "detector_utility", "CDU")
@@ -92,10 +92,11 @@ def four_losses(points: DataFrame, detectors: list[str], basis: str = "x", bins:
     """One row for each detector and series: L_null, L_basis, L_detector, L_basis_detector and utilities.
 
     The basis-only part is computed once and shared by all detectors; all probes are fitted
-    in one plan over (series, probe, bin) counts. Tasks rank bounded numbers of points.
+    in one plan over (series, probe, bin) counts. Tasks rank bounded numbers of points, and hold the counts of as many.
     """
     needed = points.select("source_id", "series_id", "y", basis, *detectors)
-    units = spread(needed, "series_id").select(
+    tasks = pieces(needed)
+    units = needed.repartition(tasks, "series_id").select(
         "source_id",
         "series_id",
         "y",
@@ -108,6 +109,7 @@ def four_losses(points: DataFrame, detectors: list[str], basis: str = "x", bins:
         cells += [cell("alone", d, bin_of(f"u_{d}", bins)), cell("both", d, bin_of("u", joint) * joint + bin_of(f"u_{d}", joint))]
     binned = units.select("source_id", "series_id", "y", F.explode(F.array(*cells)).alias("c"))
     binned = binned.groupBy("source_id", "series_id", "c.k", "c.d", "c.bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
+    binned = binned.repartition(tasks, "source_id", "series_id")  # as the joins want it, and not merged
     counts = series_counts(points)
     scored = binned_losses(binned, counts, "k", "d")
     by_series = scored.groupBy("source_id", "series_id").agg(

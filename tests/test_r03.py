@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -23,6 +25,24 @@ def test_ranks_sort_once_a_column_and_tasks_hold_bounded_rows(spark):
     assert ranked.groupBy(F.spark_partition_id()).count().count() == 5  # adaptive execution would merge them into one
 
 
+def test_cells_are_joined_in_tasks_of_as_many_points_as_the_ranks(spark, monkeypatch):
+    """Without a broadcast the counts of cells are sorted for their join; merged by bytes, a task held those of millions of points."""
+    monkeypatch.setattr(L, "pieces", lambda df: 9, raising=False)
+    rows = spark.range(6000).select(
+        (F.col("id") % 60).alias("series_id"), (F.col("id") % 4).alias("source_id"), (F.col("id") % 3 == 0).cast("int").alias("y"), F.hash("id").cast("double").alias("x"), F.hash("id", F.lit(1)).cast("double").alias("a")
+    )
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        losses = L.four_losses(rows, ["a"])
+        assert losses.count() == 60
+        plan = losses._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    dealt = re.findall(r"hashpartitioning\(source_id#\d+L?, series_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)
+    assert dealt and set(dealt) == {"9"}
+
+
 def test_shared_losses_are_the_same_in_any_order(spark):
     rng = np.random.default_rng(5)
     points = [(int(s), int(s) % 5, float(rng.normal()), int(rng.random() < 0.2), *map(float, rng.integers(0, 11, 2))) for s in range(400) for _ in range(int(rng.integers(30, 60)))]
