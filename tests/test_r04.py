@@ -63,3 +63,52 @@ def test_curves_are_those_of_plain_windows():
         _, where, counts = np.unique(m[:, j], return_inverse=True, return_counts=True)
         ends = np.cumsum(counts)
         assert np.array_equal(got, ((ends - counts + 1 + ends) / 2 - 0.5)[where] / 50)
+
+
+def test_trees_of_each_fold_are_fitted_in_a_task_of_their_own(spark):
+    """Dealt by a hash of the fold's number, two folds could meet in one task, and the longest task took twice as long."""
+    rng = np.random.default_rng(9)
+    made = []
+    for s in range(20):
+        x = np.column_stack([B.ranks01(rng.normal(size=40)) for _ in range(2)])
+        made.append(P.block(s % 10, s, x, (rng.random(40) < x[:, 0]).astype(float), np.full(40, 1 / 40), 2))
+    blocks = spark.createDataFrame(made, P.block_schema("long", "long")).repartition(2)
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    found = P.tree_losses(blocks, 2, [P.Probe("p", (0, 1), "trees")], P.held_out(list(range(10))), {**P.TREES, "trees": 2, "least": 10})
+    assert {(r["g"], r["fold"]) for r in found.collect()} == {(g, g) for g in range(10)}
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in set(tracker.getJobIdsForGroup()) - before for s in tracker.getJobInfo(j).stageIds]
+    assert 10 in {tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)}
+
+
+def test_a_split_that_leaves_too_few_rows_gives_way_to_the_next(monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.random((900, 3))
+    y = (x[:, 0] > 0.97).astype(float)  # the best split leaves 27 rows
+    model = P.Trees(trees=3, least=100)
+    b = model.binned(x)
+    model.fit(b, y, np.ones(900))
+    for nodes, _ in model.model:
+        left = b[nodes[0][0]] <= nodes[0][1]
+        assert 100 <= left.sum() <= 800
+    every, histogram = [], P.Trees._histogram
+    monkeypatch.setattr(P.Trees, "_histogram", lambda self, *a: every.append(len(a) < 5 or a[4]) or histogram(self, *a))
+    P.Trees(trees=1, least=1).fit(b, y, np.ones(900))
+    assert every and not any(every)  # rows are counted by bin only where the best split is too uneven
+
+
+def test_many_rows_are_counted_by_two_features_in_blocks(monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.random((2500, 5))
+    y, w = (rng.random(2500) < x[:, 0]).astype(float), rng.random(2500)
+    plain = P.Trees(trees=2)
+    b = plain.binned(x)
+    monkeypatch.setattr(P, "WIDE", 2000)
+    monkeypatch.setattr(P, "BLOCK", 700)
+    coded, rows = plain._coded(b), np.flatnonzero(y > 0)
+    assert len(coded[2]) == 3
+    for chosen in (rows, slice(None)):
+        found = plain._histogram(coded, w, w * w, chosen)
+        for f in range(5):
+            assert np.array_equal(found[0, f], np.bincount(b[f, chosen], minlength=31))
+            assert np.allclose(found[1, f], np.bincount(b[f, chosen], w[chosen], 31)) and np.allclose(found[2, f], np.bincount(b[f, chosen], (w * w)[chosen], 31))
