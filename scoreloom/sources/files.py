@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,10 +106,27 @@ def latex(df: DataFrame, places: int = 4, most: int = 1000) -> str:
     return "\n".join(" & ".join(x.replace("_", "-") for x in r) + r" \\" for r in [head, *rows])
 
 
+def _hashed(path: str, piece: int = 1 << 23) -> str:
+    """SHA-256 of a file of any size and place that Arrow knows, read piece by piece."""
+    scheme, _, rest = path.partition(":")
+    system, where = (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(path)
+    digest = hashlib.sha256()
+    with system.open_input_stream(where, compression=None) as stream:
+        while data := stream.read(piece):
+            digest.update(data)
+    return digest.hexdigest()
+
+
 def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(file, bytes, sha256) of every file below ``path``, hashed where it is read; files of up to 2 GB, and not those of no bytes, which Spark leaves out."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(file, bytes, sha256) of every file below ``path``, hashed piece by piece where it is read; not those of no bytes, which Spark leaves out."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "length")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for p, n in zip(frame["path"], frame["length"]):
+                yield pd.DataFrame({"file": [p.rsplit("/", 1)[-1]], "bytes": [n], "sha256": [_hashed(p)]})
+
+    return found.mapInPandas(run, "file string, bytes long, sha256 string")
 
 
 def compared(found: DataFrame, audit: DataFrame, *keys: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from scoreloom.operators import basis as B
 from scoreloom.operators import inference as I
 from scoreloom.operators import probes as P
 from scoreloom.plans import learned
+from scoreloom.sources import files
 
 
 def test_a_bootstrap_of_many_sources_counts_in_packed_pieces(spark, monkeypatch):
@@ -112,3 +115,16 @@ def test_many_rows_are_counted_by_two_features_in_blocks(monkeypatch):
         for f in range(5):
             assert np.array_equal(found[0, f], np.bincount(b[f, chosen], minlength=31))
             assert np.allclose(found[1, f], np.bincount(b[f, chosen], w[chosen], 31)) and np.allclose(found[2, f], np.bincount(b[f, chosen], (w * w)[chosen], 31))
+
+
+def test_files_larger_than_a_binary_value_are_hashed(spark, tmp_path):
+    """Spark refuses content beyond ``maxLength``, 2 GB at most: files are read piece by piece instead."""
+    big = bytes(range(256)) * 40_000  # more than one piece
+    for name, data in (("a b%20c.bin", big), ("small.bin", b"one"), ("packed.gz", b"not unpacked")):
+        (tmp_path / name).write_bytes(data)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        got = {r["file"]: (r["bytes"], r["sha256"]) for r in files.file_digests(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.iterdir()}
