@@ -7,10 +7,16 @@ its array and serves the learned probes. Both fill the edges with the nearest va
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 #: Families and widths.
@@ -72,7 +78,7 @@ def centred_frame(w: int, order: WindowSpec) -> WindowSpec:
 
 
 def raw_feature(name: str, x: str = "x", order: WindowSpec | None = None) -> Column:
-    """A feature as a window expression; null where the window is not full. Not for SpecEnt and Centered."""
+    """A feature as a window expression; null where the window is not full. Not for SpecEnt, Centered and MAD."""
     order = order or series_window()
     family, w = family_of(name), int(name.split("-")[1])
     frame = centred_frame(w, order)
@@ -83,13 +89,6 @@ def raw_feature(name: str, x: str = "x", order: WindowSpec | None = None) -> Col
     if family == "Last":
         before = order.rowsBetween(-w, -1)
         return _full(F.pow(F.avg(x).over(before) - F.col(x), F.lit(2)), w, before)
-    if family == "MAD":
-        values = F.collect_list(x).over(frame)
-        middle = lambda a: F.expr("0.5D") * (F.get(a, F.lit((w - 1) // 2)) + F.get(a, F.lit(w // 2)))
-        spread = F.transform(
-            F.array(F.array_sort(values)), lambda a: middle(F.array_sort(F.transform(a, lambda v: F.abs(v - middle(a)))))
-        )
-        return _full(F.get(spread, F.lit(0)), w, frame)
     if family == "AbsDiff":
         step = F.abs(F.col(x) - F.lag(x).over(order))
         return step
@@ -107,11 +106,53 @@ def with_feature(points: DataFrame, name: str, x: str = "x", filled: bool = True
         rows = points.withColumn("__f", raw_feature("AbsDiff-1", x, order))
         same = order.rowsBetween(-(w // 2), (w - 1) // 2)
         rows = rows.withColumn(name, F.when(F.col("__f").isNotNull(), F.sum("__f").over(same) / w)).drop("__f")
+    elif family == "MAD":
+        rows = with_mad(points, name, x, w)
     else:
         rows = points.withColumn(name, raw_feature(name, x, order))
     return edge_filled(rows, name) if filled else rows
 
 
+def with_mad(points: DataFrame, name: str, x: str, w: int) -> DataFrame:
+    """``points`` with the MAD of each full window: a task reads its series in order, batch by batch, and holds a window's rows over."""
+    if name in points.columns:
+        raise ValueError(f"there is a column {name} already")
+    rows = points.repartition("series_id").sortWithinPartitions("series_id", "t")
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())])
+    ahead = w - 1 - w // 2  # points of a window behind its own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, 0  # rows that a window yet needs, of which the first ``before`` were given out
+        for batch in itertools.chain(batches, [None]):
+            if batch is None and held is None:
+                return
+            table = held if batch is None else pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            n = table.num_rows
+            mad, valid = np.zeros(n), np.zeros(n, bool)
+            if n >= w:
+                key = table["series_id"].combine_chunks()
+                new = np.concatenate([[True], ~pc.fill_null(pc.equal(key[1:], key[:-1]), False).to_numpy(zero_copy_only=False)])
+                run_of = np.cumsum(new)
+                values = table[x].combine_chunks()
+                odd = ~pc.fill_null(pc.is_finite(values.cast(pa.float64())), False).to_numpy(zero_copy_only=False)
+                mad[w // 2 : n - ahead] = sliding_mad(np.where(odd, 0.0, values.cast(pa.float64()).to_numpy(zero_copy_only=False)), w)
+                valid[w // 2 : n - ahead] = run_of[: n - w + 1] == run_of[w - 1 :]
+                upto = np.concatenate([[0], np.cumsum(odd)])
+                for at in np.flatnonzero(valid[w // 2 : n - ahead] & (upto[w:] > upto[:-w])):  # as in SQL, null is no value and NaN the greatest
+                    some = values[at : at + w].drop_null().cast(pa.float64()).to_numpy()
+                    valid[at + w // 2] = len(some) > 0
+                    middle = lambda v: 0.5 * (v[(len(v) - 1) // 2] + v[len(v) // 2])
+                    with np.errstate(invalid="ignore"):
+                        mad[at + w // 2] = middle(np.sort(np.abs(some - middle(np.sort(some))))) if len(some) else 0.0
+            done = n if batch is None else max(before, n - ahead)  # the rest waits for the next batch
+            out = table.slice(before, done - before).append_column(name, pa.array(mad[before:done], mask=~valid[before:done]))
+            yield from out.to_batches()
+            keep = max(0, done - w // 2)
+            held, before = table.slice(keep), done - keep
+
+    return rows.mapInArrow(run, schema)
+
+
 def edge_filled(rows: DataFrame, name: str) -> DataFrame:
     # running values from either end: a frame that reaches to the last row would read the rest of a series anew for each point
     sofar = (Window.unboundedPreceding, 0)

@@ -128,3 +128,37 @@ def test_files_larger_than_a_binary_value_are_hashed(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
     assert got == {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.iterdir()}
+
+
+def test_windows_of_mad_go_over_batches_and_end_with_their_series(spark):
+    """Sorting an array for each point took minutes; windows are sorted by blocks, over batches smaller than a window too."""
+    rng = np.random.default_rng(13)
+    sizes = {1: 1, 2: 127, 3: 128, 4: 129, 5: 700, 6: 40, 7: 300}
+    series = {s: rng.integers(0, 50, n).astype(float) for s, n in sizes.items()}
+    rows = [(s, t, float(v), None if s == 7 and t == 150 else float(v)) for s, xs in series.items() for t, v in enumerate(xs)]
+    points = spark.createDataFrame(rows, "series_id long, t int, x double, holed double").orderBy("x")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        plan = B.with_feature(points, "MAD-128")
+        assert "array_sort" not in plan._jdf.queryExecution().executedPlan().toString()
+        got = {(r["series_id"], r["t"]): r["MAD-128"] for r in plan.collect()}
+        raw = {(r["series_id"], r["t"]): r["MAD-32"] for r in B.with_feature(points, "MAD-32", "holed", filled=False).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(raw) == len(rows)
+    for s, xs in series.items():
+        assert np.array_equal([got[s, t] for t in range(len(xs))], B.basis_matrix(xs, ("MAD-128",))[:, 0])
+    for s, xs in series.items():
+        for t in range(len(xs)):
+            part = [v for u, v in enumerate(xs[max(0, t - 16) : t + 16], max(0, t - 16)) if not (s == 7 and u == 150)]
+            assert raw[s, t] == (np.median(np.abs(part - np.median(part))) if 16 <= t <= len(xs) - 16 else None)
+
+
+def test_nan_is_the_greatest_value_in_windows_of_mad(spark):
+    values = [float(v) for v in np.random.default_rng(14).normal(size=90)]
+    values[40] = float("nan")
+    got = [r["MAD-32"] for r in B.with_feature(spark.createDataFrame([(1, t, v) for t, v in enumerate(values)], "series_id long, t int, x double"), "MAD-32", filled=False).orderBy("t").collect()]
+    for t in range(16, 75):
+        part = np.sort(values[t - 16 : t + 16])
+        far = np.sort(np.abs(part - 0.5 * (part[15] + part[16])))
+        assert got[t] == 0.5 * (far[15] + far[16])
