@@ -188,10 +188,10 @@ def _opened(batches: Iterator[pa.RecordBatch], width: int, each: int = 1):
 
 
 def _joint_pass(width: int, probes: list[Probe], sent):
-    """(probe, g) with the summed weight, loss, gradient and Hessian of a group's rows at the joint coefficients, of every ``each``-th series."""
+    """(probe, g) with the summed weight, loss, gradient and (if ``curved``) Hessian of a group's rows at the joint coefficients, of every ``each``-th series."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        beta, live, each = sent.value
+        beta, live, each, curved = sent.value
         wanted, sums = [probes[i] for i in live], {}
         for g, _, x, y, w in _opened(batches, width, each):
             used = w > 0
@@ -200,8 +200,8 @@ def _joint_pass(width: int, probes: list[Probe], sent):
             y, w = y[used], w[used]
             for i, z in zip(live, _designs(x[used], wanted)):
                 loss, q = _losses(z @ beta[i], y, w)
-                hessian = z.T @ (z * (w * q * (1 - q))[:, None])
-                part = np.concatenate([[w.sum(), loss], z.T @ (w * (q - y)), hessian.ravel()])
+                hessian = (z.T @ (z * (w * q * (1 - q))[:, None])).ravel() if curved else ()
+                part = np.concatenate([[w.sum(), loss], z.T @ (w * (q - y)), hessian])
                 sums[i, g] = sums.get((i, g), 0.0) + part
         yield from _sent(sums)
 
@@ -259,32 +259,50 @@ def _summed(parts: DataFrame) -> dict:
     return {(r["i"], r["g"]): np.frombuffer(r["v"], float) for r in rows}
 
 
-def fit(blocks: DataFrame, width: int, probes: list[Probe], folds: list[Fold], steps: int = 40) -> list[np.ndarray]:
-    """Coefficients of each probe, a row for each fold.
+class Joint(NamedTuple):
+    """The joint solution of some probes: a group's rows (m) and weight (s), coefficients, by group the sums at these (weight, loss,
+    gradient) and Hessians of their order of size, and the probes that did not get there."""
 
-    First a joint fit of all groups by Newton steps, whose losses, gradients and Hessians are kept by group: a fold's are the
-    total less its held groups', so its first step takes no pass. From the joint solution every fold goes on by steps with that Hessian and
-    exact gradients; a fold that closes in slowly gets an exact Hessian. A pass serves all probes and folds,
-    and rows are never copied.
-    """
+    sizes: dict
+    beta: list
+    sums: list
+    hessians: list
+    astray: list
+
+
+def _scale(sizes: dict, held=()) -> float:
+    return sum(r["m"] for g, r in sizes.items() if g not in held) / (sum(r["s"] for g, r in sizes.items() if g not in held) or 1.0)
+
+
+def _coefficients(probes: list[Probe]) -> list[int]:
+    return [len(x.columns) * (len(KNOTS) + 1 if x.kind == "spline" else 1) + 1 for x in probes]
+
+
+def joint_fit(blocks: DataFrame, width: int, probes: list[Probe], steps: int = 40) -> Joint:
+    """The fit of all groups by Newton steps, with what folds need of it.
+
+    Where there are rows enough, one in START series gives the Hessians, and passes over all rows make gradients alone,
+    until these are as near to zero as by Newton steps; a probe that closes in slowly gets its Hessian from all rows."""
     spark = blocks.sparkSession
     blocks = blocks.select(*FIELDS)
-    sizes = {r["g"]: r for r in blocks_sizes(blocks)}
-    scale = lambda held: sum(r["m"] for g, r in sizes.items() if g not in held) / (sum(r["s"] for g, r in sizes.items() if g not in held) or 1.0)
-    p = [len(x.columns) * (len(KNOTS) + 1 if x.kind == "spline" else 1) + 1 for x in probes]
-    whole, rows = scale(()), sum(r["m"] for r in sizes.values())
+    sizes, p = {r["g"]: r for r in blocks_sizes(blocks)}, _coefficients(probes)
+    whole, rows = _scale(sizes), sum(r["m"] for r in sizes.values())
     joint, kept, each = [np.zeros(k) for k in p], [{} for _ in probes], START if rows >= START * ENOUGH * max(p) else 1
 
-    def newton(each: int, near: float) -> list:
-        """Newton steps from ``joint`` on all groups until the gradient is ``near`` zero; leaves the probes that didn't get there."""
-        loss, change, live = [np.inf] * len(probes), [np.zeros(k) for k in p], list(range(len(probes)))
+    def newton(each: int, near: float, live: list, fixed: list | None = None) -> list:
+        """Newton steps from ``joint`` on all groups until the gradient is ``near`` zero; leaves the probes that didn't get there.
+
+        With ``fixed`` inverse Hessians, passes leave them out, and a probe whose gradient isn't halved by a step leaves too."""
+        loss, size, change, live, slow = [np.inf] * len(probes), [np.inf] * len(probes), [np.zeros(k) for k in p], list(live), []
         for _ in range(steps):
-            sent = spark.sparkContext.broadcast((joint, live, each))
+            if not live:
+                break
+            sent = spark.sparkContext.broadcast((joint, live, each, fixed is None))
             got = _summed(blocks.mapInArrow(_joint_pass(width, probes, sent), "i int, g string, v binary"))
             sent.unpersist()
             for i in list(live):
                 mine = {g: v for (k, g), v in got.items() if k == i}
-                v = sum(mine.values()) if mine else np.zeros(2 + p[i] + p[i] ** 2)
+                v = sum(mine.values()) if mine else np.zeros(2 + p[i] + (p[i] ** 2 if fixed is None else 0))
                 v = v * (whole if each == 1 else rows / (v[0] or 1.0))
                 value = v[1] + joint[i] @ joint[i] / (2 * probes[i].c)
                 if value > loss[i] + 1e-9 * abs(value):  # too long a step: go half back
@@ -294,19 +312,50 @@ def fit(blocks: DataFrame, width: int, probes: list[Probe], folds: list[Fold], s
                 gradient = v[2 : p[i] + 2] + joint[i] / probes[i].c
                 kept[i] = mine
                 loss[i] = value
-                if np.abs(gradient).max(initial=0) < near * max(1.0, abs(value)):
+                g = np.abs(gradient).max(initial=0)
+                if g < near * max(1.0, abs(value)):
+                    live.remove(i)
+                    continue
+                if fixed is not None and g > 0.5 * size[i]:
                     live.remove(i)
+                    slow.append(i)
                     continue
-                change[i] = -np.linalg.solve(v[p[i] + 2 :].reshape(p[i], p[i]) + np.eye(p[i]) / probes[i].c, gradient)
+                size[i] = g
+                change[i] = -(np.linalg.solve(v[p[i] + 2 :].reshape(p[i], p[i]) + np.eye(p[i]) / probes[i].c, gradient) if fixed is None else fixed[i] @ gradient)
                 joint[i] = joint[i] + change[i]
-            if not live:
-                break
-        return live
+        return live + slow
+
+    def curves(mine: dict, i: int, scale: float) -> dict:
+        return {g: scale * x[p[i] + 2 :].reshape(p[i], p[i]) for g, x in mine.items()}
+
+    every = list(range(len(probes)))
+    if each > 1:
+        newton(each, 1e-3, every)
+        seen = [sum(x[0] for x in mine.values()) or 1.0 for mine in kept]
+        hessians = [curves(mine, i, rows / whole / seen[i]) for i, mine in enumerate(kept)]
+        fixed = [np.linalg.inv(whole * sum(h.values(), np.zeros((p[i], p[i]))) + np.eye(p[i]) / probes[i].c) for i, h in enumerate(hessians)]
+        every = newton(1, 1e-5, every, fixed)
+    else:
+        hessians = [{} for _ in probes]
+    astray = newton(1, 1e-5, every)
+    for i in every:
+        hessians[i] = curves(kept[i], i, 1.0)
+    return Joint(sizes, joint, [{g: x[: p[i] + 2] for g, x in mine.items()} for i, mine in enumerate(kept)], hessians, astray)
+
 
-    if each > 1:  # only where the steps on all rows begin
-        newton(each, 1e-3)
-    astray = newton(1, 1e-5)
-    hessians = [{g: x[p[i] + 2 :].reshape(p[i], p[i]) for g, x in mine.items()} for i, mine in enumerate(kept)]
+def fit(blocks: DataFrame, width: int, probes: list[Probe], folds: list[Fold], steps: int = 40, begun: Joint | None = None) -> list[np.ndarray]:
+    """Coefficients of each probe, a row for each fold; ``begun``: the joint solution, if it is known.
+
+    Losses, gradients and Hessians of the joint solution are kept by group: a fold's are the
+    total less its held groups', so its first step takes no pass. From the joint solution every fold goes on by steps with that Hessian and
+    exact gradients; a fold that closes in slowly gets an exact Hessian. A pass serves all probes and folds,
+    and rows are never copied.
+    """
+    spark = blocks.sparkSession
+    blocks = blocks.select(*FIELDS)
+    p = _coefficients(probes)
+    sizes, joint, kept, hessians, astray = begun or joint_fit(blocks, width, probes, steps)
+    scale = lambda held: _scale(sizes, held)
     held = [{str(g) for g in f.held} for f in folds]
     scales = [scale(f.held) for f in folds]
     beta = [np.tile(b, (len(folds), 1)) for b in joint]
@@ -322,7 +371,7 @@ def fit(blocks: DataFrame, width: int, probes: list[Probe], folds: list[Fold], s
     moved = [np.zeros_like(b) for b in beta]
     exact: dict = {i: [] for i in open_folds}
     for i in set(open_folds) - set(astray):  # a fold's loss and gradient at the joint solution are the total's less its held groups'
-        total = sum(kept[i].values()) if kept[i] else np.zeros(2 + p[i] + p[i] ** 2)
+        total = sum(kept[i].values()) if kept[i] else np.zeros(2 + p[i])
         for k, h in enumerate(held):
             v = scales[k] * (total - sum((kept[i][g] for g in h if g in kept[i]), np.zeros(len(total))))
             gradient = v[2 : p[i] + 2] + beta[i][k] / probes[i].c
@@ -404,9 +453,9 @@ def _scored(blocks: DataFrame, width: int, probes: list[Probe], folds: list[Fold
     return sums.select("g", "series_id", "fold", *((F.col(f"l{i}") / F.col("n")).alias(f"L_{p.name}") for i, p in enumerate(probes)))
 
 
-def fold_losses(blocks: DataFrame, width: int, probes: list[Probe], folds: list[Fold]) -> DataFrame:
+def fold_losses(blocks: DataFrame, width: int, probes: list[Probe], folds: list[Fold], begun: Joint | None = None) -> DataFrame:
     """(g, series_id, fold, L_<probe>...): fitted without a fold's held groups, scored on every point of its scored ones."""
-    sent = blocks.sparkSession.sparkContext.broadcast(fit(blocks, width, probes, folds))
+    sent = blocks.sparkSession.sparkContext.broadcast(fit(blocks, width, probes, folds, begun=begun))
 
     def predicted(beta, x, k):
         return (sigmoid(z @ beta[i][k]) for i, z in enumerate(_designs(x, probes)))

@@ -162,3 +162,21 @@ def test_nan_is_the_greatest_value_in_windows_of_mad(spark):
         part = np.sort(values[t - 16 : t + 16])
         far = np.sort(np.abs(part - 0.5 * (part[15] + part[16])))
         assert got[t] == 0.5 * (far[15] + far[16])
+
+
+def test_passes_over_all_rows_leave_hessians_to_a_sample(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    made = []
+    for s in range(160):
+        x = np.column_stack([B.ranks01(rng.normal(size=100)) for _ in range(2)])
+        made.append(P.block(s % 4, s, x, (rng.random(100) < x[:, 0]).astype(float), np.full(100, 1 / 100), 2))
+    blocks = spark.createDataFrame(made, P.block_schema("long", "long")).repartition(2).cache()
+    probes, folds, passes, joint_pass = [P.Probe("p", (0, 1), "spline")], P.held_out([0, 1, 2, 3]), [], P._joint_pass
+    plain = P.fit(blocks, 2, probes, folds)[0]
+    monkeypatch.setattr(P, "_joint_pass", lambda width, probes, sent: passes.append(sent.value[2:]) or joint_pass(width, probes, sent))
+    monkeypatch.setattr(P, "ENOUGH", 10)
+    begun = P.joint_fit(blocks, 2, probes)
+    assert (1, False) in passes and (P.START, True) in passes and (P.START, False) not in passes and (1, True) not in passes
+    done = len(passes)
+    assert np.allclose(P.fit(blocks, 2, probes, folds, begun=begun)[0], plain, atol=1e-6)
+    assert len(passes) == done  # a joint solution serves several fits
