@@ -284,17 +284,21 @@ def series_cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.cluster_bootstrap(values).withColumnRenamed("n_sources", "n_series").join(counts, "condition")
 
 
-def control_losses(spark: SparkSession, sf_dir: str, blocks: DataFrame | None = None, sources: list | None = None, held: list | None = None) -> DataFrame:
+def control_probes() -> list[P.Probe]:
+    columns = {"duplicate": REFERENCE.index(controls.DUPLICATE)} | {c: EXTRA + i for i, c in enumerate(CONTROLS)}
+    return [P.Probe("basis", BASIS), *(P.Probe(c, (*BASIS, at)) for c, at in columns.items())]
+
+
+def control_losses(spark: SparkSession, sf_dir: str, blocks: DataFrame | None = None, sources: list | None = None, held: list | None = None, begun: P.Joint | None = None) -> DataFrame:
     """(control, fold, source_id, series_id, L_basis, CDU) of noise, the duplicate and every positive control.
 
     ``held``: the folds to compute, by their held-out sources (all); ``fold`` is the source that a fold holds out, and
-    ``source_id`` where the points came from."""
-    columns = {"duplicate": REFERENCE.index(controls.DUPLICATE)} | {c: EXTRA + i for i, c in enumerate(CONTROLS)}
-    probes = [P.Probe("basis", BASIS), *(P.Probe(c, (*BASIS, at)) for c, at in columns.items())]
+    ``source_id`` where the points came from. ``begun``: the joint solution, if it is known."""
+    probes = control_probes()
     blocks = series_blocks(spark, sf_dir, ("controls",)) if blocks is None else blocks
     held = held or sources or sources_of(spark, sf_dir)
-    found = P.fold_losses(blocks, width_of(("controls",)), probes, P.held_out(held))
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("control"), (F.col("L_basis") - F.col(f"L_{c}")).alias("CDU")) for c in columns)))
+    found = P.fold_losses(blocks, width_of(("controls",)), probes, P.held_out(held), begun)
+    each = F.explode(F.array(*(F.struct(F.lit(c.name).alias("control"), (F.col("L_basis") - F.col(f"L_{c.name}")).alias("CDU")) for c in probes[1:])))
     rows = found.select(F.get(F.lit(held), F.col("fold")).alias("fold"), F.col("g").alias("source_id"), "series_id", "L_basis", each.alias("r"))
     return rows.select("r.control", "fold", "source_id", "series_id", "L_basis", "r.CDU")
 
@@ -314,7 +318,8 @@ def control_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def control_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The acceptance gate on a run of all controls, with a second run that stops after a third of its folds and is resumed."""
     blocks, sources = series_blocks(spark, sf_dir, ("controls",)), sources_of(spark, sf_dir)
-    rows = cut(control_losses(spark, sf_dir, blocks, sources))
+    begun = P.joint_fit(blocks, width_of(("controls",)), control_probes())  # the folds of each run go on from it
+    rows = cut(control_losses(spark, sf_dir, blocks, sources, begun=begun))
     summary = control_summary(rows).select(F.col("condition").alias("control"), F.col("mean").alias("cdu"), "ci_low", "ci_high")
     # a fold passes if what it scored is what it held out, and nothing else
     held = spark.createDataFrame([(s,) for s in sources], "fold long")
@@ -327,7 +332,7 @@ def control_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = runs.signature({"version": "controls-v1", "alphas": controls.ALPHAS, "cap": CAP}, {"blocks": blocks.select("series_id", "n", "x", "y", "w")})
 
     def compute(folds: list) -> DataFrame:
-        found = control_losses(spark, sf_dir, blocks, sources, folds)
+        found = control_losses(spark, sf_dir, blocks, sources, folds, begun)
         return found.withColumn("key", F.concat_ws("/", "control", F.col("series_id").cast("string")))
 
     third = max(1, len(sources) // 3)
